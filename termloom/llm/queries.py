@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import langid, mixing, quality, secrets, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,69 @@ _W = r"[^\x20\x09-\x0D]+"
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over every whole document."""
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_source_mixing",
+    rf"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS size,
+                      md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':1') AS key FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
+    w AS (SELECT *, (rn - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+    o AS (SELECT *, row_number() OVER z AS k, sum(cap) OVER (z ROWS UNBOUNDED PRECEDING) AS cc, sum(weight) OVER (z ROWS UNBOUNDED PRECEDING) AS cw
+          FROM w WINDOW z AS (ORDER BY cap / weight, rn)),
+    tot AS (SELECT sum(source_size) AS t, sum(weight) AS tw FROM w),
+    lv AS (SELECT 0 AS k, CAST(t AS DOUBLE) / tw AS level FROM tot
+           UNION ALL SELECT k, CAST(t - cc AS DOUBLE) / (tw - cw) FROM o, tot WHERE tw > cw),
+    pick AS (SELECT level FROM lv JOIN o ON o.k = lv.k + 1 WHERE o.cap >= o.weight * level ORDER BY lv.k LIMIT 1),
+    g AS (SELECT source, source_size, CASE WHEN cap < weight * level THEN CAST(cap AS DOUBLE) ELSE weight * level END AS target FROM w, pick),
+    e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM g),
+    r AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, floor(e.target - e.epochs * e.source_size) AS rest,
+                 sum(size) OVER (PARTITION BY d.source ORDER BY key) AS upto, sum(size) OVER (PARTITION BY d.source, key) AS tied
+          FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+           CAST(epochs * size + CASE WHEN upto <= rest THEN size WHEN upto - tied <= rest THEN floor(size * (rest - (upto - tied)) / tied) ELSE 0 END AS BIGINT) AS taken FROM r
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix every document of every source to the target weights."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole document, decoded layers included."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the query, (action, host, path).
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@query(
+    "op10_url_filter",
+    r"""
+    WITH p AS (SELECT page_id, row_number() OVER () AS rid,
+                 translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+    r(verdict, h, pre) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+    m AS (SELECT rid, h || pre AS rule, verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)
+          QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(h || pre) DESC) = 1)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (rid)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
