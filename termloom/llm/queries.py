@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, secrets, urls
+from . import langid, mixing, packing, quality, secrets, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,16 @@ URL_RULES = (
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file, from the package that every node has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every whole document into sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
