@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, secrets, urls
-from .common import table
+from . import langid, mixing, packing, quality, secrets, urls, warc
+from .common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,19 @@ def tokenizer_path() -> str:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every whole document into sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query(
+    "op7_warc",
+    r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    b AS (SELECT *, sha1(h) AS sha, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+    d AS (SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha, 10 * k + 1, 10) AS BIGINT) // CAST(pow(32, 7 - i) AS BIGINT)) % 32 AS INTEGER) + 1, 1), '' ORDER BY k, i)
+                     FROM (SELECT unnest(range(4)) AS k), (SELECT unnest(range(8)) AS i)) AS digest FROM b)
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page and read the archive back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_folder(spark))

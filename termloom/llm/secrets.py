@@ -22,7 +22,6 @@ ends exclusive.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -39,7 +38,6 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -235,6 +233,3 @@ def digests(docs: DataFrame, **options) -> DataFrame:
     """The spans with the base ones as a SHA-256."""
     return spans(docs, **options).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
-
-def encode_base64(text: str) -> str:
-    return base64.b64encode(text.encode()).decode()
