@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, secrets, urls, warc
+from . import fingerprints, langid, mixing, packing, quality, secrets, urls, warc
 from .common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page and read the archive back."""
     return warc.round_trip(table(spark, sf_dir, "pages"), shared_folder(spark))
+
+
+@query("op3_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and its edited text."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
