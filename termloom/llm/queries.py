@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, packing, quality, secrets, urls, warc
+from . import fingerprints, langid, mixing, neardup, packing, quality, secrets, urls, warc
 from .common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and its edited text."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every whole document."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
