@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, neardup, packing, quality, secrets, urls, warc
+from . import fingerprints, langid, mixing, neardup, packing, pii, quality, secrets, urls, warc
 from .common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every whole document."""
     return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pii_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document with its personal data replaced by surrogates."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
