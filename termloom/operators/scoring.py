@@ -1,0 +1,328 @@
+"""Candidate scoring: every rule is a column expression over the candidate table.
+
+Candidates have `row_id`, `cand_pos`, `in_text`, `in_*` and `cat_text`,
+`cat_fsn`, `cat_*` component columns. Blocking rules come first in one CASE.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Weights, bonuses and limits.
+RULES = {
+    "weights": {"anatomy": 0.25, "modality": 0.35, "laterality": 0.10, "contrast": 0.20, "technique": 0.10},
+    "minimum": {"anatomy": 0.1, "modality": 0.35, "laterality": 0.0, "contrast": 0.3, "technique": 0.0, "combined": 0.25},
+    "interventional": (0.15, -0.20), "exact": 0.25, "synonym": 0.15,
+    "specificity": {"anatomical": 0.10, "administrative": -0.20, "technique": 0.05, "other": -0.15},
+    "contrast": {"mismatch": 0.05, "null": 0.7, "prefer_none": True, "none_bonus": 0.25},
+    "context": {"gender": 0.20, "age": 0.15, "pregnancy": 0.25, "clinical_penalty": -0.15},
+    "generic_anatomy": (0.15, -0.05), "vessel": (0.20, -0.15), "level": (0.15, -0.10),
+    "blocks": {"anatomy": -10.0, "hybrid": -6.0, "diagnostic": -8.0, "technique": -10.0},
+    "final": {"default": (0.60, 0.40), "medcpt": (0.65, 0.35), "biolord": (0.60, 0.40)}, "position": (0.03, 0.003),
+}
+#: Word lists and pairs.
+INCOMPATIBLE = (("breast", "penis"), ("arm", "leg"), ("upper limb", "lower limb"), ("heart", "kidney"), ("lung", "liver"), ("prostate", "breast"), ("prostate", "uterus"), ("artery", "bone"))
+DIAGNOSTIC = ("standard", "routine", "screening", "plain", "simple", "without guidance", "non-contrast")
+PROCEDURAL = ("biopsy", "guided", "guidance", "drainage", "injection", "insertion", "stent", "ablation", "percutaneous", "picc")
+HYBRID = (
+    (r"pet.*ct|pet/ct|pet-ct", r"pet.*mri|pet/mri|pet-mri|mri.*pet"),
+    (r"pet.*mri|pet/mri|pet-mri", r"pet.*ct|pet/ct|pet-ct|ct.*pet"),
+    (r"ct.*mri|ct/mri", r"mri.*ct|mri/ct"),
+)
+SPECIALISED = {"perfusion": ("perfusion", "pwi", "asl"), "ct angiography": ("angiography", "angio", "cta"), "hrct": ("high resolution", "hrct"), "with contrast": ("with contrast", "c+", "iv"), "spect": ("spect", "single photon")}
+ANATOMICAL_WORDS = ("artery", "vein", "vessel", "aorta", "carotid", "coronary", "pulmonary", "renal", "lobe", "segment", "vertebra", "disc")
+ADMIN_WORDS = ("procedure", "examination", "study", "scan", "imaging", "view", "projection")
+TECHNIQUE_WORDS = ("doppler", "angiography", "venography", "arteriography", "perfusion", "diffusion", "spectroscopy", "elastography")
+STOP_WORDS = ("a", "an", "and", "of", "or", "the", "with", "without", "for", "in", "on", "to")
+BIOPSY = {"lung": {"ct": 0.60, "us": 0.25, "fluoroscopy": -0.50}, "chest": {"ct": 0.60, "us": 0.20, "fluoroscopy": -0.45}, "liver": {"ct": 0.30, "us": 0.35, "fluoroscopy": -0.25}, "kidney": {"ct": 0.30, "us": 0.60, "fluoroscopy": -0.20}, "breast": {"us": 0.40, "mri": 0.25, "ct": 0.10, "fluoroscopy": -0.40}, "spine": {"ct": 0.35, "fluoroscopy": 0.05, "us": -0.15}, "prostate": {"us": 0.40, "mri": 0.30, "ct": 0.10, "fluoroscopy": -0.25}}
+BIOPSY_DEFAULT = {"ct": 0.25, "us": 0.20, "fluoroscopy": -0.15}
+EXPLICIT = ("ct", "us", "ultrasound", "fluoroscop", "mri", "mr")
+ANGIO = ("angiography", "angiogram", "angio", "cta", "mra")
+VENOUS = ("venography", "venogram", "vein", "venous", "ctv", "mrv", "phlebography", "phlebogram")
+ARTERIAL = ("arter", "aort", "carotid")
+LEVELS = {
+    "pregnancy": (("first trimester", "second trimester", "third trimester", "1st trimester", "2nd trimester", "3rd trimester"), ("pregnancy", "obstetric", "multiple pregnancy", "prenatal")),
+    "anatomical": (("lumbar spine", "cervical spine", "thoracic spine"), ("spine",)),
+}
+CONTEXTS = {
+    "emergency": (("emergency", "urgent", "stat", "trauma", "acute"), 0.15), "screening": (("screening", "surveillance", "routine", "annual"), 0.15),
+    "intervention": (("biopsy", "drainage", "injection", "aspiration", "guided", "picc", "line"), 0.20), "pregnancy": (("obstetric", "pregnancy", "prenatal", "fetal", "trimester"), 0.25),
+    "paediatric": (("paediatric", "pediatric", "paed", "peds", "child", "infant", "newborn"), 0.20),
+}
+SIMILAR = {"CT": {"HRCT": 0.9, "PET": 0.4, "XR": 0.2, "Fluoroscopy": 0.1}, "MRI": {"CT": 0.1}, "XR": {"MG": 0.5, "FL": 0.6, "DEXA": 0.9}, "US": {"MRI": 0.1}, "MG": {"XR": 0.5}, "NM": {"SPECT": 0.9, "PET": 0.4}, "DEXA": {"XR": 0.2}, "IR": {"Fluoroscopy": 0.6, "CT": 0.2, "US": 0.2}}
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two sets; both empty is 1."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
+
+
+def has_any(text: Column, terms) -> Column:
+    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: text.contains(t))
+
+
+def modality_score(a: Column, b: Column, similar: dict | None = None) -> Column:
+    pairs = {f"{x}|{y}": v for x, row in (similar or SIMILAR).items() for y, v in row.items()}
+    table = F.create_map(*[F.lit(z) for kv in pairs.items() for z in kv])
+    one = F.when(F.get(a, F.lit(0)) == F.get(b, F.lit(0)), 1.0).otherwise(F.coalesce(table[F.concat_ws("|", F.get(a, F.lit(0)), F.get(b, F.lit(0)))], F.lit(0.0)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.5).when((F.size(a) == 1) & (F.size(b) == 1), one).otherwise(jaccard(a, b))
+
+
+def laterality_score(a: Column, b: Column) -> Column:
+    return F.when(a.eqNullSafe(b), 1.0).when(a.isNull() | b.isNull(), 0.7).otherwise(0.1)
+
+
+def contrast_score(a: Column, b: Column, rules: dict = RULES) -> Column:
+    r, none_a, none_b = rules["contrast"], F.size(a) == 0, F.size(b) == 0
+    return (
+        F.when(none_a & none_b, 1.0 + (r["none_bonus"] if r["prefer_none"] else 0.0))
+        .when(none_a, 0.1 if r["prefer_none"] else r["null"])
+        .when(none_b, r["null"])
+        .when(F.array_sort(a) == F.array_sort(b), 1.0)
+        .when(F.arrays_overlap(a, b), 0.8)
+        .otherwise(r["mismatch"])
+    )
+
+
+def anatomy_score(a: Column, b: Column, pairs=INCOMPATIBLE, rules: dict = RULES) -> Column:
+    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs])
+    near = lambda term, word: term.contains(word) | word.contains(term)
+    clash = F.exists(a, lambda s: F.exists(b, lambda t: F.exists(table, lambda p: (near(s, p["x"]) & near(t, p["y"])) | (near(s, p["y"]) & near(t, p["x"])))))
+    return F.when(clash, rules["blocks"]["anatomy"]).otherwise(jaccard(a, b))
+
+
+def threshold_violation(s: dict[str, Column], rules: dict = RULES) -> Column:
+    """The first component below its minimum, else "combined", else null."""
+    out = None
+    for name in ("anatomy", "modality", "laterality", "contrast", "technique"):
+        low = s[name] < rules["minimum"][name]
+        out = F.when(low, name) if out is None else out.when(low, name)
+    return out.when(weighted(s, rules) < rules["minimum"]["combined"], "combined")
+
+
+def weighted(s: dict[str, Column], rules: dict = RULES) -> Column:
+    w = rules["weights"]
+    return w["anatomy"] * s["anatomy"] + w["modality"] * s["modality"] + w["laterality"] * s["laterality"] + w["contrast"] * s["contrast"] + w["technique"] * s["technique"]
+
+
+def diagnostic_penalty(text: Column, cat: Column, rules: dict = RULES) -> Column:
+    return F.when(has_any(F.lower(text), DIAGNOSTIC) & has_any(F.lower(cat), PROCEDURAL), rules["blocks"]["diagnostic"]).otherwise(0.0)
+
+
+def hybrid_penalty(text: Column, cat: Column, table=HYBRID, rules: dict = RULES) -> Column:
+    hit = F.lit(False)
+    for pattern, excluded in table:
+        hit = hit | (F.lower(text).rlike(pattern) & F.lower(cat).rlike(excluded))
+    return F.when(hit, rules["blocks"]["hybrid"]).otherwise(0.0)
+
+
+def technique_penalty(text: Column, cat: Column, table: dict = SPECIALISED, enabled: bool = False, rules: dict = RULES) -> Column:
+    if not enabled:
+        return F.lit(0.0)
+    hit = F.lit(False)
+    for technique, needed in table.items():
+        hit = hit | (F.lower(cat).contains(technique) & ~has_any(F.lower(text), needed))
+    return F.when(hit, rules["blocks"]["technique"]).otherwise(0.0)
+
+
+def interventional_score(a: Column, b: Column, rules: dict = RULES) -> Column:
+    mine, theirs = (F.exists(x, lambda t: t.contains("Interventional")) for x in (a, b))
+    return F.when(mine & theirs, rules["interventional"][0]).when(mine, rules["interventional"][1]).otherwise(0.0)
+
+
+def demographic_bonus(gender: Column, age: Column, cat: Column, rules: dict = RULES) -> Column:
+    low, c = F.lower(cat), rules["context"]
+    by_gender = (
+        F.when((gender == "pregnancy") & has_any(low, ("obstetric", "pregnancy", "prenatal", "fetal")), c["pregnancy"])
+        .when((gender == "female") & has_any(low, ("female", "breast", "uterus", "ovary")), c["gender"])
+        .when((gender == "male") & has_any(low, ("prostate", "testic", "scrot", "penis")), c["gender"])
+        .otherwise(0.0)
+    )
+    return by_gender + F.when((age == "paediatric") & has_any(low, ("paediatric", "pediatric", "child", "infant")), c["age"]).otherwise(0.0)
+
+
+def context_rules(config: dict) -> list[tuple[str, list[str], float]]:
+    """(context, keywords, bonus) from either shape of the rules: nested, or flat `*_keywords` and `*_bonus`."""
+    nested = [(k, v["keywords"], v["bonus"]) for k, v in config.items() if isinstance(v, dict)]
+    flat = [(k.removesuffix("_keywords"), v, config.get(k.removesuffix("_keywords") + "_bonus", 0.0)) for k, v in config.items() if k.endswith("_keywords")]
+    return nested + flat
+
+
+def context_bonus(text: Column, cat: Column, contexts: dict = CONTEXTS, rules: dict = RULES) -> Column:
+    out = F.lit(0.0)
+    for words, bonus in contexts.values():
+        mine, theirs = has_any(F.lower(text), words), has_any(F.lower(cat), words)
+        out = out + F.when(mine & theirs, bonus).when(mine, rules["context"]["clinical_penalty"]).otherwise(0.0)
+    return out
+
+
+def synonym_bonus(text: Column, cat: Column, dictionary: dict[str, str], rules: dict = RULES) -> Column:
+    a, b = F.lower(text), F.lower(cat)
+    table = F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(v.lower()).alias("v")) for k, v in dictionary.items()])
+    return F.when(F.exists(table, lambda x: (a.contains(x["k"]) & b.contains(x["v"])) | (a.contains(x["v"]) & b.contains(x["k"]))), rules["synonym"]).otherwise(0.0)
+
+
+def biopsy_preference(text: Column, modalities: Column, organs: dict = BIOPSY, default: dict = BIOPSY_DEFAULT) -> Column:
+    low = F.lower(text)
+    m = F.transform(modalities, lambda x: F.lower(x))
+    has = lambda x: F.array_contains(m, x)
+    key = F.when(has("ct"), "ct").when(has("us"), "us").when(has("mri"), "mri").when(has("fluoroscopy") | has("ir") | has("interventional"), "fluoroscopy")
+    value = lambda table: F.coalesce(F.create_map(*[F.lit(z) for kv in table.items() for z in kv])[key], F.lit(0.0))
+    out = F.when(~(low.contains("biopsy") | low.contains("bx")) | has_any(low, EXPLICIT) | key.isNull(), 0.0)
+    for organ, table in organs.items():
+        out = out.when(low.contains(organ), value(table))
+    return out.otherwise(value(default))
+
+
+def generic_anatomy(a: Column, b: Column, rules: dict = RULES) -> Column:
+    return F.when(F.size(a) > 0, 0.0).when(F.size(b) == 0, rules["generic_anatomy"][0]).otherwise(rules["generic_anatomy"][1])
+
+
+def specificity_score(text: Column, cat: Column, rules: dict = RULES) -> Column:
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != ""))
+    words = lambda ws: F.array(*[F.lit(w) for w in ws])
+    w = rules["specificity"]
+
+    def scored(extra: Column) -> Column:
+        count = lambda ws: F.size(F.array_intersect(extra, words(ws)))
+        rest = F.size(F.array_except(extra, words((*ANATOMICAL_WORDS, *ADMIN_WORDS, *TECHNIQUE_WORDS, *STOP_WORDS))))
+        return count(ANATOMICAL_WORDS) * w["anatomical"] + count(TECHNIQUE_WORDS) * w["technique"] + count(ADMIN_WORDS) * w["administrative"] + rest * w["other"]
+
+    return F.element_at(F.transform(F.array(F.array_except(tokens(cat), tokens(text))), scored), 1)
+
+
+def exact_bonus(text: Column, cat: Column, rules: dict = RULES) -> Column:
+    return F.when(F.lower(F.trim(text)) == F.lower(cat), rules["exact"]).otherwise(0.0)
+
+
+def vessel_preference(text: Column, fsn: Column, rules: dict = RULES) -> Column:
+    low, other = F.lower(text), F.lower(fsn)
+    generic = has_any(low, ANGIO) & ~has_any(low, VENOUS)
+    return F.when(~generic, 0.0).when(has_any(other, VENOUS), rules["vessel"][1]).when(has_any(other, ARTERIAL), rules["vessel"][0]).otherwise(0.0)
+
+
+def level_score(text: Column, fsn: Column, levels: dict = LEVELS, rules: dict = RULES) -> Column:
+    out = F.lit(0.0)
+    for specific, generic in levels.values():
+        level = lambda c: F.when(has_any(F.lower(c), specific), "specific").when(has_any(F.lower(c), generic), "generic")  # noqa: B023, E731
+        a, b = level(text), level(fsn)
+        out = out + F.coalesce(F.when(a == b, rules["level"][0]).when((a == "specific") & (b == "generic"), rules["level"][1]), F.lit(0.0))
+    return out
+
+
+def scored(cands: DataFrame, dictionary: dict[str, str], profile: str = "engine", rules: dict = RULES) -> DataFrame:
+    """`cands` with every part of the score, and `component`."""
+    c = F.col
+    base = cands.select(
+        "*",
+        anatomy_score(c("in_anatomy"), c("cat_anatomy"), rules=rules).alias("s_anatomy"), modality_score(c("in_modality"), c("cat_modality")).alias("s_modality"),
+        laterality_score(c("in_laterality"), c("cat_laterality")).alias("s_laterality"), contrast_score(c("in_contrast"), c("cat_contrast"), rules).alias("s_contrast"),
+        jaccard(c("in_technique"), c("cat_technique")).alias("s_technique"),
+        diagnostic_penalty(c("in_text"), c("cat_text"), rules).alias("p_diagnostic"), hybrid_penalty(c("in_text"), c("cat_text"), rules=rules).alias("p_hybrid"), technique_penalty(c("in_text"), c("cat_text")).alias("p_technique"),
+        interventional_score(c("in_technique"), c("cat_technique"), rules).alias("b_interventional"), demographic_bonus(c("in_gender"), c("in_age"), c("cat_text"), rules).alias("b_demographic"),
+        context_bonus(c("in_text"), c("cat_text"), rules=rules).alias("b_context"), synonym_bonus(c("in_text"), c("cat_text"), dictionary, rules).alias("b_synonym"),
+        biopsy_preference(c("in_text"), c("cat_modality")).alias("b_biopsy"), generic_anatomy(c("in_anatomy"), c("cat_anatomy"), rules).alias("b_generic"),
+        specificity_score(c("in_text"), c("cat_text"), rules).alias("b_specificity"), exact_bonus(c("in_text"), c("cat_text"), rules).alias("b_exact"),
+        vessel_preference(c("in_text"), c("cat_fsn"), rules).alias("b_vessel"), level_score(c("in_text"), c("cat_fsn"), rules=rules).alias("b_level"),
+    )
+    s = {n: c(f"s_{n}") for n in ("anatomy", "modality", "laterality", "contrast", "technique")}
+    bonus = c("b_interventional") + c("b_specificity") + c("b_demographic") + c("b_context") + c("b_synonym") + c("b_biopsy") + c("b_generic") + c("b_exact")
+    if profile == "consolidated":
+        bonus = c("b_interventional") + c("b_specificity") + c("b_context") + c("b_exact") + c("b_vessel") + c("b_level")
+    blocked = (c("p_diagnostic") < -1) | (c("p_hybrid") < -1) | (c("p_technique") < -1) | (c("s_anatomy") < -1)
+    base = base.withColumn("violation", threshold_violation(s, rules))
+    return base.withColumn("component", F.when(blocked | c("violation").isNotNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(s, rules) + bonus))))
+
+
+def final_score(cands: DataFrame, model: Column, rules: dict = RULES) -> DataFrame:
+    """Contrast veto, model weights, position bonus: `final` from `component` and `rerank`."""
+    weights = F.create_map(*[x for name, (a, b) in rules["final"].items() for x in (F.lit(name), F.struct(F.lit(a).alias("c"), F.lit(b).alias("r")))])
+    w = F.coalesce(weights[model], weights[F.lit("default")])
+    veto = (F.size("in_contrast") > 0) & (F.size("cat_contrast") > 0) & ~F.arrays_overlap("in_contrast", "cat_contrast") & (F.col("component") == 0)
+    top, step = rules["position"]
+    several = F.count(F.lit(1)).over(Window.partitionBy("row_id")) > 1
+    position = F.when(F.col("in_simple") & several, F.greatest(F.lit(0.0), top - step * F.col("cand_pos"))).otherwise(0.0)
+    return cands.withColumn("final", F.when(veto, 0.0).otherwise(w["r"] * F.col("rerank") + w["c"] * F.col("component") + position))
+
+
+def final_consolidated(component: Column, rerank: Column, fit: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), component + rerank * fit))
+
+
+def rerank_guard(cands: DataFrame) -> DataFrame:
+    """Missing scores are a neutral 0.5; `invalid` where all scores of a row are 0."""
+    filled = cands.withColumn("rerank", F.coalesce("rerank", F.lit(0.5)))
+    return filled.withColumn("invalid", F.max("rerank").over(Window.partitionBy("row_id")) == 0)
+
+
+def pick_best(cands: DataFrame, score: str = "final") -> DataFrame:
+    """The highest score of each row; of ties the earliest candidate."""
+    w = Window.partitionBy("row_id").orderBy(F.col(score).desc(), "cand_pos")
+    return cands.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def candidate_list(cands: DataFrame, score: str = "final") -> DataFrame:
+    """All candidates of a row, best first, with scores rounded for display."""
+    item = F.struct((-F.col(score)).alias("o"), F.col("cand_pos").alias("p"), F.col("entry_id").alias("e"), F.round(score, 2).alias("s"))
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["e"].alias("entry_id"), x["s"].alias("score")))
+    return cands.groupBy("row_id").agg(listed.alias("candidates"))
+
+
+def modality_filter(cands: DataFrame) -> DataFrame:
+    """Candidates without a modality, or with the input's first."""
+    first = F.upper(F.get("in_modality", F.lit(0)))
+    return cands.filter(first.isNull() | (F.size("cat_modality") == 0) | F.exists("cat_modality", lambda m: F.upper(m) == first))
+
+
+def complexity_reorder(cands: DataFrame, similar: Column) -> DataFrame:
+    """For simple inputs: close names, then simple ones, then complex ones; stable."""
+    bucket = F.when(~F.col("in_simple"), 0).when(similar > 0.7, 0).when(~F.col("cat_complex"), 1).otherwise(2)
+    w = Window.partitionBy("row_id").orderBy("_b", "cand_pos")
+    return cands.withColumn("_b", bucket).withColumn("new_pos", F.row_number().over(w) - 1).drop("_b")
+
+
+def laterality_ambiguous(entry_side: Column, parsed_side: Column, input_side: Column) -> Column:
+    return (F.coalesce(entry_side, parsed_side).isin("left", "right") & input_side.isNull()) | (input_side == "bilateral") & F.coalesce(entry_side, parsed_side).isin("left", "right")
+
+
+def signature(*sets: Column) -> Column:
+    """A canonical text of component sets, for equi-joins between peers."""
+    return F.concat_ws("|", *[F.array_join(F.array_sort(s), ",") for s in sets])
+
+
+def peers(best: DataFrame, others: DataFrame, same_concept: bool) -> DataFrame:
+    """For one-sided matches: the first bilateral or unsided entry with equal components (and concept)."""
+    o = others.filter(F.col("laterality").isNull() | (F.col("laterality") == "bilateral")).select(F.col("entry_id").alias("peer_id"), F.col("concept_id").alias("_c"), F.col("sig").alias("_s"))
+    on = (F.col("sig") == F.col("_s")) & ((F.col("concept_id") == F.col("_c")) if same_concept else F.lit(True))
+    found = best.filter(F.col("laterality").isin("left", "right")).join(o, on)
+    return found.groupBy("entry_id").agg(F.min("peer_id").alias("peer_id"))
+
+
+def biopsy_ambiguous(text: Column, in_modality: Column, cat_modality: Column) -> Column:
+    return (F.lower(text).contains("biopsy") | F.lower(text).contains("bx")) & (F.size(in_modality) == 0) & (F.size(cat_modality) > 0)
+
+
+def safeguard(df: DataFrame, similarity: Column, limit: float = 0.3, cap: float = 0.2) -> DataFrame:
+    """A result unlike its input is ambiguous, with a capped confidence and an audit trail."""
+    low = similarity < limit
+    return (
+        df.withColumn("audit", F.when(low, F.struct(similarity.alias("similarity"), F.col("confidence").alias("was"))))
+        .withColumn("ambiguous", F.col("ambiguous") | low)
+        .withColumn("confidence", F.when(low, F.least("confidence", F.lit(cap))).otherwise(F.col("confidence")))
+    )
+
+
+def consensus(responses: DataFrame) -> DataFrame:
+    """Vote of models per row: most votes, then highest mean confidence, then the smallest choice."""
+    valid = responses.filter(F.col("choice").isNotNull())
+    per = valid.groupBy("row_id", "choice").agg(F.count(F.lit(1)).alias("votes"), F.avg("confidence").alias("mean"))
+    total = F.sum("votes").over(Window.partitionBy("row_id"))
+    w = Window.partitionBy("row_id").orderBy(F.desc("votes"), F.desc("mean"), "choice")
+    ranked = per.withColumn("valid", total).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    return ranked.select("row_id", "choice", F.col("mean").alias("confidence"), (F.col("votes") / F.col("valid")).alias("agreement"), "votes", "valid")
+
+
+def improved(consensus_confidence: Column, original: Column) -> Column:
+    return consensus_confidence > original

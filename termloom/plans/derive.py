@@ -55,3 +55,11 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, CATALOGUE, "part")
+
+ENTRIES = f"""SELECT 1000000 + floor(s_suppkey / 2) AS concept_id, s_suppkey AS entry_id, trim({named('s_suppkey * 7', 2)}) AS primary_name,
+    concat(trim({named('s_suppkey * 7', 2)}), ' (procedure)') AS fsn FROM supplier"""
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small catalogue: it grows with `supplier`, far slower than the feed."""
+    return run(spark, sf_dir, ENTRIES, "supplier")
