@@ -18,3 +18,22 @@ def complexity_profile(scores: DataFrame, key: str = "entry_id", score: str = "t
     listed = first.groupBy("bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("examples"))
     total = F.sum("n").over(Window.partitionBy())
     return stats.withColumn("share", F.round(F.col("n") / total, 6)).join(listed, "bucket")
+
+
+def review_groups(state: DataFrame, name: str) -> DataFrame:
+    """Mappings by name: members, flag union, mean confidence, sources, decisions. Flags and sources are reduced before they are listed."""
+    total = state.groupBy(name).agg(F.count(F.lit(1)).alias("members"), F.round(F.avg("confidence"), 6).alias("mean"), F.count_if(F.size("flags") > 0).alias("flagged"), F.count_if(F.col("status") == "approved").alias("approved"))
+    listed = lambda values, out: state.select(F.col(name).alias("_n"), values.alias("v")).distinct().groupBy("_n").agg(F.array_join(F.array_sort(F.collect_set("v")), ",").alias(out))
+    flags, sources = listed(F.explode_outer("flags"), "flags"), listed(F.col("source"), "sources").withColumnRenamed("_n", "_m")
+    joined = total.join(flags, total[name] == flags["_n"]).join(sources, total[name] == sources["_m"]).drop("_n", "_m")
+    return joined.withColumnRenamed(name, "group_name")
+
+
+def ranked(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows by `order`, numbered; a top-n."""
+    return df.orderBy(*order).limit(n).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
+def filter_groups(groups: DataFrame, source: str, text: str) -> DataFrame:
+    """Flagged groups with an approval from a source, groups of one, or a name that holds the text."""
+    return groups.filter(((F.col("flagged") > 0) & (F.col("approved") > 0) & F.col("sources").contains(source)) | (F.col("members") == 1) | F.col("group_name").cast("string").contains(text))

@@ -63,3 +63,13 @@ ENTRIES = f"""SELECT 1000000 + floor(s_suppkey / 2) AS concept_id, s_suppkey AS
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small catalogue: it grows with `supplier`, far slower than the feed."""
     return run(spark, sf_dir, ENTRIES, "supplier")
+
+
+_B = "floor(p_partkey / 3)"
+#: Three rows of each concept that differ in their side alone.
+SIDED = f"""SELECT 5000 + CAST({_B} AS BIGINT) AS concept_id, p_partkey AS entry_id,
+    concat({pick(MODALITY, _B)}, ' ', {pick(ANATOMY, _B)}, ' ', {pick(("left", "", "bilateral"), 'p_partkey')}) AS primary_name FROM part"""
+
+
+def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, SIDED, "part")

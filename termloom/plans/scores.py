@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import retrieval as rt
 from ..operators import scoring as sc
 from . import derive
-from .names import CAT, PARSED, anatomy_sql, contrast_sql, has, lit, modality_sql, qualifier_sql, side_sql, structural_sql, technique_sql, terminology_sql
+from .names import PARSED, anatomy_sql, contrast_sql, has, lit, modality_sql, qualifier_sql, side_sql, structural_sql, technique_sql, terminology_sql
 from .registry import query
 
 C = F.col
@@ -157,13 +157,13 @@ def g29(spark, sf):
 
 
 _SIG = "concat_ws('|', array_to_string(list_sort(modality), ','), array_to_string(list_sort(anatomy), ','), array_to_string(list_sort(contrast), ','), array_to_string(list_sort(technique), ','))"
-_PE = f"""e AS (SELECT concept_id, entry_id, {modality_sql('primary_name', "'OTHER'")} AS modality, {anatomy_sql('primary_name')} AS anatomy, {side_sql('primary_name')} AS laterality, {contrast_sql('primary_name')} AS contrast, {technique_sql('primary_name')} AS technique FROM ({CAT})),
+_PE = f"""e AS (SELECT concept_id, entry_id, {modality_sql('primary_name', "'OTHER'")} AS modality, {anatomy_sql('primary_name')} AS anatomy, {side_sql('primary_name')} AS laterality, {contrast_sql('primary_name')} AS contrast, {technique_sql('primary_name')} AS technique FROM ({derive.duck(derive.SIDED)})),
     s AS (SELECT *, {_SIG} AS sig FROM e)"""
 
 
 def peer_entries(spark, sf):
-    e = derive.catalogue(spark, sf).select("concept_id", "entry_id", cp.components(C("primary_name"), F.lit("OTHER")).alias("c")).select("concept_id", "entry_id", "c.*")
-    return e.withColumn("sig", sc.signature(C("modality"), C("anatomy"), C("contrast"), C("technique")))
+    both = tx.let(cp.components(C("primary_name"), F.lit("OTHER")), lambda c: F.struct(c["laterality"].alias("laterality"), sc.signature(c["modality"], c["anatomy"], c["contrast"], c["technique"]).alias("sig")))
+    return derive.sided(spark, sf).select("concept_id", "entry_id", both.alias("c")).select("concept_id", "entry_id", "c.laterality", "c.sig")
 
 
 @query("g30_peer_same_concept", f"WITH {_PE} SELECT a.entry_id, min(b.entry_id) AS peer_id FROM s a JOIN s b ON a.sig = b.sig AND a.concept_id = b.concept_id WHERE a.laterality IN ('left', 'right') AND (b.laterality IS NULL OR b.laterality = 'bilateral') GROUP BY 1")
