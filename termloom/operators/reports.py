@@ -37,3 +37,93 @@ def ranked(df: DataFrame, n: int, *order: Column) -> DataFrame:
 def filter_groups(groups: DataFrame, source: str, text: str) -> DataFrame:
     """Flagged groups with an approval from a source, groups of one, or a name that holds the text."""
     return groups.filter(((F.col("flagged") > 0) & (F.col("approved") > 0) & F.col("sources").contains(source)) | (F.col("members") == 1) | F.col("group_name").cast("string").contains(text))
+
+
+def analytics_summary(df: DataFrame) -> DataFrame:
+    """Totals and distinct clean names (ERROR left out), their ratio, mean confidence in percent."""
+    names = F.countDistinct(F.when(~F.col("clean_name").startswith("ERROR"), F.col("clean_name")))
+    return df.agg(F.count(F.lit(1)).alias("total"), names.alias("names"), F.round(F.avg("confidence") * 100, 4).alias("confidence")).withColumn("ratio", F.round(F.col("total") / F.col("names"), 6))
+
+
+def page(df: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
+    """A page of at most 500 rows with the total, page number and number of pages."""
+    limit = max(1, min(limit, 500))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    rows = df.orderBy(*order).offset(offset).limit(limit)
+    return rows.crossJoin(F.broadcast(total)).withColumn("page", F.lit(offset // limit + 1)).withColumn("pages", F.ceil(F.col("total") / limit))
+
+
+def batch_stats(df: DataFrame) -> DataFrame:
+    s = F.col("status")
+    return df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(s == v).alias(n) for v, n in (("F", "ok"), ("O", "errors"), ("P", "hits"))]).withColumn("hit_rate", F.round(F.col("hits") / F.col("total"), 6))
+
+
+def improvement_report(df: DataFrame) -> DataFrame:
+    """Rate of improvement, means before and after, agreement of two thirds or more."""
+    return df.agg(
+        F.round(F.avg((F.col("after") > F.col("before")).cast("int")), 6).alias("improved"), F.round(F.avg("before"), 6).alias("before"), F.round(F.avg("after"), 6).alias("after"),
+        F.round(F.avg(F.col("after") - F.col("before")), 6).alias("delta"), F.round(F.avg((F.col("agreement") >= 0.67).cast("int")), 6).alias("agreed"),
+    )
+
+
+def inconsistent_ids(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Ids with more than one name; names are made distinct before they are listed."""
+    return df.select(key, name).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(name)), "|").alias("names")).filter("n > 1")
+
+
+def multi_variant_ids(df: DataFrame, key: str, side: str) -> DataFrame:
+    counts = df.groupBy(key, side).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(key).agg(F.sum("_n").alias("variants"), F.array_join(F.array_sort(F.collect_list(F.coalesce(side, F.lit("-")))), ",").alias("sides")).filter("variants > 1")
+
+
+def recent(df: DataFrame, hours: int, ts: str = "ts") -> DataFrame:
+    """Rows of the last hours before the newest row."""
+    newest = df.agg(F.max(ts).alias("_newest"))
+    return df.crossJoin(F.broadcast(newest)).filter(F.col(ts) > F.col("_newest") - F.expr(f"INTERVAL {hours} HOURS")).drop("_newest")
+
+
+def access_stats(df: DataFrame, days: int) -> DataFrame:
+    """Use of each entry, and whether its last use is older than the retention."""
+    use = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"), F.max("ts").alias("last"))
+    newest = df.agg(F.max("ts").alias("_newest"))
+    return use.crossJoin(F.broadcast(newest)).withColumn("stale", (F.col("last") < F.col("_newest") - F.expr(f"INTERVAL {days} DAYS")).cast("int")).drop("_newest", "last")
+
+
+def fill_rates(staff: DataFrame) -> DataFrame:
+    rate = F.round(100 * (F.col("fte") - F.col("vacant")) / F.col("fte"), 4)
+    return staff.filter("fte > 0").withColumn("rate", rate).withColumn("band", F.when(rate >= 80, "good").when(rate >= 60, "fair").otherwise("poor"))
+
+
+def complete_categories(sites: DataFrame, categories: DataFrame, staff: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Every site with every category, 0 where nothing is known. The categories are a fixed short list."""
+    return sites.crossJoin(F.broadcast(categories)).join(staff, keys, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+
+
+def rate_impact(df: DataFrame, ids: list[str], regions: list[str], national: str) -> DataFrame:
+    """Long regional rates with the difference to the national rate and its band."""
+    long = df.unpivot([*ids, national], regions, "region", "rate")
+    diff = F.round(F.col(national) - F.col("rate"), 2)
+    band = F.when(diff.isNull(), "unknown").when(diff > 50, "large gain").when(diff > 0, "gain").when(diff == 0, "same").when(diff >= -50, "loss").otherwise("large loss")
+    return long.withColumn("difference", diff).withColumn("impact", band)
+
+
+def changelog(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Added, removed and modified rows of two snapshots."""
+    o = old.select(*keys, F.struct(*values).alias("_old"))
+    n = new.select(*keys, F.struct(*values).alias("_new"))
+    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "modified")
+    return o.join(n, keys, "full_outer").select(*keys, kind.alias("change")).filter("change is not null")
+
+
+def reshape_scenarios(df: DataFrame, ids: list[str], archetypes: DataFrame) -> DataFrame:
+    """Yearly measures in long form, `<measure>_y<k>`, joined to their sites."""
+    wide = [c for c in df.columns if "_y" in c and c.rsplit("_y", 1)[1].isdigit()]
+    long = df.unpivot(ids, wide, "_c", "value")
+    long = long.withColumn("measure", F.regexp_replace("_c", r"_y\d+$", "")).withColumn("year", F.regexp_extract("_c", r"_y(\d+)$", 1).cast("int"))
+    return long.drop("_c").join(archetypes, "archetype", "left")
+
+
+def flatten_results(df: DataFrame) -> DataFrame:
+    """One mapping row per nested result; the input's fields come first, failures are named as such."""
+    name = F.when(F.col("status") != "ok", F.concat(F.lit("ERROR: "), F.coalesce("error", F.lit("unknown")))).otherwise(F.col("output.clean_name"))
+    return df.select("row_id", F.coalesce("input.source", "output.source", F.lit("")).alias("source"), F.coalesce(name, F.lit("")).alias("clean_name"), F.coalesce("output.confidence", F.lit(0.0)).alias("confidence"))
