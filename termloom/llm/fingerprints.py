@@ -78,29 +78,29 @@ def with_next(docs: DataFrame, folder: str) -> DataFrame:
     """
     spark = docs.sparkSession
     ranges = min(MAX_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    bounds = rows.select("doc_id").stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))  # a null id comes last
+    rows = docs.select("doc_id", text_or_empty().alias("text"), place.alias("place"))
+    bounds = rows.select("place").stat.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     bounds = sorted({int(b) for b in bounds})
     # each bound starts a new range; ranges are numbered from the highest id down
-    nth = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b > F.coalesce(F.col("doc_id"), F.lit(-(2**63))))).cast("int")
+    nth = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b > F.col("place"))).cast("int")
     rows = rows.withColumn("range", nth)
-    firsts = rows.groupBy("range").agg(F.max("doc_id").alias("first")).orderBy("range").collect()  # at most MAX_BUCKETS rows
+    firsts = rows.groupBy("range").agg(F.max("place").alias("first")).orderBy("range").collect()  # at most MAX_BUCKETS rows
     if not firsts:
         return rows.select("doc_id", "text", F.lit("").alias("next_text"), "range").limit(0)
     own = [x["range"] for x in firsts]
     also = {x["first"]: own[i - 1] for i, x in enumerate(firsts)}  # the first row of a range is a guest in the one before
     top, last = firsts[0]["first"], own[-1]
-    guests = F.lit(None).cast("int")
     keys = F.array(*[F.lit(k) for k in also]).cast("array<long>")
     homes = F.array(*[F.lit(v) for v in also.values()]).cast("array<int>")
-    place = F.array_position(keys, F.col("doc_id")).cast("int")
-    guests = F.when(place > 0, F.element_at(homes, F.greatest(place, F.lit(1))))
-    turn = F.coalesce((F.col("doc_id") == F.lit(top)), F.lit(False))
+    at = F.array_position(keys, F.col("place")).cast("int")
+    guests = F.when(at > 0, F.element_at(homes, F.greatest(at, F.lit(1))))
+    turn = F.col("place") == F.lit(top)
     here = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
     there = F.struct(guests.alias("range"), F.when(turn & (guests == last), 2).otherwise(1).alias("guest"))
     copies = F.explode(F.when(guests.isNull(), F.array(here)).otherwise(F.array(here, there)))
-    spread = rows.select("doc_id", "text", copies.alias("at")).select("doc_id", "text", "at.range", "at.guest").repartition(max(len(own), 1), "range")
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    spread = rows.select("doc_id", "text", "place", copies.alias("at")).select("doc_id", "text", "place", "at.range", "at.guest").repartition(max(len(own), 1), "range")
+    order = Window.partitionBy("range").orderBy("guest", F.col("place").desc(), "text")
     found = spread.withColumn("next_text", F.lead("text").over(order)).filter(F.col("guest") == 0)
     return found.select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), "range")
 

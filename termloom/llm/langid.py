@@ -176,5 +176,7 @@ def identify(docs: DataFrame, dim: int = DIM, max_train: int = 20_000) -> DataFr
 def accepted(docs: DataFrame, min_score: float = 0.05, **options) -> DataFrame:
     """The documents with a recognised language; all their columns stay as they are."""
     names, matrix = prototypes(docs.filter(~held_out()), **options)
-    found = predict(docs, names, matrix)
-    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*docs.columns)
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    found = predict(docs.withColumnsRenamed(aside), names, matrix)
+    kept = found.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shared_folder, text_or_empty
 
+#: Columns of the result; columns of these names in the documents give way in `mix`.
+OWN = ("size", "source_size", "target", "taken", "epochs", "rest", "cut_key", "left", "tied", "_source", "_key", "_words")
 RANGE_DIGITS = 3  # 4,096 ranges of the key for each source
 
 
@@ -94,6 +96,7 @@ def is_small(df: DataFrame, rows: int = 50_000) -> bool:
 
 def mix(docs: DataFrame, seed: int = 1, weights=(1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """The documents with size, source_size, target and taken (words, repeats counted)."""
+    docs = docs.drop(*OWN)
     at = cuts(docs, seed, weights, max_epochs).withColumnRenamed("source", "_source")
     sized = docs.withColumn("size", size_of(text_or_empty())).withColumn("_key", key_of(seed))
     at = F.broadcast(at) if is_small(at) else at
@@ -109,8 +112,9 @@ def mix(docs: DataFrame, seed: int = 1, weights=(1, 2, 3), max_epochs: int = 3)
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each whole copy, and one cut after its last taken word."""
-    names = docs.columns
-    m = mix(docs, **options)
+    aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in OWN}
+    names = [aside.get(c, c) for c in docs.columns]
+    m = mix(docs.withColumnsRenamed(aside), **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rest = F.col("taken") - copies * F.col("size")
     parts = F.concat(F.array_repeat(F.lit(None).cast("long"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
@@ -120,4 +124,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     m = m.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in names:
         m = m.withColumn("n_chars", F.length("text").cast("long"))
-    return m.select(*names)
+    return m.select(*names).withColumnsRenamed({v: k for k, v in aside.items()})

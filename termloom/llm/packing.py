@@ -112,7 +112,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     rows.append((doc, a, b - a, zlib.crc32(memoryview(buffer)[4 * a : 4 * b]), total))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    # ids travel as text: a null id would turn a batch of numbers into floats
+    found = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, PIECES.replace("doc_id long", "doc_id string"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def knapsack(prices: np.ndarray, units: int) -> tuple[float, np.ndarray]:
