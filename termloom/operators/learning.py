@@ -88,7 +88,7 @@ def grid_search(cands: DataFrame, params: DataFrame, parts: list[str], truth: Co
     """Accuracy of every configuration over every row, in one plan: the grid is a few rows and is broadcast."""
     score = reduce(lambda a, b: a + b, [F.col(f"w_{p}") * F.col(p) for p in parts])
     every = cands.crossJoin(F.broadcast(params)).withColumn("score", score)
-    best = every.groupBy("config_id", "row_id").agg(F.max_by(truth.cast("double"), F.struct(F.round("score", 9), -F.col("cand_pos"))).alias("hit"))
+    best = every.groupBy("config_id", "row_id").agg(F.max_by(truth.cast("double"), F.struct(F.round("score", 9), -F.col("cand_pos"), truth.cast("int"))).alias("hit"))
     return best.groupBy("config_id").agg(F.round(F.avg("hit"), 6).alias("accuracy"), F.count(F.lit(1)).alias("rows"))
 
 

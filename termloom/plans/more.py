@@ -415,7 +415,7 @@ def h37(spark, sf):
 _GC = "SELECT l_orderkey AS row_id, l_linenumber * 1000000 + l_partkey AS cand_pos, l_quantity / 50 AS x, l_extendedprice / 100000 AS y, l_discount * 10 AS z, l_returnflag FROM lineitem"
 
 
-@query("h39_h41_grid_search", f"{_GRID}, cd AS ({_GC}), s AS (SELECT config_id, row_id, l_returnflag, round(a * x + b * y + c * z, 9) AS sc, cand_pos FROM cd, k), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY config_id, row_id ORDER BY sc DESC, cand_pos) = 1) SELECT config_id, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS rows FROM best GROUP BY 1")
+@query("h39_h41_grid_search", f"{_GRID}, cd AS ({_GC}), s AS (SELECT config_id, row_id, l_returnflag, round(a * x + b * y + c * z, 9) AS sc, cand_pos FROM cd, k), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY config_id, row_id ORDER BY sc DESC, cand_pos, l_returnflag = 'R' DESC) = 1) SELECT config_id, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS rows FROM best GROUP BY 1")
 def h39(spark, sf):
     g = ln.param_grid(grid_frames(spark, sf), ["a", "b", "c"], 0.4, 50).select(C("config_id").cast("long").alias("config_id"), C("a").alias("w_x"), C("b").alias("w_y"), C("c").alias("w_z"))
     return ln.grid_search(derive.run(spark, sf, _GC, "lineitem"), g, ["x", "y", "z"], C("l_returnflag") == "R")
