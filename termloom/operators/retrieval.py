@@ -41,7 +41,7 @@ def ensemble_vectors(df: DataFrame, first: str, second: str, out: str = "vector"
     return both.withColumn(out, normalised(F.concat(first, second)))
 
 
-def topk_vector_join(queries: DataFrame, catalogue: DataFrame, k: int = 15, blocks: int = 16) -> DataFrame:
+def topk_vector_join(queries: DataFrame, catalogue: DataFrame, k: int = 15, blocks: int = 16, max_broadcast: int | None = None) -> DataFrame:
     """Exact top k by inner product: query_id, item_id, score, rank. Both sides have (id, vector).
 
     A catalogue of up to MAX_BROADCAST_VECTORS counted rows travels as one
@@ -51,7 +51,8 @@ def topk_vector_join(queries: DataFrame, catalogue: DataFrame, k: int = 15, bloc
     """
     q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
     ties = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    if catalogue.limit(MAX_BROADCAST_VECTORS + 1).count() <= MAX_BROADCAST_VECTORS:
+    bound = MAX_BROADCAST_VECTORS if max_broadcast is None else max_broadcast
+    if catalogue.limit(bound + 1).count() <= bound:
         rows = catalogue.select("id", "vector").orderBy("id").toPandas()
         matrix = np.stack([np.asarray(v, np.float64) for v in rows["vector"]]) if len(rows) else np.zeros((0, 1))
         shared = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), matrix))

@@ -546,11 +546,7 @@ def j6(spark, sf):
 def k4(spark, sf):
     """The same top k by blocks, as for a catalogue too large to broadcast."""
     q, c = sides(spark, sf)
-    bound, rt.MAX_BROADCAST_VECTORS = rt.MAX_BROADCAST_VECTORS, 0
-    try:
-        return rt.topk_vector_join(q, c, 5, blocks=4).withColumn("score", F.round("score", 5))
-    finally:
-        rt.MAX_BROADCAST_VECTORS = bound
+    return rt.topk_vector_join(q, c, 5, blocks=4, max_broadcast=0).withColumn("score", F.round("score", 5))
 
 
 @query("k5_tagger")
