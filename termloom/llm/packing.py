@@ -38,7 +38,8 @@ from .common import materialise, shared_folder
 CAPACITY = 2048
 END = 1
 STEP = 8
-MAX_WORDS = 500_000  # words whose ids a task keeps
+MAX_WORDS = 300_000  # words whose ids a task keeps
+TEXTS_AT_ONCE = 500
 HASH_RANGES = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -87,11 +88,15 @@ class WordIds(dict):
             self[word] = b"".join([self.known[p] for p in parts])
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text, `END` last."""
+        """The ids of each text, `END` last; the words of `TEXTS_AT_ONCE` texts are held at a time."""
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            yield from self.of_some(texts[at : at + TEXTS_AT_ONCE])
+
+    def of_some(self, texts: list[str | None]) -> Iterator[bytes]:
         words = [(text or "").replace("\n", " ").split(" ") for text in texts]
         if len(self) > MAX_WORDS:
             self.clear()
-        if new := {w for w in set().union(*words) if w not in self}:
+        if new := {w for ws in words for w in ws if w not in self}:
             self.learn(new)
         for ws in words:
             yield b"".join(map(self.__getitem__, ws)) + END.to_bytes(4, "little")
