@@ -44,7 +44,7 @@ FIRST_BANDS = 4
 TABLE = 1 << 20
 IDF_SHARE = 0.25
 BLOCK = 512
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 KEY_BITS = np.uint64(44)
 KEY_MASK = np.uint64((1 << 44) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
