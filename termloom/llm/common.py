@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/termloom-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in each Arrow batch: whole texts are long, and a Python worker keeps the memory of its largest batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back."""
     path = f"{folder}/{name}"

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DIM = 1024
 MAX_CACHED = 20_000
 CHUNK = 1 << 20
@@ -46,12 +48,12 @@ class Profiler:
                 self.codes[c] = ord(chr(c).lower()[0])
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.matrix = np.zeros((256, dim), np.float32)
+        self.matrix = np.zeros((256, dim), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
             rng = np.random.Generator(np.random.Philox(key=code))
-            self.letters[code] = (rng.integers(0, 2, self.dim, dtype=np.int8) * 2 - 1).astype(np.float32)
+            self.letters[code] = rng.integers(0, 2, self.dim, dtype=np.int8) * 2 - 1
         return self.letters[code]
 
     def trigram(self, key: int) -> np.ndarray:
@@ -92,7 +94,7 @@ class Profiler:
             row = self.rows.get(key)
             if row is None:
                 if len(self.rows) >= MAX_CACHED:  # beyond the cache: add its vector at once
-                    extra = (0 if extra is None else extra) + numbers[i] * self.trigram(key)
+                    extra = (0 if extra is None else extra) + numbers[i] * self.trigram(key).astype(np.float32)
                     row = -1
                 else:
                     row = self.rows[key] = len(self.rows)
@@ -101,7 +103,7 @@ class Profiler:
                     self.matrix[row] = self.trigram(key)
             rows[i] = row
         known = rows >= 0
-        vector = numbers[known].astype(np.float32) @ self.matrix[rows[known]]
+        vector = numbers[known].astype(np.float32) @ self.matrix[rows[known]].astype(np.float32)
         if extra is not None:
             vector = vector + extra
         return vector / max(float(np.linalg.norm(vector)), 1e-9)
@@ -114,6 +116,7 @@ def held_out() -> Column:
 
 def prototypes(labelled: DataFrame, dim: int = DIM, max_train: int = 20_000) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototypes) of a table with text and lang."""
+    small_batches(labelled.sparkSession)
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     total = labelled.count()
     if total > max_train:

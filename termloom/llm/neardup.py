@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_folder, text_or_empty
+from .common import materialise, shared_folder, small_batches, text_or_empty
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -325,6 +325,7 @@ def few(ids: DataFrame) -> bool:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
     """doc_id, class_id for every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_folder(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("md5", F.md5(F.col("text").cast("binary")))
     table = weight_table(frequencies(texts), texts.count())

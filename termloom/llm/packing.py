@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_folder
+from .common import materialise, shared_folder, small_batches
 
 CAPACITY = 2048
 END = 1
@@ -246,6 +246,7 @@ def row_rank(df: DataFrame, key: str, spread: Column, order: list[Column], folde
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, step: int = STEP, folder: str | None = None) -> DataFrame:
     """Every piece of every document with its sequence_id and offset."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_folder(spark)
     cut = materialise(pieces(docs, tokenizer, capacity), folder, "pieces")
     whole = cut.filter(F.col("length") == capacity)

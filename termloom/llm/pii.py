@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_folder
+from .common import materialise, shared_folder, small_batches
 
 KEY = "termloom"
 MAX_EXCEPTIONS = 200_000
@@ -289,6 +289,7 @@ def attempts(docs: DataFrame, key: str = KEY, folder: str | None = None) -> Data
 
 def replace(docs: DataFrame, key: str = KEY, folder: str | None = None) -> DataFrame:
     """`docs` with surrogates in `text`, and `pii_spans` (where they were, in the text as it was)."""
+    small_batches(docs.sparkSession)
     folder = folder or shared_folder(docs.sparkSession)
     odd = attempts(docs, key, folder).filter("attempt > 0")
     rows = odd.limit(MAX_EXCEPTIONS + 1).collect()
