@@ -13,7 +13,9 @@ script. Reserved domains and address ranges make mail and network surrogates saf
 Collision checks run over the corpus: entities are reduced to one row each, and
 entities whose surrogates coincide, or equal a real entity, are drawn again
 with the next attempt number (the smallest entity of a clash keeps its own),
-until none is left. Only entities with an attempt above 0 are needed when the
+until none is left. Later attempts draw from larger spaces (longer host labels,
+reserved top-level domains, more syllables, made-up names for lone given names, and
+at last more digits), so short formats don't run out. Only entities with an attempt above 0 are needed when the
 texts are rewritten; that table is broadcast while its counted rows are few, and beyond
 the bound entities are joined to their documents by a shuffle.
 
@@ -38,6 +40,7 @@ from .common import materialise, shared_folder, small_batches
 KEY = "termloom"
 MAX_EXCEPTIONS = 200_000
 MAX_ROUNDS = 20
+SAME_LENGTH = 8  # attempts that keep the number of digits of a telephone or social security number
 
 #: Titles by gender, and given names by script and gender.
 TITLES = {
@@ -166,33 +169,43 @@ def luhn(digits: list[int]) -> int:
     return -total % 10
 
 
-def new_person(entity: str, draw: Draw) -> str:
-    """A name of the same gender, script and number of words."""
+def new_person(entity: str, draw: Draw, attempt: int) -> str:
+    """A name of the same gender, script and number of words; each attempt adds a syllable."""
     gender, name = entity.split("|", 1)
     words = name.split(" ")
     script = script_of(words[0])
     first, middle, endings = SYLLABLES[script]
     out = []
     for i, w in enumerate(words):
-        if i < len(words) - 1 or (len(words) == 1 and w in GENDER_OF):
+        if i < len(words) - 1 or (len(words) == 1 and attempt == 0 and w in GENDER_OF):
             pool = GIVEN[script, gender] if gender in "fm" else GIVEN[script, "f"] + GIVEN[script, "m"]
             out.append(pool[draw.below(len(pool))])
         else:
-            out.append(first[draw.below(len(first))] + "".join(middle[draw.below(len(middle))] for _ in range(3)) + endings[gender])
+            out.append(first[draw.below(len(first))] + "".join(middle[draw.below(len(middle))] for _ in range(3 + attempt)) + endings[gender])
     return " ".join(out)
 
 
+def new_domain(domain: str, draw: Draw, attempt: int) -> str:
+    """A reserved domain with as many labels; from the second attempt on, with a label of letters that grows."""
+    labels = domain.split(".")
+    more = "".join(chr(97 + draw.below(26)) for _ in range(3 + attempt)) if attempt else ""
+    if len(labels) > 2:
+        host = ".".join("".join(draw.like(c) for c in x) for x in labels[:-2])
+        return f"{host}{more}." + ("example.org" if domain.endswith("example.com") else "example.com")
+    return f"{more}.example" if more else "example.org" if domain == "example.com" else "example.com"
+
+
 def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
     """The normal form of the surrogate."""
     draw = Draw(key, kind, entity, attempt)
     if kind == "person":
-        return new_person(entity, draw)
+        return new_person(entity, draw, attempt)
     if kind == "email":
         local, _, domain = entity.partition("@")
-        labels = domain.split(".")
-        host = ".".join("".join(draw.like(c) for c in x) for x in labels[:-2]) if len(labels) > 2 else ""
-        return "".join(draw.like(c) for c in local) + "@" + (f"{host}." if host else "") + ("example.org" if domain.endswith("example.com") else "example.com")
+        return "".join(draw.like(c) for c in local) + "@" + new_domain(domain, draw, attempt)
     if kind == "ipv4":
+        if attempt > 1:  # 240.0.0.0/4 is reserved too, and 15 times as large
+            return f"{240 + draw.below(15)}." + ".".join(str(draw.below(256)) for _ in range(3))
         return "10." + ".".join(str(draw.below(256)) for _ in range(3)) if not entity.startswith("10.") else "172." + str(16 + draw.below(16)) + "." + ".".join(str(draw.below(256)) for _ in range(2))
     if kind == "ipv6":
         return "2001:db8:" + ":".join(f"{draw.below(65536):x}" for _ in range(6))
@@ -211,6 +224,8 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
     elif kind == "phone":  # the country stays: its digits come before the last ten
         lead = max(0, len(entity) - 10)
         digits[:lead] = [int(c) for c in entity[:lead]]
+    if kind in ("ssn", "phone"):
+        digits += [draw.below(10) for _ in range(attempt - SAME_LENGTH)]
     return "".join(map(str, digits))
 
 
@@ -218,7 +233,7 @@ def in_format(kind: str, found: str, new: str) -> str:
     """The surrogate spelled as the entity was found: separators and case."""
     if kind in ("card", "ssn", "phone"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in found)
+        return "".join([*(next(digits) if c.isdigit() else c for c in found), *digits])
     if kind == "iban":
         letters = iter(new)
         return "".join(c if c == " " else next(letters) for c in found)
