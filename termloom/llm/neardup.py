@@ -17,18 +17,20 @@
    once. A second round takes the remaining bands, for buckets that still span classes.
 5. Links become classes by alternating large-star and small-star steps.
 
-Each document gets `class_id`, the smallest id of its class.
+Each distinct text has a key of its own (`node`), by which texts are linked, so texts
+without an id are compared like others. Each document gets `class_id`, the smallest id of its class.
 
 Defined results: documents without a word (null and empty texts too) are alike only when equal,
 and null is equal to empty; texts of under five words are one shingle; rows that share
-an id are one document; a null id takes part, but names no class unless alone in it;
+an id are one document; rows with a null id are documents of their own, take part, but name no
+class (`class_id` is null where all ids of a class are), and `keep_one` keeps one row of such a class;
 an empty table gives an empty result; other columns are dropped by `classes`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -322,43 +324,73 @@ def few(ids: DataFrame) -> bool:
     return ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
-    """doc_id, class_id for every row."""
+def id_links(signed: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """a, b: links between the different texts of an id, if there are any."""
+    again = signed.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return None
+    own = signed.select("doc_id", "md5").join(again, "doc_id", "left_semi").join(nodes.select("md5", "node"), "md5").select("doc_id", "node").distinct()
+    return own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").filter("node != b").select(F.col("node").alias("a"), "b")
+
+
+def labelled(docs: DataFrame, threshold: float, folder: str) -> DataFrame:
+    """doc_id, md5 of the text, class_id and keeper (the md5 of one text of the class) for every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    folder = folder or shared_folder(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("md5", F.md5(F.col("text").cast("binary")))
     table = weight_table(frequencies(texts), texts.count())
     signed = materialise(signatures(texts, table), folder, "signatures")
     nodes = signed.groupBy("md5").agg(F.min("doc_id").alias("doc"), F.min("bands").alias("bands"))
-    nodes = materialise(nodes, folder, "nodes")
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
     links, known = [], None
+    if (twins := id_links(signed, nodes)) is not None:
+        links.append(materialise(twins, folder, "links-ids"))
+        known = components(links[0], folder, "stars-ids")
     for turn, (a, b) in enumerate(((0, FIRST_BANDS), (FIRST_BANDS, BANDS))):
-        part = nodes.filter(F.col("doc").isNotNull()).select("doc", F.explode(F.slice("bands", a + 1, b - a)).alias("bucket"))
-        part = part.withColumn("class", F.col("doc")) if known is None else part.join(known, part["doc"] == known["node"], "left").select("doc", "bucket", F.coalesce("class", "doc").alias("class"))
-        buckets = part.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.expr("bit_xor(xxhash64(doc))").alias("who"))
+        part = nodes.select("node", F.explode(F.slice("bands", a + 1, b - a)).alias("bucket"))
+        part = part.withColumn("class", F.col("node")) if known is None else part.join(known.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "bucket", F.coalesce("class", "node").alias("class"))
+        buckets = part.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("who"))
         buckets = buckets.filter("lo < hi").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        members = part.join(buckets.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("doc", "bucket"), F.col("blocks")).cast("int"))
+        members = part.join(buckets.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
         members = materialise(members, folder, f"members-{turn}")
-        need = members.select("doc").distinct()
+        need = nodes.select("node", F.col("md5").alias("_m"), "doc").join(members.select("node").distinct(), "node", "left_semi")
         need = F.broadcast(need) if few(need) else need
-        wanted = texts.select("doc_id", "text").join(need, F.col("doc_id") == F.col("doc"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        own = (F.col("md5") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("doc"))  # of equal texts, those of the least id
+        wanted = texts.join(need, own).groupBy(F.col("node").alias("doc")).agg(F.min("text").alias("text"))
         paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        paired = paired.select("bucket", "doc", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        full = paired.join(wanted, paired["doc"] == wanted["doc_id"])
+        paired = paired.select("bucket", "node", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        full = paired.join(wanted, paired["node"] == wanted["doc"])
         links.append(materialise(bucket_links(full, table, threshold), folder, f"links-{turn}"))
-        every = links[0] if len(links) == 1 else links[0].unionByName(links[1])
-        known = components(every, folder, f"stars-{turn}")
-    named = nodes.join(known, nodes["doc"] == known["node"], "left").select("md5", F.coalesce("class", "doc").alias("class_id"))
-    return signed.select("doc_id", "md5").join(named, "md5").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        known = components(reduce(DataFrame.unionByName, links), folder, f"stars-{turn}")
+    known = known.unionByName(known.select(F.col("class").alias("node"), "class")).distinct()
+    named = known.join(nodes.select("node", "doc", "md5"), "node").groupBy("class").agg(F.min("doc").alias("class_id"), F.min("md5").alias("keeper"))
+    named = materialise(named, folder, "names")
+    named = F.broadcast(named) if few(named) else named
+    named = known.join(named, "class").select("node", "class", "class_id", "keeper")
+    one = F.col("class").isNull()  # a text without links
+    named = nodes.select("node", "md5", "doc").join(named, "node", "left").select("md5", F.when(one, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.when(one, F.col("md5")).otherwise(F.col("keeper")).alias("keeper"))
+    return signed.select("doc_id", "md5").join(named, "md5")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
+    """doc_id, class_id for every row."""
+    return labelled(docs, threshold, folder or shared_folder(docs.sparkSession)).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without all but the smallest id of each class; all columns stay."""
+    """The documents without all but the smallest id of each class, or all but one row of a class without ids; all columns stay."""
     folder = shared_folder(docs.sparkSession)
-    found = materialise(classes(docs, threshold, folder), folder, "classes")
+    found = materialise(labelled(docs, threshold, folder), folder, "classes")
     gone = found.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
     gone = F.broadcast(gone) if few(gone) else gone
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    nameless = found.filter("doc_id is null")
+    repeated = not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if not repeated and nameless.isEmpty():
+        return left
+    with_id = left.filter(F.col("doc_id").isNotNull())
+    with_id = with_id.dropDuplicates(["doc_id"]) if repeated else with_id
+    kept = nameless.filter(F.col("class_id").isNull() & (F.col("md5") == F.col("keeper"))).select(F.col("md5").alias("_kept")).distinct()
+    rest = docs.filter(F.col("doc_id").isNull()).withColumn("_md5", F.md5(text_or_empty().cast("binary")))
+    rest = rest.join(F.broadcast(kept) if few(kept) else kept, F.col("_md5") == F.col("_kept"), "left_semi").dropDuplicates(["_md5"])
+    return with_id.unionByName(rest.select(*docs.columns))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from termloom.llm import pii
+from termloom.llm import neardup, pii
 
 
 def test_short_formats_do_not_run_out(spark):
@@ -28,3 +28,24 @@ def test_later_attempts_have_more_surrogates(kind, entity):
 def test_longer_numbers_keep_every_digit():
     new = pii.surrogate("phone", "12233", pii.KEY, 12)
     assert pii.in_format("phone", "+1 22 33", new) == f"+{new[0]} {new[1:3]} {new[3:]}"
+
+
+def test_documents_without_id_are_kept_apart(spark):
+    def text(seed, edit=None):
+        words = [f"{seed}{i * i % 97}" for i in range(120)]
+        return " ".join(words if edit is None else [*words[:60], edit, *words[61:]])
+
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (None, text("c", "edit")), (None, text("d", "edit")), (7, text("d")), (9, text("e")), (9, text("e")), (None, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(d).collect()]
+    by = {t[0] if t else "": [k for k in kept if (k[1] or "")[:1] == (t[0] if t else "")] for _, t in rows}
+    assert {k: len(v) for k, v in by.items()} == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, "": 1}
+    assert by["d"] == [(7, text("d"))]
+    found = neardup.classes(d).collect()
+    assert len(found) == len(rows) and sorted(r.class_id for r in found if r.class_id is not None) == [7, 7, 9, 9]
+
+
+def test_texts_of_one_id_are_one_class(spark):
+    rows = [(3, "x"), (5, "x"), (5, "quite another text"), (8, "quite another text")]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {3}
