@@ -2,7 +2,8 @@
 
 Every text is scanned as it stands (the base spans). Then encoded stretches
 are decoded layer by layer: percent escapes, Unicode escapes (`\\uXXXX`, `\\xXX`,
-`&#N;`), base64, and gzip or zlib data inside base64. Each new layer goes on a
+`&#N;`), base64 (in one line or wrapped), and gzip or zlib data (all members, and again
+inside each other) inside base64, percent escapes or `\\xXX`. Each new layer goes on a
 worklist, is scanned with the same patterns and searched for further
 encodings, until nothing new appears. A layer equal to one already seen (for
 the same stretch) isn't queued again, so cycles end.
@@ -27,6 +28,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,12 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Compressed bytes, escaped: they start like gzip or zlib data.
+PERCENT_BYTES = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%[0-9A-Fa-f]{2})(?:%[0-9A-Fa-f]{2}|[!-$&-~])*")
+HEX_BYTES = re.compile(r"(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x[0-9A-Fa-f]{2}|\^))(?:\\x[0-9A-Fa-f]{2}|\\[nrt0'\"\\]|[ -\[\]-~])*")
+HEX_BYTE = re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([nrt0'\"\\]))")
 
 Span = tuple[int, int, str]
 
@@ -67,16 +75,34 @@ def readable(raw: bytes) -> str | None:
 
 
 def inflate(raw: bytes, most: int) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b":
-        bits = 31
-    elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        bits = 15
-    else:
-        return None
-    try:
-        return zlib.decompressobj(bits).decompress(raw, most)
-    except zlib.error:
+    """The content of all members, up to `most` bytes; None if there are no compressed data."""
+    out, left = [], most
+    while left > 0:
+        if raw[:2] == b"\x1f\x8b":
+            bits = 31
+        elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
+            bits = 15
+        else:
+            break
+        member = zlib.decompressobj(bits)
+        try:
+            out.append(member.decompress(raw, left))
+        except zlib.error:
+            break
+        left -= len(out[-1])
+        raw = member.unused_data.lstrip(b"\0") if member.eof else b""
+    return b"".join(out) if out else None
+
+
+def unpacked(raw: bytes, most: int) -> str | None:
+    """The text inside compressed layers, however many; None if `raw` isn't compressed."""
+    plain, seen = inflate(raw, most), set()
+    if plain is None:
         return None
+    while (digest := hashlib.sha256(plain).digest()) not in seen and (inner := inflate(plain, most)) is not None:
+        seen.add(digest)
+        plain = inner
+    return plain.decode(errors="replace")  # a cut or binary stretch doesn't hide the rest
 
 
 class Layer:
@@ -114,10 +140,22 @@ def unpercent(layer: Layer) -> Layer | None:
         return None
     parts, starts, ends, at = [], [], [], 0
     for m in PERCENT.finditer(text):
-        new = readable(binascii.unhexlify(m[0].replace("%", "")))
-        if new is None:
-            continue
-        widths = np.array([3 * len(c.encode()) for c in new])
+        raw = binascii.unhexlify(m[0].replace("%", ""))
+        new = readable(raw)
+        if new is not None:
+            widths = np.array([3 * len(c.encode()) for c in new])
+        else:  # bytes that are no text stay escaped
+            chars, sizes, byte = [], [], 0
+            for c in raw.decode(errors="surrogateescape"):
+                n = len(c.encode(errors="surrogateescape"))
+                if 0xDC80 <= ord(c) <= 0xDCFF or not readable(c.encode()):
+                    chars.append(m[0][3 * byte : 3 * byte + 3])
+                    sizes += [1, 1, 1]
+                else:
+                    chars.append(c)
+                    sizes.append(3 * n)
+                byte += n
+            new, widths = "".join(chars), np.array(sizes)
         edges = m.start() + np.concatenate([[0], np.cumsum(widths)])
         parts += [text[at : m.start()], new]
         starts += [layer.start[at : m.start()], layer.start[edges[:-1]]]
@@ -141,34 +179,80 @@ def unescape(layer: Layer) -> Layer | None:
     return rewritten(layer, ESCAPE, decode)
 
 
-def unbase64(layer: Layer, most: int) -> Iterator[Layer]:
-    """A layer for each base64 token that holds text, or compressed text."""
-    for m in BASE64.finditer(layer.text):
-        token = m[0]
-        body = token.rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        if "-" in body or "_" in body:
-            body = body.replace("-", "+").replace("_", "/")
-        try:
-            raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-        except binascii.Error:
+def unbytes(layer: Layer, most: int) -> Iterator[Layer]:
+    """A layer for each stretch of escaped bytes that is compressed."""
+
+    def percent(found: str) -> bytes:
+        return unquote_to_bytes(found)
+
+    def escapes(found: str) -> bytes:
+        named = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"0": b"\0"}
+        return HEX_BYTE.sub(lambda m: binascii.unhexlify(m[1]) if m[1] else named.get(m[2], m[2]), found.encode())
+
+    for sign, pattern, decode in (("%", PERCENT_BYTES, percent), ("\\x", HEX_BYTES, escapes)):
+        if sign not in layer.text:
             continue
-        if (plain := inflate(raw, most)) is not None:
-            if text := readable(plain):
+        for m in pattern.finditer(layer.text):
+            if text := unpacked(decode(m[0]), most):
                 a, b = layer.stretch(m.start(), m.end())
                 yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-            continue
-        if raw.isascii() and (text := readable(raw)):  # a character comes from the 4-letter groups that hold its byte
-            byte = np.arange(len(text))
-        elif text := readable(raw):
-            byte = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])[:-1]])
-        else:
-            continue
-        size = np.diff(np.append(byte, len(raw)))
-        first = m.start() + byte * 8 // 6
-        last = np.minimum(m.start() + ((byte + size) * 8 - 1) // 6, m.end() - 1)
-        yield Layer(text, layer.start[first], layer.end[last])
+
+
+def wrapped(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """(letters, their places, end) of base64 that goes on over line breaks: lines of one width, and a shorter last one."""
+    for m in WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in PIECE.finditer(text, m.start(), m.end())]
+        i = 0
+        while i + 1 < len(lines):
+            width, j = lines[i + 1][1] - lines[i + 1][0], i + 2
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            ends = {j}  # the last line may also be a word that follows
+            if j < len(lines) and lines[j][1] - lines[j][0] < width:
+                ends.add(j + 1)
+            if j - 1 > i + 1:
+                ends.add(j - 1)
+            for k in sorted(ends):
+                places = np.concatenate([np.arange(a, b) for a, b in lines[i:k]])
+                yield "".join(text[a:b] for a, b in lines[i:k]), places, m.end() if k == len(lines) else lines[k - 1][1]
+            i = max(ends)
+
+
+def unbase64(layer: Layer, most: int) -> Iterator[Layer]:
+    """A layer for each base64 token that holds text, or compressed text."""
+    for m in BASE64.finditer(layer.text):
+        if (found := decoded(layer, m[0].rstrip("="), None, m.start(), m.end(), most)) is not None:
+            yield found
+    if "\n" in layer.text:
+        for body, places, end in wrapped(layer.text):
+            if (found := decoded(layer, body, places, int(places[0]), end, most)) is not None:
+                yield found
+
+
+def decoded(layer: Layer, body: str, places: np.ndarray | None, start: int, end: int, most: int) -> Layer | None:
+    """The content of base64 letters, which lie at `places` (from `start` on if None)."""
+    if len(body) % 4 == 1:
+        return None
+    if "-" in body or "_" in body:
+        body = body.replace("-", "+").replace("_", "/")
+    try:
+        raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+    except binascii.Error:
+        return None
+    if (text := unpacked(raw, most)) is not None:
+        a, b = layer.stretch(start, end)
+        return Layer(text, np.full(len(text), a), np.full(len(text), b))
+    if raw.isascii() and (text := readable(raw)):  # a character comes from the 4-letter groups that hold its byte
+        byte = np.arange(len(text))
+    elif text := readable(raw):
+        byte = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])[:-1]])
+    else:
+        return None
+    size = np.diff(np.append(byte, len(raw)))
+    first, last = byte * 8 // 6, np.minimum(((byte + size) * 8 - 1) // 6, len(body) - 1)
+    if places is None:
+        return Layer(text, layer.start[start + first], layer.end[start + last])
+    return Layer(text, layer.start[places[first]], layer.end[places[last]])
 
 
 def decoded_spans(text: str, most: int) -> set[Span]:
@@ -182,7 +266,7 @@ def decoded_spans(text: str, most: int) -> set[Span]:
     while work:
         layer = work.pop()
         whole = [x for x in (unpercent(layer), unescape(layer)) if x is not None]
-        for new in (*whole, *unbase64(layer, most)):
+        for new in (*whole, *unbase64(layer, most), *unbytes(layer, most)):
             if not new.text:
                 continue
             key = (int(new.start[0]), int(new.end[-1]), hashlib.sha256(new.text.encode(errors="surrogatepass")).digest())

@@ -1,8 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
+import base64
+import gzip
+import random
+import zlib
+from urllib.parse import quote
+
 import pytest
 
-from termloom.llm import neardup, pii
+from termloom.llm import neardup, pii, secrets
 
 
 def test_short_formats_do_not_run_out(spark):
@@ -49,3 +55,36 @@ def test_texts_of_one_id_are_one_class(spark):
     rows = [(3, "x"), (5, "x"), (5, "quite another text"), (8, "quite another text")]
     got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {3}
+
+
+SECRET = "first line\n" + "password = Hunter2Hunter2\n" + "x" * 40
+
+
+def spans_of(text):
+    return {kind for _, _, kind in secrets.find(text, 1 << 20)[1]}
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: base64.b64encode(gzip.compress(gzip.compress(zlib.compress(s)))).decode(),
+        lambda s: base64.b64encode(gzip.compress(b"a first member") + gzip.compress(s)).decode(),
+        lambda s: base64.encodebytes(s * 3).decode(),
+        lambda s: "key: " + base64.encodebytes(gzip.compress(s + random.Random(1).randbytes(300).hex().encode())).decode() + "and on",
+        lambda s: base64.b64encode(gzip.compress(s + b"\xff\x00")).decode(),
+        lambda s: "".join(f"%{c:02x}" for c in b"\xff" + s + b"\x01"),
+        lambda s: quote(gzip.compress(s)),
+        lambda s: repr(zlib.compress(s))[2:-1],
+    ],
+)
+def test_secret_layers_to_a_fixpoint(wrap):
+    text = wrap(SECRET.encode())
+    assert "assign" in spans_of(f"see {text}\nend") and not secrets.find(text, 1 << 20)[0]
+
+
+def test_wrapped_base64_keeps_places():
+    secret = "filler " * 7 + "password=Hunter2Hunter2Hunter2"
+    text = "a\n" + base64.encodebytes(secret.encode()).decode() + "b c\n"
+    found = [(a, b) for a, b, kind in secrets.find(text, 1 << 20)[1] if kind == "assign"]
+    start = 2 + len("filler " * 7) * 8 // 6
+    assert any(a == start and "\n" in text[a:b] and b <= len(text) - 4 for a, b in found)
