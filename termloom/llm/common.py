@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/termloom-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in each Arrow batch: whole texts are long, and a Python worker keeps the memory of its largest batch."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows in each Arrow batch of the jobs run inside: whole texts are long, and a Python worker keeps the memory of its largest batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -116,7 +116,6 @@ def held_out() -> Column:
 
 def prototypes(labelled: DataFrame, dim: int = DIM, max_train: int = 20_000) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototypes) of a table with text and lang."""
-    small_batches(labelled.sparkSession)
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     total = labelled.count()
     if total > max_train:
@@ -135,7 +134,8 @@ def prototypes(labelled: DataFrame, dim: int = DIM, max_train: int = 20_000) ->
         )
 
     parts = labelled.select("text", "lang").mapInPandas(sums, "lang string, i int, x long")
-    rows = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.collect_list(F.struct("i", "x")).alias("v")).orderBy("lang").collect()
+    with small_batches(labelled.sparkSession):
+        rows = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.collect_list(F.struct("i", "x")).alias("v")).orderBy("lang").collect()
     names = [r["lang"] for r in rows]
     matrix = np.zeros((len(rows), dim))
     for k, r in enumerate(rows):

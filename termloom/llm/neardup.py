@@ -336,10 +336,10 @@ def id_links(signed: DataFrame, nodes: DataFrame) -> DataFrame | None:
 def labelled(docs: DataFrame, threshold: float, folder: str) -> DataFrame:
     """doc_id, md5 of the text, class_id and keeper (the md5 of one text of the class) for every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("md5", F.md5(F.col("text").cast("binary")))
-    table = weight_table(frequencies(texts), texts.count())
-    signed = materialise(signatures(texts, table), folder, "signatures")
+    with small_batches(spark):
+        table = weight_table(frequencies(texts), texts.count())
+        signed = materialise(signatures(texts, table), folder, "signatures")
     nodes = signed.groupBy("md5").agg(F.min("doc_id").alias("doc"), F.min("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
     links, known = [], None
@@ -360,7 +360,8 @@ def labelled(docs: DataFrame, threshold: float, folder: str) -> DataFrame:
         paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         paired = paired.select("bucket", "node", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         full = paired.join(wanted, paired["node"] == wanted["doc"])
-        links.append(materialise(bucket_links(full, table, threshold), folder, f"links-{turn}"))
+        with small_batches(spark):
+            links.append(materialise(bucket_links(full, table, threshold), folder, f"links-{turn}"))
         known = components(reduce(DataFrame.unionByName, links), folder, f"stars-{turn}")
     known = known.unionByName(known.select(F.col("class").alias("node"), "class")).distinct()
     named = known.join(nodes.select("node", "doc", "md5"), "node").groupBy("class").agg(F.min("doc").alias("class_id"), F.min("md5").alias("keeper"))

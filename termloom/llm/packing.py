@@ -25,11 +25,15 @@ ids are packed each for itself; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,79 +42,118 @@ from .common import materialise, shared_folder, small_batches
 CAPACITY = 2048
 END = 1
 STEP = 8
-MAX_WORDS = 300_000  # words whose ids a task keeps
-TEXTS_AT_ONCE = 500
-HASH_RANGES = 256
+MAX_WORDS = 200_000  # words in a generation of a worker's cache
+LONG_WORD = 64  # longer words aren't kept
+CHUNK = 1 << 20
+BREAK = re.compile(r"[ \n]")
+WORD_END = b"\xff"  # no byte of UTF-8
+ROWS_IN_RANGE = 100_000  # about, of one length class
+MAX_BROADCAST_RANGES = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds(dict):
-    """Ids of the words of texts as little-endian bytes, made on first use.
+    """Ids of pre-tokens as little-endian bytes, made on first use and kept by the Python worker.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids one after the other. Words of a batch that aren't known
-    are cut into the tokenizer's own pre-tokens, and all new ones are encoded in
-    one call, a blank between each.
+    A text is normalised and cut as the tokenizer does it; each pre-token's ids are
+    looked up, or merged by rank where they aren't known. Merging by rank (any two
+    neighbours whose union is a token, the lowest id first) gives the tokenizer's
+    own ids wherever ids grow in the order of the merges and each token is
+    merged into itself. Texts that hold a special token go to the tokenizer.
+
+    Two generations of at most `MAX_WORDS` words each bound the memory: words in
+    use move on when a generation is full, the others are forgotten.
     """
 
-    plain = re.compile(r"[!-~À-ÖØ-öø-ɏ]*")
-    parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+    #: The tokenizer's pattern, for texts below U+0250 and for all others.
+    narrow = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\x20\t-\r\x85\xa0a-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
+    wide = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+    is_wide = re.compile("[^\0-\u024f]")
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode_all(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        edges = np.searchsorted(of, np.arange(len(words) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-    def learn(self, words: set[str]) -> None:
-        """Make the ids of new words known."""
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        cut = {}
-        for word in words:
-            if self.plain.fullmatch(word) and "<|" not in word:
-                cut[word] = self.parts.findall(word.lower())
-            else:
-                self[word] = self.encode(word)
-        new = list({p for parts in cut.values() for p in parts if p not in self.known})
-        for at in range(0, len(new), 10_000):
-            self.known.update(zip(new[at : at + 10_000], self.encode_all(new[at : at + 10_000]), strict=True))
-        for word, parts in cut.items():
-            self[word] = b"".join([self.known[p] for p in parts])
-
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text, `END` last; the words of `TEXTS_AT_ONCE` texts are held at a time."""
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            yield from self.of_some(texts[at : at + TEXTS_AT_ONCE])
-
-    def of_some(self, texts: list[str | None]) -> Iterator[bytes]:
-        words = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        if len(self) > MAX_WORDS:
-            self.clear()
-        if new := {w for ws in words for w in ws if w not in self}:
-            self.learn(new)
-        for ws in words:
-            yield b"".join(map(self.__getitem__, ws)) + END.to_bytes(4, "little")
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.old: dict[str, bytes] = {}
+        self.characters: set[str] = set()
+        self.merge = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=ranks(self.tokenizer.get_vocab(with_added_tokens=False)), special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.merge(word.encode(errors="surrogatepass") + WORD_END)).tobytes()
+        if len(word) <= LONG_WORD:
+            if len(self) >= MAX_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def pre_tokens(self, text: str) -> list[str] | None:
+        """The text cut as the tokenizer does; None if that isn't certain."""
+        low = text.lower()
+        if low.isascii() or not self.is_wide.search(low):
+            return self.narrow.findall(low)
+        if not self.characters.issuperset(here := set(text)):
+            self.characters.update(c for c in here if unicodedata.category(c) != "Cn")
+            if not self.characters.issuperset(here):  # newer than one of the libraries' Unicode tables
+                return None
+        return self.wide.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # σ: the tokenizer lowers letter by letter
+
+    def of(self, text: str | None) -> bytes:
+        """The ids of a text, `END` last."""
+        text = text or ""
+        if len(text) <= CHUNK:
+            return self.encode(text) + END.to_bytes(4, "little")
+        return b"".join([*map(self.encode, chunks(text)), END.to_bytes(4, "little")])
+
+    def encode(self, text: str) -> bytes:
+        words = None if any(x in text for x in self.special) else self.pre_tokens(text)
+        if words is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, words))
+
+
+def ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Token bytes to ids. Tokens are spelled in the printable alphabet of byte-level tokenizers; `</w>` becomes `WORD_END`."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    found = {}
+    for token, i in vocabulary.items():
+        word = token.removesuffix("</w>")
+        found[bytes(byte[c] for c in word) + (WORD_END if word != token else b"")] = i
+    return found | {WORD_END: max(found.values()) + 1}
+
+
+def chunks(text: str) -> Iterator[str]:
+    """A long text in stretches that end before a blank or line break, across which the tokenizer never joins."""
+    at = 0
+    while at < len(text):
+        end = BREAK.search(text, at + CHUNK)
+        end = end.start() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
+@lru_cache(1)
+def word_ids(tokenizer: str) -> WordIds:
+    """One for each Python worker, kept from task to task."""
+    return WordIds(tokenizer)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: full sequences, then the remainder of the document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         for batch in batches:
             rows = []
-            texts = batch["text"].tolist()
-            for doc, buffer in zip(batch["doc_id"].tolist(), ids.of(texts), strict=True):
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+                buffer = ids.of(text)
                 total = len(buffer) // 4
                 for a in range(0, total, capacity):
                     b = min(a + capacity, total)
@@ -231,34 +274,48 @@ def slot_table(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, in
     return rows
 
 
-def row_rank(df: DataFrame, key: str, spread: Column, order: list[Column], folder: str, name: str) -> DataFrame:
-    """`df` with `rank`, 0-based within `key`: hash ranges of `spread` are counted, and give each range its offset."""
-    split = df.withColumn("_range", spread)
-    counts = materialise(split.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n")), folder, name)
+def ranges_of(rows: int) -> int:
+    """Hash ranges for a class of so many rows: small ones at first, then about `ROWS_IN_RANGE` rows each."""
+    return max(1, min(-(-rows // 500), 256), -(-rows // ROWS_IN_RANGE))
+
+
+def row_rank(df: DataFrame, key: str, counts: dict[int, int], spread: Column, order: list[Column], folder: str, name: str) -> DataFrame:
+    """`df` with `rank`, 0-based within `key`: the rows of each hash range of `spread` are counted, and give each range its offset.
+
+    `counts` has the rows of each key; the number of ranges follows them.
+    """
+    ranges = {k: ranges_of(n) for k, n in counts.items() if n} or {0: 1}
+    number = F.create_map(*[F.lit(x) for kv in ranges.items() for x in kv])[F.col(key)]
+    split = df.withColumn("_range", F.pmod(spread, number.cast("long")))
+    found = materialise(split.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n")), folder, name)
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(key, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    offsets = found.select(key, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)) - 1
     ranked = split.withColumn("_within", within)
-    # both tables have at most (classes x ranges) keys: broadcast, 131,072 rows at most
-    return ranked.join(F.broadcast(offsets), [key, "_range"]).withColumn("rank", F.col("_before") + F.col("_within")).drop("_range", "_n", "_before", "_within")
+    offsets = F.broadcast(offsets) if sum(ranges.values()) <= MAX_BROADCAST_RANGES else offsets
+    return ranked.join(offsets, [key, "_range"]).withColumn("rank", F.col("_before") + F.col("_within")).drop("_range", "_n", "_before", "_within")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, step: int = STEP, folder: str | None = None) -> DataFrame:
     """Every piece of every document with its sequence_id and offset."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or shared_folder(spark)
-    cut = materialise(pieces(docs, tokenizer, capacity), folder, "pieces")
+    with small_batches(spark):
+        cut = materialise(pieces(docs, tokenizer, capacity), folder, "pieces")
     whole = cut.filter(F.col("length") == capacity)
     rest = cut.filter(F.col("length") < capacity).withColumn("kind", F.ceil(F.col("length") / step).cast("int"))
     units = capacity // step
-    demand = np.zeros(units, np.int64)
-    for r in rest.groupBy("kind").count().collect():  # at most `units` rows
-        demand[r["kind"] - 1] = r["count"]
+    demand, full = np.zeros(units, np.int64), 0
+    kinds = cut.groupBy(F.when(F.col("length") < capacity, F.ceil(F.col("length") / step).cast("int")).otherwise(0).alias("kind")).count()
+    for r in kinds.collect():  # at most `units` + 1 rows
+        if r["kind"]:
+            demand[r["kind"] - 1] = r["count"]
+        else:
+            full = r["count"]
     slots = slot_table(plan(demand, units))
     ties = [F.col(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-    spread = F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(HASH_RANGES)).cast("int")
-    ranked = row_rank(rest, "kind", spread, [F.xxhash64("doc_id"), *ties], folder, "class_ranges")
+    counts = {k + 1: int(n) for k, n in enumerate(demand)}
+    ranked = row_rank(rest, "kind", counts, F.xxhash64("doc_id", "ids_crc32"), [F.xxhash64("doc_id"), *ties], folder, "class_ranges")
     plans: dict[int, list] = {}
     for kind, *row in slots:
         plans.setdefault(kind, []).append(row)
@@ -277,8 +334,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, step: int =
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
     mixed = placed.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).drop("slot")
     taken = sum(n for _, n in plan_sizes(slots))
-    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(HASH_RANGES)).cast("int")
-    alone = row_rank(whole.withColumn("all", F.lit(0)), "all", spread, ties, folder, "whole_ranges")
+    alone = row_rank(whole.withColumn("all", F.lit(0)), "all", {0: full}, F.xxhash64("doc_id", "start", "ids_crc32"), ties, folder, "whole_ranges")
     alone = alone.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + taken).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return mixed.unionByName(alone)
 

@@ -284,7 +284,8 @@ def attempts(docs: DataFrame, key: str = KEY, folder: str | None = None) -> Data
     def seen(kind: pd.Series, entity: pd.Series) -> pd.Series:
         return pd.Series([shown(k, e) for k, e in zip(kind, entity, strict=True)])
 
-    real = materialise(entities(docs).withColumn("seen", seen("kind", "entity")), folder, "entities")
+    with small_batches(docs.sparkSession):
+        real = materialise(entities(docs).withColumn("seen", seen("kind", "entity")), folder, "entities")
     now = real.select("kind", "entity", F.lit(0).alias("attempt"))
     taken = real.select(F.col("kind").alias("_k"), F.col("seen").alias("_s")).distinct()
     for turn in range(MAX_ROUNDS):
@@ -304,7 +305,6 @@ def attempts(docs: DataFrame, key: str = KEY, folder: str | None = None) -> Data
 
 def replace(docs: DataFrame, key: str = KEY, folder: str | None = None) -> DataFrame:
     """`docs` with surrogates in `text`, and `pii_spans` (where they were, in the text as it was)."""
-    small_batches(docs.sparkSession)
     folder = folder or shared_folder(docs.sparkSession)
     odd = attempts(docs, key, folder).filter("attempt > 0")
     rows = odd.limit(MAX_EXCEPTIONS + 1).collect()

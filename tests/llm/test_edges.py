@@ -64,13 +64,59 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("word", ["Σας", "ΣΑΣ", "<|endoftext|>", "éa", "it's", "İb", "x y", "日本語", "a_'s1２"])
+WORDS = ["Σας", "ΣΑΣ ΟΔΟΣ", "<|endoftext|>", "a<|endoftext|>b", "éa", "it's they'LL '' ''s --'s", "İb", "x\u00a0y", "日本語", "a_'s1２", "a\u0301 \u0301", "\x1c\x1d a\x85b", "ﬁ½²", "x\u200by"]
+
+
+@pytest.mark.parametrize("word", WORDS)
 def test_word_ids_are_the_tokenizers(word):
     ids = packing.WordIds(tokenizer_path())
     text = f"one {word} two\n{word}"
-    expected = [*ids.tokenizer.encode(text, add_special_tokens=False).ids, 1]
-    (found,) = ids.of([text])
-    assert found == b"".join(i.to_bytes(4, "little") for i in expected)
+    assert ids.of(text) == tokenizer_ids(ids.tokenizer, text)
+
+
+def tokenizer_ids(tokenizer, text):
+    return b"".join(i.to_bytes(4, "little") for i in [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1])
+
+
+def test_every_character_has_the_tokenizers_ids():
+    ids = packing.WordIds(tokenizer_path())
+    for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 97)]:
+        text = f"a{chr(c)}b 1{chr(c)}"
+        assert ids.of(text) == tokenizer_ids(ids.tokenizer, text), hex(c)
+
+
+def test_ids_of_a_whole_table(spark, monkeypatch):
+    """Small caches and chunks, so that words are forgotten and long texts are cut."""
+    import os
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    monkeypatch.setattr(packing, "MAX_WORDS", 50)
+    monkeypatch.setattr(packing, "CHUNK", 300)
+    ids = packing.WordIds(tokenizer_path())
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert ids.of(r.text) == tokenizer_ids(ids.tokenizer, r.text)
+    assert len(ids) <= 50 and len(ids.old) <= 50
+
+
+def test_merging_by_rank_is_the_tokenizers_merging():
+    """Ids grow in the order of the merges, and the merges make each token of its own letters: then both merge alike."""
+    import json
+
+    with open(tokenizer_path()) as f:
+        model = json.load(f)["model"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in pairs]
+    assert order == sorted(order)
+    rank = {p: i for i, p in enumerate(pairs)}
+    for token in model["vocab"]:
+        word = token.removesuffix("</w>")
+        parts = [*word[:-1], word[-1] + token[len(word) :]] if word else [token]
+        while len(parts) > 1:
+            i = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+            assert (parts[i], parts[i + 1]) in rank, token
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [token]
 
 
 def test_plan_holds_every_piece():
@@ -138,7 +184,7 @@ def test_fingerprints(docs, none):
 
 
 def test_peeling_retries_larger(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "first_size", lambda n: F.lit(2).cast("long"))
+    monkeypatch.setattr(fingerprints, "BASE", 2)
     a = "\n".join(f"line {i}" for i in range(60))
     b = "\n".join(f"line {i}" for i in range(20, 90))
     d = spark.createDataFrame([(2, a), (1, b)], "doc_id long, text string")
