@@ -2,7 +2,8 @@
 
 Entities: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, MAC
 addresses, payment cards (Luhn-valid, or bare runs of 13 to 19 digits), social
-security numbers, IBANs, and names of persons after a title or a given name.
+security numbers, IBANs, and names of persons after a title, a given name of `GIVEN`
+or an introduction ("my name is").
 
 A surrogate is a function of the key, the type and the entity's normal form (so one
 entity has one surrogate everywhere), and keeps the format: digits, letters,
@@ -10,18 +11,25 @@ case and punctuation stay where they are; a card or IBAN keeps its checksum
 valid; an address keeps its number of labels; a person keeps title, gender and
 script. Reserved domains and address ranges make mail and network surrogates safe.
 
-Collision checks run over the corpus: entities are reduced to one row each, and
+Coreference: a phone number is its last ten digits without leading zeros, so
+spellings with and without the country are one. A person is gender and full name; the
+gender is the title's, under a neutral title or none the given name's. In a document,
+a lone family or given name that fits exactly one full name found there ("Frau
+Keller", or just "Keller", beside "Dr. Anna Keller") is that person, and shows the
+same word of the person's surrogate.
+
+Collision checks run over the corpus: entities are reduced to one row each;
 entities whose surrogates coincide, or equal a real entity, are drawn again
 with the next attempt number (the smallest entity of a clash keeps its own),
-until none is left. Later attempts draw from larger spaces (longer host labels,
-reserved top-level domains, more syllables, made-up names for lone given names, and
+and only those, until none is left. Later attempts draw from larger spaces (longer host labels,
+reserved top-level domains, more syllables, made-up names for lone given names, all of IPv4, and
 at last more digits), so short formats don't run out. Only entities with an attempt above 0 are needed when the
 texts are rewritten; that table is broadcast while its counted rows are few, and beyond
 the bound entities are joined to their documents by a shuffle.
 
 Defined results: a null text stays null; texts without entities stay as they are;
 repeated rows are rewritten alike; an empty table gives an empty result; all
-columns stay, and `n_chars` is counted anew where it exists.
+columns stay (a column `pii_spans` gives way), and `n_chars` is counted anew where it exists.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,23 +47,31 @@ from .common import materialise, shared_folder, small_batches
 
 KEY = "termloom"
 MAX_EXCEPTIONS = 200_000
-MAX_ROUNDS = 20
 SAME_LENGTH = 8  # attempts that keep the number of digits of a telephone or social security number
 
-#: Titles by gender, and given names by script and gender.
+#: Titles by gender, given names by script and gender, and phrases that introduce a name.
 TITLES = {
     "f": ("Mrs.", "Ms.", "Miss", "Mme", "Mlle", "Madame", "Frau", "Sra.", "Señora", "Srta.", "Г-жа", "Κυρία"),
     "m": ("Mr.", "Monsieur", "Herr", "Sr.", "Señor", "Г-н", "Κύριος"),
     "n": ("Dr.", "Prof.", "Dra.", "Доктор"),
 }
 GIVEN = {
-    ("latin", "f"): ("Anna", "Maria", "Elena", "Laura", "Julia", "Sophie", "Clara", "Emma", "Alice", "Sarah", "Linda", "Karen", "Mary", "Patricia", "Jennifer", "Elizabeth", "Susan", "Jessica", "Nancy", "Margaret", "Lucía", "Carmen", "Camille", "Claire", "Heike", "Sabine", "Ingrid"),
-    ("latin", "m"): ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Charles", "Daniel", "Peter", "Paul", "Mark", "George", "Joseph", "Carlos", "José", "Miguel", "Pierre", "Jean", "Louis", "Hans", "Klaus", "Jürgen", "Stefan", "Wolfgang", "Antonio"),
+    ("latin", "f"): (
+        "Anna", "Maria", "Elena", "Laura", "Julia", "Sophie", "Clara", "Emma", "Alice", "Sarah", "Linda", "Karen", "Mary", "Patricia",
+        "Jennifer", "Elizabeth", "Susan", "Jessica", "Nancy", "Margaret", "Lucía", "Carmen", "Camille", "Claire", "Heike", "Sabine", "Ingrid",
+        "Priya", "Fatima", "Aisha", "Mei", "Yuki", "Olga", "Barbara", "Emily", "Olivia", "Rachel", "Katharina", "Ursula", "Nathalie", "Isabelle", "Giulia", "Francesca", "Ana", "Beatriz",
+    ),
+    ("latin", "m"): (
+        "James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Charles", "Daniel", "Peter", "Paul", "Mark", "George",
+        "Joseph", "Carlos", "José", "Miguel", "Pierre", "Jean", "Louis", "Hans", "Klaus", "Jürgen", "Stefan", "Wolfgang", "Antonio",
+        "Mohammed", "Ahmed", "Ali", "Omar", "Raj", "Wei", "Hiroshi", "Ivan", "Andrew", "Matthew", "Kevin", "Brian", "Steven", "Friedrich", "François", "Giovanni", "Marco", "João", "Pedro",
+    ),
     ("cyrillic", "f"): ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана"),
     ("cyrillic", "m"): ("Иван", "Сергей", "Алексей", "Дмитрий", "Андрей", "Михаил", "Николай", "Павел"),
     ("greek", "f"): ("Μαρία", "Ελένη", "Αικατερίνη", "Σοφία", "Άννα", "Γεωργία"),
     ("greek", "m"): ("Γεώργιος", "Ιωάννης", "Δημήτριος", "Νικόλαος", "Κωνσταντίνος", "Παναγιώτης"),
 }
+INTRODUCTIONS = ("my name is", "My name is", "je m'appelle", "Je m'appelle", "ich heiße", "Ich heiße", "me llamo", "Me llamo", "меня зовут", "Меня зовут")
 #: Syllables of made-up family names, and their endings by gender.
 SYLLABLES = {
     "latin": (("Bar", "Cor", "Dal", "Fen", "Gar", "Hol", "Kel", "Lor", "Mar", "Nor", "Per", "Ros", "Sel", "Tor", "Vel", "Wes"), ("an", "ber", "den", "el", "ing", "kin", "lan", "mor", "nal", "or", "ram", "sen", "ter", "ul", "var", "win"), {"f": "", "m": "", "n": ""}),
@@ -77,7 +93,9 @@ PATTERNS = {
     "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"),
 }
 TITLED = re.compile(rf"(?<!\w)({'|'.join(re.escape(t) for t in TITLE_OF)})[ ]((?:{NAME})(?:[ ]{NAME}){{0,2}})")
-FIRST = re.compile(rf"(?<!\w)({'|'.join(GENDER_OF)})[ ]({NAME})(?![\w])")
+FIRST = re.compile(rf"(?<!\w)((?:{'|'.join(GENDER_OF)})(?:[ ](?:{'|'.join(GENDER_OF)}))?[ ]{NAME})(?![\w])")
+INTRODUCED = re.compile(rf"(?<!\w)(?:{'|'.join(INTRODUCTIONS)})[ ]({NAME}(?:[ ]{NAME}){{0,2}})")
+WORD = re.compile(rf"(?<![\w-]){NAME}(?![\w-])")
 DIGIT = re.compile(r"\d")
 NUMBERED = tuple(k for k in PATTERNS if k != "email")
 
@@ -97,9 +115,37 @@ def normal(kind: str, found: str) -> str:
         return ".".join(str(int(x)) for x in found.split("."))
     if kind == "iban":
         return found.replace(" ", "")
-    if kind == "person":
-        return found
-    return "".join(c for c in found if c.isdigit())
+    digits = "".join(c for c in found if c.isdigit())
+    return digits.lstrip("0")[-10:] or digits if kind == "phone" else digits
+
+
+def persons(text: str) -> list[Entity]:
+    """Mentions of persons, each with its person: gender and full name."""
+    named = [(m.start(2), m.end(2), TITLE_OF[m[1]], m[2]) for m in TITLED.finditer(text)]
+    named += [(m.start(1), m.end(1), "n", m[1]) for p in (FIRST, INTRODUCED) for m in p.finditer(text)]
+    gender: dict[str, str] = {}  # of each full name: a title's, else the given name's
+    for _, _, g, name in sorted(named):
+        if " " in name and (name not in gender or gender[name] == "n"):
+            gender[name] = g
+    for name, g in gender.items():
+        if g == "n":
+            gender[name] = GENDER_OF.get(name.split(" ")[0], ("", "n"))[1]
+
+    def person(name: str, g: str) -> str:
+        if name in gender:
+            return f"{gender[name]}|{name}"
+        g = GENDER_OF.get(name, ("", "n"))[1] if g == "n" else g
+        fits = [x for x, other in gender.items() if name in (x.split(" ")[0], x.split(" ")[-1]) and (g == other or "n" in (g, other))]
+        return f"{gender[fits[0]]}|{fits[0]}" if len(fits) == 1 else f"{g}|{name}"
+
+    found = [(a, b, "person", person(name, g)) for a, b, g, name in named]
+    families = {name.split(" ")[-1] for name in gender}
+    if families:  # a family name alone is the person too, if there is just one of that name
+        taken = [range(a, b) for a, b, *_ in found]
+        for m in WORD.finditer(text):
+            if m[0] in families and not any(m.start() in r for r in taken) and " " in (who := person(m[0], "n")):
+                found.append((m.start(), m.end(), "person", who))
+    return found
 
 
 def detect(text: str) -> list[Entity]:
@@ -110,10 +156,8 @@ def detect(text: str) -> list[Entity]:
     if DIGIT.search(text):
         for kind in NUMBERED:
             found += [(m.start(), m.end(), kind, normal(kind, m[0])) for m in PATTERNS[kind].finditer(text) if kind != "ipv6" or "::" in m[0] or m[0].count(":") == 7]
-    if next(cues().iter(text), None) is None:
-        return settled(found)
-    found += [(m.start(2), m.end(2), "person", f"{TITLE_OF[m[1]]}|{m[2]}") for m in TITLED.finditer(text)]
-    found += [(m.start(), m.end(), "person", f"{GENDER_OF[m[1]][1]}|{m[0]}") for m in FIRST.finditer(text)]
+    if next(cues().iter(text), None) is not None:
+        found += persons(text)
     return settled(found)
 
 
@@ -132,7 +176,7 @@ def cues():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for word in (*TITLE_OF, *GENDER_OF):
+    for word in (*TITLE_OF, *GENDER_OF, *INTRODUCTIONS):
         found.add_word(f"{word} ", word)
     found.make_automaton()
     return found
@@ -204,6 +248,8 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
         local, _, domain = entity.partition("@")
         return "".join(draw.like(c) for c in local) + "@" + new_domain(domain, draw, attempt)
     if kind == "ipv4":
+        if attempt > 8:  # any address that isn't a real one
+            return ".".join(str(draw.below(256)) for _ in range(4))
         if attempt > 1:  # 240.0.0.0/4 is reserved too, and 15 times as large
             return f"{240 + draw.below(15)}." + ".".join(str(draw.below(256)) for _ in range(3))
         return "10." + ".".join(str(draw.below(256)) for _ in range(3)) if not entity.startswith("10.") else "172." + str(16 + draw.below(16)) + "." + ".".join(str(draw.below(256)) for _ in range(2))
@@ -221,25 +267,50 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
         digits[-1] = luhn(digits[:-1])
     elif kind == "ssn":
         digits[0] = 9  # never issued
-    elif kind == "phone":  # the country stays: its digits come before the last ten
-        lead = max(0, len(entity) - 10)
-        digits[:lead] = [int(c) for c in entity[:lead]]
+    elif kind == "phone" and entity[0] != "0":
+        digits[0] = 1 + draw.below(9)
     if kind in ("ssn", "phone"):
         digits += [draw.below(10) for _ in range(attempt - SAME_LENGTH)]
     return "".join(map(str, digits))
 
 
-def in_format(kind: str, found: str, new: str) -> str:
-    """The surrogate spelled as the entity was found: separators and case."""
+def cased(found: str, new: str) -> str:
+    """`new` in the case of `found`: letter by letter where the lengths agree, else upper, capitalised or as it is."""
+    if len(found) == len(new):
+        return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new, strict=True))
+    return new.upper() if found.isupper() else new.capitalize() if found[:1].isupper() else new
+
+
+def in_format(kind: str, found: str, new: str, entity: str = "") -> str:
+    """The surrogate spelled as the entity was found: separators, case, country code, and the words of a person that were named."""
+    if kind == "person":
+        words, own = new.split(" "), shown(kind, entity).split(" ")
+        if " " in found or len(own) == 1:
+            return new
+        return words[-1] if found == own[-1] else words[0]
+    if kind == "email":
+        (local, _, domain), (mine, _, host) = found.partition("@"), new.partition("@")
+        labels, hosts = domain.split("."), host.split(".")
+        return f"{cased(local, mine)}@" + ".".join(cased(labels[min(i, len(labels) - 1)], x) for i, x in enumerate(hosts))
     if kind in ("card", "ssn", "phone"):
-        digits = iter(new)
-        return "".join([*(next(digits) if c.isdigit() else c for c in found), *digits])
+        # digits before the normal form (country, leading zeros) stay
+        stay, digits = sum(c.isdigit() for c in found) - len(normal(kind, found)), iter(new)
+        out = []
+        for c in found:
+            if c.isdigit():
+                out.append(c if stay > 0 else next(digits))
+                stay -= 1
+            else:
+                out.append(c)
+        return "".join([*out, *digits])
     if kind == "iban":
         letters = iter(new)
         return "".join(c if c == " " else next(letters) for c in found)
     if kind == "mac":
         new = new.replace(":", "-") if "-" in found else new
         return new.upper() if found.upper() == found else new
+    if kind == "ipv6":
+        return new.upper() if found.upper() == found and found.lower() != found else new
     return new
 
 
@@ -250,7 +321,7 @@ def rewrite(text: str | None, key: str, attempts: dict[tuple[str, str], int]) ->
     parts, spans, at = [], [], 0
     for a, b, kind, entity in detect(text):
         new = surrogate(kind, entity, key, attempts.get((kind, entity), 0))
-        parts += [text[at:a], in_format(kind, text[a:b], new)]
+        parts += [text[at:a], in_format(kind, text[a:b], new, entity)]
         spans.append(f"{kind}:{a}:{b}")
         at = b
     return ("".join(parts) + text[at:], ",".join(spans)) if parts else (text, "")
@@ -286,21 +357,20 @@ def attempts(docs: DataFrame, key: str = KEY, folder: str | None = None) -> Data
 
     with small_batches(docs.sparkSession):
         real = materialise(entities(docs).withColumn("seen", seen("kind", "entity")), folder, "entities")
-    now = real.select("kind", "entity", F.lit(0).alias("attempt"))
-    taken = real.select(F.col("kind").alias("_k"), F.col("seen").alias("_s")).distinct()
-    for turn in range(MAX_ROUNDS):
-        named = materialise(now.withColumn("surrogate", drawn("kind", "entity", "attempt")), folder, f"surrogates-{turn}")
-        owner = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("owner"))
-        owner = owner.join(taken, (F.col("kind") == F.col("_k")) & (F.col("surrogate") == F.col("_s")), "left")
-        owner = owner.select("kind", "surrogate", F.when(F.col("_s").isNull(), F.col("owner.entity")).alias("owner"))
-        judged = named.join(owner, ["kind", "surrogate"])
-        loses = ~F.col("entity").eqNullSafe(F.col("owner"))
-        now = judged.select("kind", "entity", (F.col("attempt") + loses.cast("int")).alias("attempt"), loses.alias("loses"))
-        now = materialise(now, folder, f"attempts-{turn}")
-        if now.filter("loses").isEmpty():
-            return now.drop("loses")
-        now = now.drop("loses")
-    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds: a format has fewer values than the corpus has entities")
+    taken = [real.select("kind", F.col("seen").alias("surrogate"))]  # real entities, then the surrogates that were won
+    due, won, turn = real.select("kind", "entity", F.lit(0).alias("attempt")), [], 0
+    while True:
+        named = materialise(due.withColumn("surrogate", drawn("kind", "entity", "attempt")), folder, f"drawn-{turn}")
+        free = named.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
+        for gone in taken:
+            free = free.join(gone, ["kind", "surrogate"], "left_anti")
+        won.append(materialise(named.join(free, ["kind", "surrogate", "entity"], "left_semi"), folder, f"won-{turn}"))
+        taken = [taken[0], reduce(DataFrame.unionByName, won).select("kind", "surrogate")]
+        due = named.join(won[-1].select("kind", "entity"), ["kind", "entity"], "left_anti")
+        due = materialise(due.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), folder, f"due-{turn}")
+        if due.isEmpty():
+            return reduce(DataFrame.unionByName, won).select("kind", "entity", "attempt")
+        turn += 1
 
 
 def replace(docs: DataFrame, key: str = KEY, folder: str | None = None) -> DataFrame:

@@ -148,7 +148,7 @@ def test_surrogates(spark):
     for secret in ("ann@", "ANN@", "555-3949", "4111", "Keller", "Иванова", "152.143"):
         assert not any(secret in (t or "") for t in out.values())
     mail = out[2].split()[1]
-    assert out[0].count(mail) == 2 and out[3] is None and out[4] == texts[4]
+    assert out[0].lower().count(mail) == 2 and out[3] is None and out[4] == texts[4]
     card = "".join(c for c in out[0].split(", ")[2] if c.isdigit())
     assert len(card) == 16 and pii.luhn([int(c) for c in card[:-1]]) == int(card[-1])
     assert out[1].startswith("Frau ") and any(n in out[1] for n in pii.GIVEN["cyrillic", "f"])
