@@ -1,9 +1,11 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned as it stands (the base spans). Then encoded stretches
-are decoded layer by layer: percent escapes, Unicode escapes (`\\uXXXX`, `\\xXX`,
-`&#N;`), base64 (in one line or wrapped), and gzip or zlib data (all members, and again
-inside each other) inside base64, percent escapes or `\\xXX`. Each new layer goes on a
+are decoded layer by layer: percent escapes, Unicode escapes (`\\uXXXX`, surrogate pairs
+joined, `\\xXX`, `&#N;`), base64 (in one line or wrapped, at every alignment of its
+letters, so a token glued to a path is found), and gzip or zlib data (all members, and again
+inside each other) inside base64, percent escapes or `\\xXX`. Of decoded bytes every
+readable stretch is kept, so a control character or broken byte hides nothing else. Each new layer goes on a
 worklist, is scanned with the same patterns and searched for further
 encodings, until nothing new appears. A layer equal to one already seen (for
 the same stretch) isn't queued again, so cycles end.
@@ -13,21 +15,25 @@ the text it came from; a secret found in a layer is reported with the stretch
 of the original text that encodes it. Compressed data has no finer origin than
 its whole token.
 
-Work is bounded by `max_expand`: one token inflates to at most that many bytes
-(a guard against decompression bombs; a longer stream is scanned up to there).
+Compressed data is inflated as a stream, whole: it is scanned in pieces of about `PIECE_CHARS`
+characters that end at line breaks, or overlap by `OVERLAP` characters in lines longer
+than a piece. The worklist holds one piece of each nesting level at a time, so memory
+follows the depth of the nesting, not the inflated size.
 
 Defined results: null texts are empty and have no spans; repeated rows are
-scanned alike; an empty table gives an empty result. Positions are code points,
+scanned alike; an empty table gives an empty result; other columns are dropped. Positions are code points,
 ends exclusive.
 """
 
 from __future__ import annotations
 
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -43,15 +49,21 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
 PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+SEPARATOR = re.compile("[+/_-]")
 #: Compressed bytes, escaped: they start like gzip or zlib data.
 PERCENT_BYTES = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%[0-9A-Fa-f]{2})(?:%[0-9A-Fa-f]{2}|[!-$&-~])*")
 HEX_BYTES = re.compile(r"(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x[0-9A-Fa-f]{2}|\^))(?:\\x[0-9A-Fa-f]{2}|\\[nrt0'\"\\]|[ -\[\]-~])*")
 HEX_BYTE = re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([nrt0'\"\\]))")
 
+#: Bytes that are UTF-8 without control characters.
+READABLE = re.compile(rb"(?:[\t\n\x0b\x0c\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){6,}")
+PIECE_CHARS, OVERLAP = 1 << 22, 1 << 20
+READ_BYTES = 1 << 20
+
 Span = tuple[int, int, str]
 
 
@@ -74,35 +86,75 @@ def readable(raw: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def inflate(raw: bytes, most: int) -> bytes | None:
-    """The content of all members, up to `most` bytes; None if there are no compressed data."""
-    out, left = [], most
-    while left > 0:
-        if raw[:2] == b"\x1f\x8b":
-            bits = 31
-        elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            bits = 15
-        else:
-            break
+def compressed(raw: bytes) -> int:
+    """The window bits for zlib where `raw` starts like gzip or zlib data, else 0."""
+    if raw[:2] == b"\x1f\x8b":
+        return 31
+    return 15 if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
+
+
+def inflate(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of all members of a compressed stream, in pieces; what is broken or follows them ends it."""
+    raw = next(stream, b"")
+    while True:
+        while len(raw) < 3 and (more := next(stream, b"")):
+            raw += more
+        if not (bits := compressed(raw)):
+            return
         member = zlib.decompressobj(bits)
         try:
-            out.append(member.decompress(raw, left))
+            while not member.eof:
+                if not raw and not (raw := next(stream, b"")):
+                    return
+                yield member.decompress(raw, READ_BYTES)
+                raw = member.unconsumed_tail
+                while not member.eof and not raw and (more := member.decompress(b"", READ_BYTES)):
+                    yield more
         except zlib.error:
-            break
-        left -= len(out[-1])
-        raw = member.unused_data.lstrip(b"\0") if member.eof else b""
-    return b"".join(out) if out else None
+            return
+        raw = member.unused_data.lstrip(b"\0")
 
 
-def unpacked(raw: bytes, most: int) -> str | None:
-    """The text inside compressed layers, however many; None if `raw` isn't compressed."""
-    plain, seen = inflate(raw, most), set()
-    if plain is None:
-        return None
-    while (digest := hashlib.sha256(plain).digest()) not in seen and (inner := inflate(plain, most)) is not None:
+def taken(raw: bytes) -> int:
+    """How many of the bytes belong to the compressed stream that they start with."""
+    left = raw
+    while bits := compressed(left):
+        member = zlib.decompressobj(bits)
+        try:
+            data = left
+            while not member.eof and (member.decompress(data, READ_BYTES) or data):
+                data = member.unconsumed_tail
+        except zlib.error:
+            return len(raw)
+        if not member.eof:
+            return len(raw)
+        left = member.unused_data.lstrip(b"\0")
+    return len(raw) - len(left)
+
+
+def unpacked(raw: bytes) -> Iterator[str]:
+    """The text inside compressed layers, however many, in pieces; none if `raw` isn't compressed."""
+    stream, seen = iter([raw]), set()
+    while True:
+        first = b""
+        while len(first) < 1 << 16 and (more := next(stream, b"")):
+            first += more
+        stream = chain([first], stream)
+        digest = hashlib.sha256(first).digest()
+        if not compressed(first) or digest in seen:  # a stream that inflates to itself
+            break
         seen.add(digest)
-        plain = inner
-    return plain.decode(errors="replace")  # a cut or binary stretch doesn't hide the rest
+        stream = inflate(stream)
+    if not seen or not first:
+        return
+    text, decoder = "", codecs.getincrementaldecoder("utf-8")("replace")
+    for part in stream:
+        text += decoder.decode(part)
+        if len(text) >= PIECE_CHARS:
+            cut = text.rfind("\n") + 1
+            yield text[:cut] or text
+            text = text[cut:] if cut else text[-OVERLAP:]
+    yield text + decoder.decode(b"", True)
 
 
 class Layer:
@@ -114,6 +166,11 @@ class Layer:
     def stretch(self, a: int, b: int) -> tuple[int, int]:
         return int(self.start[a]), int(self.end[b - 1])
 
+    @staticmethod
+    def at(text: str, a: int, b: int) -> Layer:
+        """A text that comes from one stretch as a whole."""
+        return Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
+
 
 def rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with each match of `pattern` decoded in place, neighbours kept."""
@@ -172,14 +229,16 @@ def unescape(layer: Layer) -> Layer | None:
         return None
 
     def decode(m: re.Match) -> str | None:
-        code = int(m[1] or m[2] or m[4] or "0", 16) if not m[3] else int(m[3])
+        if m[1]:
+            return chr(0x10000 + (int(m[1], 16) - 0xD800 << 10) + int(m[2], 16) - 0xDC00)
+        code = int(m[3] or m[4] or m[6] or "0", 16) if not m[5] else int(m[5])
         ok = 32 <= code < 0x110000 and not 0xD800 <= code < 0xE000 or code in (9, 10, 13)
         return chr(code) if ok else None
 
     return rewritten(layer, ESCAPE, decode)
 
 
-def unbytes(layer: Layer, most: int) -> Iterator[Layer]:
+def unbytes(layer: Layer) -> Iterator[Layer]:
     """A layer for each stretch of escaped bytes that is compressed."""
 
     def percent(found: str) -> bytes:
@@ -193,9 +252,8 @@ def unbytes(layer: Layer, most: int) -> Iterator[Layer]:
         if sign not in layer.text:
             continue
         for m in pattern.finditer(layer.text):
-            if text := unpacked(decode(m[0]), most):
-                a, b = layer.stretch(m.start(), m.end())
-                yield Layer(text, np.full(len(text), a), np.full(len(text), b))
+            for text in unpacked(decode(m[0])):
+                yield Layer.at(text, *layer.stretch(m.start(), m.end()))
 
 
 def wrapped(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
@@ -218,63 +276,72 @@ def wrapped(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
             i = max(ends)
 
 
-def unbase64(layer: Layer, most: int) -> Iterator[Layer]:
-    """A layer for each base64 token that holds text, or compressed text."""
+def unbase64(layer: Layer) -> Iterator[Layer]:
+    """A layer for each readable stretch that base64 letters hold, and each compressed text."""
     for m in BASE64.finditer(layer.text):
-        if (found := decoded(layer, m[0].rstrip("="), None, m.start(), m.end(), most)) is not None:
-            yield found
+        yield from decoded(layer, m[0].rstrip("="), None, m.start(), m.end())
     if "\n" in layer.text:
         for body, places, end in wrapped(layer.text):
-            if (found := decoded(layer, body, places, int(places[0]), end, most)) is not None:
-                yield found
-
-
-def decoded(layer: Layer, body: str, places: np.ndarray | None, start: int, end: int, most: int) -> Layer | None:
-    """The content of base64 letters, which lie at `places` (from `start` on if None)."""
-    if len(body) % 4 == 1:
-        return None
-    if "-" in body or "_" in body:
-        body = body.replace("-", "+").replace("_", "/")
-    try:
-        raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
-    if (text := unpacked(raw, most)) is not None:
-        a, b = layer.stretch(start, end)
-        return Layer(text, np.full(len(text), a), np.full(len(text), b))
-    if raw.isascii() and (text := readable(raw)):  # a character comes from the 4-letter groups that hold its byte
-        byte = np.arange(len(text))
-    elif text := readable(raw):
-        byte = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])[:-1]])
-    else:
-        return None
-    size = np.diff(np.append(byte, len(raw)))
-    first, last = byte * 8 // 6, np.minimum(((byte + size) * 8 - 1) // 6, len(body) - 1)
-    if places is None:
-        return Layer(text, layer.start[start + first], layer.end[start + last])
-    return Layer(text, layer.start[places[first]], layer.end[places[last]])
-
-
-def decoded_spans(text: str, most: int) -> set[Span]:
+            yield from decoded(layer, body, places, int(places[0]), end)
+
+
+def decoded(layer: Layer, body: str, places: np.ndarray | None, start: int, end: int) -> Iterator[Layer]:
+    """The content of base64 letters, which lie at `places` (from `start` on if None), read from each of four alignments."""
+    breaks = [0, *(m.end() for m in SEPARATOR.finditer(body))]  # where a token of its own may start
+    letters = body.replace("-", "+").replace("_", "/")
+    at = lambda i: start + i if places is None else int(places[i])
+    for shift in range(min(4, len(letters) - 3)):
+        n = len(letters) - shift
+        n -= n % 4 == 1  # one letter more than whole bytes
+        raw = binascii.a2b_base64(letters[shift : shift + n] + "=" * (-n % 4))
+        for p in breaks:
+            byte = (p - shift) // 4 * 3
+            if p >= shift and (p - shift) % 4 == 0 and compressed(raw[byte : byte + 3]):
+                last = shift + ((byte + taken(raw[byte:])) * 8 - 1) // 6
+                till = layer.end[end - 1] if last >= len(letters) - 1 else layer.end[at(last)]
+                for text in unpacked(raw[byte:]):
+                    yield Layer.at(text, int(layer.start[at(p)]), int(till))
+        for m in READABLE.finditer(raw):
+            text = m[0].decode(errors="replace")
+            if len(text) == len(m[0]):
+                byte = np.arange(m.start(), m.end() + 1)
+            else:
+                byte = m.start() + np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
+            # a character comes from the letters that hold its bits
+            first, last = shift + byte[:-1] * 8 // 6, np.minimum(shift + (byte[1:] * 8 - 1) // 6, len(letters) - 1)
+            if places is None:
+                yield Layer(text, layer.start[start + first], layer.end[start + last])
+            else:
+                yield Layer(text, layer.start[places[first]], layer.end[places[last]])
+
+
+def derived(layer: Layer) -> Iterator[Layer]:
+    """The layers one decoding below."""
+    yield from (x for x in (unpercent(layer), unescape(layer)) if x is not None)
+    yield from unbase64(layer)
+    yield from unbytes(layer)
+
+
+def decoded_spans(text: str) -> set[Span]:
     """Spans of secrets in decoded layers, mapped to the text."""
     found: set[Span] = set()
     if not ("%" in text or "\\" in text or "&#" in text or BASE64.search(text)):
         return found
     n = len(text)
-    work = [Layer(text, np.arange(n), np.arange(1, n + 1))]
     seen = {(0, n, hashlib.sha256(text.encode(errors="surrogatepass")).digest())}
+    work = [derived(Layer(text, np.arange(n), np.arange(1, n + 1)))]
     while work:
-        layer = work.pop()
-        whole = [x for x in (unpercent(layer), unescape(layer)) if x is not None]
-        for new in (*whole, *unbase64(layer, most), *unbytes(layer, most)):
-            if not new.text:
-                continue
-            key = (int(new.start[0]), int(new.end[-1]), hashlib.sha256(new.text.encode(errors="surrogatepass")).digest())
-            if key in seen:
-                continue
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        if not new.text:
+            continue
+        key = (int(new.start[0]), int(new.end[-1]), hashlib.sha256(new.text.encode(errors="surrogatepass")).digest())
+        if key not in seen:
             seen.add(key)
             found |= {(*new.stretch(a, b), kind) for a, b, kind in scan(new.text)}
-            work.append(new)
+            work.append(derived(new))
     return found
 
 
@@ -286,20 +353,20 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def find(text: str | None, max_expand: int) -> tuple[list[Span], list[Span]]:
+def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of one text, each by start and kind."""
     text = text or ""
     base = sorted(scan(text), key=order)
-    more = decoded_spans(text, max_expand)
+    more = decoded_spans(text)
     return base, sorted({*base, *more}, key=order) if more else base
 
 
-def spans(docs: DataFrame, max_expand: int = 1 << 24) -> DataFrame:
+def spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_spans and spans (strings) of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [find(t, max_expand) for t in batch["text"]]
+            pairs = [find(t) for t in batch["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
@@ -313,7 +380,7 @@ def spans(docs: DataFrame, max_expand: int = 1 << 24) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string")
 
 
-def digests(docs: DataFrame, **options) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
     """The spans with the base ones as a SHA-256."""
-    return spans(docs, **options).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return spans(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
