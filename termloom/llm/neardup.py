@@ -3,16 +3,23 @@
 1. Equal texts are collapsed by their MD5; one of each goes on.
 2. Document frequencies of all five-word shingles are counted over the whole
    corpus in a hashed table of `TABLE` counters (fixed size at any scale, merged
-   in two levels, broadcast as 4 MB). The k-th occurrence of a shingle in a
-   text is an element of its own, so term frequencies are part of the set. An
-   element weighs 1 + IDF_SHARE x idf / log(1 + N): rarer shingles count more, yet
-   the shingles of a large group of copies still count.
+   in two levels, broadcast as 4 MB). Copies count as one document: texts that share
+   one of `KEYS` smallest shingle hashes are a group, counted in a first pass in a table of the
+   same kind, and each text whose largest group has g texts adds 1 / g. So a large group of near copies
+   doesn't make its own shingles common, while a passage that unrelated texts share is.
+   A shingle weighs log(1 + N / df) for each of its occurrences: the k-th occurrence is an
+   element of its own, which gives min and max of term frequencies their exact part
+   in the weighted Jaccard similarity of the TF-IDF vectors.
 3. Each text is sampled with improved consistent weighted sampling; `BANDS` bands
    of `ROWS` samples are the buckets. A pair of similarity 0.8 shares a bucket
    with probability 0.9997.
-4. Within a bucket, all texts are compared exactly: the weighted intersections of
-   two blocks of up to `BLOCK` texts are one matrix product. Large buckets are
-   split into pairs of blocks, each a group of its own; a group emits a spanning
+4. Within a bucket, texts are compared exactly: the weighted intersections of
+   up to `BLOCK` texts are one matrix product. A larger bucket is dealt into blocks. In a block, each text
+   without a leader becomes one, and texts near it follow it; only leaders are compared
+   between blocks. Two texts of different blocks can only be near if their leaders' similarity is 0.4 or more (the
+   Jaccard distance is a metric, and followers lie within 0.2 of their leader); such pairs of leaders
+   that are in different classes at the end have their followers compared exactly, so no link is lost.
+   A group of n near copies costs n comparisons with a few leaders, and emits a spanning
    forest of its links, never its pairs. Buckets with equal members are compared
    once. A second round takes the remaining bands, for buckets that still span classes.
 5. Links become classes by alternating large-star and small-star steps.
@@ -29,7 +36,8 @@ an empty table gives an empty result; other columns are dropped by `classes`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -44,16 +52,20 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 FIRST_BANDS = 4
 TABLE = 1 << 20
-IDF_SHARE = 0.25
-BLOCK = 512
+UNIT = 1 << 20  # a document in the counts
+KEYS = 4  # hashes that name a document's groups
+BLOCK = 128
 CHUNK_BYTES = 512 << 10
 KEY_BITS = np.uint64(44)
 KEY_MASK = np.uint64((1 << 44) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 MAX_BROADCAST_IDS = 1_000_000
 
+LINK_MARGIN = 1e-6
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+BLANK, WORD_AT = re.compile(r"[\x20\t-\r]"), re.compile(r"[^\x20\t-\r]+")
 
 
 @lru_cache(1)
@@ -70,8 +82,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle, element) of up to 2 ** 20 texts, by document; all texts in full."""
+def segments(text: str) -> Iterator[str]:
+    """A text in stretches of about CHUNK_BYTES characters that share WIDTH - 1 words, so that their shingles are the text's."""
+    start = 0
+    while len(text) - start > 2 * CHUNK_BYTES and (m := BLANK.search(text, start + CHUNK_BYTES)):
+        cut, width = m.start(), 1 << 12
+        yield text[start:cut]
+        while len(words := list(WORD_AT.finditer(text, max(start, cut - width), cut))) < WIDTH and cut - width > start:
+            width *= 2  # the first of the words found may be cut off itself
+        start = words[-WIDTH + 1].start() if len(words) >= WIDTH else start
+        if len(words) < WIDTH:  # one stretch without words enough: it goes on in full
+            yield text[start:]
+            return
+    yield text[start:]
+
+
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of every window of words of up to 2 ** 20 texts."""
+    found, batch, owners, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        for part in segments(text):
+            batch.append(part)
+            owners.append(i)
+            size += len(part)
+            if size >= CHUNK_BYTES:
+                at, shingle = hashed(batch)
+                found.append((np.array(owners, np.int64)[at], shingle))
+                batch, owners, size = [], [], 0
+    at, shingle = hashed(batch)
+    found.append((np.array(owners, np.int64)[at], shingle))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of texts of bounded size: words by a rolling hash of their bytes, shingles by one of their words."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     size = 1 << max(16, int(len(data)).bit_length())
@@ -94,7 +138,13 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = np.searchsorted(doc, d)
         value = sum((words[a + j : a + j + 1] * weights[j] for j in range(counts[d])), np.full(1, counts[d], np.uint64))
         shingle, at = np.append(shingle, value), np.append(at, d)
-    keys = np.sort(at.astype(np.uint64) << KEY_BITS | mix(shingle) >> np.uint64(20))
+    return at, mix(shingle) >> np.uint64(20)
+
+
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle, element) of up to 2 ** 20 texts, by document; all texts in full."""
+    at, shingle = shingles(texts)
+    keys = np.sort(at.astype(np.uint64) << KEY_BITS | shingle)
     fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
     place = np.arange(len(keys)) - np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, np.int64)
     at, shingle = (keys >> KEY_BITS).astype(np.int64), keys & KEY_MASK
@@ -121,15 +171,19 @@ def slot(shingle: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(24)).astype(np.int64)
 
 
-def frequencies(texts: DataFrame) -> np.ndarray:
-    """Documents per counter, over the whole corpus."""
+def first_of(at: np.ndarray) -> np.ndarray:
+    """Where each document starts in a sorted column of documents."""
+    return np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+
+
+def counted(texts: DataFrame, count: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+    """`TABLE` sums over the whole corpus of what `count` gives for some texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(TABLE, np.int64)
         for batch in batches:
             for _, part in chunks(batch["text"].tolist()):
-                at, shingle, element = elements(part)
-                total += np.bincount(slot(shingle[shingle == element]), minlength=TABLE)
+                total += count(part)
         if total.any():
             yield pd.DataFrame({"part": range(256), "counts": [x.astype("<i8").tobytes() for x in np.split(total, 256)]})
 
@@ -138,7 +192,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [total.tobytes()]})
 
     schema = "part int, counts binary"
-    parts = texts.select("text").mapInPandas(count, schema).withColumn("task", F.spark_partition_id() % 64)
+    parts = texts.select("text").mapInPandas(run, schema).withColumn("task", F.spark_partition_id() % 64)
     some = parts.groupBy("part", "task").applyInPandas(lambda x: add(x[["part", "counts"]]), schema)
     total = np.zeros(TABLE, np.int64)
     for r in some.groupBy("part").applyInPandas(add, schema).toLocalIterator():  # 256 rows of 32 KB
@@ -147,12 +201,49 @@ def frequencies(texts: DataFrame) -> np.ndarray:
     return total
 
 
-def weight_table(counts: np.ndarray, documents: int) -> np.ndarray:
-    """The weight of the shingles of each counter, 1 to 1 + IDF_SHARE."""
-    noise = np.floor(np.median(counts))  # what unrelated shingles add to a counter
-    df = np.clip(counts - noise, 1, max(documents, 1))
-    idf = np.log((1 + documents) / (1 + df)) / np.log(1 + max(documents, 1))
-    return (1 + IDF_SHARE * np.maximum(idf, 0)).astype(np.float32)
+def group_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(documents with shingles, counters of their groups): copies share most of their `KEYS` smallest shingle hashes."""
+    at, shingle = shingles(texts)
+    order = np.argsort(at, kind="stable")
+    at, shingle = at[order], shingle[order]
+    first = first_of(at)
+    keys = np.empty((len(first), KEYS), np.int64)
+    for k in range(KEYS):
+        least = np.minimum.reduceat(mix(shingle ^ np.uint64(k << 44)), first) if len(first) else np.zeros(0, np.uint64)
+        keys[:, k] = slot(mix(least + np.uint64(k)) >> np.uint64(20))
+    return at[first], keys
+
+
+def above_noise(counts: np.ndarray) -> np.ndarray:
+    """Counters without what unrelated entries add to each."""
+    return counts - np.floor(np.median(counts))
+
+
+def group_sizes(texts: DataFrame) -> np.ndarray:
+    """Documents of the group in each counter; 1 where a counter is within the noise of unrelated ones."""
+    counts = counted(texts, lambda part: np.bincount(group_keys(part)[1].ravel(), minlength=TABLE))
+    sizes = above_noise(counts)
+    return np.where(sizes > 6 * np.sqrt(np.median(counts)), np.maximum(sizes, 1), 1)
+
+
+def frequencies(texts: DataFrame, sizes: np.ndarray) -> np.ndarray:
+    """Documents per counter over the whole corpus, a group of copies as about one."""
+    share = texts.sparkSession.sparkContext.broadcast(np.maximum(UNIT // sizes, 1).astype(np.int64))
+
+    def count(part: list[str]) -> np.ndarray:
+        at, shingle, element = elements(part)
+        docs, groups = group_keys(part)
+        own = np.zeros(len(part), np.int64)
+        own[docs] = share.value[groups].min(axis=1)  # of its largest group
+        once = shingle == element
+        return np.bincount(slot(shingle[once]), own[at[once]], TABLE).astype(np.int64)
+
+    return above_noise(counted(texts, count)) / UNIT
+
+
+def weight_table(df: np.ndarray, documents: int) -> np.ndarray:
+    """The weight of the shingles of each counter: log(1 + N / df)."""
+    return np.log1p(documents / np.clip(df, 1, max(documents, 1))).astype(np.float32)
 
 
 @lru_cache(1)
@@ -166,7 +257,7 @@ def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def samples(at: np.ndarray, element: np.ndarray, weight: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
     """(documents with elements, their samples): sample k of a set is the element and level of the least a."""
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    first = first_of(at)
     gamma, log_gamma, uniform = draws()
     log_weight = np.log(weight)
     out = np.empty((len(first), number), np.uint32)
@@ -226,8 +317,8 @@ class Forest:
         return a != b
 
 
-def linked(left: list[int], right: list[int], sets: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Whether the texts of `left` (rows) and `right` (columns) are near: exact weighted Jaccard by matrix products."""
+def similarities(left: list[int], right: list[int], sets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """The exact weighted Jaccard similarity of the texts of `left` (rows) and `right` (columns), by matrix products."""
     sums = np.array([w.sum() for w in weights])
     both = np.zeros((len(left), len(right)))
     here = np.concatenate([sets[i] for i in left])
@@ -248,58 +339,121 @@ def linked(left: list[int], right: list[int], sets: list[np.ndarray], weights: l
             return m
 
         both += rows(left, True) @ rows(right, False).T
-    return both >= threshold * (sums[left][:, None] + sums[right][None, :] - both) - 1e-6
+    return both / np.maximum(sums[left][:, None] + sums[right][None, :] - both, 1e-9) + LINK_MARGIN
 
 
-def group_links(ids: list[int], classes: list[int], blocks: list[int], texts: list[str], table: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one group, between documents of different classes."""
-    sets: list = [None] * len(texts)
-    weights: list = [None] * len(texts)
-    for start, part in chunks(texts):
+def weighted_sets(texts: list[str], table: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sorted elements of each text, and their weights."""
+    sets, weights = [], []
+    for _, part in chunks(texts):
         at, shingle, element = elements(part)
         edges = np.searchsorted(at, np.arange(len(part) + 1))
         for i in range(len(part)):
             e = element[edges[i] : edges[i + 1]]
             o = np.argsort(e)
-            sets[start + i], weights[start + i] = e[o], table[slot(shingle[edges[i] : edges[i + 1]])][o]
-    low = min(blocks)
-    left = [i for i, b in enumerate(blocks) if b == low]
-    right = [i for i, b in enumerate(blocks) if b != low] or left
+            sets.append(e[o])
+            weights.append(table[slot(shingle[edges[i] : edges[i + 1]])][o])
+    return sets, weights
+
+
+LINK, LEADER, SUSPECT = 0, 1, 2
+PAIRS = "what int, bucket long, a long, b long"
+
+
+def compared(g: pd.DataFrame, table: np.ndarray, threshold: float, leaders: bool, suspects: bool) -> list[tuple[int, int, int, int]]:
+    """What one group (of one side, or of the two sides 0 and 1) tells.
+
+    (LINK, bucket, a, b): a spanning forest of its links between texts of different classes;
+    (LEADER, bucket, leader, follower) if asked, the leader follows itself;
+    (SUSPECT, bucket, a, b) if asked: texts of different classes whose followers may be near.
+    """
+    ids, bucket = g["doc"].tolist(), int(g["bucket"].iloc[0])
+    sets, weights = weighted_sets(g["text"].tolist(), table)
+    sides = g["side"].to_numpy()
+    left = np.flatnonzero(sides == sides.min())
+    right = np.flatnonzero(sides != sides.min()) if (sides != sides.min()).any() else left
+    near = similarities(left.tolist(), right.tolist(), sets, weights)
     forest, found = Forest(), []
-    for i in range(len(ids)):
-        forest.join(ids[i], classes[i])
-    near = linked(left, right, sets, weights, threshold)
-    for i, j in zip(*np.nonzero(near), strict=True):
+    for a, b in zip(ids, g["class"].tolist(), strict=True):
+        forest.join(a, b)
+    for i, j in zip(*np.nonzero(near >= threshold), strict=True):
         a, b = ids[left[i]], ids[right[j]]
         if a != b and forest.join(a, b):
-            found.append((a, b))
+            found.append((LINK, bucket, a, b))
+    if leaders:
+        free = np.ones(len(ids), bool)
+        for i in range(len(ids)):
+            if free[i]:
+                own = (near[i] >= threshold) & free
+                own[i] = True
+                found += [(LEADER, bucket, ids[i], ids[j]) for j in np.flatnonzero(own)]
+                free &= ~own
+    if suspects:
+        # a text near both has at most this distance to each follower of its leader
+        least = max(0.0, 1 - 3 * (1 - threshold))
+        for i, j in zip(*np.nonzero((near >= least) & (near < threshold)), strict=True):
+            a, b = ids[left[i]], ids[right[j]]
+            if (left is not right or i < j) and forest.root(a) != forest.root(b):
+                found.append((SUSPECT, bucket, a, b))
     return found
 
 
-def bucket_links(members: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:
-    """a, b: links within the groups of `members` (bucket, i, j, block, doc, class, text)."""
+def in_groups(members: DataFrame, keys: list[str], table: np.ndarray, threshold: float, leaders: bool = False, suspects: bool = False) -> DataFrame:
+    """`compared` over each group of `members` (keys, bucket, side, doc, class, text) that has two rows or leaders to name."""
     shared = members.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            edge = np.flatnonzero((rows[["bucket", "i", "j"]].diff() != 0).any(axis=1))
+            edge = np.flatnonzero((rows[keys].diff() != 0).any(axis=1))
             rest = rows.iloc[edge[-1] :]
-            yield links(rows, edge)
+            yield told(rows, edge)
         if rest is not None:
-            yield links(rest, [0, len(rest)])
+            yield told(rest, [0, len(rest)])
 
-    def links(rows: pd.DataFrame, edge) -> pd.DataFrame:
+    def told(rows: pd.DataFrame, edge) -> pd.DataFrame:
         found = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            g = rows.iloc[a:b]
-            if b - a > 1:
-                found += group_links(g["doc"].tolist(), g["class"].tolist(), g["block"].tolist(), g["text"].tolist(), shared.value, threshold)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    ordered = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return ordered.select("bucket", "i", "j", "block", "doc", "class", "text").mapInPandas(run, "a long, b long")
+            if b - a > 1 or leaders:
+                found += compared(rows.iloc[a:b], shared.value, threshold, leaders, suspects)
+        return pd.DataFrame(found, columns=["what", "bucket", "a", "b"])
+
+    columns = list(dict.fromkeys([*keys, "bucket", "side", "doc", "class", "text"]))
+    ordered = members.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
+    with small_batches(members.sparkSession):
+        return materialise(ordered.mapInPandas(run, PAIRS), shared_folder(members.sparkSession), "pairs")
+
+
+def bucket_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], table: np.ndarray, threshold: float, folder: str, name: str) -> DataFrame:
+    """a, b: links within the buckets of `members` (bucket, node, class, blocks, block); `texts_of` gives (doc, text) of some nodes."""
+    needed = materialise(texts_of(members.select("node")), folder, f"{name}-texts")
+
+    def full(rows: DataFrame) -> DataFrame:
+        return rows.join(needed, rows["node"] == needed["doc"])
+
+    split, one = members.filter("blocks > 1"), members.filter("blocks = 1").withColumn("side", F.lit(0))
+    links = [in_groups(full(one), ["bucket"], table, threshold)]
+    if not split.isEmpty():
+        told = in_groups(full(split.withColumn("side", F.lit(0))), ["bucket", "block"], table, threshold, leaders=True)
+        links.append(told)
+        follows = told.filter(F.col("what") == LEADER).select("bucket", F.col("a").alias("leader"), F.col("b").alias("node"))
+        heads = follows.filter("leader = node").join(split.select("bucket", "node", "class"), ["bucket", "node"])
+        blocks = heads.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        heads = heads.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+        paired = heads.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        paired = paired.select("bucket", "node", "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"))
+        told = in_groups(full(paired), ["bucket", "i", "j"], table, threshold, suspects=True)
+        links.append(told)
+        doubt = told.filter(F.col("what") == SUSPECT)
+        if not doubt.isEmpty():
+            known = components(reduce(DataFrame.unionByName, [x.filter(F.col("what") == LINK).select("a", "b") for x in links]), folder, f"{name}-within")
+            here, there = (known.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
+            doubt = doubt.join(here, "a", "left").join(there, "b", "left").filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("bucket", "a", "b").distinct()
+            both = doubt.select("bucket", "a", "b", F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("leader")) for n, c in enumerate("ab")])).alias("x")).select("bucket", "a", "b", "x.*")
+            both = both.join(follows, ["bucket", "leader"]).join(split.select("bucket", "node", "class"), ["bucket", "node"])
+            links.append(in_groups(full(both), ["bucket", "a", "b"], table, threshold))
+    return reduce(DataFrame.unionByName, [x.filter(F.col("what") == LINK).select("a", "b") for x in links])
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -338,10 +492,17 @@ def labelled(docs: DataFrame, threshold: float, folder: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("md5", F.md5(F.col("text").cast("binary")))
     with small_batches(spark):
-        table = weight_table(frequencies(texts), texts.count())
+        table = weight_table(frequencies(texts, group_sizes(texts)), texts.count())
         signed = materialise(signatures(texts, table), folder, "signatures")
     nodes = signed.groupBy("md5").agg(F.min("doc_id").alias("doc"), F.min("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        need = nodes.select("node", F.col("md5").alias("_m"), "doc").join(wanted.distinct(), "node", "left_semi")
+        need = F.broadcast(need) if few(need) else need
+        own = (F.col("md5") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("doc"))  # of equal texts, those of the least id
+        return texts.join(need, own).groupBy(F.col("node").alias("doc")).agg(F.min("text").alias("text"))
+
     links, known = [], None
     if (twins := id_links(signed, nodes)) is not None:
         links.append(materialise(twins, folder, "links-ids"))
@@ -353,15 +514,7 @@ def labelled(docs: DataFrame, threshold: float, folder: str) -> DataFrame:
         buckets = buckets.filter("lo < hi").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         members = part.join(buckets.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
         members = materialise(members, folder, f"members-{turn}")
-        need = nodes.select("node", F.col("md5").alias("_m"), "doc").join(members.select("node").distinct(), "node", "left_semi")
-        need = F.broadcast(need) if few(need) else need
-        own = (F.col("md5") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("doc"))  # of equal texts, those of the least id
-        wanted = texts.join(need, own).groupBy(F.col("node").alias("doc")).agg(F.min("text").alias("text"))
-        paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        paired = paired.select("bucket", "node", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        full = paired.join(wanted, paired["node"] == wanted["doc"])
-        with small_batches(spark):
-            links.append(materialise(bucket_links(full, table, threshold), folder, f"links-{turn}"))
+        links.append(materialise(bucket_links(members, texts_of, table, threshold, folder, f"links-{turn}"), folder, f"links-{turn}"))
         known = components(reduce(DataFrame.unionByName, links), folder, f"stars-{turn}")
     known = known.unionByName(known.select(F.col("class").alias("node"), "class")).distinct()
     named = known.join(nodes.select("node", "doc", "md5"), "node").groupBy("class").agg(F.min("doc").alias("class_id"), F.min("md5").alias("keeper"))
