@@ -6,7 +6,8 @@ can step over a member without inflating it; members without the note (files
 of other tools) are inflated and thrown away.
 
 Reader: the driver lists the committed files and plans partitions of about
-`split_bytes`. Equality, `IN` and null predicates on `record_type` and the
+`split_bytes`; a larger file is split into ranges of bytes, and a task reads the members that
+start in its range (it looks for the first gzip header that inflates to a record). Equality, `IN` and null predicates on `record_type` and the
 header columns are pushed down. In a task a record's headers are inflated and
 parsed first; the rest of the member is inflated only if the record passes and
 the `payload` column is in the schema asked for.
@@ -17,6 +18,11 @@ repeated attempts are never read. Paths of any file system that pyarrow knows wo
 
 Columns: record_type, record_id, target_uri, date, payload_digest,
 payload_bytes, refers_to, payload (binary; null for a revisit).
+
+Defined results: null html is the empty payload; a null URL is an empty target; a null
+page_id is no response's id if another page has the payload, and stays null; rows that repeat a
+response's page_id are responses too; repeated rows give one record each; an empty table gives no
+records; other columns of the pages are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, In, InputPartition, IsNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .common import materialise, shared_folder
+
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 HEADERS = {
     "record_type": "WARC-Type",
@@ -46,6 +54,7 @@ HEADERS = {
 }
 MANIFEST = "_committed-"
 PEEK = 1 << 14
+MAX_BROADCAST, MAX_HOT = 500_000, 10_000
 
 
 def store(path: str):
@@ -114,16 +123,39 @@ def columns_of(headers: dict) -> dict:
     return found
 
 
-def records(stream, wanted, payloads: bool) -> Iterator[dict]:
-    """The records of one file that `wanted` accepts, by their headers alone."""
+def next_record(stream, start: int) -> int | None:
+    """Where the first record at or after `start` begins; None if there is none."""
+    at, buffer = start, b""
+    while True:
+        stream.seek(at)
+        buffer = stream.read(1 << 20)
+        found = buffer.find(b"\x1f\x8b\x08")
+        while found >= 0:
+            stream.seek(at + found)
+            try:
+                if zlib.decompressobj(31).decompress(stream.read(1 << 12), 5) == b"WARC/":
+                    return at + found
+            except zlib.error:
+                pass
+            found = buffer.find(b"\x1f\x8b\x08", found + 1)
+        if len(buffer) < 1 << 20:
+            return None
+        at += len(buffer) - 2
+
+
+def records(stream, wanted, payloads: bool, start: int = 0, end: int | None = None) -> Iterator[dict]:
+    """The records of one file that start from `start` up to `end` and that `wanted` accepts, by their headers alone."""
     buffer = b""
+    if start and (start := next_record(stream, start)) is None:
+        return
+    stream.seek(start)
 
     def fill(least: int) -> None:
         nonlocal buffer
         while len(buffer) < least and (more := stream.read(max(1 << 20, least - len(buffer)))):
             buffer += more
 
-    while True:
+    while end is None or stream.tell() - len(buffer) < end:
         fill(24)
         if not buffer:
             return
@@ -175,8 +207,10 @@ def records(stream, wanted, payloads: bool) -> Iterator[dict]:
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Files, each with the range of bytes to read."""
+
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        self.parts = parts
 
 
 class Done(WriterCommitMessage):
@@ -213,7 +247,7 @@ class WarcReader(DataSourceReader):
         if manifests:
             named = {n for m in manifests for n in json.loads(files.open_input_stream(m).read())}
         else:
-            named = {x.base_name for x in found if x.base_name.endswith((".warc", ".warc.gz"))}
+            named = {x.base_name for x in found if x.base_name.endswith(".warc.gz")}
         group, size, out = [], 0, []
         for x in sorted(found, key=lambda x: x.base_name):
             if x.base_name not in named:
@@ -221,16 +255,19 @@ class WarcReader(DataSourceReader):
             if group and size + x.size > self.split:
                 out.append(Files(group))
                 group, size = [], 0
-            group.append(x.base_name)
+            if x.size > self.split:
+                out += [Files([(x.base_name, a, min(a + self.split, x.size))]) for a in range(0, x.size, self.split)]
+                continue
+            group.append((x.base_name, 0, x.size))
             size += x.size
         return out + [Files(group)] if group else out or [Files([])]
 
     def read(self, partition: Files):
         files, root = store(self.path)
         wanted = lambda r: all(r[c] in values for c, values in self.tests)
-        for name in partition.paths:
+        for name, start, end in partition.parts:
             with files.open_input_file(f"{root}/{name}") as stream:
-                for r in records(stream, wanted, "payload" in self.names):
+                for r in records(stream, wanted, "payload" in self.names, start, end):
                     yield tuple(r[n] for n in self.names)
 
 
@@ -286,7 +323,7 @@ class Warc(DataSource):
 
 
 def use(spark: SparkSession) -> None:
-    """Register the source, with filter pushdown for Python sources."""
+    """Register the source, and switch on filter pushdown for Python sources in this session: pushdown happens when a later plan is made."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Warc)
 
@@ -299,20 +336,26 @@ def base32(hex_digest: Column) -> Column:
     return F.concat(*parts)
 
 
-def archive_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def archive_records(pages: DataFrame, folder: str, min_bytes: int = 0, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """A record per page: of equal payloads of `min_bytes` and more, the smallest page_id is the response, others revisit it.
 
-    The first page of a payload comes from a map-side minimum; the join back to
-    the pages is an equi-join that Spark splits where one payload is hot.
-    Null html is the empty payload. Rows that repeat a response's page_id are
-    responses too. A null page_id counts as the largest.
+    The first page of a payload comes from a map-side minimum over digests. Payloads
+    that occur once need no mark; the marks of the others are broadcast while their counted rows are few.
+    Beyond the bound only those of the hot payloads are, at most `MAX_HOT`, and the other pages are joined by digest.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     p = pages.select("page_id", "url", payload.alias("payload"))
-    p = p.withColumn("payload_digest", base32(F.sha1("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    p = p.withColumn("_sha", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32(F.col("_sha")))
     keys = pages.select("page_id", payload.alias("payload")).filter(F.octet_length("payload") >= min_bytes)
-    first = keys.groupBy(F.sha1("payload").alias("_sha")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
-    r = p.withColumn("_sha", F.sha1("payload")).join(first, "_sha", "left")
+    first = keys.groupBy(F.sha1("payload").alias("_sha")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    first = materialise(first, folder, "firsts")
+    if first.limit(max_broadcast + 1).count() <= max_broadcast:
+        r = p.join(F.broadcast(first), "_sha", "left")
+    else:
+        total = first.agg(F.sum("_n")).first()[0]
+        hot = F.broadcast(first.filter(F.col("_n") > total / MAX_HOT))
+        rest = first.filter(F.col("_n") <= total / MAX_HOT)
+        r = p.join(hot, "_sha").unionByName(p.join(hot, "_sha", "left_anti").join(rest, "_sha", "left"))
     again = F.coalesce((F.col("payload_bytes") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.lit(False))
     return r.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -334,7 +377,7 @@ def round_trip(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Archive the pages in `folder` and read them back: responses with their payloads, revisits by headers alone."""
     spark = pages.sparkSession
     use(spark)
-    archive_records(pages, min_bytes).write.format("warc").mode("append").save(folder)
+    archive_records(pages, shared_folder(spark), min_bytes).write.format("warc").mode("append").save(folder)
     whole = spark.read.format("warc").load(folder).filter(F.col("record_type") == "response")
     whole = whole.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to")
     names = ", ".join(x for x in SCHEMA.split(", ") if not x.startswith("payload binary"))
