@@ -7,7 +7,7 @@ language's prototype bundles the unit vectors of its training documents. The
 prediction is the prototype with the highest cosine, and the score is that
 cosine, cut to 0..1.
 
-Letters are lower-cased; runs of other characters count as one space. Vectors
+Letters are lower-cased; runs of other characters, and the ends of a text, count as one space. Vectors
 of trigrams are made on first use in each task and kept up to `MAX_CACHED`.
 
 Training takes at most about `max_train` labelled documents, picked by a hash of
@@ -63,16 +63,18 @@ class Profiler:
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """(trigrams, their counts, whether there is a letter), over the whole text in pieces."""
         keys, numbers, lettered = [], [], False
+        last = np.array([32], np.uint64)  # the text so far ends with these codes
         for at in range(0, len(text), CHUNK):
-            points = np.frombuffer(text[at : at + CHUNK + 2].encode("utf-32-le", errors="surrogatepass"), np.uint32)
+            points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", errors="surrogatepass"), np.uint32)
             codes = self.codes[np.minimum(points, 0x2FFF)]
             if points.max() >= 0x3000:
                 high = points >= 0x3000
                 codes[high] = [ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in points[high]]
+            lettered |= bool((codes != 32).any())
+            codes = np.concatenate([last, codes] if at + CHUNK < len(text) else [last, codes, [np.uint64(32)]])
             space = codes == 32
-            lettered |= not space.all()
             codes = codes[~(space & np.concatenate([[False], space[:-1]]))]
-            codes = np.concatenate([[32], codes, [32]]).astype(np.uint64)
+            last = codes[-2:]
             tri = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
             k, n = np.unique(tri, return_counts=True)
             keys.append(k)
