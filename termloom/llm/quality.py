@@ -45,20 +45,20 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column, width: int = 3) -> Column:
     """Words inside windows of `width` words that occur twice or more in `words`, the first included.
 
-    Each window becomes one long, hash above and place below; sorted, equal
-    windows are neighbours, and the covered words are counted from the sorted
-    places. Neighbours are compared word by word, so a collision of the
+    Each window becomes one long, hash above and place below, in as many bits as
+    the text's number of words needs; sorted, equal windows are neighbours, and the covered
+    words are counted from the sorted places. Neighbours are compared word by word, so a collision of the
     shortened hashes adds nothing. O(n log n) in the words.
     """
-    low = (1 << 24) - 1  # places up to 16.7 million words of one text
+    low_of = lambda w: F.pow(F.lit(2.0), F.ceil(F.log2(F.size(w) + F.lit(1.0)))).cast("long") - 1
 
-    def keys(w: Column) -> Column:
-        key = lambda _, i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]).bitwiseAND(~low).bitwiseOR(i.cast("long"))
+    def keys(w: Column, low: Column) -> Column:
+        key = lambda _, i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
         return F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - width + 1, F.lit(0))), key))
 
-    def places(w: Column, s: Column) -> Column:
+    def places(w: Column, s: Column, low: Column) -> Column:
         at = lambda x: x.bitwiseAND(low).cast("int")
-        same = lambda x, y: (F.shiftright(x, 24) == F.shiftright(y, 24)) & F.forall(
+        same = lambda x, y: (x.bitwiseOR(low) == y.bitwiseOR(low)) & F.forall(
             F.array(*[F.lit(k) for k in range(width)]), lambda k: F.get(w, at(x) + k) == F.get(w, at(y) + k)
         )
         twice = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)))
@@ -68,7 +68,7 @@ def repeated_words(words: Column, width: int = 3) -> Column:
         gaps = F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width))))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")
 
-    return let(keys(words), lambda s: let(places(words, s), covered))
+    return let(low_of(words), lambda low: let(keys(words, low), lambda s: let(places(words, s, low), covered)))
 
 
 def failed_lines(text: Column, max_symbol_share=0.3, min_separators=3, min_open_words=3) -> Column:
