@@ -6,10 +6,11 @@ meets the rules by an equi-join on the first `PREFIX` hex digits of its
 SHA-256; the full digest is confirmed before a rule counts, and the longest
 matching rule wins.
 
-The rule table is broadcast only when its counted rows are few; beyond the
-bound both sides are shuffled by prefix, with the expressions salted and the
-rules repeated once per salt, so that a prefix that half of all URLs share is
-spread over many tasks. Matches are reduced per URL before the shuffle.
+The rule table is broadcast only when its counted rows are few. Beyond the
+bound both sides are shuffled by prefix. The expressions of each prefix are counted
+first (map-side); a prefix above a share of `1 / MAX_HOT` of them is hot, and the rules
+of the hot prefixes, `MAX_HOT` prefixes at most, are broadcast instead, so a prefix that half of all
+URLs share isn't one task. Matches are reduced per URL.
 
 Defined results: a null URL, or one without `://`, has an empty host and path
 and matches no rule; a host keeps its port; repeated rows give one row each;
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PREFIX = 8
-SALTS = 32
+MAX_HOT = 10_000
 MAX_BROADCAST_RULES = 100_000
 
 
@@ -74,8 +75,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_broadc
     if known.limit(max_broadcast_rules + 1).count() <= max_broadcast_rules:
         joined = spread.join(F.broadcast(known), "prefix", "left")
     else:
-        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = spread.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["prefix", "salt"], "left")
+        joined = joined_by_prefix(spread, known)
     confirmed = F.when(F.col("full") == F.col("digest"), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("action")))
     repeats = F.count_if(F.col("expression").isNull())
     best = joined.groupBy("page_id", "url", "host", "path").agg(F.max(confirmed).alias("best"), repeats.alias("n"))
@@ -87,3 +87,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_broadc
         F.coalesce("best.action", F.lit(default)).alias("verdict"),
         F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_"),
     ).drop("_")
+
+
+def joined_by_prefix(spread: DataFrame, known: DataFrame) -> DataFrame:
+    """The expressions that share a prefix with a rule, and every stand-in, where the rules are too many to broadcast."""
+    own = spread.filter(F.col("expression").isNotNull())
+    counts = own.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).join(known.select("prefix").distinct(), "prefix", "left_semi")
+    share = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("n") > share / MAX_HOT).select("prefix"))
+    some = own.join(hot, "prefix", "left_semi").join(F.broadcast(known.join(hot, "prefix", "left_semi")), "prefix")
+    rest = own.join(hot, "prefix", "left_anti").join(known.join(hot, "prefix", "left_anti"), "prefix")
+    stand_ins = spread.filter(F.col("expression").isNull())
+    return some.unionByName(rest).unionByName(stand_ins, allowMissingColumns=True)
