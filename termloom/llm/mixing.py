@@ -24,7 +24,7 @@ from .common import materialise, shared_folder, text_or_empty
 
 #: Columns of the result; columns of these names in the documents give way in `mix`.
 OWN = ("size", "source_size", "target", "taken", "epochs", "rest", "cut_key", "left", "tied", "_source", "_key", "_words")
-RANGE_DIGITS = 3  # 4,096 ranges of the key for each source
+ROWS_IN_RANGE = 200_000  # about, of one range of the key, at most
 
 
 def size_of(text: Column) -> Column:
@@ -62,6 +62,14 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) -> DataFra
     return t.select("source", "source_size", target.alias("target"))
 
 
+def range_digits(rows: int) -> int:
+    """Hex digits of the key that name a range: 4,096 ranges of each source, and 16 times as many while one could hold over `ROWS_IN_RANGE` rows."""
+    digits = 3
+    while rows > ROWS_IN_RANGE * 16**digits:
+        digits += 1
+    return digits
+
+
 def cuts(docs: DataFrame, seed: int = 1, weights=(1, 2, 3), max_epochs: int = 3, folder: str | None = None) -> DataFrame:
     """One row per source: its target, whole epochs, and the key where the last, partial epoch stops.
 
@@ -69,7 +77,8 @@ def cuts(docs: DataFrame, seed: int = 1, weights=(1, 2, 3), max_epochs: int = 3,
     """
     folder = folder or shared_folder(docs.sparkSession)
     sized = docs.select("source", "doc_id", size_of(text_or_empty()).alias("size"))
-    rows = materialise(sized.withColumn("key", key_of(seed)), folder, "sizes").withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    rows = materialise(sized.withColumn("key", key_of(seed)), folder, "sizes")
+    rows = rows.withColumn("range", F.substring("key", 1, range_digits(rows.count())))
     ranges = materialise(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), folder, "ranges")
     per_source = materialise(targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs), folder, "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -79,7 +88,7 @@ def cuts(docs: DataFrame, seed: int = 1, weights=(1, 2, 3), max_epochs: int = 3,
     located = ranges.withColumn("before", before).join(F.broadcast(plan) if is_small(plan) else plan, ranges["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     hit = located.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
     hit = materialise(hit.select("source", "range", "before", "rest"), folder, "hits")
-    # only these ranges' rows need an exact prefix sum: 1 in 4,096 of a source
+    # only these ranges' rows need an exact prefix sum
     spot = F.broadcast(hit) if is_small(hit) else hit
     near = rows.join(spot, rows["source"].eqNullSafe(hit["source"]) & (rows["range"] == hit["range"])).select(rows["source"], "key", "size", "before", "rest")
     tied = near.groupBy("source", "key", "before", "rest").agg(F.sum("size").alias("tied"))
