@@ -149,17 +149,22 @@ def strip_fsn(name: Column) -> Column:
 
 
 #: Fixed values of the title case.
-UPPER = ("ct", "mr", "mri", "us", "xr", "pet", "nm", "spect", "dexa", "ir", "fl", "mg", "mra", "mrcp", "iv")
-SIDES = {"lt": "Left", "rt": "Right", "bilat": "Bilateral"}
-SMALL = ("and", "or", "of", "the", "with", "without", "for", "in", "on", "to", "a", "an")
+UPPER = ("ct", "mri", "mr", "us", "xr", "pet", "nm", "dexa", "dxa", "mg", "ir", "picc", "hrct", "mrcp", "cta", "mra")
+SMALL = (
+    "and", "or", "of", "in", "on", "at", "to", "for", "with", "without", "by", "from", "up", "about", "into", "through", "during", "before",
+    "after", "above", "below", "between", "among", "a", "an", "the",
+)
+SIDES = {"rt": "Right", "lt": "Left", "both": "Both", "bilateral": "Both"}
 
 
 def title_case(name: Column) -> Column:
+    """Modalities upper case, sides spelled out, small words (but the first) lower case; punctuation doesn't count in the look-up."""
+
     def one(w: Column, i: Column) -> Column:
-        low = F.lower(w)
+        bare = F.regexp_replace(F.lower(w), r"(?U)[^\w]", "")
         side = F.create_map(*[F.lit(x) for kv in SIDES.items() for x in kv])
         plain = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2), F.length(w))))
-        return F.when(low.isin(*UPPER), F.upper(w)).when(low.isin(*SIDES), side[low]).when(low.isin(*SMALL) & (i > 0), low).otherwise(plain)
+        return F.when(bare.isin(*UPPER), F.upper(w)).when(bare.isin(*SIDES), side[bare]).when(bare.isin(*SMALL) & (i > 0), F.lower(w)).otherwise(plain)
 
     return F.array_join(F.transform(F.split(squeeze(name), " "), one), " ")
 
@@ -193,6 +198,13 @@ def legacy_key(kind: str, ds: Column, ec: Column, en: Column, mc: Column | None
     return F.sha2(F.concat_ws("|", *[norm_field(c) for c in fields]), 256)
 
 
+def input_key(fields: dict[str, Column]) -> Column:
+    """MD5 of the fields as JSON with sorted keys, a blank after each colon and comma; nulls are written as such."""
+    value = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""))
+    parts = [F.concat(F.lit(f'"{k}": '), value(fields[k])) for k in sorted(fields)]
+    return F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+
+
 def comparison_key(names: Column) -> Column:
     """MD5 of the sorted list."""
     return F.md5(F.array_join(F.array_sort(names), "|"))
@@ -216,13 +228,28 @@ def display_name(value: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[value], value)
 
 
-def rewrite_name(name: Column, wants_contrast: Column) -> Column:
-    base = F.regexp_replace(name, r"(?i)\s+(left|right|bilateral|both)$", "")
+def rewrite_name(name: Column, wants_contrast: Column, strip: Column | None = None) -> Column:
+    """The name without its side (where `strip` holds; always without it), and with the contrast that the input asks for."""
+    base = F.trim(F.regexp_replace(name, r"(?i)\s+(lt|rt|left|right|both|bilateral)$", ""))
+    base = base if strip is None else F.when(strip, base).otherwise(name)
     return F.when(wants_contrast & ~F.lower(base).contains("with contrast"), F.concat(base, F.lit(" with contrast"))).otherwise(base)
 
 
+def first_object(text: Column) -> Column:
+    """The text from the first `{` up to the brace that closes it; quoted braces don't count. Null without one."""
+    body = F.regexp_extract(text, r"(?s)\{.*", 0)
+    # one mark per string, brace or other stretch; the running depth ends the object
+    marks = F.regexp_extract_all(body, F.lit(r"""(?s)("(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|")"""), F.lit(1))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
+
+    def step(a: Column, m: Column) -> Column:
+        depth = a["depth"] + F.when(m == "{", 1).when(m == "}", -1).otherwise(0)
+        return F.when(a["done"], a).otherwise(F.struct(F.concat(a["out"], m).alias("out"), depth.alias("depth"), (depth == 0).alias("done")))
+
+    return F.aggregate(marks, start, step, lambda a: F.when(a["done"], a["out"]))
+
+
 def parse_choice(text: Column) -> Column:
-    """(choice, confidence) from the first JSON object inside messy text; null and 0.5 where missing."""
-    body = F.regexp_extract(text, r"\{[^{}]*\}", 0)
-    parsed = F.from_json(body, "choice string, confidence double")
-    return F.struct(parsed["choice"].alias("choice"), F.coalesce(parsed["confidence"], F.lit(0.5)).alias("confidence"))
+    """(choice, confidence) from the first complete JSON object inside messy text; null and 0 where missing."""
+    parsed = F.from_json(first_object(text), "choice string, confidence double")
+    return F.struct(parsed["choice"].alias("choice"), F.coalesce(parsed["confidence"], F.lit(0.0)).alias("confidence"))

@@ -6,9 +6,13 @@ Candidates have `row_id`, `cand_pos`, `in_text`, `in_*` and `cat_text`,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rewrite_name
+
 #: Weights, bonuses and limits.
 RULES = {
     "weights": {"anatomy": 0.25, "modality": 0.35, "laterality": 0.10, "contrast": 0.20, "technique": 0.10},
@@ -19,7 +23,11 @@ RULES = {
     "context": {"gender": 0.20, "age": 0.15, "pregnancy": 0.25, "clinical_penalty": -0.15},
     "generic_anatomy": (0.15, -0.05), "vessel": (0.20, -0.15), "level": (0.15, -0.10),
     "blocks": {"anatomy": -10.0, "hybrid": -6.0, "diagnostic": -8.0, "technique": -10.0},
-    "final": {"default": (0.60, 0.40), "medcpt": (0.65, 0.35), "biolord": (0.60, 0.40)}, "position": (0.03, 0.003),
+    "final": {
+        "general": (0.65, 0.35), "medcpt": (0.65, 0.35), "biolord": (0.60, 0.40), "default": (0.60, 0.40),
+        "gpt-4o-mini": (0.45, 0.55), "claude-3-haiku": (0.50, 0.50), "gemini-2.5-flash-lite": (0.48, 0.52),
+    },
+    "position": (0.03, 0.003),
 }
 #: Word lists and pairs.
 INCOMPATIBLE = (("breast", "penis"), ("arm", "leg"), ("upper limb", "lower limb"), ("heart", "kidney"), ("lung", "liver"), ("prostate", "breast"), ("prostate", "uterus"), ("artery", "bone"))
@@ -30,17 +38,51 @@ HYBRID = (
     (r"pet.*mri|pet/mri|pet-mri", r"pet.*ct|pet/ct|pet-ct|ct.*pet"),
     (r"ct.*mri|ct/mri", r"mri.*ct|mri/ct"),
 )
-SPECIALISED = {"perfusion": ("perfusion", "pwi", "asl"), "ct angiography": ("angiography", "angio", "cta"), "hrct": ("high resolution", "hrct"), "with contrast": ("with contrast", "c+", "iv"), "spect": ("spect", "single photon")}
+SPECIALISED = {
+    "diffusion tensor": ("diffusion", "dti", "tensor"),
+    "fmri": ("functional", "fmri", "bold"),
+    "perfusion": ("perfusion", "pwi", "asl"),
+    "spectroscopy": ("spectroscopy", "mrs"),
+    "ct colonography": ("colonography", "virtual colonoscopy"),
+    "ct angiography": ("angiography", "angio", "cta"),
+    "hrct": ("high resolution", "hrct"),
+    "with contrast": ("with contrast", "c+", "iv"),
+    "spect": ("spect", "single photon"),
+}
 ANATOMICAL_WORDS = ("artery", "vein", "vessel", "aorta", "carotid", "coronary", "pulmonary", "renal", "lobe", "segment", "vertebra", "disc")
 ADMIN_WORDS = ("procedure", "examination", "study", "scan", "imaging", "view", "projection")
 TECHNIQUE_WORDS = ("doppler", "angiography", "venography", "arteriography", "perfusion", "diffusion", "spectroscopy", "elastography")
-STOP_WORDS = ("a", "an", "and", "of", "or", "the", "with", "without", "for", "in", "on", "to")
-BIOPSY = {"lung": {"ct": 0.60, "us": 0.25, "fluoroscopy": -0.50}, "chest": {"ct": 0.60, "us": 0.20, "fluoroscopy": -0.45}, "liver": {"ct": 0.30, "us": 0.35, "fluoroscopy": -0.25}, "kidney": {"ct": 0.30, "us": 0.60, "fluoroscopy": -0.20}, "breast": {"us": 0.40, "mri": 0.25, "ct": 0.10, "fluoroscopy": -0.40}, "spine": {"ct": 0.35, "fluoroscopy": 0.05, "us": -0.15}, "prostate": {"us": 0.40, "mri": 0.30, "ct": 0.10, "fluoroscopy": -0.25}}
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "with", "without", "for", "of", "in", "on", "to",
+    "ct", "mr", "mri", "us", "xr", "x-ray", "nm", "pet", "scan", "imaging", "procedure",
+    "examination", "study", "left", "right", "bilateral", "contrast", "view",
+)
+BIOPSY = {
+    "lung": {"ct": 0.60, "us": 0.25, "fluoroscopy": -0.50},
+    "pulmonary": {"ct": 0.60, "us": 0.25, "fluoroscopy": -0.50},
+    "chest": {"ct": 0.60, "us": 0.20, "fluoroscopy": -0.45},
+    "thoracic": {"ct": 0.60, "us": 0.20, "fluoroscopy": -0.45},
+    "liver": {"ct": 0.30, "us": 0.35, "fluoroscopy": -0.25},
+    "hepatic": {"ct": 0.40, "us": 0.35, "fluoroscopy": -0.25},
+    "kidney": {"ct": 0.30, "us": 0.60, "fluoroscopy": -0.20},
+    "renal": {"ct": 0.30, "us": 0.60, "fluoroscopy": -0.20},
+    "thyroid": {"us": 0.45, "ct": 0.15, "fluoroscopy": -0.30},
+    "breast": {"us": 0.40, "mri": 0.25, "ct": 0.10, "fluoroscopy": -0.40},
+    "bone": {"ct": 0.30, "fluoroscopy": 0.10, "us": -0.10},
+    "spine": {"ct": 0.35, "fluoroscopy": 0.05, "us": -0.15},
+    "vertebr": {"ct": 0.35, "fluoroscopy": 0.05, "us": -0.15},
+    "prostate": {"us": 0.40, "mri": 0.30, "ct": 0.10, "fluoroscopy": -0.25},
+}
 BIOPSY_DEFAULT = {"ct": 0.25, "us": 0.20, "fluoroscopy": -0.15}
 EXPLICIT = ("ct", "us", "ultrasound", "fluoroscop", "mri", "mr")
-ANGIO = ("angiography", "angiogram", "angio", "cta", "mra")
-VENOUS = ("venography", "venogram", "vein", "venous", "ctv", "mrv", "phlebography", "phlebogram")
-ARTERIAL = ("arter", "aort", "carotid")
+ANGIO = ("angiography", "angiogram", "angio", "cta", "ct angiography", "ct angiogram", "mr angiography", "mr angiogram", "mra")
+VENOUS = ("venography", "venogram", "vein", "venous", "ctv", "ct venography", "mr venography", "mrv", "phlebography", "phlebogram", "dural venous sinus")
+ARTERY_NAMES = ("artery", "arterial", "arteries")
+VEIN_NAMES = ("vein", "venous", "veins", "venography")
+PREGNANCY_NAMES = ("pregnancy", "obstetric", "prenatal", "fetal")
+FEMALE_NAMES = ("breast", "mammography", "female", "gynae", "uterus")
+MALE_NAMES = ("prostate", "scrotal", "male", "penis")
+CHILD_NAMES = ("paediatric", "pediatric", "child", "infant")
 LEVELS = {
     "pregnancy": (("first trimester", "second trimester", "third trimester", "1st trimester", "2nd trimester", "3rd trimester"), ("pregnancy", "obstetric", "multiple pregnancy", "prenatal")),
     "anatomical": (("lumbar spine", "cervical spine", "thoracic spine"), ("spine",)),
@@ -50,7 +92,23 @@ CONTEXTS = {
     "intervention": (("biopsy", "drainage", "injection", "aspiration", "guided", "picc", "line"), 0.20), "pregnancy": (("obstetric", "pregnancy", "prenatal", "fetal", "trimester"), 0.25),
     "paediatric": (("paediatric", "pediatric", "paed", "peds", "child", "infant", "newborn"), 0.20),
 }
-SIMILAR = {"CT": {"HRCT": 0.9, "PET": 0.4, "XR": 0.2, "Fluoroscopy": 0.1}, "MRI": {"CT": 0.1}, "XR": {"MG": 0.5, "FL": 0.6, "DEXA": 0.9}, "US": {"MRI": 0.1}, "MG": {"XR": 0.5}, "NM": {"SPECT": 0.9, "PET": 0.4}, "DEXA": {"XR": 0.2}, "IR": {"Fluoroscopy": 0.6, "CT": 0.2, "US": 0.2}}
+SIMILAR = {
+    "CT": {"CECT": 0.9, "DECT": 0.8, "HRCT": 0.9, "PET": 0.4, "XR": 0.2, "Fluoroscopy": 0.1},
+    "MR": {"MRI": 1.0, "MRA": 0.95, "FMRI": 0.8, "CT": 0.1},
+    "XR": {"X-ray": 1.0, "Xray": 1.0, "MG": 0.5, "FL": 0.6, "DEXA": 0.9},
+    "US": {"Ultrasound": 1.0, "USS": 0.9, "MRI": 0.1},
+    "MG": {"Mammography": 1.0, "Mammogram": 1.0, "Tomosynthesis": 0.9, "XR": 0.5},
+    "NM": {"Nuclear Medicine": 1.0, "Scintigraphy": 0.8, "SPECT": 0.9, "PET": 0.4},
+    "PET": {"PET/CT": 0.95, "PET-CT": 1.0, "CT": 0.4},
+    "PET/CT": {"PET-CT": 1.0, "PET": 0.95, "CT": 0.4, "NM": 0.4},
+    "PET-CT": {"PET/CT": 1.0, "PET": 0.95, "CT": 0.4, "NM": 0.4},
+    "PET/MRI": {"PET-MRI": 1.0, "PET": 0.90, "MR": 0.6, "NM": 0.4},
+    "PET-MRI": {"PET/MRI": 1.0, "PET": 0.90, "MR": 0.6, "NM": 0.4},
+    "DEXA": {"DXA": 1.0, "Bone Densitometry": 1.0, "XR": 0.2},
+    "DXA": {"DEXA": 1.0, "Bone Densitometry": 1.0, "XR": 0.2},
+    "IR": {"Fluoroscopy": 0.6, "CT": 0.2, "US": 0.2},
+    "FL": {"Fluoroscopy": 1.0, "XR": 0.6, "IR": 0.6},
+}
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -60,7 +118,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def has_any(text: Column, terms) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: text.contains(t))
+    return reduce(lambda a, b: a | b, [text.contains(t) for t in terms])
 
 
 def modality_score(a: Column, b: Column, similar: dict | None = None) -> Column:
@@ -135,12 +193,12 @@ def interventional_score(a: Column, b: Column, rules: dict = RULES) -> Column:
 def demographic_bonus(gender: Column, age: Column, cat: Column, rules: dict = RULES) -> Column:
     low, c = F.lower(cat), rules["context"]
     by_gender = (
-        F.when((gender == "pregnancy") & has_any(low, ("obstetric", "pregnancy", "prenatal", "fetal")), c["pregnancy"])
-        .when((gender == "female") & has_any(low, ("female", "breast", "uterus", "ovary")), c["gender"])
-        .when((gender == "male") & has_any(low, ("prostate", "testic", "scrot", "penis")), c["gender"])
+        F.when((gender == "pregnancy") & has_any(low, PREGNANCY_NAMES), c["pregnancy"])
+        .when((gender == "female") & has_any(low, FEMALE_NAMES), c["gender"])
+        .when((gender == "male") & has_any(low, MALE_NAMES), c["gender"])
         .otherwise(0.0)
     )
-    return by_gender + F.when((age == "paediatric") & has_any(low, ("paediatric", "pediatric", "child", "infant")), c["age"]).otherwise(0.0)
+    return by_gender + F.when((age == "paediatric") & has_any(low, CHILD_NAMES), c["age"]).otherwise(0.0)
 
 
 def context_rules(config: dict) -> list[tuple[str, list[str], float]]:
@@ -200,7 +258,7 @@ def exact_bonus(text: Column, cat: Column, rules: dict = RULES) -> Column:
 def vessel_preference(text: Column, fsn: Column, rules: dict = RULES) -> Column:
     low, other = F.lower(text), F.lower(fsn)
     generic = has_any(low, ANGIO) & ~has_any(low, VENOUS)
-    return F.when(~generic, 0.0).when(has_any(other, VENOUS), rules["vessel"][1]).when(has_any(other, ARTERIAL), rules["vessel"][0]).otherwise(0.0)
+    return F.when(~generic, 0.0).when(has_any(other, ARTERY_NAMES), rules["vessel"][0]).when(has_any(other, VEIN_NAMES), rules["vessel"][1]).otherwise(0.0)
 
 
 def level_score(text: Column, fsn: Column, levels: dict = LEVELS, rules: dict = RULES) -> Column:
@@ -236,14 +294,18 @@ def scored(cands: DataFrame, dictionary: dict[str, str], profile: str = "engine"
     return base.withColumn("component", F.when(blocked | c("violation").isNotNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(s, rules) + bonus))))
 
 
+#: Models that are prompted; they take no position bonus.
+PROMPTED = ("gpt-4o-mini", "claude-3-haiku", "gemini-2.5-flash-lite")
+
+
 def final_score(cands: DataFrame, model: Column, rules: dict = RULES) -> DataFrame:
-    """Contrast veto, model weights, position bonus: `final` from `component` and `rerank`."""
+    """Contrast veto, model weights (the general ones for unknown models), position bonus: `final` from `component` and `rerank`."""
     weights = F.create_map(*[x for name, (a, b) in rules["final"].items() for x in (F.lit(name), F.struct(F.lit(a).alias("c"), F.lit(b).alias("r")))])
-    w = F.coalesce(weights[model], weights[F.lit("default")])
+    w = F.coalesce(weights[model], weights[F.lit("general")])
     veto = (F.size("in_contrast") > 0) & (F.size("cat_contrast") > 0) & ~F.arrays_overlap("in_contrast", "cat_contrast") & (F.col("component") == 0)
     top, step = rules["position"]
     several = F.count(F.lit(1)).over(Window.partitionBy("row_id")) > 1
-    position = F.when(F.col("in_simple") & several, F.greatest(F.lit(0.0), top - step * F.col("cand_pos"))).otherwise(0.0)
+    position = F.when(F.col("in_simple") & several & ~model.isin(*PROMPTED), F.greatest(F.lit(0.0), top - step * F.col("cand_pos"))).otherwise(0.0)
     return cands.withColumn("final", F.when(veto, 0.0).otherwise(w["r"] * F.col("rerank") + w["c"] * F.col("component") + position))
 
 
@@ -270,6 +332,17 @@ def candidate_list(cands: DataFrame, score: str = "final") -> DataFrame:
     return cands.groupBy("row_id").agg(listed.alias("candidates"))
 
 
+def best_and_list(cands: DataFrame, columns: list[str], score: str = "final") -> DataFrame:
+    """`pick_best` and `candidate_list` at once, by one grouping: row_id, `columns` of the best, and the candidates, best first.
+
+    A row has at most the retriever's k candidates, so the list is short.
+    """
+    item = F.struct((-F.col(score)).alias("o"), F.col("cand_pos").alias("p"), F.col("entry_id").alias("e"), F.round(score, 2).alias("s"), *[F.col(c).alias(f"_{c}") for c in columns])
+    rows = cands.groupBy("row_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    listed = F.transform("c", lambda x: F.struct(x["e"].alias("entry_id"), x["s"].alias("score")))
+    return rows.select("row_id", *[F.col("c")[0][f"_{c}"].alias(c) for c in columns], listed.alias("candidates"))
+
+
 def modality_filter(cands: DataFrame) -> DataFrame:
     """Candidates without a modality, or with the input's first."""
     first = F.upper(F.get("in_modality", F.lit(0)))
@@ -284,7 +357,13 @@ def complexity_reorder(cands: DataFrame, similar: Column) -> DataFrame:
 
 
 def laterality_ambiguous(entry_side: Column, parsed_side: Column, input_side: Column) -> Column:
-    return (F.coalesce(entry_side, parsed_side).isin("left", "right") & input_side.isNull()) | (input_side == "bilateral") & F.coalesce(entry_side, parsed_side).isin("left", "right")
+    """The input names no side, and the entry does (by its coded side, or where that is missing by its name)."""
+    return F.coalesce(input_side.isNull() & F.coalesce(entry_side, parsed_side).isin("left", "right", "bilateral"), F.lit(False))
+
+
+def needs_peer(entry_side: Column, parsed_side: Column, input_side: Column) -> Column:
+    """Whether the bilateral peer stands for the match: its side is ambiguous, or the input asks for both and the entry isn't coded so."""
+    return laterality_ambiguous(entry_side, parsed_side, input_side) | F.coalesce((input_side == "bilateral") & ~entry_side.eqNullSafe(F.lit("bilateral")), F.lit(False))
 
 
 def signature(*sets: Column) -> Column:
@@ -292,16 +371,29 @@ def signature(*sets: Column) -> Column:
     return F.concat_ws("|", *[F.array_join(F.array_sort(s), ",") for s in sets])
 
 
-def peers(best: DataFrame, others: DataFrame, same_concept: bool) -> DataFrame:
-    """For one-sided matches: the first bilateral or unsided entry with equal components (and concept)."""
-    o = others.filter(F.col("laterality").isNull() | (F.col("laterality") == "bilateral")).select(F.col("entry_id").alias("peer_id"), F.col("concept_id").alias("_c"), F.col("sig").alias("_s"))
-    on = (F.col("sig") == F.col("_s")) & ((F.col("concept_id") == F.col("_c")) if same_concept else F.lit(True))
-    found = best.filter(F.col("laterality").isin("left", "right")).join(o, on)
-    return found.groupBy("entry_id").agg(F.min("peer_id").alias("peer_id"))
+def peers(best: DataFrame, others: DataFrame) -> DataFrame:
+    """For one-sided matches: the first bilateral or unsided entry of the catalogue with equal components."""
+    o = others.filter(F.col("laterality").isNull() | (F.col("laterality") == "bilateral")).select(F.col("entry_id").alias("peer_id"), F.col("sig").alias("_s"))
+    first = o.groupBy("_s").agg(F.min("peer_id").alias("peer_id"))
+    found = best.filter(F.col("laterality").isin("left", "right")).join(first, F.col("sig") == F.col("_s"))
+    return found.select("entry_id", "peer_id")
+
 
+def peers_in_candidates(best: DataFrame, cands: DataFrame) -> DataFrame:
+    """For each best match, the first candidate of its row (by position) with the same concept and components that is bilateral.
 
-def biopsy_ambiguous(text: Column, in_modality: Column, cat_modality: Column) -> Column:
-    return (F.lower(text).contains("biopsy") | F.lower(text).contains("bx")) & (F.size(in_modality) == 0) & (F.size(cat_modality) > 0)
+    `cands` has row_id, entry_id, concept_id, sig, entry_side (coded, may be null), laterality (of the name) and cand_pos; the coded side goes first.
+    """
+    both = F.when(F.col("entry_side").isNotNull(), F.col("entry_side") == "bilateral").otherwise(F.coalesce(F.col("laterality"), F.lit("bilateral")) == "bilateral")
+    o = cands.filter(both).select("row_id", "concept_id", "sig", F.col("entry_id").alias("peer_id"), "cand_pos")
+    first = o.groupBy("row_id", "concept_id", "sig").agg(F.min_by("peer_id", "cand_pos").alias("peer_id"))
+    return best.select("row_id", "entry_id", "concept_id", "sig").join(first, ["row_id", "concept_id", "sig"]).select("row_id", "entry_id", "peer_id")
+
+
+def biopsy_ambiguous(text: Column) -> Column:
+    """A biopsy without an explicit modality."""
+    low = F.lower(text)
+    return (low.contains("biopsy") | low.contains("bx")) & ~has_any(low, EXPLICIT)
 
 
 def safeguard(df: DataFrame, similarity: Column, limit: float = 0.3, cap: float = 0.2) -> DataFrame:
@@ -314,6 +406,25 @@ def safeguard(df: DataFrame, similarity: Column, limit: float = 0.3, cap: float
     )
 
 
+def assemble(best: DataFrame, entry_side: Column, similarity: Column) -> DataFrame:
+    """The result row of each best match: contexts come from the input, components from the match, nested under `components`.
+
+    `best` has in_text, in_gender, in_age, in_contrast, in_laterality, the match's cat_ columns, confidence and candidates.
+    """
+    c = F.col
+    sides = (entry_side, c("cat_laterality"), c("in_laterality"))
+    strip = needs_peer(*sides)
+    df = best.withColumn("ambiguous", strip | F.coalesce(biopsy_ambiguous(c("in_text")), F.lit(False)))
+    df = safeguard(df, similarity)
+    parts = [c(f"cat_{n}").alias(n) for n in ("anatomy", "laterality", "contrast", "technique", "modality")]
+    diagnostic = ~F.exists("cat_technique", lambda t: t.contains("Interventional"))
+    return df.select(
+        "row_id", "entry_id", rewrite_name(c("cat_text"), F.array_contains("in_contrast", "with"), strip).alias("clean_name"), diagnostic.alias("is_diagnostic"), (~diagnostic).alias("is_interventional"),
+        "ambiguous", laterality_ambiguous(*sides).alias("side_ambiguous"), "confidence", "audit", "candidates",
+        F.struct(*parts, c("confidence").alias("confidence"), c("in_gender").alias("gender"), c("in_age").alias("age")).alias("components"),
+    )
+
+
 def consensus(responses: DataFrame) -> DataFrame:
     """Vote of models per row: most votes, then highest mean confidence, then the smallest choice."""
     valid = responses.filter(F.col("choice").isNotNull())

@@ -115,13 +115,16 @@ def b9c(spark, sf):
     return derive.feed(spark, sf).select("row_id", tx.preprocess(n).alias("clean_name"), (cx.qualifier(tx.expanded(n)) < cx.SIMPLE_INPUT).cast("int").alias("is_simple"))
 
 
+_BARE = "regexp_replace(lower(w), '[^a-z0-9_]', '', 'g')"
+
+
 @query("b10_b18_names", f"""
     SELECT entry_id, regexp_replace(fsn, '\\s*\\((procedure|qualifier value|finding)\\)$', '', 'i') AS bare,
-      array_to_string(list_transform(string_split({squeeze_sql('primary_name')}, ' '), lambda w, i: CASE WHEN lower(w) IN {tx.UPPER} THEN upper(w)
-        WHEN lower(w) IN ('lt', 'rt', 'bilat') THEN CASE lower(w) WHEN 'lt' THEN 'Left' WHEN 'rt' THEN 'Right' ELSE 'Bilateral' END
-        WHEN lower(w) IN {tx.SMALL} AND i > 1 THEN lower(w) ELSE concat(upper(left(w, 1)), lower(substr(w, 2))) END), ' ') AS titled,
-      CASE WHEN entry_id % 3 = 0 AND NOT contains(lower(regexp_replace(primary_name, '\\s+(left|right|bilateral|both)$', '', 'i')), 'with contrast')
-        THEN regexp_replace(primary_name, '\\s+(left|right|bilateral|both)$', '', 'i') || ' with contrast' ELSE regexp_replace(primary_name, '\\s+(left|right|bilateral|both)$', '', 'i') END AS rewritten
+      array_to_string(list_transform(string_split({squeeze_sql('primary_name')}, ' '), lambda w, i: CASE WHEN {_BARE} IN {tx.UPPER} THEN upper(w)
+        WHEN {_BARE} IN ('rt', 'lt', 'both', 'bilateral') THEN CASE {_BARE} WHEN 'lt' THEN 'Left' WHEN 'rt' THEN 'Right' ELSE 'Both' END
+        WHEN {_BARE} IN {tx.SMALL} AND i > 1 THEN lower(w) ELSE concat(upper(left(w, 1)), lower(substr(w, 2))) END), ' ') AS titled,
+      CASE WHEN entry_id % 3 = 0 AND NOT contains(lower(regexp_replace(primary_name, '\\s+(lt|rt|left|right|both|bilateral)$', '', 'i')), 'with contrast')
+        THEN regexp_replace(primary_name, '\\s+(lt|rt|left|right|both|bilateral)$', '', 'i') || ' with contrast' ELSE regexp_replace(primary_name, '\\s+(lt|rt|left|right|both|bilateral)$', '', 'i') END AS rewritten
     FROM ({CAT})""")
 def b10(spark, sf):
     n = F.col("primary_name")
@@ -168,10 +171,11 @@ def b17(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", tx.display_name(F.col("o_orderstatus"), {"O": "Open", "F": "Filled"}).alias("status"))
 
 
-@query("b19_parse_choice", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS choice, CASE WHEN event_id % 5 = 0 OR event_id % 3 = 0 THEN 0.5 ELSE round(value / 1000, 6) END AS confidence FROM events""")
+@query("b19_parse_choice", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS choice, CASE WHEN event_id % 5 = 0 OR event_id % 3 = 0 THEN 0.0 ELSE round(value / 1000, 6) END AS confidence FROM events""")
 def b19(spark, sf):
     k, c = F.col("event_id"), F.round(F.col("value") / 1000, 6)
-    body = F.when(k % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("choice")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("choice"), c.alias("confidence"))))
+    note = F.struct(F.lit(1).alias("k"), F.lit('a "quoted" } {').alias("why"))
+    body = F.when(k % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("choice")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("choice"), note.alias("m"), c.alias("confidence"))))
     text = F.when(k % 5 == 0, "no answer").otherwise(F.concat(F.lit("Sure, here it is: "), body, F.lit(" done {")))
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", tx.parse_choice(text).alias("p")).select("event_id", "p.choice", "p.confidence")
 

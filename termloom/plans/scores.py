@@ -41,8 +41,13 @@ CANDS = f"""{PARSED}, ent AS (SELECT concept_id, entry_id, primary_name AS cat_t
     FROM inp2 i JOIN ent e ON list_has_any(in_anatomy, cat_anatomy) QUALIFY cand_pos < 15)"""
 
 
-def inputs(spark, sf):
-    f = derive.feed(spark, sf).select("row_id", "modality_code", tx.preprocess(C("exam_name")).alias("in_text"))
+def feed_of(part):
+    """The feed of one table of parts, such as a batch of a stream."""
+    return part.sparkSession.sql(derive.FEED.replace("FROM part", "FROM {part}"), part=part)
+
+
+def inputs(spark, sf, feed=None):
+    f = (derive.feed(spark, sf) if feed is None else feed).select("row_id", "modality_code", tx.preprocess(C("exam_name")).alias("in_text"))
     f = f.select("row_id", "in_text", cp.components(C("in_text"), C("modality_code")).alias("c"))
     f = f.select("row_id", "in_text", *[C(f"c.{n}").alias(f"in_{n}") for n in ("modality", "anatomy", "laterality", "contrast", "technique")])
     return f.withColumns({"in_simple": cx.qualifier(C("in_text")) < cx.SIMPLE_INPUT, "in_gender": cp.gender_context(C("in_text"), C("in_anatomy")), "in_age": cp.age_context(C("in_text"))})
@@ -53,8 +58,8 @@ def catalogue(spark, sf):
     return e.select("concept_id", "entry_id", "cat_text", "cat_fsn", *[C(f"c.{n}").alias(f"cat_{n}") for n in ("modality", "anatomy", "laterality", "contrast", "technique")])
 
 
-def candidates(spark, sf):
-    return rt.blocked_candidates(inputs(spark, sf), catalogue(spark, sf))
+def candidates(spark, sf, feed=None):
+    return rt.blocked_candidates(inputs(spark, sf, feed), catalogue(spark, sf))
 
 
 #: Oracle expressions of each rule.
@@ -70,8 +75,8 @@ _LAT = "CASE WHEN in_laterality IS NOT DISTINCT FROM cat_laterality THEN 1.0 WHE
 _CON = "CASE WHEN len(in_contrast) = 0 AND len(cat_contrast) = 0 THEN 1.25 WHEN len(in_contrast) = 0 THEN 0.1 WHEN len(cat_contrast) = 0 THEN 0.7 WHEN list_sort(in_contrast) = list_sort(cat_contrast) THEN 1.0 WHEN list_has_any(in_contrast, cat_contrast) THEN 0.8 ELSE 0.05 END"
 _HYB = " OR ".join(f"({has('lower(in_text)', a)} AND {has('lower(cat_text)', b)})" for a, b in sc.HYBRID)
 _INT = lambda c: f"len(list_filter({c}, lambda x: contains(x, 'Interventional'))) > 0"
-_DEMO = f"""CASE WHEN in_gender = 'pregnancy' AND {any_sql('cat_text', ('obstetric', 'pregnancy', 'prenatal', 'fetal'))} THEN 0.25 WHEN in_gender = 'female' AND {any_sql('cat_text', ('female', 'breast', 'uterus', 'ovary'))} THEN 0.20
-    WHEN in_gender = 'male' AND {any_sql('cat_text', ('prostate', 'testic', 'scrot', 'penis'))} THEN 0.20 ELSE 0.0 END + CASE WHEN in_age = 'paediatric' AND {any_sql('cat_text', ('paediatric', 'pediatric', 'child', 'infant'))} THEN 0.15 ELSE 0.0 END"""
+_DEMO = f"""CASE WHEN in_gender = 'pregnancy' AND {any_sql('cat_text', sc.PREGNANCY_NAMES)} THEN 0.25 WHEN in_gender = 'female' AND {any_sql('cat_text', sc.FEMALE_NAMES)} THEN 0.20
+    WHEN in_gender = 'male' AND {any_sql('cat_text', sc.MALE_NAMES)} THEN 0.20 ELSE 0.0 END + CASE WHEN in_age = 'paediatric' AND {any_sql('cat_text', sc.CHILD_NAMES)} THEN 0.15 ELSE 0.0 END"""
 _CTX = " + ".join(f"CASE WHEN {any_sql('in_text', w)} AND {any_sql('cat_text', w)} THEN {b} WHEN {any_sql('in_text', w)} THEN -0.15 ELSE 0.0 END" for w, b in sc.CONTEXTS.values())
 _SYN = " OR ".join(f"(contains(lower(in_text), {lit(k.lower())}) AND contains(lower(cat_text), {lit(v.lower())})) OR (contains(lower(in_text), {lit(v.lower())}) AND contains(lower(cat_text), {lit(k.lower())}))" for k, v in tx.ABBREVIATIONS.items())
 _KEY = "CASE WHEN list_contains(cat_modality, 'CT') THEN 'ct' WHEN list_contains(cat_modality, 'US') THEN 'us' WHEN list_contains(cat_modality, 'MRI') THEN 'mri' WHEN list_has_any(cat_modality, ['Fluoroscopy', 'IR']) THEN 'fluoroscopy' END"
@@ -81,7 +86,7 @@ _GEN = "CASE WHEN len(in_anatomy) > 0 THEN 0.0 WHEN len(cat_anatomy) = 0 THEN 0.
 _EXTRA = f"list_filter({tokens_sql('cat_text')}, lambda x: NOT list_contains({tokens_sql('in_text')}, x))"
 _cnt = lambda ws: f"len(list_intersect({_EXTRA}, {list(ws)}))"
 _SPEC = f"{_cnt(sc.ANATOMICAL_WORDS)} * 0.10 + {_cnt(sc.TECHNIQUE_WORDS)} * 0.05 - {_cnt(sc.ADMIN_WORDS)} * 0.20 - (len({_EXTRA}) - {_cnt((*sc.ANATOMICAL_WORDS, *sc.ADMIN_WORDS, *sc.TECHNIQUE_WORDS, *sc.STOP_WORDS))}) * 0.15"
-_VES = f"CASE WHEN NOT ({any_sql('in_text', sc.ANGIO)} AND NOT {any_sql('in_text', sc.VENOUS)}) THEN 0.0 WHEN {any_sql('cat_fsn', sc.VENOUS)} THEN -0.15 WHEN {any_sql('cat_fsn', sc.ARTERIAL)} THEN 0.20 ELSE 0.0 END"
+_VES = f"CASE WHEN NOT ({any_sql('in_text', sc.ANGIO)} AND NOT {any_sql('in_text', sc.VENOUS)}) THEN 0.0 WHEN {any_sql('cat_fsn', sc.ARTERY_NAMES)} THEN 0.20 WHEN {any_sql('cat_fsn', sc.VEIN_NAMES)} THEN -0.15 ELSE 0.0 END"
 _lev = lambda c, s, g: f"CASE WHEN {any_sql(c, s)} THEN 'specific' WHEN {any_sql(c, g)} THEN 'generic' END"
 _LEV = " + ".join(f"coalesce(CASE WHEN {_lev('in_text', s, g)} = {_lev('cat_fsn', s, g)} THEN 0.15 WHEN {_lev('in_text', s, g)} = 'specific' AND {_lev('cat_fsn', s, g)} = 'generic' THEN -0.10 END, 0.0)" for s, g in sc.LEVELS.values())
 _W = "(0.25 * s_anatomy + 0.35 * s_modality + 0.10 * s_laterality + 0.20 * s_contrast + 0.10 * s_technique)"
@@ -97,8 +102,8 @@ PARTS = f"""{CANDS}, p AS (SELECT *, CAST(CASE WHEN {_CLASH} THEN -10.0 ELSE {ja
 NAMES = ("s_anatomy", "s_modality", "s_laterality", "s_contrast", "s_technique", "p_diagnostic", "p_hybrid", "p_technique", "b_interventional", "b_demographic", "b_context", "b_synonym", "b_biopsy", "b_generic", "b_specificity", "b_exact", "b_vessel", "b_level")
 
 
-def scored(spark, sf):
-    c = sc.scored(candidates(spark, sf), tx.ABBREVIATIONS)
+def scored(spark, sf, feed=None):
+    c = sc.scored(candidates(spark, sf, feed), tx.ABBREVIATIONS)
     raw = F.when((C("row_id") + C("entry_id")) % 7 == 0, None).otherwise(((C("row_id") * 31 + C("entry_id") * 17) % 100) / 100.0)
     return c.withColumn("rerank", raw)
 
@@ -118,18 +123,21 @@ def g21(spark, sf):
     return c.select("row_id", "entry_id", F.round("component", 6).alias("component"), F.round(sc.final_consolidated(C("component"), raw, fit), 6).alias("final"))
 
 
-FINAL = f"""{PARTS}, f AS (SELECT *, CASE WHEN len(in_contrast) > 0 AND len(cat_contrast) > 0 AND NOT list_has_any(in_contrast, cat_contrast) AND component = 0 THEN 0.0
-    ELSE (CASE WHEN row_id % 2 = 0 THEN 0.35 ELSE 0.40 END) * rerank + (CASE WHEN row_id % 2 = 0 THEN 0.65 ELSE 0.60 END) * component + CASE WHEN in_simple AND count(*) OVER (PARTITION BY row_id) > 1 THEN greatest(0.0, 0.03 - 0.003 * cand_pos) ELSE 0.0 END END AS final FROM scored),
+_MODELS = {0: "medcpt", 1: "biolord", 2: "gpt-4o-mini", 3: "unheard-of"}
+#: The weights of each model, (component, rerank); an unknown one takes the general ones.
+_WEIGHT = lambda k: "CASE row_id % 4 " + " ".join(f"WHEN {i} THEN {(0.65, 0.60, 0.45, 0.65)[i] if k == 0 else (0.35, 0.40, 0.55, 0.35)[i]}" for i in _MODELS) + " END"
+FINAL = f"""{PARTS}, f AS (SELECT *, max(rerank) OVER (PARTITION BY row_id) = 0 AS invalid, CASE WHEN len(in_contrast) > 0 AND len(cat_contrast) > 0 AND NOT list_has_any(in_contrast, cat_contrast) AND component = 0 THEN 0.0
+    ELSE {_WEIGHT(1)} * rerank + {_WEIGHT(0)} * component + CASE WHEN in_simple AND row_id % 4 <> 2 AND count(*) OVER (PARTITION BY row_id) > 1 THEN greatest(0.0, 0.03 - 0.003 * cand_pos) ELSE 0.0 END END AS final FROM scored),
   best AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(final, 9) DESC, cand_pos) = 1)"""
 
 
-def finals(spark, sf):
-    g = sc.rerank_guard(scored(spark, sf))
-    model = F.when(C("row_id") % 2 == 0, "medcpt").otherwise("biolord")
+def finals(spark, sf, feed=None):
+    g = sc.rerank_guard(scored(spark, sf, feed))
+    model = F.create_map(*[F.lit(x) for kv in _MODELS.items() for x in kv])[(C("row_id") % 4).cast("int")]
     return sc.final_score(g, model).withColumn("final", F.round("final", 9))
 
 
-@query("g22_g27_best_match", f"WITH {FINAL} SELECT row_id, entry_id, cand_pos, round(final, 6) AS final, CAST(max(rerank) OVER (PARTITION BY row_id) = 0 AS INTEGER) AS invalid FROM best")
+@query("g22_g27_best_match", f"WITH {FINAL} SELECT row_id, entry_id, cand_pos, round(final, 6) AS final, CAST(invalid AS INTEGER) AS invalid FROM best")
 def g22(spark, sf):
     return sc.pick_best(finals(spark, sf)).select("row_id", "entry_id", "cand_pos", F.round("final", 6).alias("final"), C("invalid").cast("int").alias("invalid"))
 
@@ -140,19 +148,26 @@ def g28(spark, sf):
     return sc.candidate_list(finals(spark, sf)).select("row_id", F.array_join(ids, ",").alias("listed"))
 
 
-@query("g29_g34_assembly", f"""WITH {FINAL}, n AS (SELECT *, regexp_replace(cat_text, '\\s+(left|right|bilateral|both)$', '', 'i') AS bare FROM best)
-    SELECT row_id, entry_id, in_gender AS gender, in_age AS age, array_to_string(cat_anatomy, ',') AS anatomy, CASE WHEN list_contains(in_contrast, 'with') AND NOT contains(lower(bare), 'with contrast') THEN bare || ' with contrast' ELSE bare END AS clean_name,
-      CAST(coalesce((cat_laterality IN ('left', 'right') AND in_laterality IS NULL) OR (in_laterality = 'bilateral' AND cat_laterality IN ('left', 'right')), false) AS INTEGER) AS side_ambiguous,
-      CAST(({any_sql('in_text', ('biopsy', 'bx'))} AND len(in_modality) = 0 AND len(cat_modality) > 0) OR {jaccard_sql(tokens_sql('in_text'), tokens_sql('cat_text'))} < 0.3 AS INTEGER) AS ambiguous,
-      round(CASE WHEN {jaccard_sql(tokens_sql('in_text'), tokens_sql('cat_text'))} < 0.3 THEN least(final, 0.2) ELSE final END, 6) AS confidence FROM n""")
+_SIMILAR = f"{jaccard_sql(tokens_sql('in_text'), tokens_sql('cat_text'))}"
+_BX = f"({any_sql('in_text', ('biopsy', 'bx'))} AND NOT {any_sql('in_text', sc.EXPLICIT)})"
+
+
+@query("g29_g34_assembly", f"""WITH {FINAL}, l AS (SELECT row_id, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY round(final, 9) DESC, cand_pos) AS listed FROM f GROUP BY row_id),
+    q AS (SELECT *, coalesce(in_laterality IS NULL AND cat_laterality IN ('left', 'right', 'bilateral'), false) AS unsure FROM best),
+    n AS (SELECT *, unsure OR coalesce(in_laterality = 'bilateral', false) AS strip, regexp_replace(cat_text, '\\s+(lt|rt|left|right|both|bilateral)$', '', 'i') AS bare FROM q),
+    m AS (SELECT *, CASE WHEN strip THEN bare ELSE cat_text END AS shown FROM n)
+    SELECT row_id, entry_id, in_gender AS gender, in_age AS age, array_to_string(cat_anatomy, ',') AS anatomy, array_to_string(cat_modality, ',') AS modality, array_to_string(cat_technique, ',') AS technique, array_to_string(cat_contrast, ',') AS contrast, cat_laterality AS laterality,
+      CASE WHEN list_contains(in_contrast, 'with') AND NOT contains(lower(shown), 'with contrast') THEN shown || ' with contrast' ELSE shown END AS clean_name,
+      CAST(NOT {_INT('cat_technique')} AS INTEGER) AS is_diagnostic, CAST(strip OR {_BX} OR {_SIMILAR} < 0.3 AS INTEGER) AS ambiguous,
+      round(CASE WHEN {_SIMILAR} < 0.3 THEN least(final, 0.2) ELSE final END, 6) AS confidence, listed FROM m JOIN l USING (row_id)""")
 def g29(spark, sf):
-    b = sc.pick_best(finals(spark, sf)).withColumn("confidence", C("final"))
-    b = b.withColumn("side_ambiguous", F.coalesce(sc.laterality_ambiguous(C("cat_laterality"), C("cat_laterality"), C("in_laterality")), F.lit(False)).cast("int"))
-    b = b.withColumn("ambiguous", sc.biopsy_ambiguous(C("in_text"), C("in_modality"), C("cat_modality")))
-    b = sc.safeguard(b, sc.jaccard(rt.tokens(C("in_text")), rt.tokens(C("cat_text"))))
-    return b.select(
-        "row_id", "entry_id", C("in_gender").alias("gender"), C("in_age").alias("age"), F.array_join("cat_anatomy", ",").alias("anatomy"),
-        tx.rewrite_name(C("cat_text"), F.array_contains("in_contrast", "with")).alias("clean_name"), "side_ambiguous", C("ambiguous").cast("int").alias("ambiguous"), F.round("confidence", 6).alias("confidence"),
+    kept = ("in_text", "in_gender", "in_age", "in_contrast", "in_laterality", "cat_text", "cat_anatomy", "cat_modality", "cat_technique", "cat_contrast", "cat_laterality", "entry_id", "final")
+    b = sc.best_and_list(finals(spark, sf), list(kept)).withColumnRenamed("final", "confidence")
+    r = sc.assemble(b, F.lit(None).cast("string"), sc.jaccard(rt.tokens(C("in_text")), rt.tokens(C("cat_text"))))
+    return r.select(
+        "row_id", "entry_id", "components.gender", "components.age", *[F.array_join(f"components.{n}", ",").alias(n) for n in ("anatomy", "modality", "technique", "contrast")], "components.laterality",
+        "clean_name", C("is_diagnostic").cast("int").alias("is_diagnostic"), C("ambiguous").cast("int").alias("ambiguous"), F.round("confidence", 6).alias("confidence"),
+        F.array_join(F.transform("candidates", lambda x: x["entry_id"].cast("string")), ",").alias("listed"),
     )
 
 
@@ -166,17 +181,24 @@ def peer_entries(spark, sf):
     return derive.sided(spark, sf).select("concept_id", "entry_id", both.alias("c")).select("concept_id", "entry_id", "c.laterality", "c.sig")
 
 
-@query("g30_peer_same_concept", f"WITH {_PE} SELECT a.entry_id, min(b.entry_id) AS peer_id FROM s a JOIN s b ON a.sig = b.sig AND a.concept_id = b.concept_id WHERE a.laterality IN ('left', 'right') AND (b.laterality IS NULL OR b.laterality = 'bilateral') GROUP BY 1")
+#: Groups of nine sided entries as candidate lists, in descending order; the first of each is the match.
+_LISTS = "SELECT floor(entry_id / 9) AS row_id, 8 - entry_id % 9 AS cand_pos, CASE WHEN entry_id % 18 = 2 THEN 'left' WHEN entry_id % 5 = 0 THEN 'bilateral' END AS entry_side, * FROM s"
+
+
+@query("g30_peer_same_concept", f"""WITH {_PE}, c AS ({_LISTS}), b AS (SELECT * FROM c WHERE entry_id % 9 = 0),
+    o AS (SELECT * FROM c WHERE CASE WHEN entry_side IS NOT NULL THEN entry_side = 'bilateral' ELSE coalesce(laterality, 'bilateral') = 'bilateral' END)
+    SELECT CAST(b.row_id AS BIGINT) AS row_id, b.entry_id, o.entry_id AS peer_id FROM b JOIN o ON b.row_id = o.row_id AND b.concept_id = o.concept_id AND b.sig = o.sig QUALIFY row_number() OVER (PARTITION BY b.entry_id ORDER BY o.cand_pos) = 1""")
 def g30(spark, sf):
-    e = peer_entries(spark, sf)
-    return sc.peers(e, e, same_concept=True)
+    k = C("entry_id")
+    side = F.when(k % 18 == 2, "left").when(k % 5 == 0, "bilateral")
+    c = peer_entries(spark, sf).withColumns({"row_id": F.floor(k / 9), "cand_pos": 8 - k % 9, "entry_side": side})
+    return sc.peers_in_candidates(c.filter("entry_id % 9 = 0"), c)
 
 
-@query("g31_peer_in_catalogue", f"WITH {_PE} SELECT a.entry_id, min(b.entry_id) AS peer_id FROM s a JOIN (SELECT sig, min(entry_id) AS entry_id FROM s WHERE laterality IS NULL OR laterality = 'bilateral' GROUP BY sig) b ON a.sig = b.sig WHERE a.laterality IN ('left', 'right') GROUP BY 1")
+@query("g31_peer_in_catalogue", f"WITH {_PE} SELECT a.entry_id, b.entry_id AS peer_id FROM s a JOIN (SELECT sig, min(entry_id) AS entry_id FROM s WHERE laterality IS NULL OR laterality = 'bilateral' GROUP BY sig) b ON a.sig = b.sig WHERE a.laterality IN ('left', 'right')")
 def g31(spark, sf):
     e = peer_entries(spark, sf)
-    first = e.filter(C("laterality").isNull() | (C("laterality") == "bilateral")).groupBy("sig").agg(F.min("entry_id").alias("entry_id")).withColumn("laterality", F.lit(None).cast("string")).withColumn("concept_id", F.lit(0))
-    return sc.peers(e, first, same_concept=False)
+    return sc.peers(e, e)
 
 
 _VOTES = "SELECT user_id AS row_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS choice, (event_id % 100) / 100.0::DOUBLE AS confidence FROM events"
@@ -199,19 +221,18 @@ def f4(spark, sf):
 
 
 @query("f5_complexity_reorder", f"""WITH {CANDS} SELECT row_id, entry_id, row_number() OVER (PARTITION BY row_id ORDER BY CASE WHEN NOT in_simple THEN 0 WHEN {jaccard_sql(tokens_sql('in_text'), tokens_sql('cat_text'))} > 0.7 THEN 0
-    WHEN least({structural_sql('cat_fsn')} + {terminology_sql('cat_fsn')}, 1.0) <= 0.2 THEN 1 ELSE 2 END, cand_pos) - 1 AS new_pos FROM cands""")
+    WHEN least({structural_sql('cat_fsn')} + {terminology_sql('cat_fsn')}, 1.0) <= 0.67 THEN 1 ELSE 2 END, cand_pos) - 1 AS new_pos FROM cands""")
 def f5(spark, sf):
-    c = candidates(spark, sf).withColumn("cat_complex", cx.total_complexity(C("cat_fsn")) > 0.2)
+    c = candidates(spark, sf).withColumn("cat_complex", cx.total_complexity(C("cat_fsn")) > 0.67)
     return sc.complexity_reorder(c, sc.jaccard(rt.tokens(C("in_text")), rt.tokens(C("cat_text")))).select("row_id", "entry_id", "new_pos")
 
 
 @query("standardise_parts", f"""WITH {FINAL}, l AS (SELECT row_id, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY round(final, 9) DESC, cand_pos) AS listed FROM f GROUP BY row_id)
     SELECT i.row_id, i.in_text AS clean_name, b.entry_id, b.cat_text AS matched, round(b.final, 6) AS confidence, listed FROM inp i LEFT JOIN best b USING (row_id) LEFT JOIN l USING (row_id)
     WHERE NOT {has('lower(i.in_text)', '|'.join(tx.EXCLUSIONS))}""")
-def standardise(spark, sf):
+def standardise(spark, sf, feed=None):
     """The whole chain: clean, extract, retrieve, score, pick, list."""
-    i = inputs(spark, sf).select("row_id", C("in_text").alias("clean_name")).filter(~tx.is_excluded(C("clean_name")))
-    f = finals(spark, sf)
-    best = sc.pick_best(f).select("row_id", "entry_id", C("cat_text").alias("matched"), F.round("final", 6).alias("confidence"))
-    listed = sc.candidate_list(f).select("row_id", F.array_join(F.transform("candidates", lambda x: x["entry_id"].cast("string")), ",").alias("listed"))
-    return i.join(best, "row_id", "left").join(listed, "row_id", "left")
+    i = inputs(spark, sf, feed).select("row_id", C("in_text").alias("clean_name")).filter(~tx.is_excluded(C("clean_name")))
+    best = sc.best_and_list(finals(spark, sf, feed), ["entry_id", "cat_text", "final"])
+    listed = F.array_join(F.transform("candidates", lambda x: x["entry_id"].cast("string")), ",")
+    return i.join(best.select("row_id", "entry_id", C("cat_text").alias("matched"), F.round("final", 6).alias("confidence"), listed.alias("listed")), "row_id", "left")
