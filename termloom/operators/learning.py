@@ -15,20 +15,29 @@ def org_mapping(df: DataFrame, maps: DataFrame, keys: list[str], min_verified: i
     return df.join(best.select(*keys, F.col("b.target").alias("mapped"), F.col("b.confidence").alias("mapped_confidence")), keys, "left")
 
 
+def grams(text: Column, n: int = 3) -> Column:
+    """All stretches of n letters or less, each once."""
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.length(text) - (i - 1)), lambda k: F.substr(text, k, F.lit(i)))
+    return F.array_distinct(F.flatten(F.array(*[F.when(F.length(text) >= i, at(i)).otherwise(F.array().cast("array<string>")) for i in range(1, n + 1)])))
+
+
 def learned_patterns(df: DataFrame, patterns: DataFrame, limit: float = 0.7, most: int = 5) -> DataFrame:
-    """Exact patterns, and up to `most` that the name contains, for each distinct name.
+    """Exact patterns, and up to `most` that contain the name (whatever the case), for each distinct name: surest first, then by feedback.
 
-    Containing patterns need not be compared with every name: a pattern's first
-    token must be a token of the name, so the test follows an equi-join.
+    Not every pattern is compared with every name: a pattern is found through its stretches of up to
+    three letters, of which each name asks for the one that the fewest patterns have. Empty names are contained in nothing.
     """
     active = patterns.filter("active")
-    names = df.select("name").distinct()
-    exact = names.join(active.filter(F.col("confidence") >= limit), F.lower("name") == F.lower("pattern")).select("name", "pattern", "target", "confidence", F.lit("exact").alias("kind"))
-    first = active.filter(F.col("confidence") >= limit - 0.2).withColumn("_t", F.element_at(F.split(F.lower("pattern"), " "), 1))
-    near = names.withColumn("_t", F.explode(F.array_distinct(F.split(F.lower("name"), " ")))).join(first, "_t").filter(F.lower("name").contains(F.lower("pattern")) & (F.lower("name") != F.lower("pattern")))
-    w = Window.partitionBy("name").orderBy(F.desc("confidence"), "pattern")
-    near = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("name", "pattern", "target", "confidence", F.lit("contained").alias("kind"))
-    return exact.unionByName(near)
+    names = df.select("name").filter("name <> ''").distinct()
+    order = [F.desc("confidence"), F.desc("feedback_count"), F.col("pattern")]
+    exact = names.join(active.filter(F.col("confidence") >= limit), F.col("name") == F.col("pattern")).select("name", "pattern", "target", "confidence", F.lit("exact").alias("kind"))
+    near = active.filter(F.col("confidence") >= limit - 0.2).withColumn("g", F.explode(grams(F.lower("pattern"))))
+    counts = near.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    asked = names.withColumn("g", F.explode(grams(F.lower("name")))).filter(F.length("g") == F.least(F.length("name"), F.lit(3)))
+    rarest = asked.join(counts, "g", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).select("name", F.col("r.g").alias("g"))
+    found = rarest.join(near, "g").filter(F.lower("pattern").contains(F.lower("name")))
+    found = found.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy(*order))).filter(F.col("_r") <= most)
+    return exact.unionByName(found.select("name", "pattern", "target", "confidence", F.lit("contained").alias("kind")))
 
 
 def resolve_precedence(mapped: Column, pattern: Column, pattern_confidence: Column, base: Column) -> Column:
@@ -56,6 +65,13 @@ def learn(fb: DataFrame, maps: DataFrame, least: float = 0.8) -> DataFrame:
     return j.select("org", "name", F.coalesce("b.target", "target").alias("target"), (F.coalesce("verified", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("verified"))
 
 
+def learn_patterns(fb: DataFrame, patterns: DataFrame, least: float = 0.8) -> DataFrame:
+    """Sure corrections merged into the learned patterns, one for each (pattern, target): feedback adds up, the newest confidence (by `moment`) stays."""
+    new = fb.filter(F.col("confidence") >= least).groupBy(F.col("name").alias("pattern"), "target").agg(F.count(F.lit(1)).alias("n"), F.max_by("confidence", "moment").alias("c"))
+    j = patterns.join(new, ["pattern", "target"], "full_outer")
+    return j.select("pattern", "target", F.coalesce("c", "confidence").alias("confidence"), (F.coalesce("feedback_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("feedback_count"), F.coalesce("active", F.lit(True)).alias("active"))
+
+
 def retrain(patterns: DataFrame, performance: DataFrame, least: float = 0.3, enough: int = 5) -> DataFrame:
     """Success rates from the log; patterns that fail often enough are switched off."""
     seen = performance.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.avg("success").alias("rate"))
@@ -84,12 +100,37 @@ def complete_config(total: Column) -> tuple[Column, Column]:
     return F.round((1 - total) * 0.6, 6), F.round((1 - total) * 0.4, 6)
 
 
-def grid_search(cands: DataFrame, params: DataFrame, parts: list[str], truth: Column) -> DataFrame:
-    """Accuracy of every configuration over every row, in one plan: the grid is a few rows and is broadcast."""
-    score = reduce(lambda a, b: a + b, [F.col(f"w_{p}") * F.col(p) for p in parts])
-    every = cands.crossJoin(F.broadcast(params)).withColumn("score", score)
-    best = every.groupBy("config_id", "row_id").agg(F.max_by(truth.cast("double"), F.struct(F.round("score", 9), -F.col("cand_pos"), truth.cast("int"))).alias("hit"))
-    return best.groupBy("config_id").agg(F.round(F.avg("hit"), 6).alias("accuracy"), F.count(F.lit(1)).alias("rows"))
+def grid_search(cands: DataFrame, params: DataFrame, parts: list[str], truth: Column, stop_at: float | None = None) -> DataFrame:
+    """Accuracy of every configuration over every row; with `stop_at`, up to the first that reaches it.
+
+    A row's candidates meet once, and all configurations are scored against them in an array, so the shuffle
+    doesn't grow with the grid. The grid is a few rows (its builder thins it) and becomes a constant.
+    """
+    grid = params.select("config_id", *[f"w_{p}" for p in parts]).orderBy("config_id").collect()
+    configs = F.array(*[F.struct(F.lit(r["config_id"]).alias("config_id"), *[F.lit(r[f"w_{p}"]).alias(p) for p in parts]) for r in grid])
+    if not grid:
+        return params.select("config_id", F.lit(None).cast("double").alias("accuracy"), F.lit(0).cast("long").alias("rows")).limit(0)
+    item = F.struct(*[F.col(p).alias(p) for p in parts], (-F.col("cand_pos")).alias("at"), truth.cast("int").alias("hit"))
+    rows = cands.groupBy("row_id").agg(F.collect_list(item).alias("c"))
+
+    def best(config: Column) -> Column:
+        score = lambda c: F.round(reduce(lambda a, b: a + b, [config[p] * c[p] for p in parts]), 9)
+        return F.array_max(F.transform("c", lambda c: F.struct(score(c).alias("s"), c["at"].alias("at"), c["hit"].alias("hit"))))["hit"]
+
+    hits = rows.select(F.explode(F.transform(configs, lambda x: F.struct(x["config_id"].alias("config_id"), best(x).alias("hit")))).alias("h")).select("h.*")
+    found = hits.groupBy("config_id").agg(F.round(F.avg("hit"), 6).alias("accuracy"), F.count(F.lit(1)).alias("rows"))
+    if stop_at is None:
+        return found
+    reached = found.filter(F.col("accuracy") >= stop_at).agg(F.min("config_id").alias("_last"))
+    return found.crossJoin(F.broadcast(reached)).filter(F.col("_last").isNull() | (F.col("config_id") <= F.col("_last"))).drop("_last")
+
+
+def experiments(runs: DataFrame) -> DataFrame:
+    """A row per experiment: success rate and speed (cases a second); 0 where nothing ran, as for one with an error."""
+    ok = F.coalesce(F.col("cases"), F.lit(0)) > 0
+    rate = F.when(ok, F.col("successes") / F.col("cases")).otherwise(0.0)
+    speed = F.when(ok & (F.col("seconds") > 0), F.col("cases") / F.col("seconds")).otherwise(0.0)
+    return runs.select("experiment_id", "cases", F.round(rate, 6).alias("success_rate"), F.round(speed, 6).alias("speed"), "error")
 
 
 def param_importance(experiments: DataFrame, params: list[str], target: str, least: int = 10) -> DataFrame:

@@ -31,7 +31,7 @@ def named(key: str, shift: int = 0) -> str:
 FEED = f"""SELECT p_partkey AS row_id, p_brand AS data_source, {pick(CODE, 'p_partkey')} AS modality_code,
     concat('E', CAST(p_size AS STRING)) AS exam_code, {named('p_partkey')} AS exam_name FROM part"""
 CATALOGUE = f"""SELECT 1000000 + floor(p_partkey / 2) AS concept_id, p_partkey AS entry_id,
-    trim({named('p_partkey * 3', 4)}) AS primary_name, concat(trim({named('p_partkey * 3', 4)}), ' (procedure)') AS fsn FROM part WHERE p_partkey % 4 = 1"""
+    trim({named('p_partkey * 3', 4)}) AS primary_name, concat(trim({named('p_partkey * 3', 4)}), ' (procedure)') AS fsn FROM part"""
 
 
 def duck(sql: str) -> str:

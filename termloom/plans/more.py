@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import components as cp
@@ -13,6 +16,7 @@ from ..sources import readers as rd
 from ..streaming import jobs
 from . import derive
 from .registry import query
+from .scores import CANDS, candidates, tokens_sql
 
 C = F.col
 
@@ -62,16 +66,18 @@ def a4(spark, sf):
     return rd.read_abbreviations(spark, dumped(lines, spark, "text"))
 
 
-@query("a5_load_rules", "SELECT kind, count(*) AS n FROM (SELECT 'brand' AS kind, p_brand AS k FROM part UNION SELECT 'type', p_type FROM part) GROUP BY 1")
+@query("a5_load_rules", """WITH k AS (SELECT 'scoring.brands' AS kind, p_brand AS key FROM part UNION SELECT 'scoring.types', p_type FROM part)
+    SELECT kind, key, lower(key) AS value, CAST(row_number() OVER (PARTITION BY kind ORDER BY length(key) DESC, key) - 1 AS INTEGER) AS ord FROM k""")
 def a5(spark, sf):
     p = t(spark, sf, "part")
-    kinds = {k: {r[0]: r[0].lower() for r in p.select(c).distinct().collect()} for k, c in (("brand", "p_brand"), ("type", "p_type"))}
-    rules = F.broadcast(rd.load_rules(spark, kinds))
-    used = p.select(F.lit("brand").alias("kind"), C("p_brand").alias("key")).unionByName(p.select(F.lit("type").alias("kind"), C("p_type").alias("key"))).distinct()
-    return used.join(rules, ["kind", "key"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    rules = lambda c: p.select(C(c).alias("k")).distinct().agg(F.map_from_entries(F.collect_list(F.struct("k", F.lower("k")))).alias(c))
+    config = rules("p_brand").crossJoin(rules("p_type"))
+    config = config.select(F.to_json(F.struct(F.struct(C("p_brand").alias("brands"), C("p_type").alias("types")).alias("scoring"), F.lit("3").alias("version"))).alias("value"))
+    return rd.load_rules(spark, dumped(config, spark, "text"), ["scoring.brands", "scoring.types"])
 
 
-@query("a6_read_decisions")
+@query("a6_read_decisions", """SELECT CAST(n_nationkey AS VARCHAR) AS request_hash, CASE WHEN layout = 3 THEN '{"hash":"' || n_nationkey || '","clean_name":"' || n_name || '"}' ELSE '{"clean_name":"' || n_name || '"}' END AS payload, layout
+    FROM nation, (SELECT unnest([0, 1, 2, 3]) AS layout)""")
 def a6(spark, sf):
     n = t(spark, sf, "nation")
     entry = F.struct(C("n_name").alias("clean_name"))
@@ -82,6 +88,19 @@ def a6(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+@query("a6_read_rejected", """SELECT CAST(n_nationkey AS VARCHAR) AS request_hash, CASE WHEN layout < 3 THEN 'r' || n_regionkey END AS reason, n_nationkey || ',' || (n_regionkey + 100) AS ids, layout
+    FROM nation, (SELECT unnest([0, 1, 2, 3]) AS layout)""")
+def a6_rejected(spark, sf):
+    """Rejections as a map, a list, a flat map, and a flat map of bare id lists."""
+    n = t(spark, sf, "nation")
+    ids = F.array(C("n_nationkey").cast("long"), (C("n_regionkey") + 100).cast("long"))
+    fields = [F.concat(F.lit("r"), C("n_regionkey").cast("string")).alias("reason"), ids.alias("rejected_snomed_ids")]
+    kv = lambda v: F.map_from_entries(F.collect_list(F.struct(C("n_nationkey").cast("string"), v)))
+    layouts = [F.to_json(F.struct(kv(F.struct(*fields)).alias("entries"))), F.to_json(F.struct(F.collect_list(F.struct(C("n_nationkey").cast("string").alias("request_hash"), *fields)).alias("entries"))), F.to_json(kv(F.struct(*fields))), F.to_json(kv(ids))]
+    out = [rd.read_decisions(spark, dumped(n.agg(x.alias("value")), spark, "text"), "rejected").withColumn("layout", F.lit(i)) for i, x in enumerate(layouts)]
+    return reduce(DataFrame.unionByName, out).select("request_hash", "reason", F.array_join(F.transform("rejected_ids", lambda x: x.cast("string")), ",").alias("ids"), "layout")
+
+
 @query("a7_read_cases", "SELECT o_orderpriority AS input_exam, o_orderstatus AS expected_output, count(*) AS n FROM orders GROUP BY 1, 2")
 def a7(spark, sf):
     o = t(spark, sf, "orders").select(C("o_orderpriority").alias("input_exam"), C("o_orderstatus").alias("expected_output"))
@@ -150,14 +169,14 @@ def a14(spark, sf):
     return rp.rate_impact(rd.read_rates(spark, dumped(w, spark, "csv")).select("o_custkey", *[C(x).cast("double").alias(x) for x in ("urgent", "high", "low", "national")]), ["o_custkey"], ["urgent", "high", "low"], "national").withColumn("o_custkey", C("o_custkey").cast("long"))
 
 
-@query("a15_h52_scenarios", "WITH w AS (SELECT p_brand AS archetype, p_size AS k, sum(p_retailprice) AS v FROM part WHERE p_size <= 3 GROUP BY 1, 2), s AS (SELECT DISTINCT p_brand AS archetype, p_type AS site FROM part), b AS (SELECT DISTINCT p_brand AS archetype FROM part), g AS (SELECT archetype, k FROM b, (SELECT unnest([1, 2, 3]) AS k)) SELECT g.archetype, 'price' AS measure, g.k AS year, round(v, 4) AS value, site FROM g LEFT JOIN w ON g.archetype = w.archetype AND g.k = w.k LEFT JOIN s ON g.archetype = s.archetype")
+@query("a15_h52_scenarios", "WITH w AS (SELECT p_brand AS archetype, p_size AS k, sum(p_retailprice) AS v FROM part GROUP BY 1, 2), s AS (SELECT DISTINCT p_brand AS archetype, p_type AS site FROM part), b AS (SELECT DISTINCT p_brand AS archetype FROM part), g AS (SELECT archetype, k FROM b, (SELECT unnest(range(1, 51)) AS k)) SELECT g.archetype, 'price' AS measure, g.k AS year, round(v, 4) AS value, site FROM g LEFT JOIN w ON g.archetype = w.archetype AND g.k = w.k LEFT JOIN s ON g.archetype = s.archetype")
 def a15(spark, sf):
     p = t(spark, sf, "part")
-    wide = p.groupBy(C("p_brand").alias("archetype")).pivot("p_size", [1, 2, 3]).agg(F.sum("p_retailprice"))
-    wide = wide.select("archetype", F.lit("CT").alias("modality"), *[C(str(k)).alias(f"price_y{k}") for k in (1, 2, 3)])
-    notes = spark.range(2).select(F.lit(None).cast("string").alias("archetype"), F.lit(None).cast("string").alias("modality"), *[F.lit("note").alias(f"price_y{k}") for k in (1, 2, 3)])
-    both = wide.select("archetype", "modality", *[C(f"price_y{k}").cast("string") for k in (1, 2, 3)]).unionByName(notes)
-    read = rd.read_scenarios(spark, dumped(both, spark, "csv")).select("archetype", *[C(f"price_y{k}").cast("double").alias(f"price_y{k}") for k in (1, 2, 3)])
+    wide = p.groupBy(C("p_brand").alias("archetype")).pivot("p_size", list(range(1, 51))).agg(F.sum("p_retailprice"))
+    wide = wide.select("archetype", F.lit("CT").alias("modality"), *[C(str(k)).alias(f"price_y{k}") for k in range(1, 51)])
+    notes = spark.range(2).select(F.lit(None).cast("string").alias("archetype"), F.lit(None).cast("string").alias("modality"), *[F.lit("note").alias(f"price_y{k}") for k in range(1, 51)])
+    both = wide.select("archetype", "modality", *[C(f"price_y{k}").cast("string") for k in range(1, 51)]).unionByName(notes)
+    read = rd.read_scenarios(spark, dumped(both, spark, "csv")).select("archetype", *[C(f"price_y{k}").cast("double").alias(f"price_y{k}") for k in range(1, 51)])
     sites = p.select(C("p_brand").alias("archetype"), C("p_type").alias("site")).distinct()
     return rp.reshape_scenarios(read, ["archetype"], sites).withColumn("value", F.round("value", 4))
 
@@ -174,10 +193,17 @@ def a16(spark, sf):
 _E = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
 
 
-@query("e1_mean_pool", "SELECT label, round(sum(m), 5) AS total FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 3 = 0) GROUP BY ALL) GROUP BY 1")
+@query("e1_mean_pool", "SELECT grp, round(sum(m), 5) AS total FROM (SELECT vec_id // 8 AS grp, i, avg(x) AS m FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1")
 def e1(spark, sf):
-    e = t(spark, sf, "embeddings").filter("vec_id % 3 = 0").groupBy("label").agg(F.collect_list("embedding").alias("tokens"))
-    return e.select("label", F.round(F.aggregate(rt.mean_pool(C("tokens")), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    """Eight token vectors to a text."""
+    e = t(spark, sf, "embeddings").groupBy(F.floor(C("vec_id") / 8).alias("grp")).agg(F.collect_list("embedding").alias("tokens"))
+    return e.select("grp", F.round(F.aggregate(rt.mean_pool(C("tokens")), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query("e1_mean_of_groups", "SELECT label, round(sum(m), 5) AS total FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1")
+def e1_groups(spark, sf):
+    """The mean of each label's vectors, however many: sums by place are made in the map tasks."""
+    return rt.mean_by(t(spark, sf, "embeddings"), "label", "embedding").select("label", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @query("e2_e3_vectors", f"WITH e AS ({_E}), p AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM e a JOIN e b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(list_cosine_similarity(a, b), 5) AS cosine, round(b[1] / sqrt(list_inner_product(list_concat(a, b), list_concat(a, b))), 5) AS place FROM p")
@@ -188,24 +214,25 @@ def e2(spark, sf):
     return v.select("vec_id", F.round(rt.cosine(C("embedding"), C("b")), 5).alias("cosine"), F.round(F.element_at("vector", F.size("embedding") + 1), 5).alias("place"))
 
 
-_TOP = f"WITH e AS ({_E}), s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, list_inner_product(q.v, c.v) AS s FROM e q, e c WHERE q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0) SELECT query_id, item_id, round(s, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS rank FROM s QUALIFY rank <= 5"
+_TOP = f"WITH e AS ({_E}), s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, list_inner_product(q.v, c.v) AS s FROM e q, e c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id) SELECT query_id, item_id, round(s, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, item_id) AS rank FROM s QUALIFY rank <= 5"
 
 
 def sides(spark, sf):
+    """Every vector whose id is divisible by 20 is a query, against all vectors."""
     e = t(spark, sf, "embeddings").select(C("vec_id").alias("id"), C("embedding").alias("vector"))
-    return e.filter("id % 10 = 0"), e.filter("id % 10 <> 0")
+    return e.filter("id % 20 = 0"), e
 
 
 @query("e4_topk_join", _TOP)
 def e4(spark, sf):
     q, c = sides(spark, sf)
-    return rt.topk_vector_join(q, c, 5).withColumn("score", F.round("score", 5))
+    return rt.topk_vector_join(q, c, 5, but_itself=True).withColumn("score", F.round("score", 5))
 
 
-@query("e5_topk_lsh")
+@query("e5_topk_approximate")
 def e5(spark, sf):
     q, c = sides(spark, sf)
-    return rt.topk_lsh_join(q, c, 5)
+    return rt.topk_approximate_join(q, c, 5, but_itself=True)
 
 
 @query("e6_k1_embed")
@@ -219,14 +246,32 @@ def e7(spark, sf):
     return p.select("p_partkey", F.round(rt.fuzzy_ratio(C("p_name"), C("p_type")), 6).alias("ratio"))
 
 
-@query("e8_fuzzy_match", """WITH n AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT min(p_partkey) AS entry_id, p_name AS entry FROM part GROUP BY p_name), p AS (SELECT * FROM n JOIN c ON list_has_any(string_split(lower(name), ' '), string_split(lower(entry), ' '))),
-    s AS (SELECT *, 0.4 * (1 - levenshtein(lower(name), lower(entry)) / greatest(length(name), length(entry))::DOUBLE) + 0.4 * len(list_intersect(string_split(lower(name), ' '), string_split(lower(entry), ' '))) / len(list_distinct(list_concat(string_split(lower(name), ' '), string_split(lower(entry), ' '))))::DOUBLE
-      + 0.2 * len(list_filter(range(1, least(length(name), length(entry)) + 1), lambda i: left(lower(name), i::INTEGER) = left(lower(entry), i::INTEGER))) / greatest(length(name), length(entry))::DOUBLE AS score FROM p)
-    SELECT p_partkey AS id, entry_id, round(score, 6) AS score FROM s JOIN part ON p_name = name WHERE score >= 0.6""")
+_PLAIN = lambda c: f"regexp_replace(lower(trim({c})), '[^\\w\\s]', '', 'g')"
+_WORDS = lambda c: f"list_distinct(regexp_extract_all({c}, '[^\\s]+'))"
+_NAMES = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('CT abdomen ', split_part(p_name, ' ', 1)) WHEN 1 THEN concat('CT abdomen pelvis ', split_part(p_name, ' ', 1)) WHEN 2 THEN concat(p_name, ', (', p_brand, ')') ELSE p_name END AS name FROM part"
+
+
+@query("e8_fuzzy_match", f"""WITH p AS ({_NAMES}), n AS (SELECT DISTINCT name, {_PLAIN('name')} AS a FROM p), c AS (SELECT min(id) AS entry_id, name AS entry, {_PLAIN('name')} AS b FROM p GROUP BY name),
+    j AS (SELECT *, {_WORDS('a')} AS aw, {_WORDS('b')} AS bw FROM n JOIN c ON list_has_any({_WORDS('a')}, {_WORDS('b')})),
+    k AS (SELECT *, string_split(a, ' ')[1] IN ('ct', 'mri', 'mr') AND list_contains(aw, 'abdomen') AND list_contains(bw, 'abdomen') AS scan, list_contains(aw, 'pelvis') AS ap, list_contains(bw, 'pelvis') AS bp FROM j),
+    x AS (SELECT name, entry_id, CASE WHEN scan AND ap AND NOT bp THEN trim(replace(a, 'pelvis', '')) ELSE a END AS a, CASE WHEN scan AND bp AND NOT ap THEN trim(replace(b, 'pelvis', '')) ELSE b END AS b, scan AND ap <> bp AS boost FROM k),
+    s AS (SELECT name, entry_id, boost, 0.4 * (1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE) + 0.4 * len(list_intersect({_WORDS('a')}, {_WORDS('b')})) / len(list_distinct(list_concat({_WORDS('a')}, {_WORDS('b')})))::DOUBLE
+      + 0.2 * CASE WHEN starts_with(a, b) OR starts_with(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b))::DOUBLE ELSE 0 END AS base FROM x),
+    z AS (SELECT name, entry_id, CASE WHEN boost THEN least(1.0, base + 0.1) ELSE base END AS score FROM s)
+    SELECT id, entry_id, round(score, 6) AS score FROM z JOIN p USING (name) WHERE score >= 0.6""")
 def e8(spark, sf):
-    p = t(spark, sf, "part")
-    cat = p.groupBy(C("p_name").alias("entry")).agg(F.min("p_partkey").alias("entry_id"))
-    return rt.fuzzy_match(p.select(C("p_partkey").alias("id"), C("p_name").alias("name")), cat).select("id", "entry_id", F.round("score", 6).alias("score"))
+    """With the edit ratio for the sequence part, which SQL has too."""
+    p = derive.run(spark, sf, _NAMES, "part")
+    cat = p.groupBy(C("name").alias("entry")).agg(F.min("id").alias("entry_id"))
+    return rt.fuzzy_match(p, cat, sequence=rt.edit_ratio).select("id", "entry_id", F.round("score", 6).alias("score"))
+
+
+@query("e8_sequence_match")
+def e8_sequence(spark, sf):
+    """With the ratio of matching characters."""
+    p = derive.run(spark, sf, _NAMES, "part")
+    cat = p.groupBy(C("name").alias("entry")).agg(F.min("id").alias("entry_id"))
+    return rt.fuzzy_match(p, cat).select("id", "entry_id", F.round("score", 6).alias("score"))
 
 
 @query("e10_e11_minmax", "WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN max(abs(l_quantity / 10)) OVER o > 2 THEN 1 / (1 + exp(-l_quantity / 10)) ELSE l_quantity / 10 END AS x FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)) SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN max(x) OVER o = min(x) OVER o THEN 0.5 ELSE (x - min(x) OVER o) / (max(x) OVER o - min(x) OVER o) END, 6) AS scaled FROM w WINDOW o AS (PARTITION BY l_orderkey)")
@@ -241,20 +286,22 @@ def e12(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", F.round(rt.rank_to_score(ranking, (C("o_custkey") % 6).cast("int"), F.lit(6)), 6).alias("score"))
 
 
-@query("e13_e14_variants", "WITH f AS (SELECT l_orderkey AS row_id, l_suppkey AS concept_id, min(l_linenumber) AS rank FROM lineitem GROUP BY 1, 2), v AS (SELECT row_id, concept_id, rank, p_partkey AS entry_id FROM f JOIN part ON p_partkey % 10 = concept_id) SELECT row_id, concept_id, entry_id, row_number() OVER (PARTITION BY row_id ORDER BY rank, entry_id) - 1 AS cand_pos, CASE WHEN entry_id % 2 = 0 THEN (entry_id % 100) / 100.0::DOUBLE ELSE 0.5 END AS rerank FROM v")
+@query("e13_e14_variants", "WITH f AS (SELECT l_orderkey AS row_id, l_suppkey AS concept_id, min(l_linenumber) AS rank FROM lineitem GROUP BY 1, 2), v AS (SELECT row_id, concept_id, rank, p_partkey AS entry_id FROM f JOIN part ON p_partkey % (SELECT max(s_suppkey) + 1 FROM supplier) = concept_id) SELECT row_id, concept_id, entry_id, row_number() OVER (PARTITION BY row_id ORDER BY rank, entry_id) - 1 AS cand_pos, CASE WHEN entry_id % 2 = 0 THEN (entry_id % 100) / 100.0::DOUBLE ELSE 0.5 END AS rerank FROM v")
 def e13(spark, sf):
     li = t(spark, sf, "lineitem").select(C("l_orderkey").alias("row_id"), C("l_suppkey").alias("concept_id"), C("l_linenumber").alias("rank"))
-    v = rt.expand_variants(li, t(spark, sf, "part").select((C("p_partkey") % 10).alias("concept_id"), C("p_partkey").alias("entry_id")))
+    most = t(spark, sf, "supplier").agg((F.max("s_suppkey") + 1).alias("n"))
+    v = rt.expand_variants(li, t(spark, sf, "part").crossJoin(F.broadcast(most)).select((C("p_partkey") % C("n")).alias("concept_id"), C("p_partkey").alias("entry_id")))
     scores = v.filter("entry_id % 2 = 0").select("row_id", "entry_id", ((C("entry_id") % 100) / 100.0).alias("rerank"))
     return rt.attach_rerank(v, scores).select("row_id", "concept_id", "entry_id", "cand_pos", "rerank")
 
 
-@query("k2_rerank")
-def k2(spark, sf):
-    from .scores import candidates
+def _overlap(q, docs):
+    return [len(set(q.lower().split()) & set(d.lower().split())) / max(1, len(set(d.lower().split()))) for d in docs]
 
-    overlap = lambda q, docs: [len(set(q.lower().split()) & set(d.lower().split())) / max(1, len(set(d.lower().split()))) for d in docs]
-    return rt.rerank(candidates(spark, sf), overlap).withColumn("rerank", F.round("rerank", 6))
+
+@query("k2_rerank", f"WITH {CANDS} SELECT row_id, entry_id, round(len(list_intersect({tokens_sql('in_text')}, {tokens_sql('cat_text')})) / greatest(1, len({tokens_sql('cat_text')}))::DOUBLE, 6) AS rerank FROM cands")
+def k2(spark, sf):
+    return rt.rerank(candidates(spark, sf), _overlap).withColumn("rerank", F.round("rerank", 6))
 
 
 @query("f7_enrich_names", "SELECT s_suppkey, coalesce(n_name, '') AS second_name, CAST(n_name IS NOT NULL AS INTEGER) AS matched FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 0")
@@ -264,13 +311,15 @@ def f7(spark, sf):
     return j.select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("second_name"), C("n_name").isNotNull().cast("int").alias("matched"))
 
 
-@query("f8_f9_lookup_name", "SELECT o_orderkey, p_partkey AS first_entry FROM orders JOIN (SELECT p_name, min(p_partkey) AS p_partkey FROM part WHERE p_name IS NOT NULL GROUP BY 1) c ON c.p_name = (SELECT p_name FROM part WHERE p_partkey = o_orderkey % 100)")
+@query("f8_f9_lookup_name", """WITH c AS (SELECT p_name, min(p_partkey) AS first_entry FROM part WHERE p_name IS NOT NULL GROUP BY 1), g AS (SELECT p_type, min(p_partkey) AS first_fsn FROM part GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, first_entry, first_fsn FROM lineitem JOIN part ON p_partkey = l_partkey JOIN c USING (p_name) JOIN g USING (p_type)""")
 def f8(spark, sf):
-    p = t(spark, sf, "part").filter("p_name is not null")
-    cat = p.groupBy("p_name").agg(F.min("p_partkey").alias("first_entry"))
-    names = p.select("p_partkey", "p_name")
-    o = t(spark, sf, "orders").select("o_orderkey", (C("o_orderkey") % 100).alias("p_partkey")).join(names, "p_partkey")
-    return o.join(cat, "p_name").select("o_orderkey", "first_entry")
+    """Every line's part, looked up by name and by full name: the first entry of equal ones."""
+    p = t(spark, sf, "part")
+    names = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C("l_partkey").alias("p_partkey")).join(p.select("p_partkey", "p_name", "p_type"), "p_partkey")
+    cat = p.select(C("p_partkey").alias("entry_id"), C("p_name").alias("name"), C("p_type").alias("fsn"))
+    by_name = rt.lookup_name(names.filter("p_name is not null"), "p_name", cat, "name", "first_entry")
+    return rt.lookup_name(by_name, "p_type", cat, "fsn", "first_fsn").select("l_orderkey", "l_linenumber", "first_entry", "first_fsn")
 
 
 _MAPS = "SELECT user_id AS org, event_type AS exam, round(value, 2) AS confidence, event_id % 4 AS verified, concat('T', CAST(event_id % 50 AS STRING)) AS target FROM events"
@@ -284,13 +333,18 @@ def f10(spark, sf):
     return j.select("event_id", ln.resolve_precedence(C("mapped"), F.lit("pattern"), C("value") / 100, F.lit("base")).alias("r")).select("event_id", "r.value", "r.source")
 
 
-_PAT = "SELECT DISTINCT split(p_name, ' ')[0] AS pattern, 'x' AS target, 0.75 AS confidence, true AS active FROM part"
+_PAT = "SELECT p_name AS pattern, min(p_type) AS target, 0.5 + min(p_size) / 100.0 AS confidence, count(*) AS feedback_count, min(p_partkey) % 7 <> 0 AS active FROM part GROUP BY p_name"
+_ASK = "SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN substr(p_name, 3, 6) ELSE upper(substr(p_name, 2, 2)) END AS name FROM part"
 
 
-@query("f11_learned_patterns", "WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS pattern FROM part) SELECT name, pattern, CASE WHEN lower(name) = lower(pattern) THEN 'exact' ELSE 'contained' END AS kind FROM n JOIN p ON list_contains(string_split(lower(name), ' '), lower(pattern)) QUALIFY row_number() OVER (PARTITION BY name, kind ORDER BY pattern) <= 5")
+@query("f11_learned_patterns", f"""WITH p AS ({derive.duck(_PAT)}), n AS (SELECT * FROM ({_ASK}) WHERE name <> ''),
+    e AS (SELECT name, pattern, target, 'exact' AS kind FROM n JOIN p ON name = pattern WHERE active AND confidence >= 0.7),
+    k AS (SELECT name, pattern, target, 'contained' AS kind FROM n JOIN p ON contains(lower(pattern), lower(name)) WHERE active AND confidence >= 0.5
+      QUALIFY row_number() OVER (PARTITION BY name ORDER BY confidence DESC, feedback_count DESC, pattern) <= 5)
+    SELECT * FROM e UNION ALL SELECT * FROM k""")
 def f11(spark, sf):
-    pats = derive.run(spark, sf, _PAT, "part")
-    return ln.learned_patterns(t(spark, sf, "part").select(C("p_name").alias("name")), pats).select("name", "pattern", "kind")
+    asked = derive.run(spark, sf, _ASK, "part")
+    return ln.learned_patterns(asked, derive.run(spark, sf, _PAT, "part"), limit=0.7).select("name", "pattern", "target", "kind")
 
 
 @query("f13_sample_by_source")
@@ -298,11 +352,6 @@ def f13(spark, sf):
     return ln.hash_sample(t(spark, sf, "orders").filter(C("o_orderpriority").isin("1-URGENT", "2-HIGH")), "o_orderkey", 200)
 
 
-@query("f16_filter_pathways", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND (contains(lower(text), 'edth') OR contains(lower(source), '1'))")
-def f16(spark, sf):
-    return t(spark, sf, "documents").filter((C("lang") == "en") & (F.lower("text").contains("edth") | F.lower("source").contains("1"))).select("doc_id", "source")
-
-
 @query("f20_pending", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey")
 def f20(spark, sf):
     return t(spark, sf, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
@@ -327,11 +376,6 @@ def h22(spark, sf):
     return rp.page(t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), 200, 100, C("o_orderstatus") == "F", C("o_totalprice").desc(), C("o_orderkey")).select("o_orderkey", "total", "page", "pages")
 
 
-@query("h23_h24_batch_stats", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus = 'O') AS errors, count(*) FILTER (o_orderstatus = 'P') AS hits, round(count(*) FILTER (o_orderstatus = 'P') / count(*)::DOUBLE, 6) AS hit_rate FROM orders")
-def h23(spark, sf):
-    return rp.batch_stats(t(spark, sf, "orders").select(C("o_orderstatus").alias("status")))
-
-
 @query("h25_improvement", "SELECT round(avg(CASE WHEN l_extendedprice > l_quantity * 1000 THEN 1 ELSE 0 END), 6) AS improved, round(avg(l_quantity * 1000), 6) AS before, round(avg(l_extendedprice), 6) AS after, round(avg(l_extendedprice - l_quantity * 1000), 6) AS delta, round(avg(CASE WHEN l_discount * 10 >= 0.67 THEN 1 ELSE 0 END), 6) AS agreed FROM lineitem")
 def h25(spark, sf):
     return rp.improvement_report(t(spark, sf, "lineitem").select((C("l_quantity") * 1000).alias("before"), C("l_extendedprice").alias("after"), (C("l_discount") * 10).alias("agreement")))
@@ -347,11 +391,6 @@ def h27(spark, sf):
     return rp.multi_variant_ids(t(spark, sf, "part"), "p_name", "p_brand")
 
 
-@query("h28_h29_modalities", "SELECT p_type, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
-def h28(spark, sf):
-    return t(spark, sf, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first")).orderBy(F.desc("n"), "first")
-
-
 @query("h30_feedback_stats", "SELECT event_type AS kind, count(*) AS n, count(DISTINCT user_id) AS orgs, round(avg(CASE WHEN event_id % 3 = 0 THEN NULL WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS GROUP BY 1")
 def h30(spark, sf):
     e = t(spark, sf, "events").select("ts", C("event_type").alias("kind"), C("user_id").alias("org"), F.when(C("event_id") % 3 != 0, (C("value") > 50).cast("double")).alias("correct"))
@@ -374,23 +413,11 @@ def h32(spark, sf):
     return r.select("pattern_id", "n", F.round("rate", 6).alias("rate"), C("active").cast("int").alias("active"))
 
 
-@query("h33_recent_metrics", "SELECT event_id, event_type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS ORDER BY ts DESC")
-def h33(spark, sf):
-    return rp.recent(t(spark, sf, "events"), 24).orderBy(F.desc("ts")).select("event_id", "event_type")
-
-
 @query("h34_access_stats", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS most, CAST(max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAYS AS INTEGER) AS stale FROM events GROUP BY 1")
 def h34(spark, sf):
     return rp.access_stats(t(spark, sf, "events"), 1)
 
 
-@query("h35_equivalence_groups", "SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
-def h35(spark, sf):
-    from ..operators.decisions import last_wins
-
-    return last_wins(t(spark, sf, "events").select("user_id", "event_id", "props"), "user_id", "event_id").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-
-
 @query("h36_evaluate", "SELECT CAST(count(*) AS BIGINT) AS cases, CAST(count(*) FILTER (l_discount * 10 > 0.5) AS BIGINT) AS ok, CAST(count(*) FILTER (NOT l_discount * 10 > 0.5) AS BIGINT) AS failed, round(avg(l_discount * 10), 6) AS confidence, round(count(*) FILTER (l_discount * 10 > 0.5) / count(*)::DOUBLE, 6) AS success FROM lineitem")
 def h36(spark, sf):
     return ln.evaluate(t(spark, sf, "lineitem").select(C("l_linenumber").alias("chunk"), C("l_returnflag").alias("name"), (C("l_discount") * 10).alias("confidence")), "chunk")
@@ -462,14 +489,6 @@ def h46(spark, sf):
     return gr.cyclic_edges(edges, starts)
 
 
-@query("h54_evaluate_pathways")
-def h54(spark, sf):
-    steps, edges, starts = pathway_tables(spark, sf)
-    cases = t(spark, sf, "supplier").select(C("s_suppkey").alias("case"), C("s_nationkey").alias("id"))
-    answers = cases.join(steps, "id").filter((C("step") + C("case")) % 9 != 0).select("case", "id", "step", F.lit(0).alias("option"))
-    return gr.evaluate_pathways(answers, edges, starts)
-
-
 @query("h48_fill_rates", "SELECT s_suppkey, round(100 * (s_suppkey % 40 + 1 - s_suppkey % 7) / (s_suppkey % 40 + 1)::DOUBLE, 4) AS rate, CASE WHEN round(100 * (s_suppkey % 40 + 1 - s_suppkey % 7) / (s_suppkey % 40 + 1)::DOUBLE, 4) >= 80 THEN 'good' WHEN round(100 * (s_suppkey % 40 + 1 - s_suppkey % 7) / (s_suppkey % 40 + 1)::DOUBLE, 4) >= 60 THEN 'fair' ELSE 'poor' END AS band FROM supplier")
 def h48(spark, sf):
     return rp.fill_rates(t(spark, sf, "supplier").select("s_suppkey", (C("s_suppkey") % 40 + 1).alias("fte"), (C("s_suppkey") % 7).alias("vacant"))).select("s_suppkey", "rate", "band")
@@ -489,31 +508,12 @@ def h51(spark, sf):
     return rp.changelog(o.filter("o_orderkey % 10 <> 0"), new, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
-@query("h53_flatten_results", "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'out' END AS source, CASE WHEN o_orderstatus <> 'F' THEN 'ERROR: ' || o_orderstatus ELSE o_orderpriority END AS clean_name, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE round(o_totalprice, 4) END AS confidence FROM orders")
-def h53(spark, sf):
-    o = t(spark, sf, "orders").select(
-        C("o_orderkey").alias("row_id"), F.struct(F.when(C("o_orderkey") % 2 == 0, C("o_orderpriority")).alias("source")).alias("input"),
-        F.struct(F.lit("out").alias("source"), C("o_orderpriority").alias("clean_name"), F.when(C("o_orderkey") % 3 != 0, F.round("o_totalprice", 4)).alias("confidence")).alias("output"),
-        F.when(C("o_orderstatus") == "F", "ok").otherwise("error").alias("status"), C("o_orderstatus").alias("error"),
-    )
-    return rp.flatten_results(o)
-
-
 def stream(spark, sf, name="events"):
     """The table as a stream; a pattern names a file and a folder alike."""
     raw = spark.readStream.schema(t(spark, sf, name).schema).parquet(f"{sf}/{name[:-1]}[{name[-1]}].parquet")
     return raw.withColumn("ts", C("ts").cast("timestamp"))
 
 
-@query("j1_j4_standardise_stream", "SELECT event_id, upper(event_type) AS kind FROM events WHERE event_type <> 'error'")
-def j1(spark, sf):
-    """A stream equals its batch; a second run with the same checkpoint adds nothing."""
-    at = rd.shared_path(spark)
-    change = lambda df: df.filter("event_type <> 'error'").select("event_id", F.upper("event_type").alias("kind"))
-    jobs.standardise_stream(stream(spark, sf), change, f"{at}/out", f"{at}/state")
-    return jobs.standardise_stream(stream(spark, sf), change, f"{at}/out", f"{at}/state")
-
-
 @query("j2_progress_stream", "SELECT user_id, count(*) AS processed, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
 def j2(spark, sf):
     at = rd.shared_path(spark)
@@ -527,12 +527,14 @@ def j3(spark, sf):
     return jobs.with_live_decisions(stream(spark, sf), d, "user_id", f"{at}/out", f"{at}/state").select("event_id", "decision")
 
 
-@query("j5_metrics_stream")
+@query("j5_metrics_stream", """WITH w AS (SELECT time_bucket(INTERVAL 24 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2)
+    SELECT CAST(epoch(start) AS BIGINT) AS start, event_type, n, mean FROM w WHERE start + INTERVAL 24 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS""")
 def j5(spark, sf):
+    """The windows that are final behind the watermark."""
     at = rd.shared_path(spark)
     m = jobs.metrics_stream(stream(spark, sf), 24)
     jobs.run_available(m, f"{at}/out", f"{at}/state")
-    return spark.read.schema("start timestamp, event_type string, n long, mean double").parquet(f"{at}/out")
+    return spark.read.schema("start timestamp, event_type string, n long, mean double").parquet(f"{at}/out").withColumn("start", F.unix_timestamp("start"))
 
 
 @query("j6_dedup_stream")
@@ -546,7 +548,7 @@ def j6(spark, sf):
 def k4(spark, sf):
     """The same top k by blocks, as for a catalogue too large to broadcast."""
     q, c = sides(spark, sf)
-    return rt.topk_vector_join(q, c, 5, blocks=4, max_broadcast=0).withColumn("score", F.round("score", 5))
+    return rt.topk_vector_join(q, c, 5, max_broadcast=0, block_bytes=64 << 10, but_itself=True).withColumn("score", F.round("score", 5))
 
 
 @query("k5_tagger")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import decisions as dc
 from termloom.operators import graph as gr
+from termloom.operators import learning as ln
 from termloom.operators import retrieval as rt
 from termloom.operators import scoring as sc
 
@@ -44,16 +45,71 @@ def test_first_wins_ties(spark):
     assert sc.pick_best(d).first().cand_pos == 1
 
 
-def test_topk_paths_agree(spark, monkeypatch):
+def test_topk_paths_agree(spark):
     import numpy as np
 
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.normal(size=8).tolist()) for i in range(120)]
     c = spark.createDataFrame(rows, "id long, vector array<double>")
     q = c.filter("id % 10 = 0")
-    a = {(r.query_id, r.rank): r.item_id for r in rt.topk_vector_join(q, c, 4).collect()}
-    monkeypatch.setattr(rt, "MAX_BROADCAST_VECTORS", 0)
-    assert a == {(r.query_id, r.rank): r.item_id for r in rt.topk_vector_join(q, c, 4, blocks=3).collect()}
+    for itself in (False, True):
+        a = {(r.query_id, r.rank): r.item_id for r in rt.topk_vector_join(q, c, 4, but_itself=itself).collect()}
+        assert a == {(r.query_id, r.rank): r.item_id for r in rt.topk_vector_join(q, c, 4, max_broadcast=0, block_bytes=1000, but_itself=itself).collect()}
+        assert len(a) == 48 and any(k[0] == v for k, v in a.items()) != itself
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_approximate_topk_finds_nine_of_ten(spark, sf):
+    path = f"/root/testdata/sf{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    e = spark.read.parquet(path).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.filter("id % 20 = 0")
+    exact = {(r.query_id, r.item_id) for r in rt.topk_vector_join(q, e, 5, but_itself=True).collect()}
+    found = {(r.query_id, r.item_id) for r in rt.topk_approximate_join(q, e, 5, but_itself=True, list_rows=7).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_means_of_groups(spark):
+    d = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [1.0, 1.0])], "k string, v array<double>")
+    assert {r.k: r.vector for r in rt.mean_by(d, "k", "v").collect()} == {"a": [2.0, 4.0], "b": [1.0, 1.0]}
+
+
+def test_fuzzy_match_against_brute_force(spark):
+    import re
+    from difflib import SequenceMatcher
+
+    names = ["CT abdomen", "CT Abdomen Pelvis", "CT abdomen, pelvis (left)", "MRI abdomen pelvis", "US abdomen", "US abdomen pelvis", "CT Head", "CT head with contrast", "ct", "", "XR knee", "knee XR left"]
+    got = {(r.id, r.entry_id): r.score for r in rt.fuzzy_match(spark.createDataFrame(list(enumerate(names)), "id long, name string"), spark.createDataFrame(list(enumerate(names)), "entry_id long, entry string")).collect()}
+    expected = {}
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            a, b = (re.sub(r"[^\w\s]", "", n.lower().strip()) for n in (x, y))
+            aw, bw, boost = set(a.split()), set(b.split()), 0.0
+            if a.split()[:1] in (["ct"], ["mri"], ["mr"]) and "abdomen" in aw and "abdomen" in bw and ("pelvis" in aw) != ("pelvis" in bw):
+                a, b, boost = a.replace("pelvis", "").strip(), b.replace("pelvis", "").strip(), 0.1
+            aw, bw = set(a.split()), set(b.split())
+            near = len(aw & bw) / len(aw | bw) if aw and bw else 0.0
+            prefix = min(len(a), len(b)) / max(len(a), len(b)) if (a.startswith(b) or b.startswith(a)) and a and b else 0.0
+            score = min(1.0, 0.4 * SequenceMatcher(None, a, b).ratio() + 0.4 * near + 0.2 * prefix + boost)
+            if score >= 0.6 and aw & bw:
+                expected[i, j] = score
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_patterns_that_contain_the_name(spark):
+    pats = [("CT Chest low dose", "a", 0.9, 1, True), ("ct chest", "b", 0.6, 5, True), ("MR chest", "c", 0.9, 2, True), ("CT chest", "d", 0.4, 9, True), ("old ct chest", "e", 0.9, 1, False), ("xx", "f", 0.8, 1, True)]
+    p = spark.createDataFrame(pats, "pattern string, target string, confidence double, feedback_count long, active boolean")
+    got = {(r.name, r.kind, r.target) for r in ln.learned_patterns(spark.createDataFrame([("ct chest",), ("HEST",), ("x",), ("absent",), ("",), ("MR chest",)], "name string"), p).collect()}
+    assert got == {("ct chest", "contained", "a"), ("ct chest", "contained", "b"), ("HEST", "contained", "a"), ("HEST", "contained", "b"), ("HEST", "contained", "c"), ("x", "contained", "f"), ("MR chest", "exact", "c"), ("MR chest", "contained", "c")}
+
+
+def test_grid_search_stops_early(spark):
+    c = spark.createDataFrame([(1, 0, 1.0, 0.0, True), (1, 1, 0.0, 1.0, False), (2, 0, 0.2, 0.0, False), (2, 1, 0.0, 0.9, True)], "row_id int, cand_pos int, x double, y double, ok boolean")
+    g = spark.createDataFrame([(0, 0.1, 0.0), (1, 1.0, 1.0), (2, 0.0, 1.0)], "config_id int, w_x double, w_y double")
+    assert {r.config_id: r.accuracy for r in ln.grid_search(c, g, ["x", "y"], F.col("ok")).collect()} == {0: 0.5, 1: 1.0, 2: 0.5}
+    assert {r.config_id for r in ln.grid_search(c, g, ["x", "y"], F.col("ok"), stop_at=0.9).collect()} == {0, 1}
+    assert ln.grid_search(c, g.limit(0), ["x", "y"], F.col("ok")).count() == 0
 
 
 def test_embedding_failures_are_nulls(spark):
@@ -81,9 +137,21 @@ def test_reachability_and_cycles(spark):
 def test_pathway_answers(spark):
     e = spark.createDataFrame([(1, 1, 2, 0), (1, 2, 3, 0)], "id int, src long, dst long, option int")
     s = spark.createDataFrame([(1, 1)], "id int, step long")
-    a = spark.createDataFrame([(7, 1, 1, 0), (7, 1, 2, 0), (8, 1, 1, 0), (9, 1, 1, 5)], "case int, id int, step long, option int")
+    a = spark.createDataFrame([(7, 1, 1, 0), (7, 1, 2, 0), (8, 1, 1, 0), (9, 1, 1, 5), (10, 1, 1, 0), (10, 1, 2, 1)], "case int, id int, step long, option int")
+    e = e.unionByName(spark.createDataFrame([(1, 2, 1, 1)], e.schema))
     got = {r["case"]: (r.step, r.status) for r in gr.evaluate_pathways(a, e, s).collect()}
-    assert got == {7: (3, "recommended"), 8: (2, "unanswered"), 9: (1, "broken")}
+    assert got == {7: (3, "recommended"), 8: (2, "unanswered"), 9: (1, "broken"), 10: (1, "cyclic")}
+
+
+def test_long_ways_and_many_components(spark):
+    """A chain with a cycle at its end, and two cycles joined by a one-way edge."""
+    chain = [(1, i, i + 1, 0) for i in range(1, 30)] + [(1, 30, 25, 0)]
+    two = [(2, 1, 2, 0), (2, 2, 3, 0), (2, 3, 2, 0), (2, 3, 5, 0), (2, 5, 6, 0), (2, 6, 5, 0), (2, 6, 9, 0)]
+    e = spark.createDataFrame(chain + two, "id int, src long, dst long, option int")
+    s = spark.createDataFrame([(1, 1), (2, 1)], "id int, step long")
+    got = {(r.id, r.src, r.dst) for r in gr.cyclic_edges(e, s).collect()}
+    assert got == {(1, i, i + 1) for i in range(25, 30)} | {(1, 30, 25), (2, 2, 3), (2, 3, 2), (2, 5, 6), (2, 6, 5)}
+    assert gr.reachable(s, e).count() == 36
 
 
 def test_entry_runs(spark):
@@ -110,7 +178,7 @@ def plain(v):
     return str(v)
 
 
-CHECKED = ("b1_exclude", "b12_b14_keys", "c9_weak_tags", "f1_preflight", "f4_modality_filter", "g35_g36_consensus", "h3_init_review", "h9_apply_decisions", "h10_batch_decisions", "h31_learn", "h51_changelog", "e4_topk_join", "j1_j4_standardise_stream")
+CHECKED = ("a1_read_array", "a6_read_rejected", "b19_parse_choice", "e8_fuzzy_match", "f18_f19_group_filter", "g22_g27_best_match", "g29_g34_assembly", "h15_validation_summary", "h31_learn_patterns", "h53_flatten_results", "h54_evaluate_pathways", "b1_exclude", "b12_b14_keys", "c9_weak_tags", "f1_preflight", "f4_modality_filter", "g35_g36_consensus", "h3_init_review", "h9_apply_decisions", "h10_batch_decisions", "h31_learn", "h51_changelog", "e4_topk_join", "j1_j4_standardise_stream")
 
 
 @pytest.mark.parametrize("name", CHECKED)
