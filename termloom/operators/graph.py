@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,62 +34,109 @@ def reference_checks(pathways: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     return untitled.unionByName(start).unionByName(lost)
 
 
-def reachable(starts: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, step) reachable from the starts, all graphs at once: only the newest steps are extended each round."""
-    seen = checkpointed(starts.select("id", "step").distinct())
-    front = seen
-    for _ in range(most):
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, step) reachable from the starts, all graphs at once. Each round writes only its new steps; a round without any ends it."""
+    fronts = [checkpointed(starts.select("id", "step").distinct())]
+    while True:
+        front = fronts[-1]
         step = front.join(edges, (front["id"] == edges["id"]) & (front["step"] == edges["src"])).select(front["id"], F.col("dst").alias("step")).distinct()
-        front = checkpointed(step.join(seen, ["id", "step"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(front))
-    raise RuntimeError("a path is longer than the bound")
+        new = checkpointed(step.join(reduce(DataFrame.unionByName, fronts), ["id", "step"], "left_anti"))
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, fronts)
+        fronts.append(new)
+        if len(fronts) > 16:  # few tables to read, each step rewritten once in sixteen rounds at most
+            fronts = [checkpointed(reduce(DataFrame.unionByName, fronts[:-1])), fronts[-1]]
 
 
 def unreachable(nodes: DataFrame, starts: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(reachable(starts, edges), ["id", "step"], "left_anti")
 
 
-def cyclic_edges(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
-    """Edges whose end leads back to their beginning; an edge back to the start is allowed, a loop on one step isn't.
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges without those that lie on no cycle because their beginning has no edge in, or their end none out, over and over."""
+    n = edges.count()
+    while n:
+        ins = edges.select("id", F.col("dst").alias("src")).distinct()
+        outs = edges.select("id", F.col("src").alias("dst")).distinct()
+        edges = checkpointed(edges.join(ins, ["id", "src"], "left_semi").join(outs, ["id", "dst"], "left_semi").select("id", "src", "dst"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
+def spread_least(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, step, label): the smallest label that reaches each step along the edges."""
+    while True:
+        passed = edges.join(labels.withColumnRenamed("step", "src"), ["id", "src"]).select("id", F.col("dst").alias("step"), "label")
+        new = labels.unionByName(passed).groupBy("id", "step").agg(F.min("label").alias("label"))
+        new = checkpointed(new)
+        moved = new.join(labels.withColumnRenamed("label", "_l"), ["id", "step"]).filter("label < _l").count()
+        labels = new
+        if not moved:
+            return labels
 
-    The closure grows from both ends at once, so its rounds are logarithmic in the longest path.
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, src, dst) of the edges inside a strongly connected component.
+
+    Forward-backward: the smallest step that reaches a step is its colour; the steps of a colour that
+    reach back to it are a component. What is left is trimmed and coloured again. Tables are as
+    large as the edges, never pairs of steps.
     """
+    found, rest = [], trimmed(edges)
+    while not rest.isEmpty():
+        nodes = rest.select("id", F.col("src").alias("step")).unionByName(rest.select("id", F.col("dst").alias("step"))).distinct()
+        colour = spread_least(rest, nodes.withColumn("label", F.col("step")))
+        of = lambda c: colour.select("id", F.col("step").alias(c), F.col("label").alias(f"{c}_colour"))  # noqa: B023, E731
+        same = checkpointed(rest.join(of("src"), ["id", "src"]).join(of("dst"), ["id", "dst"]).filter("src_colour = dst_colour").select("id", "src", "dst", F.col("src_colour").alias("colour")))
+        back = reachable(colour.filter("step = label").select("id", "step"), same.select("id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        ends = [back.withColumnRenamed("step", c) for c in ("src", "dst")]
+        inside = checkpointed(same.join(ends[0], ["id", "src"], "left_semi").join(ends[1], ["id", "dst"], "left_semi").select("id", "src", "dst"))
+        found.append(inside)
+        rest = rest.join(ends[0], ["id", "src"], "left_anti").join(ends[1], ["id", "dst"], "left_anti").select("id", "src", "dst")
+        rest = trimmed(checkpointed(rest))
+    return reduce(DataFrame.unionByName, found) if found else rest
+
+
+def cyclic_edges(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Edges whose end leads back to their beginning; an edge back to the start is allowed, a loop on one step isn't."""
     inner = edges.join(starts.select("id", F.col("step").alias("dst")), ["id", "dst"], "left_anti").select("id", "src", "dst").distinct()
-    closure = checkpointed(inner)
-    n = closure.count()
-    for _ in range(most):
-        a, b = closure.alias("a"), closure.alias("b")
-        more = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.dst") == F.col("b.src"))).select("a.id", "a.src", "b.dst")
-        closure = checkpointed(closure.unionByName(more).distinct())
-        before, n = n, closure.count()
-        if n == before:
-            break
-    back = closure.select("id", F.col("src").alias("dst"), F.col("dst").alias("src"))
     loops = edges.filter("src = dst").select("id", "src", "dst")
-    return inner.join(back, ["id", "src", "dst"], "left_semi").unionByName(loops).distinct()
+    return components(checkpointed(inner)).unionByName(loops).distinct()
 
 
-def evaluate_pathways(answers: DataFrame, edges: DataFrame, starts: DataFrame, most: int = 1_000) -> DataFrame:
+def evaluate_pathways(answers: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Follow each case's answers from its start: (case, step, status), all cases at once.
 
     `answers` has (case, id, step, option), `edges` (id, src, option, dst). A case ends at a
-    step without edges (recommended), without an answer (unanswered) or at an answer that leads nowhere (broken).
+    step without edges (recommended), without an answer (unanswered), at an answer that leads nowhere (broken),
+    or where its way returns to a step it has been at (cyclic; the step is the one met again). Each round writes only the steps it reaches.
     """
-    at = checkpointed(answers.select("case", "id").distinct().join(starts, "id").select("case", "id", "step"))
     leaves = edges.select("id", F.col("src").alias("step")).distinct()
-    done = None
-    for _ in range(most):
-        live = at.join(leaves, ["id", "step"], "left_semi")
-        ended = at.join(leaves, ["id", "step"], "left_anti").select("case", "step", F.lit("recommended").alias("status"))
-        told = live.join(answers, ["case", "id", "step"], "left")
-        silent = told.filter("option is null").select("case", "step", F.lit("unanswered").alias("status"))
-        moved = told.filter("option is not null").join(edges.withColumnRenamed("src", "step"), ["id", "step", "option"], "left")
-        broken = moved.filter("dst is null").select("case", "step", F.lit("broken").alias("status"))
-        out = ended.unionByName(silent).unionByName(broken)
-        done = checkpointed(out if done is None else done.unionByName(out))
-        at = checkpointed(moved.filter("dst is not null").select("case", "id", F.col("dst").alias("step")))
-        if at.isEmpty():
-            return done
-    return done.unionByName(at.select("case", "step", F.lit("broken").alias("status")))
+    begun = answers.select("case", "id").distinct().join(starts, "id").select("case", "id", "step")
+    # the step that each answered step leads to; one answer counts for a step
+    told = answers.groupBy("case", "id", "step").agg(F.min("option").alias("option")).join(leaves, ["id", "step"], "left_semi")
+    jump = told.join(edges.withColumnRenamed("src", "step"), ["id", "step", "option"], "left").select("case", "id", "step", "dst")
+    broken = checkpointed(jump.filter("dst is null").select("case", "id", "step"))
+    moves = checkpointed(jump.filter("dst is not null"))
+    seen = checkpointed(begun)
+    fronts, met = [seen], []
+    while True:
+        step = fronts[-1].join(moves, ["case", "id", "step"]).select("case", "id", F.col("dst").alias("step"))
+        step = checkpointed(step)
+        every = reduce(DataFrame.unionByName, fronts)
+        met.append(checkpointed(step.join(every, ["case", "id", "step"], "left_semi")))
+        new = checkpointed(step.join(every, ["case", "id", "step"], "left_anti"))
+        if new.isEmpty():
+            break
+        fronts.append(new)
+        if len(fronts) > 16:
+            fronts = [checkpointed(reduce(DataFrame.unionByName, fronts[:-1])), fronts[-1]]
+    seen = reduce(DataFrame.unionByName, fronts)
+    cyclic = reduce(DataFrame.unionByName, met).select("case", "step", F.lit("cyclic").alias("status"))
+    ended = seen.join(moves.select("case", "id", "step"), ["case", "id", "step"], "left_anti")
+    lost = broken.withColumn("_b", F.lit(True))
+    at = ended.join(lost, ["case", "id", "step"], "left").join(leaves.withColumn("_l", F.lit(True)), ["id", "step"], "left")
+    status = F.when(F.col("_b"), "broken").when(F.col("_l"), "unanswered").otherwise("recommended")
+    return at.select("case", "step", status.alias("status")).unionByName(cyclic)

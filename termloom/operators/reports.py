@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,91 @@ def ranked(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
-def filter_groups(groups: DataFrame, source: str, text: str) -> DataFrame:
-    """Flagged groups with an approval from a source, groups of one, or a name that holds the text."""
-    return groups.filter(((F.col("flagged") > 0) & (F.col("approved") > 0) & F.col("sources").contains(source)) | (F.col("members") == 1) | F.col("group_name").cast("string").contains(text))
+#: Orders of review groups and of results.
+GROUP_ORDERS = {"flagged": ("-flagged", "-members"), "size": ("-members",), "confidence": ("mean",), "name": ("group_name",)}
+RESULT_ORDERS = {"name": ("clean_name",), "confidence": ("-confidence",), "source": ("source", "clean_name")}
+
+
+def order_by(names: tuple[str, ...], *ties: str) -> list[Column]:
+    """Columns to sort by; a minus means descending."""
+    return [F.col(n[1:]).desc() if n.startswith("-") else F.col(n).asc() for n in (*names, *ties)]
+
+
+def sort_results(by: str, pending_first: bool = True, key: str = "row_id") -> list[Column]:
+    """The order of results: those without a decision first, then by name, confidence or source, then as they came."""
+    return [*([F.col("status").isNotNull().asc()] if pending_first else []), *order_by(RESULT_ORDERS[by], key)]
+
+
+def filter_groups(groups: DataFrame, members: DataFrame, flagged: bool = False, approved: bool = False, singleton: bool = False, search: str = "") -> DataFrame:
+    """Groups that pass every filter that is on; the search looks into the group's name, and names and sources of its members.
+
+    `groups` has group_name, members, flagged and approved (counts), `members` has group_name, name, source.
+    """
+    if flagged:
+        groups = groups.filter(F.col("flagged") > 0)
+    if approved:
+        groups = groups.filter(F.col("approved") > 0)
+    if singleton:
+        groups = groups.filter(F.col("members") == 1)
+    return search_groups(groups, members, search, ["name", "source"]) if search else groups
+
+
+def search_groups(groups: DataFrame, members: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """Groups whose name, or a member's column, holds the text, whatever the case. Hits of members are made distinct before they meet the groups."""
+    holds = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(text.lower())
+    hit = members.filter(reduce(lambda a, b: a | b, [holds(c) for c in columns])).select("group_name").distinct().withColumn("_hit", F.lit(True))
+    return groups.join(hit, "group_name", "left").filter(holds("group_name") | F.col("_hit").isNotNull()).drop("_hit")
+
+
+def consolidate(df: DataFrame) -> DataFrame:
+    """Results by clean name: count, mean confidence and its band, sources, and how many went through the second stage."""
+    mean = F.avg("confidence")
+    band = F.when(mean >= 0.8, "high").when(mean >= 0.6, "medium").otherwise("low")
+    return df.groupBy("clean_name").agg(
+        F.count(F.lit(1)).alias("n"), F.round(mean, 6).alias("mean"), band.alias("band"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count_if("second").alias("second")
+    )
+
+
+def filter_pathways(df: DataFrame, status: str | None = None, text: str = "", published: bool = False) -> DataFrame:
+    """Pathways of a status whose title or description holds the text, whatever the case; `published` keeps those for readers."""
+    if published:
+        df = df.filter(F.col("status") == "published")
+    if status:
+        df = df.filter(F.col("status") == status)
+    return df.filter(F.lower("title").contains(text.lower()) | F.lower(F.coalesce("description", F.lit(""))).contains(text.lower())) if text else df
+
+
+def modality_counts(df: DataFrame, column: str = "modality") -> DataFrame:
+    """Each modality with its count and share, most frequent first."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6)).orderBy(F.desc("n"), column)
+
+
+def other_names(df: DataFrame, known: list[str], column: str = "modality", name: str = "name") -> DataFrame:
+    """The names behind modalities that aren't known, with counts."""
+    return df.filter(~F.col(column).isin(known) | F.col(column).isNull()).groupBy(column, name).agg(F.count(F.lit(1)).alias("n"))
+
+
+def validation_summary(state: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: totals, completion and approval rates in percent, decisions, corrected mappings and advice.
+
+    `state` has status and modified, `log` has decision.
+    """
+    count = lambda c, n: F.count_if(c).alias(n)
+    s = state.agg(F.count(F.lit(1)).alias("total"), count(F.col("status") == "approved", "approved"), count(F.col("status") == "rejected", "rejected"), count((F.col("status") == "approved") & F.col("modified"), "corrected"))
+    d = log.agg(*[count(F.col("decision") == x, x) for x in ("approve", "reject", "modify")])
+    done = F.col("approved") + F.col("rejected")
+    rate = lambda a, b: F.when(b > 0, 100 * a / b).otherwise(0.0)
+    s = s.crossJoin(d).withColumns({"pending": F.col("total") - done, "completion": rate(done, F.col("total")), "approval": rate(F.col("approved"), done)})
+    advice = F.filter(
+        F.array(
+            F.when(F.col("approval") < 70, "low approval rate: improve the matching"),
+            F.when(F.col("completion") < 100, F.concat(F.col("pending").cast("string"), F.lit(" mappings still need review"))),
+            F.when(F.col("corrected") > 0, "look for patterns in corrected mappings"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return s.withColumns({"advice": F.array_join(advice, "; "), "completion": F.round("completion", 1), "approval": F.round("approval", 1)})
 
 
 def analytics_summary(df: DataFrame) -> DataFrame:
@@ -54,8 +138,32 @@ def page(df: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
 
 
 def batch_stats(df: DataFrame) -> DataFrame:
-    s = F.col("status")
-    return df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(s == v).alias(n) for v, n in (("F", "ok"), ("O", "errors"), ("P", "hits"))]).withColumn("hit_rate", F.round(F.col("hits") / F.col("total"), 6))
+    """Successes, errors, cache hits, rejects and approvals of a batch, hit rate, and seconds from its first to its last row."""
+    count = lambda c, n: F.count_if(c).alias(n)
+    stats = df.agg(
+        F.count(F.lit(1)).alias("total"), count(F.col("status") == "success", "ok"), count(F.col("status") == "error", "errors"), count(F.col("cached"), "hits"),
+        count(F.col("cached") & (F.col("cache_type") == "rejected"), "rejects"), count(F.col("cached") & (F.col("cache_type") == "approved"), "approvals"),
+        (F.max("ts").cast("long") - F.min("ts").cast("long")).alias("elapsed"),
+    )
+    return stats.withColumn("hit_rate", F.round(F.try_divide("hits", "total"), 6))
+
+
+def review_batch_stats(df: DataFrame, low: float = 0.99) -> DataFrame:
+    """Rows, rows of low confidence and mean confidence; a missing confidence is 1."""
+    c = F.coalesce("confidence", F.lit(1.0))
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(c < low).alias("low"), F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias("mean"))
+
+
+def recent_metrics(df: DataFrame, hours: int, endpoint: str | None = None, ts: str = "ts") -> DataFrame:
+    """Rows of the last hours, of one endpoint if given, newest first."""
+    rows = recent(df, hours, ts)
+    return (rows.filter(F.col("endpoint") == endpoint) if endpoint else rows).orderBy(F.desc(ts))
+
+
+def equivalence_groups(df: DataFrame) -> DataFrame:
+    """The last row of each group id, members parsed, surest first. `df` has group_id, members (JSON), confidence, at."""
+    last = df.groupBy("group_id").agg(F.max_by(F.struct("members", "confidence"), "at").alias("g")).select("group_id", "g.*")
+    return last.withColumn("members", F.from_json("members", "array<string>")).orderBy(F.desc("confidence"), "group_id")
 
 
 def improvement_report(df: DataFrame) -> DataFrame:
@@ -124,6 +232,17 @@ def reshape_scenarios(df: DataFrame, ids: list[str], archetypes: DataFrame) -> D
 
 
 def flatten_results(df: DataFrame) -> DataFrame:
-    """One mapping row per nested result; the input's fields come first, failures are named as such."""
-    name = F.when(F.col("status") != "ok", F.concat(F.lit("ERROR: "), F.coalesce("error", F.lit("unknown")))).otherwise(F.col("output.clean_name"))
-    return df.select("row_id", F.coalesce("input.source", "output.source", F.lit("")).alias("source"), F.coalesce(name, F.lit("")).alias("clean_name"), F.coalesce("output.confidence", F.lit(0.0)).alias("confidence"))
+    """One mapping row per nested result; the input's fields come first, failures are named as such, and cache marks become the review status.
+
+    `df` has row_id, input and output structs, status, error, and cached_skip and cache_type, which approvals carry in the output, rejections beside it.
+    """
+    ok = F.col("status") == "success"
+    pick = lambda n: F.coalesce(f"input.{n}", f"output.{n}", F.lit("")).alias(n)
+    name = F.when(ok, F.col("output.clean_name")).otherwise(F.concat(F.lit("ERROR: "), F.coalesce("error", F.lit("unknown"))))
+    approved = ok & F.col("output.cached_skip") & (F.col("output.cache_type") == "approved")
+    rejected = F.col("cached_skip") & (F.col("cache_type") == "rejected")
+    review = F.when(approved, "approved").when(rejected, "rejected")
+    return df.select(
+        "row_id", *[pick(n) for n in ("data_source", "modality_code", "exam_code", "exam_name")], F.coalesce(name, F.lit("")).alias("clean_name"), F.coalesce(F.when(ok, F.col("output.confidence")), F.lit(0.0)).alias("confidence"),
+        F.coalesce(F.when(ok, F.col("output.ambiguous")), F.lit(False)).alias("ambiguous"), review.alias("validation_status"), F.when(review.isNotNull(), F.concat(F.lit("Previously "), review, F.lit(" (cached)"))).alias("validation_notes"),
+    )

@@ -233,10 +233,3 @@ def h18(spark, sf):
     from ..operators.reports import ranked
 
     return ranked(grouped(spark, sf), 100, (C("flagged") > 0).desc(), C("members").desc(), C("mean"), C("group_name")).select("group_name", "position")
-
-
-@query("f18_f19_group_filter", f"SELECT group_name, members FROM ({_GRP}) WHERE (flagged > 0 AND approved > 0 AND contains(sources, 'P')) OR members = 1 OR contains(CAST(group_name AS VARCHAR), '77')")
-def f18(spark, sf):
-    from ..operators.reports import filter_groups
-
-    return filter_groups(grouped(spark, sf), "P", "77").select("group_name", "members")

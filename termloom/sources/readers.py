@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,18 +42,17 @@ def coalesced(df: DataFrame, *names: str) -> Column:
 
 
 def read_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Exam rows (one JSON array, or `lines`) under upper or lower-case keys; the name has five aliases, and rows may be bare strings; nameless rows go."""
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        raw = spark.read.json(path, multiLine=not lines)
-        name = coalesced(raw, "EXAM_NAME", "exam_name", "name", "description", "title", "_corrupt_record", "value")
-        rows = raw.select(
-            coalesced(raw, "DATA_SOURCE", "data_source").alias("data_source"), coalesced(raw, "MODALITY_CODE", "modality_code").alias("modality_code"),
-            coalesced(raw, "EXAM_CODE", "exam_code").alias("exam_code"), name.alias("exam_name"),
-        )
-        return rows.filter("exam_name is not null")
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", "false")
+    """Exam rows (one JSON array per file, or `lines`) under upper or lower-case keys; the name has five aliases, and rows may be bare strings; nameless rows go."""
+    text = spark.read.text(path, wholetext=not lines)
+    listed = F.concat(F.lit("["), F.col("value"), F.lit("]")) if lines else F.col("value")
+    item = text.select(F.explode(F.from_json(listed, "array<string>")).alias("x")).filter("x is not null")
+    value = lambda *keys: F.coalesce(*[F.get_json_object("x", f"$.{k}") for k in keys])
+    bare = F.when(~F.trim("x").startswith("{"), F.col("x"))
+    rows = item.select(
+        value("DATA_SOURCE", "data_source").alias("data_source"), value("MODALITY_CODE", "modality_code").alias("modality_code"), value("EXAM_CODE", "exam_code").alias("exam_code"),
+        F.coalesce(value("EXAM_NAME", "exam_name", "name", "description", "title"), bare).alias("exam_name"),
+    )
+    return rows.filter("exam_name is not null")
 
 
 CATALOGUE = "snomed_concept_id string, snomed_fsn string, snomed_laterality_concept_id string, snomed_laterality_fsn string, is_diagnostic string, is_interventional string, primary_source_name string"
@@ -80,16 +80,18 @@ def read_legacy_catalogue(spark: SparkSession, path: str, fmt: str = "csv") -> D
 
 def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
     """key, value from a CSV with two header rows; blanks go, the first of equal keys stays."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())  # grows along a file
     parts = F.from_csv(F.col("value"), F.lit("key string, meaning string"))
     rows = lines.filter("n >= 2").select("n", parts.alias("p")).select("n", F.trim("p.key").alias("key"), F.trim("p.meaning").alias("value")).filter("key <> '' and value <> ''")
     return rows.groupBy("key").agg(F.min_by("value", "n").alias("value"))
 
 
-def load_rules(spark: SparkSession, kinds: dict[str, dict[str, str]]) -> DataFrame:
-    """kind, key, value, ord of the dictionaries of a configuration; ordered by key length for expansion."""
-    rows = [(kind, k, v, i) for kind, entries in kinds.items() for i, (k, v) in enumerate(sorted(entries.items(), key=lambda e: -len(e[0])))]
-    return spark.createDataFrame(rows, "kind string, key string, value string, ord int")
+def load_rules(spark: SparkSession, path: str, sections: list[str]) -> DataFrame:
+    """kind, key, value, ord of the dictionaries of a JSON configuration, each under a dotted path; ord is their order of expansion (longest key first)."""
+    text = spark.read.text(path, wholetext=True)
+    rows = [text.select(F.lit(s).alias("kind"), F.explode(F.from_json(F.get_json_object("value", f"$.{s}"), "map<string,string>")).alias("key", "value")) for s in sections]
+    every = reduce(DataFrame.unionByName, rows)
+    return every.withColumn("ord", F.row_number().over(Window.partitionBy("kind").orderBy(F.length("key").desc(), "key")) - 1)
 
 
 def read_decisions(spark: SparkSession, path: str, kind: str = "approved") -> DataFrame:

@@ -15,9 +15,13 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append
 
 
 def standardise_stream(source: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> DataFrame:
-    """Inputs are standardised as they come, and appended."""
-    run_available(transform(source), sink, checkpoint)
-    return source.sparkSession.read.parquet(sink)
+    """Inputs are standardised as they come: each micro-batch goes through the batch chain, and becomes a folder of its own (written again after a failure)."""
+
+    def save(batch: DataFrame, n: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+
+    source.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return source.sparkSession.read.parquet(sink).drop("batch")
 
 
 def upsert_batches(df: DataFrame, sink: str, checkpoint: str) -> DataFrame:
