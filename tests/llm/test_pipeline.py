@@ -39,3 +39,26 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     assert cp.run(spark, folder).count() > 0 and cp.ORACLE_SQL is None
+
+
+EDGES = [(None, "A text without an id that is long enough to be read as English by its letters.", "en", "a", 10), (1, None, None, None, None), (2, "", "en", None, 0), (3, "12 34", "de", "b", 5), (3, "12 34", "de", "b", 5), (4, "The same words again and again, as English as it gets, for a while.", "en", "a", 7), (4, "The same words again and again, as English as it gets, for a while.", "en", "a", 7)]
+
+
+@pytest.mark.parametrize("rows", [[], EDGES])
+def test_every_stage_on_empty_tables_and_nulls(spark, folder, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("size", "score", "kind", "rank", "md5")})
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert all(r["size"] == r.score == r.kind == r["rank"] == r.md5 == "x" for r in found)
+        if not rows:
+            assert not found
+    if rows:
+        kept = sorted(str(r.doc_id) for r in cp.near_duplicates(spark, docs, folder).collect())
+        assert kept == ["1", "3", "4", "None"]
+        assert sorted(str(r.doc_id) for r in cp.language(spark, docs, folder).collect()) == ["4", "4", "None"]
+        assert cp.personal_data(spark, docs, folder).count() == len(rows)
+        assert {str(r.doc_id) for r in cp.mix(spark, docs, folder).collect()} <= {"None", "3", "4"}
+    packed = cp.pack(spark, docs, folder)
+    assert packed.count() == len(rows) and "sequence_id" in packed.columns
