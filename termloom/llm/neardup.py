@@ -16,9 +16,9 @@
 4. Within a bucket, texts are compared exactly: the weighted intersections of
    up to `BLOCK` texts are one matrix product. A larger bucket is dealt into blocks. In a block, each text
    without a leader becomes one, and texts near it follow it; only leaders are compared
-   between blocks. Two texts of different blocks can only be near if their leaders' similarity is 0.4 or more (the
-   Jaccard distance is a metric, and followers lie within 0.2 of their leader); such pairs of leaders
-   that are in different classes at the end have their followers compared exactly, so no link is lost.
+   between blocks. Two followers can only be near if their leaders' distance is within the radii of both leaders and
+   the threshold together (the Jaccard distance is a metric), and only followers far enough from their leader;
+   where that is so for different classes, these followers are compared exactly, in pairs of blocks of `BORDER`, so no link is lost.
    A group of n near copies costs n comparisons with a few leaders, and emits a spanning
    forest of its links, never its pairs. Buckets with equal members are compared
    once. A second round takes the remaining bands, for buckets that still span classes.
@@ -54,7 +54,7 @@ FIRST_BANDS = 4
 TABLE = 1 << 20
 UNIT = 1 << 20  # a document in the counts
 KEYS = 4  # hashes that name a document's groups
-BLOCK = 128
+BLOCK, BORDER = 256, 512
 CHUNK_BYTES = 512 << 10
 KEY_BITS = np.uint64(44)
 KEY_MASK = np.uint64((1 << 44) - 1)
@@ -143,7 +143,10 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, element) of up to 2 ** 20 texts, by document; all texts in full."""
-    at, shingle = shingles(texts)
+    return elements_of(*shingles(texts))
+
+
+def elements_of(at: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.sort(at.astype(np.uint64) << KEY_BITS | shingle)
     fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
     place = np.arange(len(keys)) - np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, np.int64)
@@ -195,22 +198,23 @@ def counted(texts: DataFrame, count: Callable[[list[str]], np.ndarray]) -> np.nd
     parts = texts.select("text").mapInPandas(run, schema).withColumn("task", F.spark_partition_id() % 64)
     some = parts.groupBy("part", "task").applyInPandas(lambda x: add(x[["part", "counts"]]), schema)
     total = np.zeros(TABLE, np.int64)
-    for r in some.groupBy("part").applyInPandas(add, schema).toLocalIterator():  # 256 rows of 32 KB
+    for r in some.groupBy("part").applyInPandas(add, schema).collect():  # 256 rows of 32 KB
         width = TABLE // 256
         total[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], "<i8")
     return total
 
 
-def group_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def group_keys(at: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(documents with shingles, counters of their groups): copies share most of their `KEYS` smallest shingle hashes."""
-    at, shingle = shingles(texts)
-    order = np.argsort(at, kind="stable")
-    at, shingle = at[order], shingle[order]
+    if (at[1:] < at[:-1]).any():
+        order = np.argsort(at, kind="stable")
+        at, shingle = at[order], shingle[order]
     first = first_of(at)
     keys = np.empty((len(first), KEYS), np.int64)
-    for k in range(KEYS):
-        least = np.minimum.reduceat(mix(shingle ^ np.uint64(k << 44)), first) if len(first) else np.zeros(0, np.uint64)
-        keys[:, k] = slot(mix(least + np.uint64(k)) >> np.uint64(20))
+    for k in range(KEYS if len(first) else 0):
+        # the hashes are mixed already: an odd factor orders them anew
+        least = np.minimum.reduceat(shingle * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1) & KEY_MASK, first)
+        keys[:, k] = slot(mix(least + np.uint64(k << 44)) >> np.uint64(20))
     return at[first], keys
 
 
@@ -221,7 +225,7 @@ def above_noise(counts: np.ndarray) -> np.ndarray:
 
 def group_sizes(texts: DataFrame) -> np.ndarray:
     """Documents of the group in each counter; 1 where a counter is within the noise of unrelated ones."""
-    counts = counted(texts, lambda part: np.bincount(group_keys(part)[1].ravel(), minlength=TABLE))
+    counts = counted(texts, lambda part: np.bincount(group_keys(*shingles(part))[1].ravel(), minlength=TABLE))
     sizes = above_noise(counts)
     return np.where(sizes > 6 * np.sqrt(np.median(counts)), np.maximum(sizes, 1), 1)
 
@@ -231,8 +235,9 @@ def frequencies(texts: DataFrame, sizes: np.ndarray) -> np.ndarray:
     share = texts.sparkSession.sparkContext.broadcast(np.maximum(UNIT // sizes, 1).astype(np.int64))
 
     def count(part: list[str]) -> np.ndarray:
-        at, shingle, element = elements(part)
-        docs, groups = group_keys(part)
+        found = shingles(part)
+        docs, groups = group_keys(*found)
+        at, shingle, element = elements_of(*found)
         own = np.zeros(len(part), np.int64)
         own[docs] = share.value[groups].min(axis=1)  # of its largest group
         once = shingle == element
@@ -357,17 +362,21 @@ def weighted_sets(texts: list[str], table: np.ndarray) -> tuple[list[np.ndarray]
 
 
 LINK, LEADER, SUSPECT = 0, 1, 2
-PAIRS = "what int, bucket long, a long, b long"
+PAIRS = "what int, bucket long, a long, b long, far double, root long"
 
 
-def compared(g: pd.DataFrame, table: np.ndarray, threshold: float, leaders: bool, suspects: bool) -> list[tuple[int, int, int, int]]:
+def compared(g: pd.DataFrame, table: np.ndarray, threshold: float, suspects: bool) -> list[tuple[int, int, int, int, float, int]]:
     """What one group (of one side, or of the two sides 0 and 1) tells.
 
-    (LINK, bucket, a, b): a spanning forest of its links between texts of different classes;
-    (LEADER, bucket, leader, follower) if asked, the leader follows itself;
-    (SUSPECT, bucket, a, b) if asked: texts of different classes whose followers may be near.
+    (LINK, bucket, a, b, 0, 0): classes that its links join, each linked to the smallest of those it is joined with;
+    (LEADER, bucket, leader, follower, distance, class) where the bucket is split, the leader follows itself;
+    (SUSPECT, bucket, leader, leader, least, 0) if asked: followers of this leader at a distance of `least` and more may be near
+    followers of another class, by the leaders' distances and radii `far`.
     """
     ids, bucket = g["doc"].tolist(), int(g["bucket"].iloc[0])
+    leaders = not suspects and int(g["blocks"].iloc[0]) > 1
+    if len(ids) < 2:
+        return [(LEADER, bucket, ids[0], ids[0], 0.0, int(g["class"].iloc[0]))] if leaders else []
     sets, weights = weighted_sets(g["text"].tolist(), table)
     sides = g["side"].to_numpy()
     left = np.flatnonzero(sides == sides.min())
@@ -376,30 +385,33 @@ def compared(g: pd.DataFrame, table: np.ndarray, threshold: float, leaders: bool
     forest, found = Forest(), []
     for a, b in zip(ids, g["class"].tolist(), strict=True):
         forest.join(a, b)
+    before = {forest.root(x) for x in ids}
     for i, j in zip(*np.nonzero(near >= threshold), strict=True):
-        a, b = ids[left[i]], ids[right[j]]
-        if a != b and forest.join(a, b):
-            found.append((LINK, bucket, a, b))
+        forest.join(ids[left[i]], ids[right[j]])
+    found += [(LINK, bucket, x, forest.root(x), 0.0, 0) for x in before if forest.root(x) != x]  # stars, which join in few rounds
     if leaders:
         free = np.ones(len(ids), bool)
-        for i in range(len(ids)):
+        # texts with the most near ones lead first: few leaders, each with its followers close around it
+        for i in np.argsort(-(near >= threshold).sum(axis=1), kind="stable"):
             if free[i]:
                 own = (near[i] >= threshold) & free
                 own[i] = True
-                found += [(LEADER, bucket, ids[i], ids[j]) for j in np.flatnonzero(own)]
+                root = forest.root(ids[i])
+                found += [(LEADER, bucket, ids[i], ids[j], 0.0 if j == i else max(0.0, 1.0 - float(near[i, j])), root) for j in np.flatnonzero(own)]
                 free &= ~own
     if suspects:
-        # a text near both has at most this distance to each follower of its leader
-        least = max(0.0, 1 - 3 * (1 - threshold))
-        for i, j in zip(*np.nonzero((near >= least) & (near < threshold)), strict=True):
-            a, b = ids[left[i]], ids[right[j]]
-            if (left is not right or i < j) and forest.root(a) != forest.root(b):
-                found.append((SUSPECT, bucket, a, b))
+        # the distance is a metric: followers can only be near if their leaders are within both radii and the threshold
+        far, roots = g["far"].to_numpy(), np.array([forest.root(x) for x in ids])
+        need = threshold - near - far[right][None, :]  # how far from its leader a follower on the left must be
+        doubt = (near < threshold) & (need <= far[left][:, None]) & (roots[left][:, None] != roots[right][None, :])
+        other = threshold - near - far[left][:, None]
+        for rows, least in ((left, np.where(doubt, need, np.inf).min(axis=1)), (right, np.where(doubt, other, np.inf).min(axis=0))):
+            found += [(SUSPECT, bucket, ids[i], ids[i], float(x), 0) for i, x in zip(rows, least, strict=True) if np.isfinite(x)]
     return found
 
 
-def in_groups(members: DataFrame, keys: list[str], table: np.ndarray, threshold: float, leaders: bool = False, suspects: bool = False) -> DataFrame:
-    """`compared` over each group of `members` (keys, bucket, side, doc, class, text) that has two rows or leaders to name."""
+def in_groups(members: DataFrame, keys: list[str], table: np.ndarray, threshold: float, folder: str, name: str, suspects: bool = False) -> DataFrame:
+    """`compared` over each group of `members` (keys, bucket, blocks or far, side, doc, class, text)."""
     shared = members.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -415,45 +427,58 @@ def in_groups(members: DataFrame, keys: list[str], table: np.ndarray, threshold:
     def told(rows: pd.DataFrame, edge) -> pd.DataFrame:
         found = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b - a > 1 or leaders:
-                found += compared(rows.iloc[a:b], shared.value, threshold, leaders, suspects)
-        return pd.DataFrame(found, columns=["what", "bucket", "a", "b"])
+            found += compared(rows.iloc[a:b], shared.value, threshold, suspects)
+        return pd.DataFrame(found, columns=["what", "bucket", "a", "b", "far", "root"])
 
-    columns = list(dict.fromkeys([*keys, "bucket", "side", "doc", "class", "text"]))
+    columns = list(dict.fromkeys([*keys, "bucket", "side", "doc", "class", "text", "far" if suspects else "blocks"]))
     ordered = members.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
     with small_batches(members.sparkSession):
-        return materialise(ordered.mapInPandas(run, PAIRS), shared_folder(members.sparkSession), "pairs")
+        return materialise(ordered.mapInPandas(run, PAIRS), folder, name)
 
 
-def bucket_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], table: np.ndarray, threshold: float, folder: str, name: str) -> DataFrame:
-    """a, b: links within the buckets of `members` (bucket, node, class, blocks, block); `texts_of` gives (doc, text) of some nodes."""
-    needed = materialise(texts_of(members.select("node")), folder, f"{name}-texts")
+def bucket_links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], table: np.ndarray, threshold: float, folder: str, name: str, earlier: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(a, b: links within the buckets of `members`; the classes that these and `earlier` links make).
+
+    `members` has bucket, node, class, blocks and block; `texts_of` gives (doc, text) of some nodes.
+    """
 
     def full(rows: DataFrame) -> DataFrame:
+        needed = texts_of(rows.select("node"))
         return rows.join(needed, rows["node"] == needed["doc"])
 
-    split, one = members.filter("blocks > 1"), members.filter("blocks = 1").withColumn("side", F.lit(0))
-    links = [in_groups(full(one), ["bucket"], table, threshold)]
-    if not split.isEmpty():
-        told = in_groups(full(split.withColumn("side", F.lit(0))), ["bucket", "block"], table, threshold, leaders=True)
-        links.append(told)
-        follows = told.filter(F.col("what") == LEADER).select("bucket", F.col("a").alias("leader"), F.col("b").alias("node"))
-        heads = follows.filter("leader = node").join(split.select("bucket", "node", "class"), ["bucket", "node"])
+    def linked(*told: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x.filter(F.col("what") == LINK).select("a", "b") for x in told])
+
+    told = in_groups(full(members.withColumn("side", F.lit(0))), ["bucket", "block"], table, threshold, folder, f"{name}-blocks")
+    follows = told.filter(F.col("what") == LEADER).select("bucket", F.col("a").alias("leader"), F.col("b").alias("node"), "far", "root")
+    links, doubt = linked(told), None
+    if not follows.isEmpty():
+        heads = follows.groupBy("bucket", F.col("leader").alias("node")).agg(F.max("far").alias("far"), F.min("root").alias("class"))
         blocks = heads.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        heads = heads.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+        heads = materialise(heads.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")), folder, f"{name}-leaders")
         paired = heads.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        paired = paired.select("bucket", "node", "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"))
-        told = in_groups(full(paired), ["bucket", "i", "j"], table, threshold, suspects=True)
-        links.append(told)
-        doubt = told.filter(F.col("what") == SUSPECT)
-        if not doubt.isEmpty():
-            known = components(reduce(DataFrame.unionByName, [x.filter(F.col("what") == LINK).select("a", "b") for x in links]), folder, f"{name}-within")
-            here, there = (known.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
-            doubt = doubt.join(here, "a", "left").join(there, "b", "left").filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("bucket", "a", "b").distinct()
-            both = doubt.select("bucket", "a", "b", F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("leader")) for n, c in enumerate("ab")])).alias("x")).select("bucket", "a", "b", "x.*")
-            both = both.join(follows, ["bucket", "leader"]).join(split.select("bucket", "node", "class"), ["bucket", "node"])
-            links.append(in_groups(full(both), ["bucket", "a", "b"], table, threshold))
-    return reduce(DataFrame.unionByName, [x.filter(F.col("what") == LINK).select("a", "b") for x in links])
+        paired = paired.select("bucket", "node", "class", "far", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"))
+        between = in_groups(full(paired), ["bucket", "i", "j"], table, threshold, folder, f"{name}-between", suspects=True)
+        links, doubt = linked(told, between), between.filter(F.col("what") == SUSPECT)
+    known = components(reduce(DataFrame.unionByName, [*earlier, links]), folder, f"{name}-stars")
+    if doubt is None or doubt.isEmpty():
+        return links, known
+    # only followers far enough out can be near one of another class: they are compared with each other, in pairs of blocks
+    least = doubt.groupBy("bucket", F.col("a").alias("leader")).agg(F.min("far").alias("least"))
+    border = follows.join(least, ["bucket", "leader"]).filter(F.col("far") >= F.col("least") - 1e-5).select("bucket", "node")
+    border = border.join(known.select("node", "class"), "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
+    spans = border.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.ceil(F.count(F.lit(1)) / BORDER).cast("int").alias("n")).filter("lo < hi")
+    border = border.join(spans.select("bucket", "n"), "bucket").withColumn("side", F.pmod(F.xxhash64("node", "bucket"), F.col("n")).cast("int"))
+    both = border.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    both = both.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "class", F.lit(1).alias("blocks"))
+    both = materialise(both, folder, f"{name}-border")
+    if both.isEmpty():
+        return links, known
+    more = linked(in_groups(full(both), ["bucket", "i", "j"], table, threshold, folder, f"{name}-followers"))
+    if more.isEmpty():
+        return links, known
+    links = links.unionByName(more)
+    return links, components(reduce(DataFrame.unionByName, [*earlier, links]), folder, f"{name}-stars-again")
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -514,8 +539,8 @@ def labelled(docs: DataFrame, threshold: float, folder: str) -> DataFrame:
         buckets = buckets.filter("lo < hi").groupBy("n", "who").agg(F.min("bucket").alias("bucket")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         members = part.join(buckets.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
         members = materialise(members, folder, f"members-{turn}")
-        links.append(materialise(bucket_links(members, texts_of, table, threshold, folder, f"links-{turn}"), folder, f"links-{turn}"))
-        known = components(reduce(DataFrame.unionByName, links), folder, f"stars-{turn}")
+        found, known = bucket_links(members, texts_of, table, threshold, folder, f"turn-{turn}", links)
+        links.append(found)
     known = known.unionByName(known.select(F.col("class").alias("node"), "class")).distinct()
     named = known.join(nodes.select("node", "doc", "md5"), "node").groupBy("class").agg(F.min("doc").alias("class_id"), F.min("md5").alias("keeper"))
     named = materialise(named, folder, "names")
