@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, neardup, packing, pii, quality, secrets, urls, warc
+from . import fingerprints, langid, mixing, neardup, packing, pii, quality, runs, secrets, urls, warc, whitening
 from .common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document with its personal data replaced by surrogates."""
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable embedding."""
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every whole document."""
+    return runs.digests(table(spark, sf_dir, "documents"))
