@@ -71,7 +71,7 @@ def scatter(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cross = np.zeros((d, d), object)
     for i in range(d):
         counts = np.stack([np.bitwise_count(words[i, a] & flat[i * bits :]).sum(axis=1, dtype=np.int64) for a in range(bits)])
-        cross[i, i:] = weight @ counts.reshape(bits, d - i, bits).astype(object) @ weight
+        cross[i, i:] = np.tensordot(weight, counts.reshape(bits, d - i, bits).astype(object), (0, 0)) @ weight
         cross[i:, i] = cross[i, i:]
     s = shifts.astype(object)
     return ones + n * s, cross + np.outer(ones, s) + np.outer(s, ones) + n * np.outer(s, s)
