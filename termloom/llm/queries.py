@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, neardup, packing, pii, quality, runs, secrets, urls, warc, whitening
+from . import decontamination, fingerprints, langid, mixing, neardup, packing, pii, quality, runs, secrets, urls, warc, whitening
 from .common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,32 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_V = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_decontamination",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_V}') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_V}') AS w FROM benchmark),
+    bw AS (SELECT item_id, least(len(w), 10) AS n, unnest(range(len(w) - least(len(w), 10) + 1)) AS i, w FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS t FROM bw),
+    dw AS (SELECT rid, n, unnest(range(len(w) - n + 1)) AS i, w FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+    hit AS (SELECT rid, i, dw.n, item_id FROM dw JOIN win ON dw.n = win.n AND array_to_string(w[i + 1 : i + dw.n], ' ') = t),
+    places AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM hit)) GROUP BY rid),
+    lists AS (SELECT rid, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS sha
+              FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places USING (rid) LEFT JOIN lists USING (rid)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every whole document."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_embedding_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of every usable embedding."""
