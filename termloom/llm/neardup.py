@@ -4,9 +4,10 @@
 2. Document frequencies of all five-word shingles are counted over the whole
    corpus in a hashed table of `TABLE` counters (fixed size at any scale, merged
    in two levels, broadcast as 4 MB). Copies count as one document: texts that share
-   one of `KEYS` smallest shingle hashes are a group, counted in a first pass in a table of the
-   same kind, and each text whose largest group has g texts adds 1 / g. So a large group of near copies
-   doesn't make its own shingles common, while a passage that unrelated texts share is.
+   the least of their shingles under one of `KEYS` hashes are a group, counted in a first pass in a table of the
+   same kind, and each text adds 1 / g, where g is the size of its `AGREE`-th largest group. Near copies share most of
+   these hashes, so a large group of them doesn't make its own shingles common; unrelated texts with a common
+   passage seldom share as many, so the passage's are.
    A shingle weighs log(1 + N / df) for each of its occurrences: the k-th occurrence is an
    element of its own, which gives min and max of term frequencies their exact part
    in the weighted Jaccard similarity of the TF-IDF vectors.
@@ -53,7 +54,7 @@ BANDS, ROWS = 12, 3
 FIRST_BANDS = 4
 TABLE = 1 << 20
 UNIT = 1 << 20  # a document in the counts
-KEYS = 4  # hashes that name a document's groups
+KEYS, AGREE = 8, 3  # hashes that name a document's groups, and how many must do so
 BLOCK, BORDER = 256, 512
 CHUNK_BYTES = 512 << 10
 KEY_BITS = np.uint64(44)
@@ -84,16 +85,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def segments(text: str) -> Iterator[str]:
     """A text in stretches of about CHUNK_BYTES characters that share WIDTH - 1 words, so that their shingles are the text's."""
-    start = 0
-    while len(text) - start > 2 * CHUNK_BYTES and (m := BLANK.search(text, start + CHUNK_BYTES)):
+    start, size = 0, CHUNK_BYTES
+    while len(text) - start > 2 * size and (m := BLANK.search(text, start + size)):
         cut, width = m.start(), 1 << 12
-        yield text[start:cut]
         while len(words := list(WORD_AT.finditer(text, max(start, cut - width), cut))) < WIDTH and cut - width > start:
             width *= 2  # the first of the words found may be cut off itself
-        start = words[-WIDTH + 1].start() if len(words) >= WIDTH else start
-        if len(words) < WIDTH:  # one stretch without words enough: it goes on in full
-            yield text[start:]
-            return
+        if len(words) < WIDTH:  # too few words to share: a longer stretch
+            size *= 2
+            continue
+        yield text[start:cut]
+        start, size = words[-WIDTH + 1].start(), CHUNK_BYTES
     yield text[start:]
 
 
@@ -205,15 +206,15 @@ def counted(texts: DataFrame, count: Callable[[list[str]], np.ndarray]) -> np.nd
 
 
 def group_keys(at: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents with shingles, counters of their groups): copies share most of their `KEYS` smallest shingle hashes."""
+    """(documents with shingles, counters of their groups): copies share most of their least shingles under `KEYS` hashes."""
     if (at[1:] < at[:-1]).any():
         order = np.argsort(at, kind="stable")
         at, shingle = at[order], shingle[order]
     first = first_of(at)
     keys = np.empty((len(first), KEYS), np.int64)
     for k in range(KEYS if len(first) else 0):
-        # the hashes are mixed already: an odd factor orders them anew
-        least = np.minimum.reduceat(shingle * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1) & KEY_MASK, first)
+        # the hashes are mixed already: an odd factor orders them anew (powers of one, as small multiples would order alike)
+        least = np.minimum.reduceat(shingle * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) & KEY_MASK, first)
         keys[:, k] = slot(mix(least + np.uint64(k << 44)) >> np.uint64(20))
     return at[first], keys
 
@@ -239,7 +240,7 @@ def frequencies(texts: DataFrame, sizes: np.ndarray) -> np.ndarray:
         docs, groups = group_keys(*found)
         at, shingle, element = elements_of(*found)
         own = np.zeros(len(part), np.int64)
-        own[docs] = share.value[groups].min(axis=1)  # of its largest group
+        own[docs] = np.partition(share.value[groups], AGREE - 1, axis=1)[:, AGREE - 1]
         once = shingle == element
         return np.bincount(slot(shingle[once]), own[at[once]], TABLE).astype(np.int64)
 
