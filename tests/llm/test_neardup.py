@@ -109,8 +109,13 @@ def test_a_group_of_copies_keeps_its_weight(spark):
     common = np.mean([weight(g) for g in grams(" ".join(passage))])
     rare = weight(("u1", "never", "seen", "before", "u2"))
     assert shared > 0.9 * rare and common < 0.4 * rare
-    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {got[i] for i in range(200)} == {0} and len({got[i] for i in range(1000, 1200)}) == 200
+    # three edits in 120 words leave a similarity of about 0.6: brute force has the classes; one edit leaves over 0.8
+    rows += [(3000 + i, copies(rng, words, base, 1)) for i in range(200)]
+    got, _, near = judged(spark, rows)
+    expected = closure(len(rows), near)
+    assert all(got[rows[i][0]] == got[rows[j][0]] for i, j in near)
+    assert len(set(got.values())) == len(set(expected))
+    assert len({got[i] for i in range(3000, 3200)}) == 1 and len({got[i] for i in range(1000, 1200)}) == 200
 
 
 def test_long_texts_are_cut_without_losing_shingles(monkeypatch):
