@@ -226,23 +226,18 @@ def fuzzy_match(names: DataFrame, catalogue: DataFrame, threshold: float = 0.6,
     """Pairs with 0.4 sequence + 0.4 Jaccard + 0.2 prefix ratio at or above `threshold`, which must be 0.6 or more.
 
     `names` has (id, name), `catalogue` (entry_id, entry). For CT and MRI names, an abdomen and an abdomen with pelvis
-    are compared without the pelvis, and score 0.1 more. Equal names are matched once and joined back. Below 0.6 lie all
-    pairs without a common token, so pairs come from an equi-join on tokens, each kept at its first common token only.
+    are compared without the pelvis, and score 0.1 more. Equal names are matched once and joined back. Pairs without a
+    common word are left out (all of them lie below 0.6). A pair in reach of the threshold has similar sets of words, or starts alike: the two
+    joins of `similarity` find these, and only they are compared by `sequence`.
     """
-    from .scoring import jaccard
-
-    left = names.select("name").distinct().withColumn("a", plain_name(F.col("name"))).withColumn("at", tokens(F.col("a")))
-    right = catalogue.select("entry_id", "entry").withColumn("b", plain_name(F.col("entry"))).withColumn("bt", tokens(F.col("b")))
-    pairs = left.withColumn("t", F.explode("at")).join(right.withColumn("t", F.explode("bt")), "t")
-    pairs = pairs.filter(F.col("t") == F.array_min(F.array_intersect("at", "bt"))).drop("t")
-    word = lambda ts, w: F.array_contains(ts, w)
-    scan = F.get(F.split("a", r"\s+"), F.lit(0)).isin("ct", "mri", "mr") & word("at", "abdomen") & word("bt", "abdomen")
-    wider, narrower = scan & ~word("at", "pelvis") & word("bt", "pelvis"), scan & word("at", "pelvis") & ~word("bt", "pelvis")
-    cut = lambda c: F.trim(F.replace(c, F.lit("pelvis"), F.lit("")))
-    pairs = pairs.select("name", "entry_id", "entry", F.when(narrower, cut(F.col("a"))).otherwise(F.col("a")).alias("a"), F.when(wider, cut(F.col("b"))).otherwise(F.col("b")).alias("b"), (wider | narrower).alias("boost"))
-    score = 0.4 * sequence(F.col("a"), F.col("b")) + 0.4 * jaccard(tokens(F.col("a")), tokens(F.col("b"))) + 0.2 * prefix_ratio(F.col("a"), F.col("b"))
-    kept = pairs.withColumn("score", score).withColumn("score", F.when(F.col("boost"), F.least(F.lit(1.0), F.col("score") + 0.1)).otherwise(F.col("score")))
-    return names.join(kept.filter(F.col("score") >= threshold).select("name", "entry_id", "entry", "score"), "name")
+    from .similarity import score_pairs
+
+    if threshold < 0.6:
+        raise ValueError("the threshold must be 0.6 or more")
+    text = lambda df, c: df.select(F.col(c).alias("id"), plain_name(F.col(c)).alias("text")).filter("id is not null").distinct()
+    kept = score_pairs(text(names, "name"), text(catalogue, "entry"), threshold, sequence)
+    kept = kept.select(F.col("left_id").alias("name"), F.col("right_id").alias("entry"), "score")
+    return names.join(kept, "name").join(catalogue.select("entry_id", "entry"), "entry").select("name", *[c for c in names.columns if c != "name"], "entry_id", "entry", "score")
 
 
 def sigmoid(x: Column) -> Column:

@@ -97,6 +97,63 @@ def test_fuzzy_match_against_brute_force(spark):
     assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
 
 
+def test_set_and_prefix_joins_against_brute_force(spark):
+    import random
+
+    from termloom.operators import similarity as sm
+
+    rng = random.Random(4)
+    words = ["ct", *[f"w{i}" for i in range(12)]]
+    pick = lambda: " ".join(dict.fromkeys(rng.choices(words, [30, *[9] * 12], k=rng.randrange(1, 8))))
+    left, right = {i: pick() for i in range(150)}, {i: pick() for i in range(150)}
+    right |= {200 + i: t[: rng.randrange(1, len(t) + 1)] for i, t in left.items()}
+    side = lambda d, least: spark.createDataFrame([(i, "k", t, list(dict.fromkeys(t.split())), least) for i, t in d.items()], "id int, kind string, text string, words array<string>, least double")
+    for least in (0.25, 0.5, 0.8, 1.0):
+        for most in (sm.FREQUENT, 3):
+            got = {(r.left_id, r.right_id): r.jaccard for r in sm.similar_sets(side(left, least), side(right, least), ["kind"], most).collect()}
+            both = {(i, j): len({*a.split()} & {*b.split()}) / len({*a.split()} | {*b.split()}) for i, a in left.items() for j, b in right.items()}
+            assert got == {k: v for k, v in both.items() if v >= least}
+    for ratio in (0.11, 0.5, 0.9):
+        rows = sm.prefix_pairs(side(left, 0.5), side(right, 0.5), ["kind"], ratio).collect()
+        starts = {(i, j) for i, a in left.items() for j, b in right.items() if (a.startswith(b) or b.startswith(a)) and min(len(a), len(b)) >= ratio * max(len(a), len(b))}
+        assert len(rows) == len(starts) and {(r.left_id, r.right_id) for r in rows} == starts
+
+
+def test_fuzzy_match_of_many_names_against_all_pairs(spark):
+    import random
+    import re
+
+    rng = random.Random(6)
+    words = ["abdomen", "abdomen", "pelvis", "pelvis", "chest", "head", "with", "contrast", "left", "knees", "kne"]
+    names = sorted({" ".join([rng.choice(["CT", "MRI", "US", "mr"]), *rng.choices(words, k=rng.randrange(0, 5))]) + rng.choice(["", ".", "s"]) for _ in range(120)})
+    d = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {(r.id, r.entry_id): round(r.score, 9) for r in rt.fuzzy_match(d, d.toDF("entry_id", "entry"), sequence=rt.edit_ratio).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (x != y))
+        return row[-1]
+
+    expected = {}
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            a, b = (re.sub(r"[^\w\s]", "", n.lower().strip()) for n in (x, y))
+            aw, bw, boost = set(a.split()), set(b.split()), 0.0
+            shared = bool(aw & bw)
+            if a.split()[0] in ("ct", "mri", "mr") and "abdomen" in aw and "abdomen" in bw and ("pelvis" in aw) != ("pelvis" in bw):
+                a, b = (t.replace("pelvis", "").strip() if "pelvis" in ws else t for t, ws in ((a, aw), (b, bw)))
+                boost = 0.1
+            aw, bw = set(a.split()), set(b.split())
+            prefix = min(len(a), len(b)) / max(len(a), len(b)) if a.startswith(b) or b.startswith(a) else 0.0
+            score = 0.4 * (1 - distance(a, b) / max(len(a), len(b))) + 0.4 * len(aw & bw) / len(aw | bw) + 0.2 * prefix + boost
+            if shared and min(1.0, score) >= 0.6:
+                expected[i, j] = round(min(1.0, score) if boost else score, 9)
+    assert len(expected) > 150 and got == expected
+
+
 def test_patterns_that_contain_the_name(spark):
     pats = [("CT Chest low dose", "a", 0.9, 1, True), ("ct chest", "b", 0.6, 5, True), ("MR chest", "c", 0.9, 2, True), ("CT chest", "d", 0.4, 9, True), ("old ct chest", "e", 0.9, 1, False), ("xx", "f", 0.8, 1, True)]
     p = spark.createDataFrame(pats, "pattern string, target string, confidence double, feedback_count long, active boolean")
