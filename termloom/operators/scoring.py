@@ -83,6 +83,9 @@ PREGNANCY_NAMES = ("pregnancy", "obstetric", "prenatal", "fetal")
 FEMALE_NAMES = ("breast", "mammography", "female", "gynae", "uterus")
 MALE_NAMES = ("prostate", "scrotal", "male", "penis")
 CHILD_NAMES = ("paediatric", "pediatric", "child", "infant")
+#: The consolidated profile's lists for pregnancy, female, male and child, and its explicit modalities.
+CONSOLIDATED_NAMES = (("pregnancy", "obstetric", "fetal"), ("breast", "mammography", "gynae"), ("prostate", "scrotal", "penis"), ("paediatric", "child"))
+CONSOLIDATED_EXPLICIT = ("ct", "us", "ultrasound", "mri", "mr")
 LEVELS = {
     "pregnancy": (("first trimester", "second trimester", "third trimester", "1st trimester", "2nd trimester", "3rd trimester"), ("pregnancy", "obstetric", "multiple pregnancy", "prenatal")),
     "anatomical": (("lumbar spine", "cervical spine", "thoracic spine"), ("spine",)),
@@ -144,20 +147,35 @@ def contrast_score(a: Column, b: Column, rules: dict = RULES) -> Column:
     )
 
 
+def near_terms(terms: Column, words) -> Column:
+    """The places in `words` that are in some term, or hold it."""
+    near = lambda w: F.exists(terms, lambda t: t.contains(w) | F.lit(w).contains(t))
+    return matched([near(w) for w in words])
+
+
+def matched(tests: list[Column]) -> Column:
+    """The places of the tests that hold, as an array of whole numbers."""
+    return F.filter(F.array(*[F.when(t, i) for i, t in enumerate(tests)]), lambda x: x.isNotNull()) if tests else F.array().cast("array<int>")
+
+
+def anatomy_clash(a_first: Column, a_second: Column, b_first: Column, b_second: Column) -> Column:
+    """Whether one side is near the first word of an incompatible pair and the other near its second; from `near_terms`."""
+    return F.arrays_overlap(a_first, b_second) | F.arrays_overlap(a_second, b_first)
+
+
 def anatomy_score(a: Column, b: Column, pairs=INCOMPATIBLE, rules: dict = RULES) -> Column:
-    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs])
-    near = lambda term, word: term.contains(word) | word.contains(term)
-    clash = F.exists(a, lambda s: F.exists(b, lambda t: F.exists(table, lambda p: (near(s, p["x"]) & near(t, p["y"])) | (near(s, p["y"]) & near(t, p["x"])))))
+    first, second = [x for x, _ in pairs], [y for _, y in pairs]
+    clash = anatomy_clash(near_terms(a, first), near_terms(a, second), near_terms(b, first), near_terms(b, second))
     return F.when(clash, rules["blocks"]["anatomy"]).otherwise(jaccard(a, b))
 
 
-def threshold_violation(s: dict[str, Column], rules: dict = RULES) -> Column:
-    """The first component below its minimum, else "combined", else null."""
+def threshold_violation(s: dict[str, Column], rules: dict = RULES, profile: str = "engine") -> Column:
+    """The first component below its minimum, else "combined", else null; the consolidated profile has three minimums alone."""
     out = None
-    for name in ("anatomy", "modality", "laterality", "contrast", "technique"):
+    for name in ("anatomy", "modality", "laterality", "contrast", "technique") if profile == "engine" else ("anatomy", "modality", "contrast"):
         low = s[name] < rules["minimum"][name]
         out = F.when(low, name) if out is None else out.when(low, name)
-    return out.when(weighted(s, rules) < rules["minimum"]["combined"], "combined")
+    return out if profile != "engine" else out.when(weighted(s, rules) < rules["minimum"]["combined"], "combined")
 
 
 def weighted(s: dict[str, Column], rules: dict = RULES) -> Column:
@@ -190,15 +208,20 @@ def interventional_score(a: Column, b: Column, rules: dict = RULES) -> Column:
     return F.when(mine & theirs, rules["interventional"][0]).when(mine, rules["interventional"][1]).otherwise(0.0)
 
 
-def demographic_bonus(gender: Column, age: Column, cat: Column, rules: dict = RULES) -> Column:
-    low, c = F.lower(cat), rules["context"]
-    by_gender = (
-        F.when((gender == "pregnancy") & has_any(low, PREGNANCY_NAMES), c["pregnancy"])
-        .when((gender == "female") & has_any(low, FEMALE_NAMES), c["gender"])
-        .when((gender == "male") & has_any(low, MALE_NAMES), c["gender"])
-        .otherwise(0.0)
-    )
-    return by_gender + F.when((age == "paediatric") & has_any(low, CHILD_NAMES), c["age"]).otherwise(0.0)
+def demographic_groups(cat: Column, profile: str = "engine") -> Column:
+    """Which of the demographic word lists an entry's name meets: 0 pregnancy, 1 female, 2 male, 3 child."""
+    lists = (PREGNANCY_NAMES, FEMALE_NAMES, MALE_NAMES, CHILD_NAMES) if profile == "engine" else CONSOLIDATED_NAMES
+    return matched([has_any(F.lower(cat), names) for names in lists])
+
+
+def demographic_score(gender: Column, age: Column, groups: Column, rules: dict = RULES) -> Column:
+    has, c = lambda i: F.array_contains(groups, i), rules["context"]
+    by_gender = F.when((gender == "pregnancy") & has(0), c["pregnancy"]).when((gender == "female") & has(1), c["gender"]).when((gender == "male") & has(2), c["gender"]).otherwise(0.0)
+    return by_gender + F.when((age == "paediatric") & has(3), c["age"]).otherwise(0.0)
+
+
+def demographic_bonus(gender: Column, age: Column, cat: Column, rules: dict = RULES, profile: str = "engine") -> Column:
+    return demographic_score(gender, age, demographic_groups(cat, profile), rules)
 
 
 def context_rules(config: dict) -> list[tuple[str, list[str], float]]:
@@ -208,90 +231,187 @@ def context_rules(config: dict) -> list[tuple[str, list[str], float]]:
     return nested + flat
 
 
+def context_hits(text: Column, contexts: dict = CONTEXTS) -> Column:
+    return matched([has_any(F.lower(text), words) for words, _ in contexts.values()])
+
+
+def context_score(mine: Column, theirs: Column, contexts: dict = CONTEXTS, rules: dict = RULES) -> Column:
+    bonus = F.array(*[F.lit(b) for _, b in contexts.values()])
+    return F.aggregate(mine, F.lit(0.0), lambda acc, i: acc + F.when(F.array_contains(theirs, i), F.get(bonus, i)).otherwise(rules["context"]["clinical_penalty"]))
+
+
 def context_bonus(text: Column, cat: Column, contexts: dict = CONTEXTS, rules: dict = RULES) -> Column:
-    out = F.lit(0.0)
-    for words, bonus in contexts.values():
-        mine, theirs = has_any(F.lower(text), words), has_any(F.lower(cat), words)
-        out = out + F.when(mine & theirs, bonus).when(mine, rules["context"]["clinical_penalty"]).otherwise(0.0)
-    return out
+    return context_score(context_hits(text, contexts), context_hits(cat, contexts), contexts, rules)
+
+
+def synonym_hits(text: Column, dictionary: dict[str, str]) -> tuple[Column, Column]:
+    """The places of the abbreviations and of the expansions that a text holds."""
+    low = F.lower(text)
+    return matched([low.contains(k.lower()) for k in dictionary]), matched([low.contains(v.lower()) for v in dictionary.values()])
+
+
+def synonym_score(a_short: Column, a_long: Column, b_short: Column, b_long: Column, rules: dict = RULES) -> Column:
+    return F.when(F.arrays_overlap(a_short, b_long) | F.arrays_overlap(a_long, b_short), rules["synonym"]).otherwise(0.0)
 
 
 def synonym_bonus(text: Column, cat: Column, dictionary: dict[str, str], rules: dict = RULES) -> Column:
-    a, b = F.lower(text), F.lower(cat)
-    table = F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(v.lower()).alias("v")) for k, v in dictionary.items()])
-    return F.when(F.exists(table, lambda x: (a.contains(x["k"]) & b.contains(x["v"])) | (a.contains(x["v"]) & b.contains(x["k"]))), rules["synonym"]).otherwise(0.0)
+    return synonym_score(*synonym_hits(text, dictionary), *synonym_hits(cat, dictionary), rules)
 
 
-def biopsy_preference(text: Column, modalities: Column, organs: dict = BIOPSY, default: dict = BIOPSY_DEFAULT) -> Column:
+def biopsy_organ(text: Column, organs: dict = BIOPSY, explicit=EXPLICIT) -> Column:
+    """The first organ of a biopsy without an explicit modality, "" without an organ; null for all else."""
     low = F.lower(text)
+    out = F.when(~(low.contains("biopsy") | low.contains("bx")) | has_any(low, explicit), F.lit(None).cast("string"))
+    for organ in organs:
+        out = out.when(low.contains(organ), organ)
+    return out.otherwise("")
+
+
+def biopsy_key(modalities: Column) -> Column:
     m = F.transform(modalities, lambda x: F.lower(x))
     has = lambda x: F.array_contains(m, x)
-    key = F.when(has("ct"), "ct").when(has("us"), "us").when(has("mri"), "mri").when(has("fluoroscopy") | has("ir") | has("interventional"), "fluoroscopy")
-    value = lambda table: F.coalesce(F.create_map(*[F.lit(z) for kv in table.items() for z in kv])[key], F.lit(0.0))
-    out = F.when(~(low.contains("biopsy") | low.contains("bx")) | has_any(low, EXPLICIT) | key.isNull(), 0.0)
-    for organ, table in organs.items():
-        out = out.when(low.contains(organ), value(table))
-    return out.otherwise(value(default))
+    return F.when(has("ct"), "ct").when(has("us"), "us").when(has("mri"), "mri").when(has("fluoroscopy") | has("ir") | has("interventional"), "fluoroscopy")
+
+
+def biopsy_score(organ: Column, key: Column, organs: dict = BIOPSY, default: dict = BIOPSY_DEFAULT) -> Column:
+    values = {f"{o}|{k}": v for o, row in {**organs, "": default}.items() for k, v in row.items()}
+    table = F.create_map(*[F.lit(z) for kv in values.items() for z in kv])
+    return F.when(organ.isNull() | key.isNull(), 0.0).otherwise(F.coalesce(table[F.concat_ws("|", organ, key)], F.lit(0.0)))
+
+
+def biopsy_preference(text: Column, modalities: Column, organs: dict = BIOPSY, default: dict = BIOPSY_DEFAULT, explicit=EXPLICIT) -> Column:
+    return biopsy_score(biopsy_organ(text, organs, explicit), biopsy_key(modalities), organs, default)
 
 
 def generic_anatomy(a: Column, b: Column, rules: dict = RULES) -> Column:
     return F.when(F.size(a) > 0, 0.0).when(F.size(b) == 0, rules["generic_anatomy"][0]).otherwise(rules["generic_anatomy"][1])
 
 
-def specificity_score(text: Column, cat: Column, rules: dict = RULES) -> Column:
-    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != ""))
-    words = lambda ws: F.array(*[F.lit(w) for w in ws])
-    w = rules["specificity"]
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != ""))
+
+
+def weighted_words(cat: Column, rules: dict = RULES, profile: str = "engine") -> Column:
+    """The distinct words of an entry's name, each with what it adds where the input lacks it."""
+    w, among = rules["specificity"], lambda t, words: t.isin(*words).cast("int")
+
+    def weight(t: Column) -> Column:
+        if profile != "engine":
+            return F.when(t.isin(*STOP_WORDS), 0.0).otherwise(among(t, ANATOMICAL_WORDS) * w["anatomical"] + among(t, ADMIN_WORDS) * w["administrative"])
+        rest = (~t.isin(*ANATOMICAL_WORDS, *ADMIN_WORDS, *TECHNIQUE_WORDS, *STOP_WORDS)).cast("int")
+        return among(t, ANATOMICAL_WORDS) * w["anatomical"] + among(t, TECHNIQUE_WORDS) * w["technique"] + among(t, ADMIN_WORDS) * w["administrative"] + rest * w["other"]
 
-    def scored(extra: Column) -> Column:
-        count = lambda ws: F.size(F.array_intersect(extra, words(ws)))
-        rest = F.size(F.array_except(extra, words((*ANATOMICAL_WORDS, *ADMIN_WORDS, *TECHNIQUE_WORDS, *STOP_WORDS))))
-        return count(ANATOMICAL_WORDS) * w["anatomical"] + count(TECHNIQUE_WORDS) * w["technique"] + count(ADMIN_WORDS) * w["administrative"] + rest * w["other"]
+    return F.transform(distinct_words(cat), lambda t: F.struct(t.alias("word"), weight(t).alias("weight")))
 
-    return F.element_at(F.transform(F.array(F.array_except(tokens(cat), tokens(text))), scored), 1)
+
+def specificity_sum(words: Column, weighted: Column) -> Column:
+    return F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + F.when(F.array_contains(words, x["word"]), 0.0).otherwise(x["weight"]))
+
+
+def specificity_score(text: Column, cat: Column, rules: dict = RULES, profile: str = "engine") -> Column:
+    return specificity_sum(distinct_words(text), weighted_words(cat, rules, profile))
 
 
 def exact_bonus(text: Column, cat: Column, rules: dict = RULES) -> Column:
     return F.when(F.lower(F.trim(text)) == F.lower(cat), rules["exact"]).otherwise(0.0)
 
 
+def generic_angiography(text: Column) -> Column:
+    return has_any(F.lower(text), ANGIO) & ~has_any(F.lower(text), VENOUS)
+
+
+def vessel_bonus(fsn: Column, rules: dict = RULES) -> Column:
+    """What an entry adds for generic angiography."""
+    low = F.lower(fsn)
+    return F.when(has_any(low, ARTERY_NAMES), rules["vessel"][0]).when(has_any(low, VEIN_NAMES), rules["vessel"][1]).otherwise(0.0)
+
+
 def vessel_preference(text: Column, fsn: Column, rules: dict = RULES) -> Column:
-    low, other = F.lower(text), F.lower(fsn)
-    generic = has_any(low, ANGIO) & ~has_any(low, VENOUS)
-    return F.when(~generic, 0.0).when(has_any(other, ARTERY_NAMES), rules["vessel"][0]).when(has_any(other, VEIN_NAMES), rules["vessel"][1]).otherwise(0.0)
+    return F.when(generic_angiography(text), vessel_bonus(fsn, rules)).otherwise(0.0)
+
+
+def levels_of(text: Column, levels: dict = LEVELS) -> Column:
+    """For each category "specific", "generic" or null."""
+    low = F.lower(text)
+    return F.array(*[F.when(has_any(low, specific), "specific").when(has_any(low, generic), "generic") for specific, generic in levels.values()])
+
+
+def level_sum(mine: Column, theirs: Column, rules: dict = RULES) -> Column:
+    of = lambda a, b: F.coalesce(F.when(a == b, rules["level"][0]).when((a == "specific") & (b == "generic"), rules["level"][1]), F.lit(0.0))
+    return F.aggregate(F.zip_with(mine, theirs, of), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def level_score(text: Column, fsn: Column, levels: dict = LEVELS, rules: dict = RULES) -> Column:
-    out = F.lit(0.0)
-    for specific, generic in levels.values():
-        level = lambda c: F.when(has_any(F.lower(c), specific), "specific").when(has_any(F.lower(c), generic), "generic")  # noqa: B023, E731
-        a, b = level(text), level(fsn)
-        out = out + F.coalesce(F.when(a == b, rules["level"][0]).when((a == "specific") & (b == "generic"), rules["level"][1]), F.lit(0.0))
-    return out
+    return level_sum(levels_of(text, levels), levels_of(fsn, levels), rules)
+
+
+def input_features(inputs: DataFrame, dictionary: dict[str, str]) -> DataFrame:
+    """`inputs` with `in_f`: all that the rules need of an input alone, found once for each input and not for each candidate."""
+    c, text = F.col, F.col("in_text")
+    short, long = synonym_hits(text, dictionary)
+    first, second = ([p[k] for p in INCOMPATIBLE] for k in (0, 1))
+    parts = {
+        "exact": F.lower(F.trim(text)), "words": distinct_words(text), "diagnostic": has_any(F.lower(text), DIAGNOSTIC),
+        "hybrid": matched([F.lower(text).rlike(p) for p, _ in HYBRID]), "context": context_hits(text), "short": short, "long": long,
+        "organ": biopsy_organ(text), "organ2": biopsy_organ(text, explicit=CONSOLIDATED_EXPLICIT), "angiography": generic_angiography(text), "levels": levels_of(text),
+        "first": near_terms(c("in_anatomy"), first), "second": near_terms(c("in_anatomy"), second), "interventional": F.exists("in_technique", lambda t: t.contains("Interventional")),
+    }
+    return inputs.withColumn("in_f", F.struct(*[v.alias(k) for k, v in parts.items()]))
+
+
+def entry_features(catalogue: DataFrame, dictionary: dict[str, str], rules: dict = RULES) -> DataFrame:
+    """`catalogue` with `cat_f`: all that the rules need of an entry alone."""
+    c, text, fsn = F.col, F.col("cat_text"), F.col("cat_fsn")
+    short, long = synonym_hits(text, dictionary)
+    first, second = ([p[k] for p in INCOMPATIBLE] for k in (0, 1))
+    parts = {
+        "exact": F.lower(text), "weighted": weighted_words(text, rules), "weighted2": weighted_words(text, rules, "consolidated"), "procedural": has_any(F.lower(text), PROCEDURAL),
+        "hybrid": matched([F.lower(text).rlike(p) for _, p in HYBRID]), "context": context_hits(text), "short": short, "long": long, "key": biopsy_key(c("cat_modality")),
+        "groups": demographic_groups(text), "groups2": demographic_groups(text, "consolidated"), "vessel": vessel_bonus(fsn, rules), "levels": levels_of(fsn),
+        "first": near_terms(c("cat_anatomy"), first), "second": near_terms(c("cat_anatomy"), second), "interventional": F.exists("cat_technique", lambda t: t.contains("Interventional")),
+    }
+    return catalogue.withColumn("cat_f", F.struct(*[v.alias(k) for k, v in parts.items()]))
 
 
 def scored(cands: DataFrame, dictionary: dict[str, str], profile: str = "engine", rules: dict = RULES) -> DataFrame:
-    """`cands` with every part of the score, and `component`."""
-    c = F.col
+    """`cands` with every part of the score, and `component`.
+
+    Rules read the features `in_f` and `cat_f`; candidates that don't come with them get them here. The consolidated profile has minimums
+    for anatomy, modality and contrast alone, word lists of its own, and vessel and level bonuses in place of the context rules.
+    """
+    if "in_f" not in cands.columns:
+        cands = input_features(cands, dictionary)
+    if "cat_f" not in cands.columns:
+        cands = entry_features(cands, dictionary, rules)
+    c, i, e, one = F.col, lambda k: F.col(f"in_f.{k}"), lambda k: F.col(f"cat_f.{k}"), profile == "engine"
+    blocks, inter = rules["blocks"], rules["interventional"]
+    clash = anatomy_clash(i("first"), i("second"), e("first"), e("second"))
     base = cands.select(
         "*",
-        anatomy_score(c("in_anatomy"), c("cat_anatomy"), rules=rules).alias("s_anatomy"), modality_score(c("in_modality"), c("cat_modality")).alias("s_modality"),
+        F.when(clash, blocks["anatomy"]).otherwise(jaccard(c("in_anatomy"), c("cat_anatomy"))).alias("s_anatomy"), modality_score(c("in_modality"), c("cat_modality")).alias("s_modality"),
         laterality_score(c("in_laterality"), c("cat_laterality")).alias("s_laterality"), contrast_score(c("in_contrast"), c("cat_contrast"), rules).alias("s_contrast"),
         jaccard(c("in_technique"), c("cat_technique")).alias("s_technique"),
-        diagnostic_penalty(c("in_text"), c("cat_text"), rules).alias("p_diagnostic"), hybrid_penalty(c("in_text"), c("cat_text"), rules=rules).alias("p_hybrid"), technique_penalty(c("in_text"), c("cat_text")).alias("p_technique"),
-        interventional_score(c("in_technique"), c("cat_technique"), rules).alias("b_interventional"), demographic_bonus(c("in_gender"), c("in_age"), c("cat_text"), rules).alias("b_demographic"),
-        context_bonus(c("in_text"), c("cat_text"), rules=rules).alias("b_context"), synonym_bonus(c("in_text"), c("cat_text"), dictionary, rules).alias("b_synonym"),
-        biopsy_preference(c("in_text"), c("cat_modality")).alias("b_biopsy"), generic_anatomy(c("in_anatomy"), c("cat_anatomy"), rules).alias("b_generic"),
-        specificity_score(c("in_text"), c("cat_text"), rules).alias("b_specificity"), exact_bonus(c("in_text"), c("cat_text"), rules).alias("b_exact"),
-        vessel_preference(c("in_text"), c("cat_fsn"), rules).alias("b_vessel"), level_score(c("in_text"), c("cat_fsn"), rules=rules).alias("b_level"),
-    )
+        F.when(i("diagnostic") & e("procedural"), blocks["diagnostic"]).otherwise(0.0).alias("p_diagnostic"), F.when(F.arrays_overlap(i("hybrid"), e("hybrid")), blocks["hybrid"]).otherwise(0.0).alias("p_hybrid"),
+        technique_penalty(c("in_text"), c("cat_text")).alias("p_technique"),
+        F.when(i("interventional"), F.when(e("interventional"), inter[0]).otherwise(inter[1])).otherwise(0.0).alias("b_interventional"),
+        demographic_score(c("in_gender"), c("in_age"), e("groups" if one else "groups2"), rules).alias("b_demographic"),
+        context_score(i("context"), e("context"), rules=rules).alias("b_context"), synonym_score(i("short"), i("long"), e("short"), e("long"), rules).alias("b_synonym"),
+        biopsy_score(i("organ" if one else "organ2"), e("key")).alias("b_biopsy"), generic_anatomy(c("in_anatomy"), c("cat_anatomy"), rules).alias("b_generic"),
+        specificity_sum(i("words"), e("weighted" if one else "weighted2")).alias("b_specificity"), F.when(i("exact") == e("exact"), rules["exact"]).otherwise(0.0).alias("b_exact"),
+        F.when(i("angiography"), e("vessel")).otherwise(0.0).alias("b_vessel"), level_sum(i("levels"), e("levels"), rules).alias("b_level"),
+    ).drop("in_f", "cat_f")
     s = {n: c(f"s_{n}") for n in ("anatomy", "modality", "laterality", "contrast", "technique")}
-    bonus = c("b_interventional") + c("b_specificity") + c("b_demographic") + c("b_context") + c("b_synonym") + c("b_biopsy") + c("b_generic") + c("b_exact")
-    if profile == "consolidated":
-        bonus = c("b_interventional") + c("b_specificity") + c("b_context") + c("b_exact") + c("b_vessel") + c("b_level")
+    bonus = c("b_interventional") + c("b_specificity") + c("b_demographic")
+    bonus += c("b_context") + c("b_synonym") + c("b_biopsy") + c("b_generic") + c("b_exact") if one else c("b_synonym") + c("b_biopsy") + c("b_generic") + c("b_vessel") + c("b_level") + c("b_exact")
     blocked = (c("p_diagnostic") < -1) | (c("p_hybrid") < -1) | (c("p_technique") < -1) | (c("s_anatomy") < -1)
-    base = base.withColumn("violation", threshold_violation(s, rules))
-    return base.withColumn("component", F.when(blocked | c("violation").isNotNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(s, rules) + bonus))))
+    base = base.withColumn("violation", threshold_violation(s, rules, profile))
+    whole = lambda x: F.when(blocked | c("violation").isNotNull(), 0.0).otherwise(x)
+    base = base.withColumn("component", whole(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted(s, rules) + bonus))))
+    if one:
+        return base
+    parts = F.struct(weighted(s, rules).alias("base_score"), bonus.alias("bonuses_penalties"), *[v.alias(k) for k, v in s.items()])
+    reason = F.when(blocked, "blocking").otherwise(c("violation"))
+    return base.withColumn("breakdown", F.struct(reason.alias("violation"), F.when(reason.isNull(), parts).alias("parts")))
 
 
 #: Models that are prompted; they take no position bonus.
@@ -309,8 +429,10 @@ def final_score(cands: DataFrame, model: Column, rules: dict = RULES) -> DataFra
     return cands.withColumn("final", F.when(veto, 0.0).otherwise(w["r"] * F.col("rerank") + w["c"] * F.col("component") + position))
 
 
-def final_consolidated(component: Column, rerank: Column, fit: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), component + rerank * fit))
+def final_consolidated(component: Column, rerank: Column, fit: Column, rules: dict = RULES) -> Column:
+    """The general weights of component and reranking, the latter times how well the complexities fit, within 0 and 1."""
+    w = rules["final"]["general"]
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), w[0] * component + w[1] * (rerank * fit)))
 
 
 def rerank_guard(cands: DataFrame) -> DataFrame:

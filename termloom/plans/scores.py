@@ -59,7 +59,7 @@ def catalogue(spark, sf):
 
 
 def candidates(spark, sf, feed=None):
-    return rt.blocked_candidates(inputs(spark, sf, feed), catalogue(spark, sf))
+    return rt.blocked_candidates(sc.input_features(inputs(spark, sf, feed), tx.ABBREVIATIONS), sc.entry_features(catalogue(spark, sf), tx.ABBREVIATIONS))
 
 
 #: Oracle expressions of each rule.
@@ -89,15 +89,24 @@ _SPEC = f"{_cnt(sc.ANATOMICAL_WORDS)} * 0.10 + {_cnt(sc.TECHNIQUE_WORDS)} * 0.05
 _VES = f"CASE WHEN NOT ({any_sql('in_text', sc.ANGIO)} AND NOT {any_sql('in_text', sc.VENOUS)}) THEN 0.0 WHEN {any_sql('cat_fsn', sc.ARTERY_NAMES)} THEN 0.20 WHEN {any_sql('cat_fsn', sc.VEIN_NAMES)} THEN -0.15 ELSE 0.0 END"
 _lev = lambda c, s, g: f"CASE WHEN {any_sql(c, s)} THEN 'specific' WHEN {any_sql(c, g)} THEN 'generic' END"
 _LEV = " + ".join(f"coalesce(CASE WHEN {_lev('in_text', s, g)} = {_lev('cat_fsn', s, g)} THEN 0.15 WHEN {_lev('in_text', s, g)} = 'specific' AND {_lev('cat_fsn', s, g)} = 'generic' THEN -0.10 END, 0.0)" for s, g in sc.LEVELS.values())
+#: The consolidated profile's own lists.
+_DEMO2 = f"""CASE WHEN in_gender = 'pregnancy' AND {any_sql('cat_text', ('pregnancy', 'obstetric', 'fetal'))} THEN 0.25 WHEN in_gender = 'female' AND {any_sql('cat_text', ('breast', 'mammography', 'gynae'))} THEN 0.20
+    WHEN in_gender = 'male' AND {any_sql('cat_text', ('prostate', 'scrotal', 'penis'))} THEN 0.20 ELSE 0.0 END + CASE WHEN in_age = 'paediatric' AND {any_sql('cat_text', ('paediatric', 'child'))} THEN 0.15 ELSE 0.0 END"""
+_BIO2 = _BIO.replace(any_sql("in_text", sc.EXPLICIT), any_sql("in_text", ("ct", "us", "ultrasound", "mri", "mr")))
+_EXTRA2 = f"list_filter({_EXTRA}, lambda x: NOT list_contains({list(sc.STOP_WORDS)}, x))"
+_SPEC2 = f"len(list_intersect({_EXTRA2}, {list(sc.ANATOMICAL_WORDS)})) * 0.10 - len(list_intersect({_EXTRA2}, {list(sc.ADMIN_WORDS)})) * 0.20"
 _W = "(0.25 * s_anatomy + 0.35 * s_modality + 0.10 * s_laterality + 0.20 * s_contrast + 0.10 * s_technique)"
 PARTS = f"""{CANDS}, p AS (SELECT *, CAST(CASE WHEN {_CLASH} THEN -10.0 ELSE {jaccard_sql('in_anatomy', 'cat_anatomy')} END AS DOUBLE) AS s_anatomy, CAST({_MOD} AS DOUBLE) AS s_modality, CAST({_LAT} AS DOUBLE) AS s_laterality, CAST({_CON} AS DOUBLE) AS s_contrast,
     CAST({jaccard_sql('in_technique', 'cat_technique')} AS DOUBLE) AS s_technique, CAST(CASE WHEN {any_sql('in_text', sc.DIAGNOSTIC)} AND {any_sql('cat_text', sc.PROCEDURAL)} THEN -8.0 ELSE 0.0 END AS DOUBLE) AS p_diagnostic,
     CAST(CASE WHEN {_HYB} THEN -6.0 ELSE 0.0 END AS DOUBLE) AS p_hybrid, 0.0::DOUBLE AS p_technique, CAST(CASE WHEN {_INT('in_technique')} AND {_INT('cat_technique')} THEN 0.15 WHEN {_INT('in_technique')} THEN -0.20 ELSE 0.0 END AS DOUBLE) AS b_interventional,
     CAST({_DEMO} AS DOUBLE) AS b_demographic, CAST({_CTX} AS DOUBLE) AS b_context, CAST(CASE WHEN {_SYN} THEN 0.15 ELSE 0.0 END AS DOUBLE) AS b_synonym, CAST({_BIO} AS DOUBLE) AS b_biopsy, CAST({_GEN} AS DOUBLE) AS b_generic,
-    CAST({_SPEC} AS DOUBLE) AS b_specificity, CAST(CASE WHEN lower(trim(in_text)) = lower(cat_text) THEN 0.25 ELSE 0.0 END AS DOUBLE) AS b_exact, CAST({_VES} AS DOUBLE) AS b_vessel, CAST({_LEV} AS DOUBLE) AS b_level FROM cands),
-  v AS (SELECT *, CASE WHEN s_anatomy < 0.1 THEN 'anatomy' WHEN s_modality < 0.35 THEN 'modality' WHEN s_laterality < 0.0 THEN 'laterality' WHEN s_contrast < 0.3 THEN 'contrast' WHEN s_technique < 0.0 THEN 'technique' WHEN {_W} < 0.25 THEN 'combined' END AS violation FROM p),
+    CAST({_SPEC} AS DOUBLE) AS b_specificity, CAST(CASE WHEN lower(trim(in_text)) = lower(cat_text) THEN 0.25 ELSE 0.0 END AS DOUBLE) AS b_exact, CAST({_VES} AS DOUBLE) AS b_vessel, CAST({_LEV} AS DOUBLE) AS b_level,
+    CAST({_DEMO2} AS DOUBLE) AS b_demographic2, CAST({_BIO2} AS DOUBLE) AS b_biopsy2, CAST({_SPEC2} AS DOUBLE) AS b_specificity2 FROM cands),
+  v AS (SELECT *, CASE WHEN s_anatomy < 0.1 THEN 'anatomy' WHEN s_modality < 0.35 THEN 'modality' WHEN s_laterality < 0.0 THEN 'laterality' WHEN s_contrast < 0.3 THEN 'contrast' WHEN s_technique < 0.0 THEN 'technique' WHEN {_W} < 0.25 THEN 'combined' END AS violation,
+    CASE WHEN p_diagnostic < -1 OR p_hybrid < -1 OR s_anatomy < -1 THEN 'blocking' WHEN s_anatomy < 0.1 THEN 'anatomy' WHEN s_modality < 0.35 THEN 'modality' WHEN s_contrast < 0.3 THEN 'contrast' END AS violation2,
+    b_interventional + b_specificity2 + b_demographic2 + b_synonym + b_biopsy2 + b_generic + b_vessel + b_level + b_exact AS bonus2 FROM p),
   scored AS (SELECT *, CASE WHEN p_diagnostic < -1 OR p_hybrid < -1 OR s_anatomy < -1 OR violation IS NOT NULL THEN 0.0 ELSE greatest(0.0, least(1.0, {_W} + b_interventional + b_specificity + b_demographic + b_context + b_synonym + b_biopsy + b_generic + b_exact)) END AS component,
-    CASE WHEN p_diagnostic < -1 OR p_hybrid < -1 OR s_anatomy < -1 OR violation IS NOT NULL THEN 0.0 ELSE greatest(0.0, least(1.0, {_W} + b_interventional + b_specificity + b_context + b_exact + b_vessel + b_level)) END AS component2,
+    CASE WHEN violation2 IS NOT NULL THEN 0.0 ELSE greatest(0.0, least(1.0, {_W} + bonus2)) END AS component2, CASE WHEN violation2 IS NULL THEN {_W} END AS base2,
     CASE WHEN (row_id + entry_id) % 7 = 0 THEN 0.5 ELSE ((row_id * 31 + entry_id * 17) % 100) / 100.0::DOUBLE END AS rerank FROM v)"""
 NAMES = ("s_anatomy", "s_modality", "s_laterality", "s_contrast", "s_technique", "p_diagnostic", "p_hybrid", "p_technique", "b_interventional", "b_demographic", "b_context", "b_synonym", "b_biopsy", "b_generic", "b_specificity", "b_exact", "b_vessel", "b_level")
 
@@ -115,12 +124,14 @@ def g1(spark, sf):
 
 @query("g21_g23_consolidated", f"""WITH {PARTS}, qx AS (SELECT *, {qualifier_sql('in_text')} AS qq, least({structural_sql('cat_fsn')} + {terminology_sql('cat_fsn')}, 1.0) AS ft, least({structural_sql('cat_text')} + {terminology_sql('cat_text')}, 1.0) AS pt FROM scored),
     ax AS (SELECT *, CASE WHEN qq < 0.3 THEN CASE WHEN greatest(0, ft - pt) >= 0.2 THEN greatest(0.2, 1 - greatest(0, ft - pt) * 2) ELSE 1.0 END WHEN qq > 0.5 THEN least(1.0, 0.7 + greatest(0, ft - pt) * 0.5) ELSE greatest(0.3, 1 - abs(ft - qq)) END AS fit FROM qx)
-    SELECT row_id, entry_id, round(component2, 6) AS component, round(greatest(0.0, least(1.0, component2 + rerank * fit)), 6) AS final FROM ax""")
+    SELECT row_id, entry_id, round(component2, 6) AS component, violation2 AS violation, round(base2, 6) AS base_score, CASE WHEN violation2 IS NULL THEN round(bonus2, 6) END AS bonuses_penalties,
+      round(greatest(0.0, least(1.0, 0.65 * component2 + 0.35 * (rerank * fit))), 8) AS final FROM ax""")
 def g21(spark, sf):
     c = sc.scored(candidates(spark, sf), tx.ABBREVIATIONS, "consolidated")
     raw = F.when((C("row_id") + C("entry_id")) % 7 == 0, 0.5).otherwise(((C("row_id") * 31 + C("entry_id") * 17) % 100) / 100.0)
     fit = cx.appropriateness(cx.qualifier(C("in_text")), cx.total_complexity(C("cat_fsn")), cx.total_complexity(C("cat_text")))
-    return c.select("row_id", "entry_id", F.round("component", 6).alias("component"), F.round(sc.final_consolidated(C("component"), raw, fit), 6).alias("final"))
+    b = "breakdown.parts"
+    return c.select("row_id", "entry_id", F.round("component", 6).alias("component"), "breakdown.violation", F.round(f"{b}.base_score", 6).alias("base_score"), F.round(f"{b}.bonuses_penalties", 6).alias("bonuses_penalties"), F.round(sc.final_consolidated(C("component"), raw, fit), 8).alias("final"))
 
 
 _MODELS = {0: "medcpt", 1: "biolord", 2: "gpt-4o-mini", 3: "unheard-of"}
