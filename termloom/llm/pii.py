@@ -131,19 +131,29 @@ def persons(text: str) -> list[Entity]:
         if g == "n":
             gender[name] = GENDER_OF.get(name.split(" ")[0], ("", "n"))[1]
 
+    # the full names by their first and last words and by gender; whether one fits or several is all that counts, so two are enough
+    ends: dict[str, dict[str, list[str]]] = {}
+    for name, g in gender.items():
+        for word in {name.split(" ")[0], name.split(" ")[-1]}:
+            known = ends.setdefault(word, {}).setdefault(g, [])
+            if len(known) < 2:
+                known.append(name)
+
     def person(name: str, g: str) -> str:
         if name in gender:
             return f"{gender[name]}|{name}"
         g = GENDER_OF.get(name, ("", "n"))[1] if g == "n" else g
-        fits = [x for x, other in gender.items() if name in (x.split(" ")[0], x.split(" ")[-1]) and (g == other or "n" in (g, other))]
+        fits = [x for other, names in ends.get(name, {}).items() if g == other or "n" in (g, other) for x in names]
         return f"{gender[fits[0]]}|{fits[0]}" if len(fits) == 1 else f"{g}|{name}"
 
     found = [(a, b, "person", person(name, g)) for a, b, g, name in named]
     families = {name.split(" ")[-1] for name in gender}
     if families:  # a family name alone is the person too, if there is just one of that name
-        taken = [range(a, b) for a, b, *_ in found]
+        taken, at, end = sorted((a, b) for a, b, *_ in found), 0, -1
         for m in WORD.finditer(text):
-            if m[0] in families and not any(m.start() in r for r in taken) and " " in (who := person(m[0], "n")):
+            while at < len(taken) and taken[at][0] <= m.start():
+                end, at = max(end, taken[at][1]), at + 1
+            if m.start() >= end and m[0] in families and " " in (who := person(m[0], "n")):
                 found.append((m.start(), m.end(), "person", who))
     return found
 

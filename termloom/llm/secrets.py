@@ -16,9 +16,9 @@ of the original text that encodes it. Compressed data has no finer origin than
 its whole token.
 
 Compressed data is inflated as a stream, whole: it is scanned in pieces of about `PIECE_CHARS`
-characters that end at line breaks, or overlap by `OVERLAP` characters in lines longer
-than a piece. The worklist holds one piece of each nesting level at a time, so memory
-follows the depth of the nesting, not the inflated size.
+characters, cut where no token, escaped run, assignment or wrapped layer goes on; a piece grows
+until there is such a place. The worklist holds one piece of each nesting level at a time, so memory
+follows the depth of the nesting and the longest token or wrapped layer, not the inflated size.
 
 Defined results: null texts are empty and have no spans; repeated rows are
 scanned alike; an empty table gives an empty result; other columns are dropped. Positions are code points,
@@ -61,7 +61,7 @@ HEX_BYTE = re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([nrt0'\"\\]))")
 
 #: Bytes that are UTF-8 without control characters.
 READABLE = re.compile(rb"(?:[\t\n\x0b\x0c\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){6,}")
-PIECE_CHARS, OVERLAP = 1 << 22, 1 << 20
+PIECE_CHARS = 1 << 22
 READ_BYTES = 1 << 20
 
 Span = tuple[int, int, str]
@@ -93,13 +93,16 @@ def compressed(raw: bytes) -> int:
     return 15 if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0 else 0
 
 
-def inflate(stream: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of all members of a compressed stream, in pieces; what is broken or follows them ends it."""
+def inflate(stream: Iterator[bytes], inner: bool = False) -> Iterator[bytes]:
+    """The content of all members of a compressed stream, in pieces; what is broken ends it. What follows the members of an `inner` stream comes too, after a line break."""
     raw = next(stream, b"")
     while True:
         while len(raw) < 3 and (more := next(stream, b"")):
             raw += more
         if not (bits := compressed(raw)):
+            if inner and raw:
+                yield b"\n" + raw
+                yield from stream
             return
         member = zlib.decompressobj(bits)
         try:
@@ -143,20 +146,52 @@ def unpacked(raw: bytes) -> Iterator[str]:
         digest = hashlib.sha256(first).digest()
         if not compressed(first) or digest in seen:  # a stream that inflates to itself
             break
+        stream = inflate(stream, bool(seen))
         seen.add(digest)
-        stream = inflate(stream)
     if not seen or not first:
         return
-    text, decoder = "", codecs.getincrementaldecoder("utf-8")("replace")
+    text, size, decoder = "", PIECE_CHARS, codecs.getincrementaldecoder("utf-8")("replace")
     for part in stream:
         text += decoder.decode(part)
-        if len(text) >= PIECE_CHARS:
-            cut = text.rfind("\n") + 1
-            yield text[:cut] or text
-            text = text[cut:] if cut else text[-OVERLAP:]
+        if len(text) >= size and (cut := last_break(text)):
+            yield text[:cut]
+            text, size = text[cut:], PIECE_CHARS
+        elif len(text) >= size:
+            size = 2 * len(text)  # a token, or a wrapped layer, that hasn't ended yet
     yield text + decoder.decode(b"", True)
 
 
+def last_break(text: str) -> int:
+    """The last place at which a text can be cut without parting a token, an escaped run, an assignment or a wrapped layer; 0 without one.
+
+    Line breaks come first, but for those between lines that base64 may go on over; then control characters; then single spaces between words, where
+    no backslash comes before in the line.
+    """
+    at, end = 0, len(text) - 1  # how the next line starts must be known
+    wrapped = [m.span() for m in WRAPPED.finditer(text)]
+    while not at and (end := text.rfind("\n", 0, end)) >= 0:
+        while wrapped and wrapped[-1][0] > end:
+            wrapped.pop()
+        if wrapped and end < wrapped[-1][1]:
+            end = wrapped[-1][0]
+        else:
+            at = end + 1
+    if at:
+        return at
+    for m in CONTROL.finditer(text):
+        at = m.end()
+    line = text.rfind("\n") + 1
+    if not at and "\\" not in text[line:]:
+        for m in WORDS_APART.finditer(text, line):
+            at = m.start() + 1
+    return at
+
+
+#: Control characters, and a space that no assignment goes over.
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+WORDS_APART = re.compile(r"(?<=[A-Za-z.,;!?]) (?=[A-Za-z])")
+
+
 class Layer:
     """A decoded text; `start[i]` and `end[i]` are the original stretch of its character i."""
 

@@ -89,7 +89,6 @@ def test_clean_texts_have_no_spans():
 
 def test_long_streams_are_scanned_to_the_end(monkeypatch):
     monkeypatch.setattr(secrets, "PIECE_CHARS", 5000)
-    monkeypatch.setattr(secrets, "OVERLAP", 500)
     for filler in ("ab ☃ " * 30_000, "line of text ☃\n" * 10_000):
         for at in (0, 4990, 4999, 77_777, len(filler)):
             inner = filler[:at] + " password=Hunter2Hunter2 " + filler[at:]
@@ -97,6 +96,22 @@ def test_long_streams_are_scanned_to_the_end(monkeypatch):
                 assert [k for _, _, k in secrets.find(f"x {coded}")[1]] == ["assign"]
 
 
+@pytest.mark.parametrize("filler", ["line of text\n", "word\n", "several words here "])
+def test_layers_across_the_ends_of_pieces(monkeypatch, filler):
+    """Wrapped base64, tokens longer than a piece and escapes at every place round the end of a piece."""
+    monkeypatch.setattr(secrets, "PIECE_CHARS", 400)
+    secret = b"filler " * 20 + b"password=Hunter2Hunter2"
+    for inner in ("\n" + base64.encodebytes(secret).decode(), " " + b64(b"filler " * 200 + secret) + "\n", "\n" + "".join(f"%{c:02x}" for c in secret) + "\n"):
+        for at in range(0, 460, 7):
+            text = (filler * 60)[:at] + inner + filler * 40
+            assert [k for _, _, k in secrets.find(b64(gzip.compress(text.encode())))[1]] == ["assign"], (at, inner[:9])
+
+
+def test_text_behind_inner_members():
+    inner = gzip.compress(b"an inner member") + b"and then token: abcdefghi"
+    assert [k for _, _, k in secrets.find("x " + b64(gzip.compress(inner)))[1]] == ["assign"]
+
+
 def test_a_stream_far_larger_than_a_piece():
     raw = gzip.compress(b"a b\n" * (10 << 20) + b"token: abcdefghi")
     text = "see " + b64(raw)
