@@ -281,20 +281,27 @@ def rerank(cands: DataFrame, fn) -> DataFrame:
     return cands.select("row_id", "entry_id", "cand_pos", "in_text", "cat_text").groupBy("row_id").applyInPandas(run, "row_id long, entry_id long, rerank double")
 
 
-def blocked_candidates(inputs: DataFrame, catalogue: DataFrame, k: int = 15) -> DataFrame:
+#: Entries of a term are dealt to so many salts, and the texts with it to one of them each.
+SALTS = 8
+
+
+def blocked_candidates(inputs: DataFrame, catalogue: DataFrame, k: int = 15, how: str = "inner") -> DataFrame:
     """Up to k catalogue entries per input that share an anatomy term, by token overlap; ties go to the smaller entry.
 
     The match runs over distinct (anatomy, text) pairs of the inputs, so repeated names cost one search. It
     joins ids and token hashes alone; a pair counts at its first common term only, so nothing is
-    made distinct afterwards, and each task keeps the k best of a text before the shuffle.
+    made distinct afterwards, and each task keeps the k best of a text before the shuffle. The texts of a frequent term are dealt to
+    `SALTS` tasks, each of which has its entries. With `how` "left", inputs without candidates stay, with null entries.
     """
     from .scoring import jaccard
 
     hashes = lambda c: F.transform(tokens(F.col(c)), lambda t: F.xxhash64(t))
-    left = inputs.select("in_text", "in_anatomy").distinct().select("in_text", "in_anatomy", hashes("in_text").alias("a"), F.explode("in_anatomy").alias("t"))
+    salt = F.pmod(F.xxhash64("in_text"), F.lit(SALTS)).cast("int")
+    left = inputs.select("in_text", "in_anatomy").distinct().select("in_text", "in_anatomy", hashes("in_text").alias("a"), F.explode("in_anatomy").alias("t"), salt.alias("salt"))
     right = catalogue.select("entry_id", "cat_anatomy", hashes("cat_text").alias("b"), F.explode("cat_anatomy").alias("t"))
-    pairs = left.join(right, "t").filter(F.col("t") == F.array_min(F.array_intersect("in_anatomy", "cat_anatomy")))
+    pairs = left.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["t", "salt"])
+    pairs = pairs.filter(F.col("t") == F.array_min(F.array_intersect("in_anatomy", "cat_anatomy")))
     pairs = pairs.select("in_text", "entry_id", F.round(jaccard(F.col("a"), F.col("b")), 9).alias("overlap"))
     w = Window.partitionBy("in_text").orderBy(F.desc("overlap"), "entry_id")
     top = pairs.withColumn("cand_pos", F.row_number().over(w) - 1).filter(F.col("cand_pos") < k)
-    return inputs.join(top, "in_text").join(catalogue, "entry_id")
+    return inputs.join(top, "in_text", how).join(catalogue, "entry_id", how)
