@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.readers import checkpointed
@@ -26,12 +26,33 @@ def delete(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return old.join(gone.select(key).distinct(), key, "left_anti")
 
 
+#: The checks of a pathway and of a step: what is wrong where, by the field that must be there.
+PATHWAY_CHECKS = {"title": "Title is required", "id": "ID is required", "start": "Start step must be specified"}
+STEP_CHECKS = {"title": "missing title", "type": "missing type"}
+NO_START, NO_TARGET = "Start step does not exist in steps", "references non-existent step"
+
+
+def failing(checks: dict[str, str], place: Column, key: Column) -> Column:
+    """The checks whose field is null or empty, as structs of id, step, field and problem."""
+    each = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.struct(key.alias("id"), place.alias("step"), F.lit(c).alias("field"), F.lit(p).alias("problem"))) for c, p in checks.items()]
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+
 def reference_checks(pathways: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Missing titles, missing start steps, and options that lead to unknown steps."""
-    untitled = pathways.filter(F.col("title").isNull()).select("id", F.lit("no title").alias("problem"), F.lit(None).cast("long").alias("step"))
-    start = pathways.select("id", F.col("start").alias("step")).join(nodes, ["id", "step"], "left_anti").select("id", F.lit("no start step").alias("problem"), "step")
-    lost = edges.select("id", F.col("dst").alias("step")).distinct().join(nodes, ["id", "step"], "left_anti").select("id", F.lit("unknown step").alias("problem"), "step")
-    return untitled.unionByName(start).unionByName(lost)
+    """Everything that is wrong with the pathways: id, step, field, problem; targets are named in `field`.
+
+    `pathways` has key, id, title, start; `nodes` key, step, title, type; `edges` key, src, option, dst. `key` is the place a pathway is kept by, as its id may be missing. One
+    pass over each table finds the missing fields; start steps and targets are looked up by one join each.
+    """
+    nowhere = F.lit(None).cast(nodes.schema["step"].dataType)
+    missing = pathways.select(F.explode(failing(PATHWAY_CHECKS, nowhere, F.col("key"))).alias("x")).select("x.*")
+    steps = nodes.select(F.explode(failing(STEP_CHECKS, F.col("step"), F.col("key"))).alias("x")).select("x.*")
+    known = nodes.select("key", F.col("step").alias("_s"))
+    start = pathways.filter("start is not null").join(known.withColumnRenamed("_s", "start"), ["key", "start"], "left_anti")
+    start = start.select(F.col("key").alias("id"), F.col("start").alias("step"), F.lit("start").alias("field"), F.lit(NO_START).alias("problem"))
+    lost = edges.filter("dst is not null").join(known.withColumnRenamed("_s", "dst"), ["key", "dst"], "left_anti")
+    lost = lost.select(F.col("key").alias("id"), F.col("src").alias("step"), F.concat(F.lit("option "), F.col("option").cast("string"), F.lit(" to "), F.col("dst").cast("string")).alias("field"), F.lit(NO_TARGET).alias("problem"))
+    return missing.unionByName(steps).unionByName(start).unionByName(lost)
 
 
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:

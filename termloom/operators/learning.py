@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +47,11 @@ def resolve_precedence(mapped: Column, pattern: Column, pattern_confidence: Colu
     return F.struct(F.coalesce(mapped, F.when(pattern_confidence > 0.8, pattern), base).alias("value"), kind.alias("source"))
 
 
+def sample_by_source(df: DataFrame, source: str, sources: list[str], key: str, n: int, seed: int = 7) -> DataFrame:
+    """A repeatable sample of the rows of some sources (of all, if none is named)."""
+    return hash_sample(df.filter(F.col(source).isin(*sources)) if sources else df, key, n, seed)
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 7, most: int = 1000) -> DataFrame:
     """A repeatable sample of n rows (1 to `most`): the n smallest hashes."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max(1, min(n, most)))
@@ -95,6 +101,23 @@ def param_grid(lists: dict[str, DataFrame], parts: list[str], cap: float, n: int
     return numbered.filter(F.col("config_id") % F.greatest(F.lit(1), F.ceil(F.col("_n") / n)) == 0).drop("_n")
 
 
+def random_params(lists: dict[str, list[float]], parts: list[str], cap: float, n: int, spark, seed: int = 7) -> DataFrame:
+    """Random search: n draws of one of all combinations each, with those whose `parts` sum to `cap` or less.
+
+    A draw is an ordinal in the grid, from a hash of the seed and the draw's number, and its values are the ordinal's digits in the mixed radix of
+    the lists' lengths; the grid itself, which may be far larger than n, is never made. The same seed draws the same.
+    """
+    total = math.prod(map(len, lists.values()))
+    text = F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))
+    rows = spark.range(n).withColumn("o", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % total)
+    rest, values = F.col("o"), {}
+    for name, choices in reversed(lists.items()):
+        values[name] = F.get(F.array(*map(F.lit, choices)), (rest % len(choices)).cast("int"))
+        rest = F.floor(rest / len(choices)).cast("long") if len(choices) > 1 else rest
+    drawn = rows.select(F.col("id").alias("draw"), *[values[name].alias(name) for name in lists])
+    return drawn.filter(F.round(reduce(lambda a, b: a + b, [F.col(p) for p in parts]), 9) <= cap)
+
+
 def complete_config(total: Column) -> tuple[Column, Column]:
     """(laterality, technique): what is left of 1, 60 to 40."""
     return F.round((1 - total) * 0.6, 6), F.round((1 - total) * 0.4, 6)

@@ -9,19 +9,58 @@ from pyspark.sql import functions as F
 
 
 def complexity_profile(scores: DataFrame, key: str = "entry_id", score: str = "total", examples: int = 5) -> DataFrame:
-    """Statistics, share and first examples of each complexity bucket."""
+    """Statistics, share and first examples of each complexity bucket. Medians come from counts by bins, so no bucket is held in one place."""
+    from .ranks import medians
+
     s = F.col(score)
     t = scores.withColumn("bucket", F.when(s < 0.3, "simple").when(s <= 0.67, "moderate").otherwise("complex"))
     stats = t.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("mean"), F.round(F.median(s), 6).alias("median"), F.round(F.stddev_samp(s), 6).alias("stdev"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_samp(s), 6).alias("stdev"),
         F.round(F.min(s), 6).alias("low"), F.round(F.max(s), 6).alias("high"), F.round(F.max(s) - F.min(s), 6).alias("span"),
     )
+    stats = with_medians(stats, medians(t, "bucket", score), "bucket")
     first = t.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(key))).filter(F.col("r") <= examples)
     listed = first.groupBy("bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("examples"))
     total = F.sum("n").over(Window.partitionBy())
     return stats.withColumn("share", F.round(F.col("n") / total, 6)).join(listed, "bucket")
 
 
+def with_medians(stats: DataFrame, found: dict, group: str) -> DataFrame:
+    """`stats` (a row per group) with `median`."""
+    table = stats.sparkSession.createDataFrame(list(found.items()), f"{group} string, _m double")
+    return stats.join(F.broadcast(table), group, "left").withColumn("median", F.round("_m", 6)).drop("_m")
+
+
+#: Limits of the verdicts: the deviation, span and mean difference that carry a ranking by complexity.
+SPREAD, SPAN, GAIN = (("good", 0.15), ("moderate", 0.10)), (("wide", 0.5), ("moderate", 0.3)), 0.1
+
+
+def complexity_report(scores: DataFrame, full: str = "full", short: str = "short") -> DataFrame:
+    """The three series (complexity of the full and of the short name, and what the full one has more), their statistics, and what they say.
+
+    A row per series; the counts by range and the verdicts are those of the full name's series, and of the difference's for `gain`.
+    """
+    from .ranks import medians
+
+    more = F.greatest(F.lit(0.0), F.col(full) - F.col(short))
+    long = scores.select(F.explode(F.array(*[F.struct(F.lit(n).alias("series"), v.alias("v")) for n, v in (("full", F.col(full)), ("short", F.col(short)), ("difference", more))])).alias("s")).select("s.*")
+    v = F.col("v")
+    stats = long.groupBy("series").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"), F.min(v).alias("low"), F.max(v).alias("high"),
+        F.count_if(v < 0.3).alias("simple"), F.count_if((v >= 0.3) & (v < 0.6)).alias("moderate"), F.count_if(v >= 0.6).alias("complex"),
+    )
+    stats = with_medians(stats, medians(long, "series", "v"), "series")
+    span, is_full = F.col("high") - F.col("low"), F.col("series") == "full"
+    grade = lambda x, steps, rest: F.when(x > steps[0][1], steps[0][0]).when(x > steps[1][1], steps[1][0]).otherwise(rest)
+    r = lambda x: F.round(x, 6)
+    return stats.select(
+        "series", "n", r("mean").alias("mean"), "median", r("stdev").alias("stdev"), r("low").alias("low"), r("high").alias("high"), r(span).alias("span"),
+        *[F.when(is_full, F.col(c)).alias(c) for c in ("simple", "moderate", "complex")], F.when(is_full, r(F.when(F.col("mean") > 0, F.col("stdev") / F.col("mean")).otherwise(0.0))).alias("variation"),
+        F.when(is_full, grade(F.col("stdev"), SPREAD, "poor")).alias("spread"), F.when(is_full, grade(span, SPAN, "narrow")).alias("range"),
+        F.when(F.col("series") == "difference", F.when(F.col("mean") > GAIN, "significant").otherwise("limited")).alias("gain"),
+    )
+
+
 def review_groups(state: DataFrame, name: str) -> DataFrame:
     """Mappings by name: members, flag union, mean confidence, sources, decisions. Flags and sources are reduced before they are listed."""
     total = state.groupBy(name).agg(F.count(F.lit(1)).alias("members"), F.round(F.avg("confidence"), 6).alias("mean"), F.count_if(F.size("flags") > 0).alias("flagged"), F.count_if(F.col("status") == "approved").alias("approved"))
@@ -129,14 +168,21 @@ def analytics_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), names.alias("names"), F.round(F.avg("confidence") * 100, 4).alias("confidence")).withColumn("ratio", F.round(F.col("total") / F.col("names"), 6))
 
 
-def page(df: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
-    """A page of at most 500 rows with the total, page number and number of pages."""
+def page(df: DataFrame, offset: int, limit: int, *order) -> DataFrame:
+    """A page of at most 500 rows with the total, page number and number of pages; `order` is made of `ranks.By`."""
+    from .ranks import page_rows
+
     limit = max(1, min(limit, 500))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    rows = df.orderBy(*order).offset(offset).limit(limit)
+    rows = page_rows(df, list(order), offset, limit)
     return rows.crossJoin(F.broadcast(total)).withColumn("page", F.lit(offset // limit + 1)).withColumn("pages", F.ceil(F.col("total") / limit))
 
 
+def distinct_sources(df: DataFrame, source: str, order: str) -> DataFrame:
+    """Each source with where it is seen first, in that order."""
+    return df.groupBy(source).agg(F.min(order).alias("first")).orderBy("first", source)
+
+
 def batch_stats(df: DataFrame) -> DataFrame:
     """Successes, errors, cache hits, rejects and approvals of a batch, hit rate, and seconds from its first to its last row."""
     count = lambda c, n: F.count_if(c).alias(n)
@@ -223,6 +269,24 @@ def changelog(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]
     return o.join(n, keys, "full_outer").select(*keys, kind.alias("change")).filter("change is not null")
 
 
+def changelog_totals(changes: DataFrame, levels: list[str]) -> DataFrame:
+    """Counts of added, removed and modified rows at each level of a hierarchy and over all: one grouping by sets, with `depth` levels named.
+
+    `changes` has the levels (from the outermost in) and `change`.
+    """
+    sets = [[F.col(c) for c in levels[:k]] for k in range(len(levels), -1, -1)]
+    counts = {k: F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "modified")}
+    ids = [(1 - F.grouping(c)).cast("int") for c in levels]
+    total = changes.groupingSets(sets, *levels).agg(F.count(F.lit(1)).alias("changes"), *counts.values(), reduce(lambda a, b: a + b, ids).alias("depth"))
+    return total.select(*levels, "depth", "changes", *counts)
+
+
+def stamped(sections: DataFrame, changes: DataFrame, section: str, stamp: str) -> DataFrame:
+    """`sections` with `last_updated` set to `stamp` where something in them changed."""
+    touched = changes.select(section).distinct().withColumn("_t", F.lit(stamp))
+    return sections.join(touched, section, "left").withColumn("last_updated", F.coalesce("_t", "last_updated")).drop("_t")
+
+
 def reshape_scenarios(df: DataFrame, ids: list[str], archetypes: DataFrame) -> DataFrame:
     """Yearly measures in long form, `<measure>_y<k>`, joined to their sites."""
     wide = [c for c in df.columns if "_y" in c and c.rsplit("_y", 1)[1].isdigit()]

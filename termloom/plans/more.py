@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import components as cp
+from ..operators import ranks as rk
 from ..operators import graph as gr
 from ..operators import learning as ln
 from ..operators import reports as rp
@@ -349,7 +350,7 @@ def f11(spark, sf):
 
 @query("f13_sample_by_source")
 def f13(spark, sf):
-    return ln.hash_sample(t(spark, sf, "orders").filter(C("o_orderpriority").isin("1-URGENT", "2-HIGH")), "o_orderkey", 200)
+    return ln.sample_by_source(t(spark, sf, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"], "o_orderkey", 200)
 
 
 @query("f20_pending", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey")
@@ -373,7 +374,7 @@ def h20(spark, sf):
 
 @query("h21_h22_sorted_page", "SELECT o_orderkey, total, 3 AS page, CAST(ceil(total / 100.0) AS BIGINT) AS pages FROM (SELECT o_orderkey, o_totalprice, o_orderstatus, count(*) OVER () AS total FROM orders) ORDER BY o_orderstatus = 'F', o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200")
 def h22(spark, sf):
-    return rp.page(t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), 200, 100, C("o_orderstatus") == "F", C("o_totalprice").desc(), C("o_orderkey")).select("o_orderkey", "total", "page", "pages")
+    return rp.page(t(spark, sf, "orders").select("o_orderkey", "o_totalprice", (C("o_orderstatus") == "F").alias("final")), 200, 100, rk.By("final"), rk.By("o_totalprice", True), rk.By("o_orderkey")).select("o_orderkey", "total", "page", "pages")
 
 
 @query("h25_improvement", "SELECT round(avg(CASE WHEN l_extendedprice > l_quantity * 1000 THEN 1 ELSE 0 END), 6) AS improved, round(avg(l_quantity * 1000), 6) AS before, round(avg(l_extendedprice), 6) AS after, round(avg(l_extendedprice - l_quantity * 1000), 6) AS delta, round(avg(CASE WHEN l_discount * 10 >= 0.67 THEN 1 ELSE 0 END), 6) AS agreed FROM lineitem")
@@ -471,12 +472,6 @@ def pathway_tables(spark, sf):
     return rd.checkpointed(steps.withColumn("step", C("step").cast("long"))), edges.withColumn("dst", C("dst").cast("long")).withColumn("src", C("src").cast("long")), starts
 
 
-@query("h44_reference_checks", f"SELECT DISTINCT e.id, 'unknown step' AS problem, e.dst AS step FROM ({_EDGES}) e LEFT JOIN ({_STEPS}) s ON s.id = e.id AND s.step = e.dst WHERE s.step IS NULL")
-def h44(spark, sf):
-    steps, edges, starts = pathway_tables(spark, sf)
-    return gr.reference_checks(starts.select("id", F.lit("x").alias("title"), C("step").alias("start")), steps, edges)
-
-
 @query("h45_unreachable", f"WITH RECURSIVE e AS ({_EDGES}), s AS ({_STEPS}), r AS (SELECT DISTINCT id, 1::BIGINT AS step FROM s UNION SELECT e.id, e.dst FROM r JOIN e ON r.id = e.id AND r.step = e.src) SELECT id, step FROM s WHERE (id, step) NOT IN (SELECT id, step FROM r)")
 def h45(spark, sf):
     steps, edges, starts = pathway_tables(spark, sf)
@@ -514,7 +509,7 @@ def stream(spark, sf, name="events"):
     return raw.withColumn("ts", C("ts").cast("timestamp"))
 
 
-@query("j2_progress_stream", "SELECT user_id, count(*) AS processed, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+@query("j2_progress_stream", "SELECT user_id, count(*) AS processed, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
 def j2(spark, sf):
     at = rd.shared_path(spark)
     return jobs.upsert_batches(jobs.progress_stream(stream(spark, sf), "user_id"), f"{at}/out", f"{at}/state")
