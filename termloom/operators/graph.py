@@ -12,9 +12,21 @@ from ..sources.readers import checkpointed
 
 def manifest(pathways: DataFrame) -> DataFrame:
     """Step and guide counts, with a default description."""
-    n = F.size(F.map_keys("steps"))
-    text = F.concat(n.cast("string"), F.when(n == 1, " step").otherwise(" steps"))
-    return pathways.select("id", "title", n.alias("step_count"), F.size("guides").alias("guide_count"), F.coalesce("description", text).alias("description"), F.coalesce("status", F.lit("draft")).alias("status"))
+    n, g = F.coalesce(F.size(F.map_keys("steps")), F.lit(0)), F.coalesce(F.size("guides"), F.lit(0))
+    several = lambda k, one: F.concat(k.cast("string"), F.lit(f" {one}"), F.when(k == 1, "").otherwise("s"))
+    text = F.concat(F.lit("A clinical decision support pathway with "), several(n, "decision step"), F.when(g > 0, F.concat(F.lit(" and "), several(g, "protocol guide"))).otherwise(""), F.lit("."))
+    description = F.when(F.coalesce("description", F.lit("")) == "", text).otherwise(F.col("description"))
+    return pathways.select("id", "title", n.alias("step_count"), g.alias("guide_count"), description.alias("description"), F.coalesce("status", F.lit("draft")).alias("status"))
+
+
+#: Orders of a manifest: by title whatever the case, or the last changed first.
+MANIFEST_ORDERS = {"title": lambda: (F.lower("title"), F.col("title"), F.col("id")), "modified": lambda: (F.col("modified").desc(), F.col("id"))}
+
+
+def manifest_files(files: DataFrame, by: str = "title") -> DataFrame:
+    """The manifest of files in order: `files` has id, title, description, status, steps, guides, modified and raw (the document's text, whose length is the size)."""
+    extra = files.select("id", F.concat("id", F.lit(".json")).alias("filename"), "modified", F.octet_length("raw").alias("size"))
+    return manifest(files).join(extra, "id").orderBy(*MANIFEST_ORDERS[by]())
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

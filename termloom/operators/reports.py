@@ -120,6 +120,10 @@ def consolidate(df: DataFrame) -> DataFrame:
     )
 
 
+#: Orders of the consolidated view.
+CONSOLIDATED_ORDERS = {"count": ("-n",), "name": ("clean_name",), "confidence": ("-mean",)}
+
+
 def filter_pathways(df: DataFrame, status: str | None = None, text: str = "", published: bool = False) -> DataFrame:
     """Pathways of a status whose title or description holds the text, whatever the case; `published` keeps those for readers."""
     if published:
@@ -243,6 +247,36 @@ def access_stats(df: DataFrame, days: int) -> DataFrame:
     return use.crossJoin(F.broadcast(newest)).withColumn("stale", (F.col("last") < F.col("_newest") - F.expr(f"INTERVAL {days} DAYS")).cast("int")).drop("_newest", "last")
 
 
+#: Display names of modalities (others in capitals), and the key roles.
+MODALITY_NAMES = {"ultrasound": "Ultrasound", "mammography": "Mammography"}
+KEY_ROLES = {"radiologist": "Radiologist", "mit": "MIT", "radiology_healthcare_assistant": "RA/HCA"}
+
+
+def equipment_counts(machines: DataFrame) -> DataFrame:
+    """Machines of each site by the modality's display name, those with any; `machines` has site, modality and machines."""
+    m = F.col("modality")
+    shown = F.upper(m)
+    for key, name in MODALITY_NAMES.items():
+        shown = F.when(m == key, name).otherwise(shown)
+    return machines.filter("machines > 0").select("site", shown.alias("modality"), "machines")
+
+
+def key_fill_rates(staff: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+    """`fill_rates` of the key roles alone, by their labels; `staff` has role, fte and vacant."""
+    roles = roles or KEY_ROLES
+    labels = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])
+    return fill_rates(staff.filter(F.col("role").isin(*roles)).withColumn("role", labels[F.col("role")]))
+
+
+def pending_feedback(mappings: DataFrame, general: DataFrame, status: str = "pending") -> tuple[DataFrame, DataFrame]:
+    """Both feedback queues in a status, newest first: mapping corrections with their two mappings parsed, and general suggestions."""
+    parsed = lambda c: F.from_json(c, "struct<clean_name: string, snomed_id: string, confidence: double>").alias(c)
+    first = mappings.filter(F.col("status") == status)
+    others = [c for c in mappings.columns if c not in ("original_mapping", "corrected_mapping")]
+    order = [F.desc("created_at"), F.asc("id")]
+    return first.select(*others, parsed("original_mapping"), parsed("corrected_mapping")).orderBy(*order), general.filter(F.col("status") == status).orderBy(*order)
+
+
 def fill_rates(staff: DataFrame) -> DataFrame:
     rate = F.round(100 * (F.col("fte") - F.col("vacant")) / F.col("fte"), 4)
     return staff.filter("fte > 0").withColumn("rate", rate).withColumn("band", F.when(rate >= 80, "good").when(rate >= 60, "fair").otherwise("poor"))

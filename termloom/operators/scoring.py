@@ -557,5 +557,19 @@ def consensus(responses: DataFrame) -> DataFrame:
     return ranked.select("row_id", "choice", F.col("mean").alias("confidence"), (F.col("votes") / F.col("valid")).alias("agreement"), "votes", "valid")
 
 
+def named_consensus(responses: DataFrame, cands: DataFrame) -> DataFrame:
+    """The winner of `consensus` with its name and full name from the row's candidates, and the models that agree on it.
+
+    `responses` has row_id, model, choice, confidence (a model is named by what follows its last slash), `cands` row_id, choice, name, fsn. A
+    choice that isn't among the candidates is an "Unknown Procedure".
+    """
+    won = consensus(responses)
+    known = cands.groupBy("row_id", "choice").agg(F.min(F.struct("name", "fsn")).alias("_c"))
+    short = F.element_at(F.split("model", "/"), -1)
+    agreeing = responses.filter(F.col("choice").isNotNull()).groupBy("row_id", "choice").agg(F.array_sort(F.collect_list(short)).alias("models"))
+    rows = won.join(known, ["row_id", "choice"], "left").join(agreeing, ["row_id", "choice"])
+    return rows.select(*won.columns, F.coalesce("_c.name", F.lit("Unknown Procedure")).alias("name"), F.col("_c.fsn").alias("fsn"), "models")
+
+
 def improved(consensus_confidence: Column, original: Column) -> Column:
     return consensus_confidence > original

@@ -218,7 +218,7 @@ def h54(spark, sf):
     return gr.evaluate_pathways(rd.checkpointed(answers), edges, starts)
 
 
-@query("a12_read_pathways", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS title, 2 AS step_count, 1 AS guide_count, '2 steps' AS description, CASE WHEN n_nationkey % 2 = 0 THEN 'published' ELSE 'draft' END AS status FROM nation WHERE n_nationkey % 5 <> 0")
+@query("a12_read_pathways", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS title, 2 AS step_count, 1 AS guide_count, 'A clinical decision support pathway with 2 decision steps and 1 protocol guide.' AS description, CASE WHEN n_nationkey % 2 = 0 THEN 'published' ELSE 'draft' END AS status FROM nation WHERE n_nationkey % 5 <> 0")
 def a12(spark, sf):
     """A file for each pathway, read back; those without a title, and a manifest, are passed over."""
     n = t(spark, sf, "nation")

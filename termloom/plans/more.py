@@ -134,7 +134,7 @@ def a11(spark, sf):
 _PW = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
 
-@query("a12_h42_pathways", "SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS title, CAST(count(*) AS INTEGER) AS step_count, 0 AS guide_count, concat(count(*), CASE WHEN count(*) = 1 THEN ' step' ELSE ' steps' END) AS description, 'draft' AS status FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+@query("a12_h42_pathways", "SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS title, CAST(count(*) AS INTEGER) AS step_count, 0 AS guide_count, concat('A clinical decision support pathway with ', count(*), CASE WHEN count(*) = 1 THEN ' decision step.' ELSE ' decision steps.' END) AS description, 'draft' AS status FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
 def a12(spark, sf):
     n, r = t(spark, sf, "nation"), t(spark, sf, "region")
     step = F.struct(C("n_nationkey").cast("string").alias("id"), C("n_name").alias("title"))
@@ -149,14 +149,14 @@ def a12(spark, sf):
 _SITES = """SELECT c_nationkey AS site, c_mktsegment AS modality, count(*) AS machines FROM customer GROUP BY 1, 2"""
 
 
-@query("a13_h47_equipment", "SELECT CAST(c_nationkey AS VARCHAR) AS site, c_mktsegment AS modality, CAST(count(*) AS INTEGER) AS machines FROM customer GROUP BY 1, 2")
+@query("a13_h47_equipment", "SELECT CAST(c_nationkey AS VARCHAR) AS site, upper(c_mktsegment) AS modality, CAST(count(*) AS INTEGER) AS machines FROM customer GROUP BY 1, 2")
 def a13(spark, sf):
     c = t(spark, sf, "customer")
     machines = c.groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(F.struct(C("c_custkey").cast("string").alias("id"), C("c_name").alias("name"))).alias("machines"))
     equip = machines.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", F.struct("machines")))).alias("equipment"))
     site = F.create_map(C("c_nationkey").cast("string"), F.struct(F.lit("s").alias("site_name"), "equipment"))
     docs = equip.select(F.to_json(F.create_map(F.lit("region"), site)).alias("value"))
-    return rd.profile_tables(docs, "value")[1].filter("machines > 0").select("site", "modality", "machines")
+    return rp.equipment_counts(rd.profile_tables(docs, "value")[1])
 
 
 _WIDE = """SELECT o_custkey, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS high, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low, count(*) AS national FROM orders GROUP BY o_custkey"""

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -88,12 +89,31 @@ def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
 
 def load_rules(spark: SparkSession, path: str, sections: list[str]) -> DataFrame:
     """kind, key, value, ord of the dictionaries of a JSON configuration, each under a dotted path; ord is their order of expansion (longest key first)."""
-    text = spark.read.text(path, wholetext=True)
+    return dictionaries(spark.read.text(path, wholetext=True), sections)
+
+
+def dictionaries(text: DataFrame, sections: list[str]) -> DataFrame:
     rows = [text.select(F.lit(s).alias("kind"), F.explode(F.from_json(F.get_json_object("value", f"$.{s}"), "map<string,string>")).alias("key", "value")) for s in sections]
     every = reduce(DataFrame.unionByName, rows)
     return every.withColumn("ord", F.row_number().over(Window.partitionBy("kind").orderBy(F.length("key").desc(), "key")) - 1)
 
 
+@F.udf(StringType())
+def yaml_to_json(text: str) -> str:
+    """A YAML document as JSON; keys become text."""
+    import json
+
+    import yaml
+
+    return json.dumps(yaml.safe_load(text), default=str)
+
+
+def load_yaml_rules(spark: SparkSession, path: str, sections: list[str]) -> DataFrame:
+    """`load_rules` of a YAML configuration. Each file is one short document, read by the `yaml` package where the tasks run."""
+    text = spark.read.text(path, wholetext=True).select(yaml_to_json("value").alias("value"))
+    return dictionaries(text, sections)
+
+
 def read_decisions(spark: SparkSession, path: str, kind: str = "approved") -> DataFrame:
     """request_hash and payload (JSON) from every layout of a decision cache: `entries` as a map or a list, or a flat map; values under `mapping_data`, `result` or bare."""
     text = spark.read.text(path, wholetext=True)
@@ -175,9 +195,10 @@ def write_results(df: DataFrame, path: str, run_id: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{path}/run")
 
 
-def write_decisions(df: DataFrame, path: str, version: int = 1) -> DataFrame:
-    """A decision store with its version and schema on every row."""
-    df.withColumn("version", F.lit(version)).withColumn("schema", F.lit(df.schema.simpleString())).write.mode("overwrite").parquet(path)
+def write_decisions(df: DataFrame, path: str, version: int = 1, updated: str | None = None) -> DataFrame:
+    """A decision store with its version, schema and the time of its last update (now, if none is given) on every row."""
+    stamp = F.current_timestamp() if updated is None else F.lit(updated).cast("timestamp")
+    df.withColumn("version", F.lit(version)).withColumn("last_updated", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")).withColumn("schema", F.lit(df.schema.simpleString())).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

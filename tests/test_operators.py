@@ -235,7 +235,7 @@ def plain(v):
     return str(v)
 
 
-CHECKED = ("a1_read_array", "a6_read_rejected", "b19_parse_choice", "e8_fuzzy_match", "f18_f19_group_filter", "g22_g27_best_match", "g29_g34_assembly", "h15_validation_summary", "h31_learn_patterns", "h53_flatten_results", "h54_evaluate_pathways", "b1_exclude", "b12_b14_keys", "c9_weak_tags", "f1_preflight", "f4_modality_filter", "g35_g36_consensus", "h3_init_review", "h9_apply_decisions", "h10_batch_decisions", "h31_learn", "h51_changelog", "e4_topk_join", "j1_j4_standardise_stream", "standardise_full", "standardise_full_stream", "g21_g23_consolidated", "d6_complexity_report", "d6_exact_medians", "h22_far_page", "h29_sources", "h44_reference_checks", "h37_random_search", "h51_totals", "h51_stamps", "k5_all_tags", "j2_progress", "j3_decisions_in_state", "j6_spaced_events")
+CHECKED = ("a1_read_array", "a6_read_rejected", "b19_parse_choice", "e8_fuzzy_match", "f18_f19_group_filter", "g22_g27_best_match", "g29_g34_assembly", "h15_validation_summary", "h31_learn_patterns", "h53_flatten_results", "h54_evaluate_pathways", "b1_exclude", "b12_b14_keys", "c9_weak_tags", "f1_preflight", "f4_modality_filter", "g35_g36_consensus", "h3_init_review", "h9_apply_decisions", "h10_batch_decisions", "h31_learn", "h51_changelog", "e4_topk_join", "j1_j4_standardise_stream", "standardise_full", "standardise_full_stream", "g21_g23_consolidated", "d6_complexity_report", "d6_exact_medians", "h22_far_page", "h29_sources", "h44_reference_checks", "h37_random_search", "h51_totals", "h51_stamps", "k5_all_tags", "j2_progress", "j3_decisions_in_state", "j6_spaced_events", "g35_named_consensus", "a5_load_yaml", "a9_stamped_decisions", "f20_pending_feedback", "h19_consolidated_orders", "h42_manifest_files", "h48_key_roles", "h47_display_names", "a12_h42_pathways")
 
 
 @pytest.mark.parametrize("name", CHECKED)
