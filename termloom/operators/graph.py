@@ -67,12 +67,19 @@ def reference_checks(pathways: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     return missing.unionByName(steps).unionByName(start).unionByName(lost)
 
 
-def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, step) reachable from the starts, all graphs at once. Each round writes only its new steps; a round without any ends it."""
+#: Steps taken before a round's new ones are written.
+HOPS = 4
+
+
+def reachable(starts: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(id, step) reachable from the starts, all graphs at once. Each round takes `hops` steps and writes only what it reaches anew; a round without any ends it."""
     fronts = [checkpointed(starts.select("id", "step").distinct())]
+    moves = edges.select("id", F.col("src").alias("step"), "dst").distinct()
     while True:
-        front = fronts[-1]
-        step = front.join(edges, (front["id"] == edges["id"]) & (front["step"] == edges["src"])).select(front["id"], F.col("dst").alias("step")).distinct()
+        reached = [fronts[-1]]
+        for _ in range(hops):
+            reached.append(reached[-1].join(moves, ["id", "step"]).select("id", F.col("dst").alias("step")).distinct())
+        step = reduce(DataFrame.unionByName, reached[1:]).distinct()
         new = checkpointed(step.join(reduce(DataFrame.unionByName, fronts), ["id", "step"], "left_anti"))
         if new.isEmpty():
             return reduce(DataFrame.unionByName, fronts)

@@ -58,8 +58,8 @@ def catalogue(spark, sf):
     return e.select("concept_id", "entry_id", "cat_text", "cat_fsn", *[C(f"c.{n}").alias(f"cat_{n}") for n in ("modality", "anatomy", "laterality", "contrast", "technique")])
 
 
-def candidates(spark, sf, feed=None):
-    return rt.blocked_candidates(sc.input_features(inputs(spark, sf, feed), tx.ABBREVIATIONS), sc.entry_features(catalogue(spark, sf), tx.ABBREVIATIONS))
+def candidates(spark, sf, feed=None, how="inner"):
+    return rt.blocked_candidates(sc.input_features(inputs(spark, sf, feed), tx.ABBREVIATIONS), sc.entry_features(catalogue(spark, sf), tx.ABBREVIATIONS), how=how)
 
 
 #: Oracle expressions of each rule.
@@ -111,8 +111,8 @@ PARTS = f"""{CANDS}, p AS (SELECT *, CAST(CASE WHEN {_CLASH} THEN -10.0 ELSE {ja
 NAMES = ("s_anatomy", "s_modality", "s_laterality", "s_contrast", "s_technique", "p_diagnostic", "p_hybrid", "p_technique", "b_interventional", "b_demographic", "b_context", "b_synonym", "b_biopsy", "b_generic", "b_specificity", "b_exact", "b_vessel", "b_level")
 
 
-def scored(spark, sf, feed=None):
-    c = sc.scored(candidates(spark, sf, feed), tx.ABBREVIATIONS)
+def scored(spark, sf, feed=None, how="inner"):
+    c = sc.scored(candidates(spark, sf, feed, how), tx.ABBREVIATIONS)
     raw = F.when((C("row_id") + C("entry_id")) % 7 == 0, None).otherwise(((C("row_id") * 31 + C("entry_id") * 17) % 100) / 100.0)
     return c.withColumn("rerank", raw)
 
@@ -142,8 +142,8 @@ FINAL = f"""{PARTS}, f AS (SELECT *, max(rerank) OVER (PARTITION BY row_id) = 0
   best AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(final, 9) DESC, cand_pos) = 1)"""
 
 
-def finals(spark, sf, feed=None):
-    g = sc.rerank_guard(scored(spark, sf, feed))
+def finals(spark, sf, feed=None, how="inner"):
+    g = sc.rerank_guard(scored(spark, sf, feed, how))
     model = F.create_map(*[F.lit(x) for kv in _MODELS.items() for x in kv])[(C("row_id") % 4).cast("int")]
     return sc.final_score(g, model).withColumn("final", F.round("final", 9))
 
@@ -242,8 +242,9 @@ def f5(spark, sf):
     SELECT i.row_id, i.in_text AS clean_name, b.entry_id, b.cat_text AS matched, round(b.final, 6) AS confidence, listed FROM inp i LEFT JOIN best b USING (row_id) LEFT JOIN l USING (row_id)
     WHERE NOT {has('lower(i.in_text)', '|'.join(tx.EXCLUSIONS))}""")
 def standardise(spark, sf, feed=None):
-    """The whole chain: clean, extract, retrieve, score, pick, list."""
-    i = inputs(spark, sf, feed).select("row_id", C("in_text").alias("clean_name")).filter(~tx.is_excluded(C("clean_name")))
-    best = sc.best_and_list(finals(spark, sf, feed), ["entry_id", "cat_text", "final"])
-    listed = F.array_join(F.transform("candidates", lambda x: x["entry_id"].cast("string")), ",")
-    return i.join(best.select("row_id", "entry_id", C("cat_text").alias("matched"), F.round("final", 6).alias("confidence"), listed.alias("listed")), "row_id", "left")
+    """The whole chain: clean, extract, retrieve, score, pick, list. Inputs without candidates stay on the way, so inputs are read once."""
+    best = sc.best_and_list(finals(spark, sf, feed, "left"), ["in_text", "entry_id", "cat_text", "final"])
+    found = C("entry_id").isNotNull()
+    listed = F.when(found, F.array_join(F.transform("candidates", lambda x: x["entry_id"].cast("string")), ","))
+    rows = best.select("row_id", C("in_text").alias("clean_name"), "entry_id", C("cat_text").alias("matched"), F.when(found, F.round("final", 6)).alias("confidence"), listed.alias("listed"))
+    return rows.filter(~tx.is_excluded(C("clean_name")))
