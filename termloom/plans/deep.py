@@ -163,3 +163,13 @@ def j6(spark, sf):
     at = rd.shared_path(spark)
     jobs.run_available(jobs.spaced_stream(stream(spark, sf), ["user_id", "event_type"], 86_400), f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out").select("user_id", "event_type", F.unix_seconds("ts").alias("ts"))
+
+
+@query("e5_index_topk")
+def e5_index(spark, sf):
+    """The top five of each query from an index over all items; recall and scored pairs are tested against the exact join."""
+    from ..operators import index as ix
+    from .more import sides
+
+    q, c = sides(spark, sf)
+    return ix.search(q, ix.build(c, rd.shared_path(spark)), 5, but_itself=True)

@@ -121,3 +121,35 @@ def test_input_key(spark):
     fields = {"b": 'x "quoted"', "a": None, "c": "é"}
     got = value(spark, tx.input_key({k: F.lit(v).cast("string") for k, v in fields.items()}))
     assert got == hashlib.md5(json.dumps(fields, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("text", "cat", "base", "bonus", "violation", "component"), [
+    # 0.25 + 0.35 + 0.10 + 0.20 * 1.25 + 0.10, and 0.25 for the exact name
+    ("CT chest", "CT chest", 1.05, 0.25, None, 1.0),
+    # artery 0.10 (and a technique, which the input lacks: 0.10 less), projection -0.20; scan and imaging are stop words
+    ("CT chest", "CT chest artery projection scan imaging", 0.95, -0.10, None, 0.85),
+    # prenatal is not in this scorer's list, obstetric is: 0.25; both names are of one level: 0.15
+    ("US obstetric knee", "US prenatal knee", 1.05, 0.15, None, 1.0), ("US pregnancy knee", "US obstetric knee", 1.05, 0.40, None, 1.0),
+    # fluoroscopy isn't an explicit modality here: lung biopsies prefer CT by 0.60; both are interventional, 0.15
+    ("fluoroscopy biopsy lung", "CT biopsy lung", None, None, "modality", 0.0),
+    # no context rules: an emergency on one side costs nothing
+    ("CT chest emergency", "CT chest", 1.05, 0.0, None, 1.0),
+    # laterality has no minimum; 0.10 * 0.1
+    ("CT left knee", "CT right knee", 0.96, 0.0, None, 0.96),
+    ("XR chest standard", "XR chest guided biopsy", None, None, "blocking", 0.0), ("CT knee", "CT head", None, None, "anatomy", 0.0),
+])
+def test_the_consolidated_scorer(spark, text, cat, base, bonus, violation, component):
+    from termloom.functions import components as cp
+
+    t, c = F.lit(text), F.lit(cat)
+    row = spark.range(1).select(t.alias("in_text"), c.alias("cat_text"), F.concat(c, F.lit(" (procedure)")).alias("cat_fsn"), cp.components(t, F.lit("OTHER")).alias("i"), cp.components(c, F.lit("OTHER")).alias("e"))
+    row = row.select("in_text", "cat_text", "cat_fsn", *[F.col(f"{s}.{n}").alias(f"{p}_{n}") for s, p in (("i", "in"), ("e", "cat")) for n in ("modality", "anatomy", "laterality", "contrast", "technique")])
+    row = row.withColumns({"in_gender": cp.gender_context(F.col("in_text"), F.col("in_anatomy")), "in_age": cp.age_context(F.col("in_text"))})
+    got = sc.scored(row, {}, "consolidated").first()
+    assert got.breakdown.violation == violation and got.component == pytest.approx(component)
+    if violation is None:
+        assert got.breakdown.parts.base_score == pytest.approx(base) and got.breakdown.parts.bonuses_penalties == pytest.approx(bonus)
+
+
+def test_the_consolidated_final(spark):
+    assert value(spark, sc.final_consolidated(F.lit(0.8), F.lit(0.5), F.lit(0.6))) == pytest.approx(0.65 * 0.8 + 0.35 * 0.5 * 0.6)
