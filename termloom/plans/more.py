@@ -61,10 +61,13 @@ def a3(spark, sf):
 
 @query("a4_read_abbreviations", "SELECT p_brand || p_size AS key, arg_min(p_name, p_partkey) AS value FROM part GROUP BY 1")
 def a4(spark, sf):
-    rows = t(spark, sf, "part").select(C("p_partkey").alias("n"), F.concat_ws(",", F.concat("p_brand", "p_size"), "p_name").alias("line"))
-    head = spark.range(2).select((C("id") - 2).alias("n"), F.lit("Abbreviation,Meaning").alias("line"))
-    lines = head.unionByName(rows).repartition(1).sortWithinPartitions("n").select("line")
-    return rd.read_abbreviations(spark, dumped(lines, spark, "text"))
+    """Files of five thousand parts each, every one with its headers."""
+    n, file = C("p_partkey"), F.lpad(F.floor(C("p_partkey") / 5000).cast("string"), 12, "0")
+    rows = t(spark, sf, "part").select(file.alias("file"), n.alias("n"), F.concat_ws(",", F.concat("p_brand", "p_size"), "p_name").alias("line"))
+    heads = rows.select("file").distinct().select("file", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("n"), F.lit("Abbreviation,Meaning").alias("line"))
+    path = rd.shared_path(spark)
+    rows.unionByName(heads).repartition("file").sortWithinPartitions("file", "n").select("file", "line").write.partitionBy("file").text(path)
+    return rd.read_abbreviations(spark, path)
 
 
 @query("a5_load_rules", """WITH k AS (SELECT 'scoring.brands' AS kind, p_brand AS key FROM part UNION SELECT 'scoring.types', p_type FROM part)
@@ -124,10 +127,13 @@ def a10(spark, sf):
     return rd.export_final(o.filter("o_orderstatus = 'F'"), o.groupBy("o_orderstatus").count(), o.filter("o_orderstatus = 'P'"), rd.shared_path(spark))
 
 
-@query("a11_read_valueset", "SELECT CAST(c_nationkey AS VARCHAR) AS code, arg_max(c_name, c_custkey) AS display FROM customer GROUP BY 1")
+@query("a11_read_valueset", "SELECT concat(c_nationkey, '-', CAST(floor(c_custkey / 500) AS BIGINT)) AS code, arg_max(c_name, c_custkey) AS display FROM customer GROUP BY 1")
 def a11(spark, sf):
-    items = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_nationkey", "c_name"))), lambda x: F.struct(x["c_nationkey"].cast("string").alias("code"), x["c_name"].alias("display")))
-    doc = t(spark, sf, "customer").groupBy("c_nationkey").agg(items.alias("contains")).select(F.struct("contains").alias("expansion"))
+    """An expansion for every five hundred customers; later ones of a nation replace earlier ones."""
+    part = F.floor(C("c_custkey") / 500).cast("string")
+    code = F.concat(C("c_nationkey").cast("string"), F.lit("-"), part)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", code.alias("code"), "c_name"))), lambda x: F.struct(x["code"].alias("code"), x["c_name"].alias("display")))
+    doc = t(spark, sf, "customer").groupBy(part.alias("part")).agg(items.alias("contains")).select(F.struct("contains").alias("expansion"))
     return rd.read_valueset(spark, dumped(doc, spark), lines=True)
 
 
@@ -149,12 +155,13 @@ def a12(spark, sf):
 _SITES = """SELECT c_nationkey AS site, c_mktsegment AS modality, count(*) AS machines FROM customer GROUP BY 1, 2"""
 
 
-@query("a13_h47_equipment", "SELECT CAST(c_nationkey AS VARCHAR) AS site, upper(c_mktsegment) AS modality, CAST(count(*) AS INTEGER) AS machines FROM customer GROUP BY 1, 2")
+@query("a13_h47_equipment", "SELECT concat(c_nationkey, '-', CAST(floor(c_custkey / 500) AS BIGINT)) AS site, upper(c_mktsegment) AS modality, CAST(count(*) AS INTEGER) AS machines FROM customer GROUP BY 1, 2")
 def a13(spark, sf):
     c = t(spark, sf, "customer")
-    machines = c.groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(F.struct(C("c_custkey").cast("string").alias("id"), C("c_name").alias("name"))).alias("machines"))
-    equip = machines.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", F.struct("machines")))).alias("equipment"))
-    site = F.create_map(C("c_nationkey").cast("string"), F.struct(F.lit("s").alias("site_name"), "equipment"))
+    c = c.withColumn("site", F.concat(C("c_nationkey").cast("string"), F.lit("-"), F.floor(C("c_custkey") / 500).cast("string")))
+    machines = c.groupBy("site", "c_mktsegment").agg(F.collect_list(F.struct(C("c_custkey").cast("string").alias("id"), C("c_name").alias("name"))).alias("machines"))
+    equip = machines.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", F.struct("machines")))).alias("equipment"))
+    site = F.create_map("site", F.struct(F.lit("s").alias("site_name"), "equipment"))
     docs = equip.select(F.to_json(F.create_map(F.lit("region"), site)).alias("value"))
     return rp.equipment_counts(rd.profile_tables(docs, "value")[1])
 

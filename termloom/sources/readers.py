@@ -80,11 +80,14 @@ def read_legacy_catalogue(spark: SparkSession, path: str, fmt: str = "csv") -> D
 
 
 def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
-    """key, value from a CSV with two header rows; blanks go, the first of equal keys stays."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())  # grows along a file
+    """key, value from CSV files with two header rows each; blanks go, the first of equal keys stays (files by path)."""
+    n = F.monotonically_increasing_id()  # grows along a stretch of a file
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), n.alias("n"))
+    first = lines.filter("block = 0").groupBy("file").agg(F.min("n").alias("_first"))  # a row per file
     parts = F.from_csv(F.col("value"), F.lit("key string, meaning string"))
-    rows = lines.filter("n >= 2").select("n", parts.alias("p")).select("n", F.trim("p.key").alias("key"), F.trim("p.meaning").alias("value")).filter("key <> '' and value <> ''")
-    return rows.groupBy("key").agg(F.min_by("value", "n").alias("value"))
+    rows = lines.join(F.broadcast(first), "file").filter("block > 0 or n - _first >= 2").select("file", "block", "n", parts.alias("p"))
+    rows = rows.select(F.struct("file", "block", "n").alias("at"), F.trim("p.key").alias("key"), F.trim("p.meaning").alias("value")).filter("key <> '' and value <> ''")
+    return rows.groupBy("key").agg(F.min_by("value", "at").alias("value"))
 
 
 def load_rules(spark: SparkSession, path: str, sections: list[str]) -> DataFrame:
