@@ -8,7 +8,7 @@ table: no shuffle, no Python. A line is cut at "\\n". A line with at least one w
   one for every two of its remaining words (a menu or a table row);
 * boilerplate: it holds one of the fixed phrases;
 * punctuation: it has fewer than `min_open_words` words and doesn't end in
-  sentence punctuation (a heading, button or label left over from a page).
+  sentence punctuation before its closing white space (a heading, button or label left over from a page).
 
 Failed lines are removed. A document is rejected when it fails a base rule
 (too few words, too many words in repeated 3-word windows), or when the failed
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, text_or_empty
+from .common import SPACE_CHARS, WORD, let, text_or_empty
 
 #: Phrases of page furniture, matched in lower case.
 BOILERPLATE = (
@@ -84,7 +84,7 @@ def failed_lines(text: Column, max_symbol_share=0.3, min_separators=3, min_open_
         navigation = menu & (separators >= min_separators) & (2 * separators >= F.size(words_of(line)) - separators)
         boilerplate = phrase & F.lower(line).rlike("|".join(BOILERPLATE))
         symbols = F.regexp_count(line, F.lit(SYMBOLS)) > max_symbol_share * F.length(line)
-        closed = F.substring(F.rtrim(line), -1, 1).isin(*ENDS)
+        closed = F.substring(F.rtrim(line, F.lit(SPACE_CHARS)), -1, 1).isin(*ENDS)
         open_end = ~closed & (F.size(words_of(line)) < min_open_words)
         return (symbols | open_end | navigation | boilerplate) & line.rlike(WORD)
 

@@ -41,7 +41,7 @@ _W = r"[^\x20\x09-\x0D]+"
             len(regexp_extract_all(line, '[#*$%&|<>=+_~^{{}}\[\]\\@/]')) AS syms FROM l),
     lw AS (SELECT rid, count(*) - count(DISTINCT line) AS dup,
             sum(CASE WHEN syms > 0.3 * length(line) OR (seps >= 3 AND 2 * seps >= n - seps) OR ({_PHRASES})
-                  OR (n < 3 AND right(rtrim(line, ' '), 1) NOT IN ('.', '!', '?', '…', ':', ';', ',', '"', '''', ')', '»', '”')) THEN n ELSE 0 END) AS lost
+                  OR (n < 3 AND right(rtrim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))), 1) NOT IN ('.', '!', '?', '…', ':', ';', ',', '"', '''', ')', '»', '”')) THEN n ELSE 0 END) AS lost
           FROM m WHERE n > 0 GROUP BY rid),
     a AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '{_W}')) AS BIGINT) AS n_words, CAST(length(array_to_string(regexp_extract_all(text, '{_W}'), '')) AS BIGINT) AS word_chars,
             CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
