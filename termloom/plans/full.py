@@ -14,7 +14,7 @@ from ..streaming import jobs
 from . import derive, scores
 from .names import has, lit, structural_sql, tag_list, terminology_sql
 from .registry import query
-from .scores import CANDS, ENTRIES_SQL, PARTS, any_sql, feed_of, inputs, jaccard_sql, tokens_sql
+from .scores import CANDS, ENTRIES_SQL, PARTS, any_sql, feed_of, inputs, tokens_sql
 
 C = F.col
 
