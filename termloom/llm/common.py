@@ -45,6 +45,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Return to the system what a kept Python worker no longer uses, such as the batches of an earlier job."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc's
+        trim(0)
+
+
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back."""
     path = f"{folder}/{name}"

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 DIM = 1024
 MAX_CACHED = 20_000
@@ -151,6 +151,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, dim: int = DI
     """`docs` with lang_pred and score; the text is the only input."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         profiler = Profiler(dim)
         for batch in batches:
             found = []

@@ -37,12 +37,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_folder, small_batches
+from .common import give_back, materialise, shared_folder, small_batches
 
 CAPACITY = 2048
 END = 1
 STEP = 8
-MAX_WORDS = 200_000  # words in a generation of a worker's cache
+MAX_WORDS = 50_000  # words in a generation of a worker's cache
 LONG_WORD = 64  # longer words aren't kept
 CHUNK = 1 << 20
 BREAK = re.compile(r"[ \n]")
@@ -149,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """A row per piece: full sequences, then the remainder of the document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         ids = word_ids(tokenizer)
         for batch in batches:
             rows = []
@@ -159,6 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     b = min(a + capacity, total)
                     rows.append((doc, a, b - a, zlib.crc32(memoryview(buffer)[4 * a : 4 * b]), total))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     # ids travel as text: a null id would turn a batch of numbers into floats
     found = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, PIECES.replace("doc_id long", "doc_id string"))

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_folder, small_batches
+from .common import give_back, materialise, shared_folder, small_batches
 
 KEY = "termloom"
 MAX_EXCEPTIONS = 200_000
@@ -341,6 +341,7 @@ def entities(docs: DataFrame) -> DataFrame:
     """kind, entity: each entity of the corpus once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for batch in batches:
             found = {(kind, e) for t in batch["text"] if t for _, _, kind, e in detect(t)}
             yield pd.DataFrame(sorted(found), columns=["kind", "entity"])
@@ -393,6 +394,7 @@ def replace(docs: DataFrame, key: str = KEY, folder: str | None = None) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in rows})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for batch in batches:
             found = [rewrite(t, key, shared.value) for t in batch["text"]]
             batch["text"], batch["pii_spans"] = [x[0] for x in found], [x[1] for x in found]
