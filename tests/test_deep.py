@@ -151,3 +151,27 @@ def test_the_chain_takes_every_branch(spark):
     assert got[8].error == ch.NO_MODALITY and got[9].error == ch.NOT_CLINICAL
     assert (got[10].snomed.entry_id, got[10].by_peer) == (11, True)
     assert got[1].components.clinical_context == [] and got[1].components.modality == ["CT"]
+
+
+def test_variants_without_a_sort_of_the_expanded(spark):
+    """Positions are right with shared ranks and concepts without entries, and nothing expanded is shuffled or sorted."""
+    from termloom.operators import retrieval as rt
+
+    rng = random.Random(5)
+    found = [(r, rng.randrange(9), rng.choice([None, 0, 1, 2, 3])) for r in range(40) for _ in range(6)]
+    entries = [(rng.randrange(7), e) for e in range(60)]
+    want = []
+    for r in range(40):
+        ranks = {}
+        for _, c, rank in [f for f in found if f[0] == r]:
+            ranks[c] = rank if ranks.get(c) is None else min(ranks[c], rank if rank is not None else ranks[c])
+        order = sorted((-1 if ranks[c] is None else ranks[c], e, c) for c, e in entries if c in ranks)
+        want += [(r, c, e, at) for at, (_, e, c) in enumerate(order)]
+    v = rt.expand_variants(spark.createDataFrame(found, "row_id long, concept_id long, rank int"), spark.createDataFrame(entries, "concept_id long, entry_id long"))
+    assert sorted(tuple(x) for x in v.select("row_id", "concept_id", "entry_id", "cand_pos").collect()) == sorted(want)
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.split("Join")[0], plan
+    s = spark.createDataFrame([(1, 0.25)], "entry_id long, rerank double")
+    assert {x.rerank for x in rt.attach_rerank(v, s).filter("entry_id = 1").collect()} <= {0.25} and {x.rerank for x in rt.attach_rerank(v, s).filter("entry_id <> 1").collect()} == {0.5}
+    pairs = spark.createDataFrame([(1, want[0][2], 0.75)], "row_id long, entry_id long, rerank double")
+    assert {x.rerank for x in rt.attach_rerank(v, pairs).filter("row_id <> 1").collect()} == {0.5}
