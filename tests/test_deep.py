@@ -175,3 +175,25 @@ def test_variants_without_a_sort_of_the_expanded(spark):
     assert {x.rerank for x in rt.attach_rerank(v, s).filter("entry_id = 1").collect()} <= {0.25} and {x.rerank for x in rt.attach_rerank(v, s).filter("entry_id <> 1").collect()} == {0.5}
     pairs = spark.createDataFrame([(1, want[0][2], 0.75)], "row_id long, entry_id long, rerank double")
     assert {x.rerank for x in rt.attach_rerank(v, pairs).filter("row_id <> 1").collect()} == {0.5}
+
+
+def test_consensus_adds_up_in_order(spark):
+    """Means that tie but for the order of their sums: the vote is the same however the rows lie."""
+    from functools import reduce
+
+    from termloom.operators import scoring as sc
+
+    rng = random.Random(2)
+    rows = [(r, i, "m", rng.choice("ab"), rng.randrange(100) / 100.0) for r in range(300) for i in range(14)]
+    rows += [(r, 20 + i, "m", "a" if i % 2 else "b", x) for r in range(300, 500) for i, x in enumerate([v for k in rng.sample(range(100), 8) for v in (k / 100.0, 0.99 - k / 100.0)])]
+    want = {}
+    for r in {x[0] for x in rows}:
+        by = {c: [x[4] for x in sorted(rows) if x[0] == r and x[3] == c] for c in "ab"}
+        want[r] = min((-len(v), -(reduce(float.__add__, v) / len(v)), c) for c, v in by.items() if v)
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        d = spark.createDataFrame(rows, "row_id long, at long, model string, choice string, confidence double").repartition(1 + 3 * seed)
+        got = {x.row_id: (-x.votes, -x.confidence, x.choice) for x in sc.consensus(d, "at").collect()}
+        assert got == want
+        none = spark.createDataFrame([], "row_id long, choice string, name string, fsn string")
+        assert {x.row_id: x.choice for x in sc.named_consensus(d, none, "at").collect()} == {r: w[2] for r, w in want.items()}
