@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -146,37 +147,39 @@ def cyclic_edges(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return components(checkpointed(inner)).unionByName(loops).distinct()
 
 
-def evaluate_pathways(answers: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+def evaluate_pathways(answers: DataFrame | Callable[[DataFrame], DataFrame], edges: DataFrame, starts: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """Follow each case's answers from its start: (case, step, status), all cases at once.
 
     `answers` has (case, id, step, option), `edges` (id, src, option, dst). A case ends at a
     step without edges (recommended), without an answer (unanswered), at an answer that leads nowhere (broken),
-    or where its way returns to a step it has been at (cyclic; the step is the one met again). Each round writes only the steps it reaches.
+    or where its way returns to a step it has been at (cyclic; the step is the one met again). Each round writes only the steps it reaches and the answers given there.
+    Answers that are derived, and far more than the steps on the ways, may come as a function: it gives those at some (case, id, step); `cases` (case, id) are then all with an answer.
     """
+    key = ["case", "id", "step"]
+    at_steps = answers if callable(answers) else lambda front: answers.join(front, key, "left_semi")
+    cases = answers.select("case", "id").distinct() if cases is None else cases
     leaves = edges.select("id", F.col("src").alias("step")).distinct()
-    begun = answers.select("case", "id").distinct().join(starts, "id").select("case", "id", "step")
-    # the step that each answered step leads to; one answer counts for a step
-    told = answers.groupBy("case", "id", "step").agg(F.min("option").alias("option")).join(leaves, ["id", "step"], "left_semi")
-    jump = told.join(edges.withColumnRenamed("src", "step"), ["id", "step", "option"], "left").select("case", "id", "step", "dst")
-    broken = checkpointed(jump.filter("dst is null").select("case", "id", "step"))
-    moves = checkpointed(jump.filter("dst is not null"))
-    seen = checkpointed(begun)
-    fronts, met = [seen], []
+    seen = checkpointed(cases.join(starts, "id").select(*key))
+    fronts, met, jumps = [seen], [], []
     while True:
-        step = fronts[-1].join(moves, ["case", "id", "step"]).select("case", "id", F.col("dst").alias("step"))
-        step = checkpointed(step)
+        # the step that each answered step leads to; one answer counts for a step
+        told = at_steps(fronts[-1].distinct()).groupBy(*key).agg(F.min("option").alias("option")).join(leaves, ["id", "step"], "left_semi")
+        jump = told.join(edges.withColumnRenamed("src", "step"), ["id", "step", "option"], "left").select(*key, "dst")
+        jumps.append(checkpointed(jump))
+        step = fronts[-1].join(jumps[-1].filter("dst is not null"), key).select("case", "id", F.col("dst").alias("step"))
         every = reduce(DataFrame.unionByName, fronts)
-        met.append(checkpointed(step.join(every, ["case", "id", "step"], "left_semi")))
-        new = checkpointed(step.join(every, ["case", "id", "step"], "left_anti"))
+        met.append(checkpointed(step.join(every, key, "left_semi")))
+        new = checkpointed(step.join(every, key, "left_anti"))
         if new.isEmpty():
             break
         fronts.append(new)
         if len(fronts) > 16:
             fronts = [checkpointed(reduce(DataFrame.unionByName, fronts[:-1])), fronts[-1]]
-    seen = reduce(DataFrame.unionByName, fronts)
+            met, jumps = [checkpointed(reduce(DataFrame.unionByName, met))], [checkpointed(reduce(DataFrame.unionByName, jumps))]
+    seen, jump = reduce(DataFrame.unionByName, fronts), reduce(DataFrame.unionByName, jumps)
     cyclic = reduce(DataFrame.unionByName, met).select("case", "step", F.lit("cyclic").alias("status"))
-    ended = seen.join(moves.select("case", "id", "step"), ["case", "id", "step"], "left_anti")
-    lost = broken.withColumn("_b", F.lit(True))
-    at = ended.join(lost, ["case", "id", "step"], "left").join(leaves.withColumn("_l", F.lit(True)), ["id", "step"], "left")
+    ended = seen.join(jump.filter("dst is not null").select(*key), key, "left_anti")
+    lost = jump.filter("dst is null").select(*key).withColumn("_b", F.lit(True))
+    at = ended.join(lost, key, "left").join(leaves.withColumn("_l", F.lit(True)), ["id", "step"], "left")
     status = F.when(F.col("_b"), "broken").when(F.col("_l"), "unanswered").otherwise("recommended")
     return at.select("case", "step", status.alias("status")).unionByName(cyclic)

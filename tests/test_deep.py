@@ -197,3 +197,21 @@ def test_consensus_adds_up_in_order(spark):
         assert got == want
         none = spark.createDataFrame([], "row_id long, choice string, name string, fsn string")
         assert {x.row_id: x.choice for x in sc.named_consensus(d, none, "at").collect()} == {r: w[2] for r, w in want.items()}
+
+
+def test_answers_are_asked_where_ways_lead(spark):
+    """A function that gives the answers at some steps is asked for the steps on the ways alone, and the ways are the same."""
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(i, s, o, rng.choice([None, *range(1, 40)])) for i in (1, 2) for s in range(1, 30) for o in (0, 1)], "id int, src long, option int, dst long")
+    starts = spark.createDataFrame([(1, 1), (2, 3)], "id int, step long")
+    given = spark.createDataFrame([(c, c % 3, s, rng.randrange(3)) for c in range(60) for s in range(1, 30) if rng.random() < 0.9], "case int, id int, step long, option int")
+    asked = spark.sparkContext.accumulator(0)
+
+    def answers(front):
+        asked.add(front.count())
+        return given.join(front, ["case", "id", "step"], "left_semi")
+
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    some = rows(gr.evaluate_pathways(answers, edges, starts, given.select("case", "id").distinct()))
+    assert some == rows(gr.evaluate_pathways(given, edges, starts)) and len(some) == 40
+    assert asked.value < given.count()
