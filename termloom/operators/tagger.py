@@ -51,7 +51,7 @@ def term_weights(docs: DataFrame, train: Column) -> DataFrame:
     df = terms.filter("train").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     m = docs.filter(train).agg(F.count(F.lit(1)).alias("m"))
     idf = df.crossJoin(F.broadcast(m)).select("term", F.log((F.col("m") + 1) / (F.col("df") + 1)).alias("idf"))
-    return terms.join(idf, "term").select("entry_id", "train", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return terms.hint("merge").join(idf, "term").select("entry_id", "train", "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def tag_all(docs: DataFrame, train: Column, smoothing: float = 0.1) -> DataFrame:
@@ -63,14 +63,15 @@ def tag_all(docs: DataFrame, train: Column, smoothing: float = 0.1) -> DataFrame
         sum w log((P(tag, t) + s) / (T(t) - P(tag, t) + s)) + sum w log((T - T(tag) + s V) / (T(tag) + s V)) + log((n(tag) + s) / (n - n(tag) + s)).
 
     Terms that the tag never has add w log(s / (T(t) + s)), the same for all tags, so they are summed once per row, and only
-    pairs of a term and a tag that occur together are joined. Tags are a short list.
+    pairs of a term and a tag that occur together are joined. Tags are a short list. Tables with a row per entry are merged, never broadcast: files
+    that compress well look small to the planner.
     """
     s = F.lit(smoothing)
     weights = term_weights(docs, train)
     known, asked = weights.filter("train"), weights.filter("not train")
     tags = docs.filter(train).select("entry_id", F.explode(F.array_distinct("tags")).alias("tag"))
     total = known.groupBy("term").agg(F.sum("w").alias("all"))
-    pair = known.join(tags, "entry_id").groupBy("tag", "term").agg(F.sum("w").alias("p"))
+    pair = known.join(tags.hint("merge"), "entry_id").groupBy("tag", "term").agg(F.sum("w").alias("p"))
     of_tag = pair.groupBy("tag").agg(F.sum("p").alias("tp"))
     sizes = total.agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("t")).crossJoin(docs.filter(train).agg(F.count(F.lit(1)).alias("n")))
     # a tag whose rows hold no term still has a model
@@ -79,10 +80,10 @@ def tag_all(docs: DataFrame, train: Column, smoothing: float = 0.1) -> DataFrame
         "tag", F.log((F.col("t") - F.col("tp") + s * F.col("v")) / (F.col("tp") + s * F.col("v"))).alias("per"), F.log((F.col("nt") + s) / (F.col("n") - F.col("nt") + s)).alias("prior"),
     )
     none = F.log(s / (F.col("all") + s))
-    base = asked.join(total, "term").groupBy("entry_id").agg(F.sum(F.col("w") * none).alias("base"), F.sum("w").alias("sum"))
+    base = asked.hint("merge").join(total, "term").groupBy("entry_id").agg(F.sum(F.col("w") * none).alias("base"), F.sum("w").alias("sum"))
     gain = pair.join(total, "term").select("tag", "term", (F.log((F.col("p") + s) / (F.col("all") - F.col("p") + s)) - none).alias("gain"))
-    hits = asked.join(gain, "term").groupBy("entry_id", "tag").agg(F.sum(F.col("w") * F.col("gain")).alias("own"))
-    rows = docs.filter(~train).select("entry_id", "tags").crossJoin(F.broadcast(models)).join(base, "entry_id", "left").join(hits, ["entry_id", "tag"], "left")
+    hits = asked.hint("merge").join(gain, "term").groupBy("entry_id", "tag").agg(F.sum(F.col("w") * F.col("gain")).alias("own"))
+    rows = docs.filter(~train).select("entry_id", "tags").crossJoin(F.broadcast(models)).join(base.hint("merge"), "entry_id", "left").join(hits.hint("merge"), ["entry_id", "tag"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = zero("base") + zero("own") + zero("sum") * F.col("per") + F.col("prior")
     return rows.select("entry_id", "tag", score.alias("score"), F.array_contains("tags", F.col("tag")).cast("int").alias("actual")).withColumn("predicted", (F.col("score") > 0).cast("int"))

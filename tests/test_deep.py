@@ -215,3 +215,36 @@ def test_answers_are_asked_where_ways_lead(spark):
     some = rows(gr.evaluate_pathways(answers, edges, starts, given.select("case", "id").distinct()))
     assert some == rows(gr.evaluate_pathways(given, edges, starts)) and len(some) == 40
     assert asked.value < given.count()
+
+
+def test_tags_broadcast_no_table_of_entries(spark):
+    from termloom.operators import tagger
+
+    d = spark.createDataFrame([(i, f"ct head {i % 3} scan", ["a", "b"][: 1 + i % 2]) for i in range(40)], "entry_id long, text string, tags array<string>")
+    plan = tagger.tag_all(d, F.col("entry_id") % 5 != 0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_candidates_of_repeated_names(spark):
+    """The same candidates as by all pairs, where entries share names and names share overlaps; a name is compared once however many entries have it."""
+    from termloom.operators import retrieval as rt
+
+    rng = random.Random(4)
+    parts = [["chest"], ["knee"], ["chest", "knee"], ["hip", "chest"], []]
+    names = [(" ".join(rng.sample(["ct", "mr", "left", "right", "with", "of"], rng.randrange(1, 4))), rng.choice(parts)) for _ in range(12)]
+    entries = [(e, *rng.choice(names)) for e in rng.sample(range(1000), 150)]
+    inputs = [(r, *rng.choice(names + [("ct left with", ["chest"])])) for r in range(30)]
+    jac = lambda a, b: round(len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())), 9)
+    i = spark.createDataFrame(inputs, "row_id long, in_text string, in_anatomy array<string>")
+    c = spark.createDataFrame(entries, "entry_id long, cat_text string, cat_anatomy array<string>")
+    for k in (1, 4, 15, 200):
+        want = []
+        for r, text, anatomy in {x[1]: x for x in inputs}.values():
+            found = sorted((-jac(text, t), e) for e, t, a in entries if set(a) & set(anatomy))[:k]
+            want += [(text, tuple(anatomy), e, at) for at, (_, e) in enumerate(found)] if len({tuple(x[2]) for x in inputs if x[1] == text}) == 1 else []
+        alone = {w[:2] for w in want}
+        got = {(x.in_text, tuple(x.in_anatomy), x.entry_id, x.cand_pos) for x in rt.blocked_candidates(i, c, k).collect()}
+        assert {g for g in got if g[:2] in alone} == set(want) and want
+    many = spark.createDataFrame([(e, "ct left", ["chest"]) for e in range(3000)], c.schema)
+    df = rt.blocked_candidates(i, many, 5)
+    assert {x.entry_id for x in df.collect()} <= set(range(5))
