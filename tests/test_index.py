@@ -43,3 +43,22 @@ def test_large_lists_are_kept_in_parts(spark, tmp_path):
     i = ix.build(c, f"{tmp_path}/i")
     a = {(r.query_id, r.rank): r.item_id for r in ix.search(c.filter("id < 3"), i, 4, keep=1.0, list_rows=7).collect()}
     assert a == {(r.query_id, r.rank): r.item_id for r in ix.search(c.filter("id < 3"), i, 4, keep=1.0).collect()} and len(a) == 12
+
+
+def test_scores_are_held_in_slices():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q, items = rng.normal(size=(300, 8)), rng.normal(size=(50_000, 8))
+    items[1000:] = items[rng.integers(0, 1000, 49_000)]  # copies, so ties
+    ids = rng.permutation(50_000)
+    tracemalloc.start()
+    found = rt.best_of(np.arange(300), q, ids, items, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all scores of 256 queries alone are 102 MB
+    scores = np.round(q @ items.T, 12)
+    expected = [(i, ids[j]) for i in range(300) for j in np.lexsort((ids, -scores[i]))[:5]]
+    assert list(zip(found.query_id, found.item_id, strict=True)) == expected
