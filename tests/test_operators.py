@@ -255,3 +255,20 @@ def test_oracle(spark, name):
     assert sorted(expected.columns) == names
     rows = expected.select(*[f'"{n}"' for n in names]).fetchall()
     assert sorted(tuple(map(plain, r)) for r in got.select(names).collect()) == sorted(tuple(map(plain, r)) for r in rows)
+
+
+def test_grid_search_over_batches_nulls_and_ties(spark):
+    from termloom.operators import learning as ln
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        # row 1 goes over batches; row 2 has a tie that the smaller position wins, and a tie of both that the true one wins; row 3 has a null score
+        data = [(1, 1, 0.1, False), (1, 2, 0.2, False), (1, 3, 0.9, True), (1, 4, 0.3, False), (1, 5, 0.4, False), (2, 1, 0.5, False), (2, 1, 0.5, True), (2, 2, 0.5, False), (3, 1, None, True), (3, 2, -1.0, False), (None, 1, 0.5, True)]
+        c = spark.createDataFrame(data, "row_id long, cand_pos long, x double, ok boolean")
+        grid = spark.createDataFrame([(0, 1.0), (4, -1.0)], "config_id long, w_x double")
+        got = {r.config_id: (r.accuracy, r.rows) for r in ln.grid_search(c, grid, ["x"], F.col("ok")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {0: (0.75, 4), 4: (0.5, 4)}
+    plan = ln.grid_search(c, grid, ["x"], F.col("ok"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # a row's candidates were held as one array, and scored one by one
