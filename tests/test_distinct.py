@@ -35,7 +35,7 @@ def test_patterns_stay_above_the_distinct_names(spark):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         return [(len(x) - len(x.lstrip(" :+-")), x) for x in plan.splitlines()]
 
-    for name in ("g30_peer_same_concept", "g31_peer_in_catalogue"):
+    for name in ("g30_peer_same_concept", "g31_peer_in_catalogue", "g1_g20_component_score", "f5_complexity_reorder"):
         rows = lines(name)
         for i, (depth, text) in enumerate(rows):
             if "RLIKE" in text:
