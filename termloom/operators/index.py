@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .retrieval import best_of
+from .retrieval import BLOCK_BYTES, QUERY_ROWS, SLICE_ROWS
 
 MAX_TRAIN, MAX_LISTS, LIST_ROWS = 20_000, 4096, 4096
 SKETCH_BITS, SEED = 256, 7
 FIRST, MOST, KEEP = 4, 0.6, 0.05
+#: Queries whose sketches meet those of a list at once.
+PIECE_QUERIES = 64
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -130,73 +132,155 @@ def build(catalogue: DataFrame, path: str, max_train: int = MAX_TRAIN, list_rows
     return Index(tree, path, reach, sizes)
 
 
-def search(queries: DataFrame, index: Index, k: int = 15, first: int = FIRST, most: float = MOST, keep: float = KEEP, but_itself: bool = False, list_rows: int = LIST_ROWS, meter=None) -> DataFrame:
+@dataclass
+class Blocks:
+    """Lists in pieces, and pieces that follow each other in blocks. `of_list` and `of_piece`: the list and the block of each piece; `from_piece`: the first piece of each block, and one past the last."""
+
+    tree: Tree
+    reach: np.ndarray
+    full: np.ndarray
+    of_list: np.ndarray
+    of_piece: np.ndarray
+    from_piece: np.ndarray
+
+    @staticmethod
+    def dealt(index: Index, parts: np.ndarray, rows: int) -> Blocks:
+        """Blocks of about `rows` items; each list is in so many parts."""
+        held = np.cumsum(np.repeat(index.sizes / parts, parts))
+        _, of_piece = np.unique(np.maximum(0, np.ceil(held) - 1) // max(1, rows), return_inverse=True)
+        from_piece = np.searchsorted(of_piece, np.arange(of_piece[-1] + 2))
+        return Blocks(index.tree, index.reach, index.sizes > 0, np.repeat(np.arange(len(parts)), parts), of_piece, from_piece)
+
+    def visits(self, batches: Iterator[pd.DataFrame], first: int, visited: int, later: bool) -> Iterator[pd.DataFrame]:
+        """The blocks each query (id, vector, low) goes to, with bits of the pieces there: of its `first` lists, or of the rest up to `visited` that its bound leaves."""
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_ROWS):
+                b = batch.iloc[at : at + QUERY_ROWS]
+                v, ids, low = unit(stacked(b["vector"])), b["id"].to_numpy(), b["low"].to_numpy()
+                s = np.where(self.full, v @ self.tree.centres.T, -np.inf)
+                order = np.argsort(-s, axis=1, kind="stable")
+                chosen = np.zeros(s.shape, bool)
+                np.put_along_axis(chosen, order[:, first:visited] if later else order[:, :first], True, axis=1)
+                chosen &= self.full
+                if later:
+                    near = np.maximum(0, np.arccos(np.clip(s, -1, 1)) - self.reach)
+                    chosen &= np.cos(near) >= low[:, None]
+                pieces = chosen[:, self.of_list]
+                rows, blocks = np.nonzero(np.logical_or.reduceat(pieces, self.from_piece[:-1], axis=1))
+                for a in range(0, len(rows), SLICE_ROWS):
+                    i, to = rows[a : a + SLICE_ROWS], blocks[a : a + SLICE_ROWS]
+                    bits = [np.packbits(pieces[x, self.from_piece[y] : self.from_piece[y + 1]]).tobytes() for x, y in zip(i, to, strict=True)]
+                    yield pd.DataFrame({"query_id": ids[i], "q": list(v[i]), "low": low[i], "block": to.astype(np.int32), "bits": bits})
+
+
+def near_rows(q: np.ndarray, centre: np.ndarray, plane: np.ndarray, bits: np.ndarray, size: np.ndarray, number: int) -> np.ndarray:
+    """For each query the places of the `number` items that sketches take for the most like it; a slice of queries at a time."""
+    apart = q - centre
+    asked = np.packbits(apart @ plane > 0, axis=1).view(np.uint64)
+    length, cosines = np.linalg.norm(apart, axis=1), np.cos(np.pi / SKETCH_BITS * np.arange(SKETCH_BITS + 1))
+    differ = np.zeros((len(q), len(bits)), np.uint16)
+    for word in range(bits.shape[1]):
+        differ += np.bitwise_count(asked[:, word, None] ^ bits[None, :, word])
+    about = length[:, None] * size * cosines[differ] - size**2 / 2
+    return np.argpartition(-about, number - 1, axis=1)[:, :number]
+
+
+class Best:
+    """The k best items so far of each of some queries, by scores of twelve places; ties go to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, who: np.ndarray, item: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((who, item, score))
+        self.held += len(who)
+        if self.held > 2 * self.n * self.k + 100_000:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, item, score = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((item, -score, who))
+        who, item, score = who[order], item[order], score[order]
+        kept = np.arange(len(who)) - np.searchsorted(who, np.arange(self.n))[who] < self.k
+        self.parts, self.held = [(who[kept], item[kept], score[kept])], int(kept.sum())
+        return self.parts[0]
+
+
+def search(queries: DataFrame, index: Index, k: int = 15, first: int = FIRST, most: float = MOST, keep: float = KEEP, but_itself: bool = False, list_rows: int = LIST_ROWS, meter=None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k items most like each (id, vector): query_id, item_id, score (cosine), rank.
 
     A query scores all of its `first` nearest lists, which give it a k-th best score. Then it visits the other lists that may hold a better
     item: the angle to the centre less the list's reach bounds what is in it. At most `most` of all lists are visited, nearest first; clustered
     vectors end long before. In these lists, items are compared by sketches: SKETCH_BITS signs of what parts them from the centre. The angle
     between two such differences, with their lengths, tells the score roughly, and only the best `keep` of the list (at least 2 k) are scored. `meter`, an accumulator, counts scored pairs.
+
+    Lists that follow each other go into blocks of about `block_bytes`, and queries into parts as large. A query is sent once to each block in which it has lists,
+    with the bits of their places there, and each block meets each part in a task, a list and a slice of queries after the other. So what a task holds doesn't grow with either side.
     """
     spark = queries.sparkSession
+    wide = 8 * index.tree.centres.shape[1]
     parts = np.maximum(1, -(-index.sizes // list_rows))
-    shared = spark.sparkContext.broadcast((index.tree, index.reach, parts, index.sizes > 0))
-    items = index.items(spark)
-    number = F.get(F.array(*[F.lit(int(p)) for p in parts]), F.col("list"))
-    items = items.withColumn("part", F.pmod(F.xxhash64("item_id"), number).cast("int"))
-    visited = max(first, math.ceil(most * int((index.sizes > 0).sum())))
+    share = max(1, int(index.sizes.sum()) // (4 * spark.sparkContext.defaultParallelism))  # so that small tables go to all cores too
+    dealt = Blocks.dealt(index, parts, min(max(1, block_bytes // wide), share))
+    shared = spark.sparkContext.broadcast(dealt)
+    visited = max(first, math.ceil(most * int(dealt.full.sum())))
+    asked_parts = max(1, -(-queries.count() * wide // block_bytes))
+    of = lambda xs, i: F.get(F.array(*[F.lit(int(x)) for x in xs]), i)
+    piece = of(np.cumsum(parts) - parts, F.col("list")) + F.pmod(F.xxhash64("item_id"), of(parts, F.col("list")))
+    items = index.items(spark).withColumn("piece", piece.cast("int")).withColumn("block", of(dealt.of_piece, F.col("piece"))).drop("list")
+    items = items.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked_parts - 1))))
 
     def visits(rows: DataFrame, later: bool) -> DataFrame:
-        """The lists each query goes to: the first ones, or the rest that its bound (`low`) leaves."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree, reach, parts, full = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                v = unit(stacked(b["vector"]))
-                s = np.where(full, v @ tree.centres.T, -np.inf)
-                order = np.argsort(-s, axis=1, kind="stable")
-                out = []
-                for i in range(len(b)):
-                    lists = order[i, first:visited] if later else order[i, :first]
-                    lists = lists[full[lists]]
-                    if later:
-                        near = np.maximum(0, np.arccos(np.clip(s[i, lists], -1, 1)) - reach[lists])
-                        lists = lists[np.cos(near) >= b["low"].iloc[i]]
-                    out += [(b["id"].iloc[i], v[i], int(x), p) for x in lists for p in range(parts[x])]
-                yield pd.DataFrame(out, columns=["query_id", "q", "list", "part"])
-
-        return rows.mapInPandas(run, "query_id long, q array<double>, list int, part int")
+        sent = rows.mapInPandas(lambda batches: shared.value.visits(batches, first, visited, later), "query_id long, q array<double>, low double, block int, bits binary")
+        return sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(asked_parts)).cast("int"))
 
     def merge(left: pd.DataFrame, right: pd.DataFrame, keep: float) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": [], "item_id": [], "score": []})]
-        if len(left) and len(right):
-            tree = shared.value[0]
-            ids, m = right["item_id"].to_numpy(), stacked(right["v"])
-            bits = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(len(right), -1)
-            number = min(len(ids), max(2 * k, math.ceil(keep * len(ids))))
-            q = stacked(left["q"])
-            apart = q - tree.centres[left["list"].iloc[0]]
-            asked = np.frombuffer(tree.sketch(apart).tobytes(), np.uint64).reshape(len(q), -1)
-            size = 2 * np.sin(right["angle"].to_numpy() / 2)  # of an item's difference to the centre
-            for i, query in enumerate(left["query_id"].to_numpy()):
-                turn = np.pi / SKETCH_BITS * np.bitwise_count(bits ^ asked[i]).sum(axis=1)
-                about = np.linalg.norm(apart[i]) * size * np.cos(turn) - size**2 / 2
-                near = np.argpartition(-about, number - 1)[:number] if number < len(ids) else np.arange(len(ids))
-                if meter is not None:
-                    meter.add(len(near))
-                found.append(best_of(np.array([query]), q[i : i + 1], ids[near], m[near], k, but_itself))
-        return pd.concat(found, ignore_index=True)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        blocks, tree = shared.value, shared.value.tree
+        start = int(blocks.from_piece[left["block"].iloc[0]])
+        queries, low, q = left["query_id"].to_numpy(), left["low"].to_numpy(), stacked(left["q"])
+        asked = np.unpackbits(np.frombuffer(b"".join(left["bits"]), np.uint8).reshape(len(left), -1), axis=1).view(bool)
+        right = right.sort_values("piece", kind="stable")
+        pieces, ids, m, angle = right["piece"].to_numpy(), right["item_id"].to_numpy(), stacked(right["v"]), right["angle"].to_numpy()
+        bits = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(len(right), -1)
+        best, scored = Best(len(left), k), 0
+        for piece in np.unique(pieces):
+            a, z = np.searchsorted(pieces, [piece, piece + 1])
+            who = np.flatnonzero(asked[:, piece - start])
+            n, size = min(z - a, max(2 * k, math.ceil(keep * (z - a)))), 2 * np.sin(angle[a:z] / 2)  # of an item's difference to the centre
+            for at in range(0, len(who), PIECE_QUERIES):
+                w = who[at : at + PIECE_QUERIES]
+                if n < z - a:
+                    near = a + near_rows(q[w], tree.centres[blocks.of_list[piece]], tree.plane, bits[a:z], size, n)
+                    score = np.matmul(m[near], q[w][:, :, None])[:, :, 0]
+                else:
+                    near = np.broadcast_to(np.arange(a, z), (len(w), z - a))
+                    score = q[w] @ m[a:z].T
+                scored += near.size
+                score = np.round(score, 12)
+                if but_itself:
+                    score[ids[near] == queries[w][:, None]] = -np.inf
+                # what lies below the k-th best of those found before, or of these, is not among the best
+                least = np.partition(score, n - min(k, n), axis=1)[:, n - min(k, n)]
+                i, j = np.nonzero((score >= np.maximum(least, low[w])[:, None]) & np.isfinite(score))
+                best.add(w[i], ids[near[i, j]], score[i, j])
+        if meter is not None:
+            meter.add(scored)
+        who, item, score = best.rows()
+        return pd.DataFrame({"query_id": queries[who], "item_id": item, "score": score})
 
     def scored(asked: DataFrame, keep: float) -> DataFrame:
-        return asked.groupBy("list", "part").cogroup(items.groupBy("list", "part")).applyInPandas(lambda left, right: merge(left, right, keep), "query_id long, item_id long, score double")
+        return asked.groupBy("block", "part").cogroup(items.groupBy("block", "part")).applyInPandas(lambda left, right: merge(left, right, keep), "query_id long, item_id long, score double")
 
     ties = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(ties)).filter(F.col("rank") <= k)
-    begun = best(scored(visits(queries.select("id", "vector"), False), 1.0))
+    asked = queries.select("id", "vector")
+    begun = best(scored(visits(asked.withColumn("low", F.lit(-np.inf)), False), 1.0))
     begun.drop("rank").write.mode("overwrite").parquet(f"{index.path}-begun")
     begun = spark.read.parquet(f"{index.path}-begun")
     low = begun.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-1.0).alias("low"))
-    rest = queries.select("id", "vector").join(low, "id", "left").withColumn("low", F.coalesce("low", F.lit(-1.0)))
+    rest = asked.join(low, "id", "left").withColumn("low", F.coalesce("low", F.lit(-1.0)))
     return best(begun.unionByName(scored(visits(rest, True), keep)))

@@ -62,3 +62,38 @@ def test_scores_are_held_in_slices():
     scores = np.round(q @ items.T, 12)
     expected = [(i, ids[j]) for i in range(300) for j in np.lexsort((ids, -scores[i]))[:5]]
     assert list(zip(found.query_id, found.item_id, strict=True)) == expected
+
+
+def test_visits_are_held_in_slices(spark, tmp_path):
+    """A query goes once to each block, not to each list, and a batch's visits leave in slices."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    lists, n, d = 700, 3000, 32
+    tree = ix.Tree(ix.unit(rng.normal(size=(26, d))), ix.unit(rng.normal(size=(lists, d))), np.sort(rng.integers(0, 26, lists)), rng.normal(size=(d, ix.SKETCH_BITS)))
+    index = ix.Index(tree, "", np.full(lists, 1.2), np.full(lists, 700))
+    blocks = ix.Blocks.dealt(index, np.ones(lists, np.int64), 70_000)
+    v = rng.normal(size=(n, d))
+    batch = pd.DataFrame({"id": np.arange(n), "vector": list(v), "low": np.full(n, 0.3)})
+    tracemalloc.start()
+    rows, pairs = 0, 0
+    for sent in blocks.visits(iter([batch]), 4, 420, True):
+        assert len(sent) <= ix.SLICE_ROWS and not sent.duplicated(["query_id", "block"]).any()
+        rows, pairs = rows + len(sent), pairs + sum(int.from_bytes(x, "big").bit_count() for x in sent["bits"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(blocks.of_piece)) == 7 and rows <= 7 * n and pairs > 1_000_000
+    assert peak < 40e6  # a row for each query and list would be over a million vectors
+
+
+@pytest.mark.parametrize("block_bytes", [2560, 50_000])
+def test_blocks_and_parts_lose_nothing(spark, tmp_path, block_bytes):
+    v = ix.unit(vectors("clustered", 4000))
+    v[::7] = v[0]  # equal scores
+    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").repartition(4)
+    q, i = c.filter("id % 100 = 0"), ix.build(c, f"{tmp_path}/i")
+    exact = {(r.query_id, r.rank): r.item_id for r in rt.topk_vector_join(q, c, 5, but_itself=True).collect()}
+    got = ix.search(q, i, 5, most=1.0, keep=1.0, but_itself=True, list_rows=200, block_bytes=block_bytes)
+    assert {(r.query_id, r.rank): r.item_id for r in got.collect()} == exact
