@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import retrieval, scoring
+from ..sources.readers import shared_path
 from .distinct import joined, spread
 
 #: Why a row has no match, in the order of the checks.
@@ -180,15 +181,20 @@ def standardise(
     inputs = inputs.select("row_id", "key", F.struct(*ins).alias("exam")).join(known, "key", "left")
     late = inputs.filter("approved_name is null").drop("approved_name")
     exams = late.groupBy("exam").agg(F.min("row_id").alias("exam_id"))
-    rows = joined(late, exams, ["exam"]).drop("exam")
     cands = exam_candidates(spread(exams, ["exam_id", "exam"]).select("exam_id", "exam.*"), catalogue, dictionary, like, alike, k)
-    found = gathered(cands, ins).withColumn("biopsy_ambiguous", scoring.biopsy_ambiguous(c("in_text")))
+    # kept in a table: it is read three times, and a plan that holds its making as often takes much of the driver's memory
+    spark = inputs.sparkSession
+    at = f"{shared_path(spark)}/found"
+    gathered(cands, ins).withColumn("biopsy_ambiguous", scoring.biopsy_ambiguous(c("in_text"))).write.parquet(at)
+    found = spark.read.parquet(at)
+    rows = joined(late, found.select(F.struct(*ins).alias("exam"), "exam_id"), ["exam"]).drop("exam")
+    concepts = found.select("exam_id", F.explode("found.concept_id").alias("concept_id"))
     scores = rerank
     if not by_expression:
         each = rerank(joined(rows, cands.filter("entry_id is not null"), ["exam_id"])).filter("rerank is not null").groupBy("row_id").agg(F.collect_list(F.struct("entry_id", "rerank")).alias("reranked"))
         rows = rows.join(each, "row_id", "left")
         scores = lambda x: F.get(F.filter("reranked", lambda y: y["entry_id"] == x["entry_id"]), F.lit(0))["rerank"]
-    rows = rows.join(rejections(rows, cands, decisions.rejected), ["key", "exam_id"], "left")
+    rows = rows.join(rejections(rows, concepts, decisions.rejected), ["key", "exam_id"], "left")
     rows = choose(joined(rows, found, ["exam_id"]), lambda x: F.coalesce(scores(x), F.lit(0.5)))
     rows = overridden(assemble(rows), decisions)
     early = inputs.filter("approved_name is not null").select("row_id", "key", c("approved_name").alias("clean_name"), F.lit(1.0).alias("confidence"), F.lit("approved_by_human").alias("status"), F.lit(True).alias("early"))
