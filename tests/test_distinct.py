@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.operators.distinct import once_each
+from termloom.operators.retrieval import rerank
 
 
 @pytest.mark.parametrize("later", ["join", "filter"])
@@ -45,3 +46,28 @@ def test_patterns_stay_above_the_distinct_names(spark):
                         break
                     below.append(t)
                 assert any("Generate" in t for t in below), (name, text[:200])
+
+
+def test_every_row_of_an_exam_is_reranked(spark, tmp_path):
+    """Names repeat every 4,620 parts. Of rows with equal exams, only the first used to have scores."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    sf, c = "/root/testdata/sf0.001", duckdb.connect()
+    p = spark.read.parquet(f"{sf}/part.parquet").limit(40)
+    p.unionByName(p.withColumn("p_partkey", F.col("p_partkey") + 4620)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{sf}/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("part", "supplier"):
+        c.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    expected = sorted(c.sql(entry.oracle_sql()["k2_rerank"]).select("row_id", "entry_id", "rerank").fetchall())
+    got = sorted(tuple(r) for r in entry.queries()["k2_rerank"](spark, str(tmp_path)).select("row_id", "entry_id", "rerank").collect())
+    assert {r[0] for r in got} & set(range(4620)) and {r[0] for r in got} & set(range(4620, 9240))
+    assert [r[:2] for r in got] == [r[:2] for r in expected] and [r[2] for r in got] == pytest.approx([r[2] for r in expected])
+
+
+def test_a_model_is_asked_once_for_each_key(spark):
+    data = [("CT", None, 1, 1, "b"), ("CT", None, 2, 0, "aa"), ("MR", "x", 2, 0, "aa")]
+    c = spark.createDataFrame(data, "code string, exam string, entry_id long, cand_pos int, cat_text string").withColumn("in_text", F.lit("q"))
+    got = {(r.code, r.exam, r.entry_id): r.rerank for r in rerank(c, lambda q, docs: [len(d) + len(docs) / 10 for d in docs], ["code", "exam"]).collect()}
+    assert got == {("CT", None, 1): 1.2, ("CT", None, 2): 2.2, ("MR", "x", 2): 2.1}
