@@ -199,6 +199,46 @@ def test_consensus_adds_up_in_order(spark):
         assert {x.row_id: x.choice for x in sc.named_consensus(d, none, "at").collect()} == {r: w[2] for r, w in want.items()}
 
 
+@pytest.mark.parametrize("name", ["g35_g36_consensus"])
+def test_votes_without_ids_count(spark, tmp_path, name):
+    """Events without an id, a user, a type or all confidences, against the SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(4)
+    rows = [(None if i % 6 == 5 else i, rng.choice([None, 1, 2, 3]), rng.choice(["click", "error", "view", None])) for i in range(120)]
+    rows += [(None, 4, "view"), (None, 4, "view"), (None, 4, "click"), (None, 5, "error"), (900, 6, "view"), (None, 7, "view"), (1, 7, "click")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = entry.queries()[name](spark, str(tmp_path))
+    expected = c.sql(entry.oracle_sql()[name]).select(*got.columns).fetchall()
+    assert {r[0] for r in expected} == {None, 1, 2, 3, 4, 5, 7}
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize("name", ["g35_g36_consensus"])
+def test_means_at_a_half_round_as_the_sql(spark, tmp_path, name):
+    """Means of 32 confidences may end at half a unit of the sixth place."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = []
+    for user in range(200):
+        for i in range(32):
+            cents = min(99, max(0, 2 * user + 1 - 99 * i))
+            rows.append((100 * (9 * len(rows) + (1 - cents) % 9) + cents, user, "view"))  # the hundreds keep ids off multiples of nine
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = entry.queries()[name](spark, str(tmp_path))
+    expected = c.sql(entry.oracle_sql()[name]).select(*got.columns).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    assert len(expected) == 200 and len(rows) == c.sql("select count(*) from events where event_id % 9 <> 0").fetchall()[0][0]
+
+
 def test_answers_are_asked_where_ways_lead(spark):
     """A function that gives the answers at some steps is asked for the steps on the ways alone, and the ways are the same."""
     rng = random.Random(8)
