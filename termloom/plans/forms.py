@@ -14,6 +14,7 @@ from ..sources import readers as rd
 from . import derive
 from .more import dumped, t
 from .registry import query
+from .scores import rounded
 
 C = F.col
 
@@ -25,10 +26,10 @@ C = F.col
 def g35(spark, sf):
     """The vote with names; an error is a candidate of every other row only."""
     e = t(spark, sf, "events")
-    choice = F.when(C("event_id") % 9 != 0, C("event_type"))
-    r = e.select("event_id", C("user_id").alias("row_id"), F.concat(F.lit("vendor/m"), (C("event_id") % 5).cast("string")).alias("model"), choice.alias("choice"), ((C("event_id") % 100) / 100.0).alias("confidence"))
+    choice = F.when(C("event_id") % 9 == 0, None).otherwise(C("event_type"))
+    r = e.select("event_id", C("user_id").alias("row_id"), F.concat(F.lit("vendor/m"), F.coalesce((C("event_id") % 5).cast("string"), F.lit(""))).alias("model"), choice.alias("choice"), ((C("event_id") % 100) / 100.0).alias("confidence"))
     cands = e.select(C("user_id").alias("row_id"), C("event_type").alias("choice"), F.upper("event_type").alias("name"), F.concat("event_type", F.lit(" (procedure)")).alias("fsn")).filter("choice <> 'error' or row_id % 2 = 0").distinct()
-    return sc.named_consensus(r, cands, "event_id").select("row_id", "choice", F.round("confidence", 6).alias("confidence"), "name", "fsn", F.array_join("models", ",").alias("models"))
+    return sc.named_consensus(r, cands, "event_id").select("row_id", "choice", rounded("confidence"), "name", "fsn", F.array_join("models", ",").alias("models"))
 
 
 @query("a5_load_yaml", """WITH k AS (SELECT 'scoring.brands' AS kind, p_brand AS key FROM part UNION SELECT 'scoring.types', p_type FROM part)

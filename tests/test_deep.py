@@ -199,7 +199,7 @@ def test_consensus_adds_up_in_order(spark):
         assert {x.row_id: x.choice for x in sc.named_consensus(d, none, "at").collect()} == {r: w[2] for r, w in want.items()}
 
 
-@pytest.mark.parametrize("name", ["g35_g36_consensus"])
+@pytest.mark.parametrize("name", ["g35_g36_consensus", "g35_named_consensus"])
 def test_votes_without_ids_count(spark, tmp_path, name):
     """Events without an id, a user, a type or all confidences, against the SQL."""
     import duckdb
@@ -218,7 +218,7 @@ def test_votes_without_ids_count(spark, tmp_path, name):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, expected))
 
 
-@pytest.mark.parametrize("name", ["g35_g36_consensus"])
+@pytest.mark.parametrize("name", ["g35_g36_consensus", "g35_named_consensus"])
 def test_means_at_a_half_round_as_the_sql(spark, tmp_path, name):
     """Means of 32 confidences may end at half a unit of the sixth place."""
     import duckdb
